@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, mixing
+from quillrank.llm import fingerprints, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op10_mixing": mixing.op10_mixing,
     }
