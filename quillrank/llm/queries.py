@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, mixing, quality
+from quillrank.llm import fingerprints, mixing, quality, recompression, suffix_levels
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op5_suffix_levels": suffix_levels.op5_suffix_levels,
+        "op9_recompression": recompression.op9_recompression,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op9_recompression": recompression.SQL, "op10_mixing": mixing.SQL}
