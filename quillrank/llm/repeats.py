@@ -135,9 +135,9 @@ def bit_table(keys: DataFrame, bits: int = BITS_LOG2) -> np.ndarray:
         .groupBy(F.shiftright("spot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("mask"))
     )
-    found = words.toPandas()
+    found = words.toArrow()  # Arrow: no object per row on the driver
     table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    table[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    table[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return table
 
 
