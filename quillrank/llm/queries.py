@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, mixing, quality, recompression, suffix_levels
+from quillrank.llm import fingerprints, jaccard, mixing, quality, recompression, suffix_levels
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op5_suffix_levels": suffix_levels.op5_suffix_levels,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op9_recompression": recompression.op9_recompression,
         "op10_mixing": mixing.op10_mixing,
     }
