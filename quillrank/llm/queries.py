@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, jaccard, mixing, quality, recompression, suffix_levels
+from quillrank.llm import fingerprints, jaccard, mixing, pieces, quality, recompression, suffix_levels, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op5_suffix_levels": suffix_levels.op5_suffix_levels,
         "op6_jaccard": jaccard.op6_jaccard,
+        "op7_warc": warc.op7_warc,
+        "op8_pieces": pieces.op8_pieces,
         "op9_recompression": recompression.op9_recompression,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_recompression": recompression.SQL, "op10_mixing": mixing.SQL}
+    return {"op7_warc": warc.SQL, "op9_recompression": recompression.SQL, "op10_mixing": mixing.SQL}
