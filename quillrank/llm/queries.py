@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, jaccard, mixing, pieces, quality, recompression, suffix_levels, warc
+from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, recompression, suffix_levels, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op3_language": language.op3_language,
+        "op4_licenses": licenses.op4_licenses,
         "op5_suffix_levels": suffix_levels.op5_suffix_levels,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_warc": warc.op7_warc,
