@@ -10,8 +10,9 @@ surroundings, hash of the whole group, place of its first window, number of wind
 1. Count anchor keys; only keys that occur twice can belong to repeats. They go into a
    bit table of fixed size, the only thing that is broadcast.
 2. Groups with such keys: a group whose content occurred before is a repeat as a whole.
-3. Keys that keep several different groups (borders of repeats, edited copies): their
-   windows are compared one by one.
+3. Keys that keep several different groups (borders of repeats, edited copies): the
+   windows of each group's first occurrence are compared one by one. Later occurrences
+   of a group are repeats already, so they add nothing.
 4. Spans per document are joined with the texts and cut.
 
 Each task first drops what repeats inside its own batch, so any one content sends at
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import Poly, mix, text_chunks
@@ -170,8 +171,27 @@ def repeated_groups(docs: DataFrame, method: Method, places: Places, wanted) ->
     return docs.select("doc_id", "text").mapInArrow(run, "key long, sh long, occ long, m int, again boolean")
 
 
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection that carries places to all 64 bits; spread_column() is the same in Spark."""
+    x = x.astype(np.int64).view(np.uint64)
+    for _ in range(2):
+        x = x ^ (x << np.uint64(13))
+        x = x ^ (x >> np.uint64(7))
+        x = x ^ (x << np.uint64(17))
+    return x
+
+
+def spread_column(name: str) -> Column:
+    x = name
+    for _ in range(2):
+        x = f"({x} ^ shiftleft({x}, 13))"
+        x = f"({x} ^ shiftrightunsigned({x}, 7))"
+        x = f"({x} ^ shiftleft({x}, 17))"
+    return F.expr(x)
+
+
 def single_windows(docs: DataFrame, method: Method, places: Places, wanted) -> DataFrame:
-    """w (hash), occ, m = 1 of each window of groups whose key is in the table.
+    """w (hash), occ, m = 1 of each window of the groups whose place is in the table.
 
     Windows that the batch holds earlier (`again`) come as runs of m windows instead.
     """
@@ -180,7 +200,7 @@ def single_windows(docs: DataFrame, method: Method, places: Places, wanted) -> D
         for batch in batches:
             rows = []
             for ids, _, first, g, poly in _chunks([batch], method, places):
-                hit = np.flatnonzero(in_table(wanted.value, g.key))
+                hit = np.flatnonzero(in_table(wanted.value, spread(_places(places, ids, first, g.start))))
                 start, count = g.start[hit], g.count[hit]
                 token = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 rows.append((poly.spans(token, token + method.window), _places(places, ids, first, token)))
@@ -229,17 +249,19 @@ def find_repeats(docs: DataFrame, method: Method, label: str, match_groups: Call
     """(occ, m) of all repeated groups and windows, and how places are packed.
 
     `match_groups` gets the stored groups and returns (groups that repeat an earlier
-    one: occ, m; keys with several different groups: key).
+    one: occ, m; first occurrences of groups whose key has several different ones: occ).
     """
     spark = docs.sparkSession
     places = Places.of(docs)
     repeated = key_counts(docs, method, places).where("n > 1").select("key")
     wanted = spark.sparkContext.broadcast(bit_table(repeated))
     groups = stored(repeated_groups(docs, method, places, wanted), f"{label}-groups")
-    whole, mixed = match_groups(groups)
-    mixed_table = spark.sparkContext.broadcast(bit_table(mixed.select("key")))
-    windows = stored(single_windows(docs, method, places, mixed_table), f"{label}-windows")
-    single = windows.where("again").unionByName(later(windows.where("NOT again"), "w"))
+    whole, firsts = match_groups(groups)
+    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key"))))
+    windows = single_windows(docs, method, places, chosen)
+    # runs that the batch knew pass through beside the windows, each in a partition of its own place
+    least = F.min("occ").over(Window.partitionBy("again", F.when(F.col("again"), F.col("occ")).otherwise(F.col("w"))))
+    single = windows.withColumn("_least", least).where("again OR occ > _least")
     return whole.select("occ", "m").unionByName(single.select("occ", "m")), places
 
 
@@ -263,7 +285,9 @@ def span_arrays(column) -> Iterator[np.ndarray | None]:
 
 
 def first_of_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups that repeat an earlier one, keys with several different groups), over all groups at once."""
+    """(groups that repeat an earlier one, firsts of keys with several different groups), over all groups at once."""
     fresh = groups.where("NOT again")
     whole = groups.where("again").unionByName(later(fresh, "key", "sh"))
-    return whole, fresh.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b")
+    mixed = fresh.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
+    firsts = fresh.groupBy("key", "sh").agg(F.min("occ").alias("occ")).join(mixed, "key", "left_semi")
+    return whole, firsts.select("occ")

@@ -14,6 +14,7 @@ log2(batches) times.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import Poly, byte_tokens, text_chunks
-from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, first_of_groups, later, span_arrays, with_spans
+from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, later, span_arrays, with_spans
 from quillrank.llm.shared import stored, table
 
 WINDOW = 100
@@ -62,22 +63,23 @@ class SuffixLevels:
         self.label = label
         self.levels: list[tuple[int, DataFrame]] = []
 
+    def entries(self) -> DataFrame:
+        """All different groups with their first place."""
+        return reduce(DataFrame.unionByName, (level for _, level in self.levels))
+
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Match a batch (key, sh, occ, m; later places than any level) and add it.
 
         Returns (groups that repeat an earlier one, keys that now have several different
         groups).
         """
-        within, _ = first_of_groups(batch)
-        fresh = batch.where("NOT again").withColumn("_n", F.lit(1))
+        fresh = batch.where("NOT again")
         mine = fresh.groupBy("key", "sh").agg(F.min("occ").alias("occ"))
-        whole = within
-        known = None
-        for _, level in self.levels:
-            known = level if known is None else known.unionByName(level)
+        whole = batch.where("again").unionByName(later(fresh, "key", "sh"))
+        known = self.entries() if self.levels else None
         mixed = mine.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
         if known is not None:
-            whole = whole.unionByName(fresh.drop("_n").join(known.select("key", "sh").hint("merge"), ["key", "sh"], "left_semi"))
+            whole = whole.unionByName(fresh.join(known.select("key", "sh").hint("merge"), ["key", "sh"], "left_semi"))
             mine = stored(mine.join(known.select("key", "sh").hint("merge"), ["key", "sh"], "left_anti").sortWithinPartitions("key", "sh"), self.label)
             mixed = mixed.unionByName(mine.join(known.select("key"), "key", "left_semi").select("key"))
         else:
@@ -105,10 +107,8 @@ def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
         found = family.add(batch)
         whole.append(found[0].select("occ", "m"))
         mixed.append(found[1])
-    for parts in (whole, mixed):
-        while len(parts) > 1:
-            parts[:2] = [parts[0].unionByName(parts[1])]
-    return whole[0], mixed[0].distinct()
+    firsts = family.entries().join(reduce(DataFrame.unionByName, mixed).distinct(), "key", "left_semi")
+    return reduce(DataFrame.unionByName, whole), firsts.select("occ")
 
 
 def cut_bytes(docs: DataFrame, places, removed: DataFrame, window: int, keep: bool = True) -> DataFrame:
