@@ -15,9 +15,9 @@ counted on the few columns in which members differ from R. Let c be the member w
 least (den + num) * |d| - (den - num) * size. Linked x, y whose d do not overlap are both
 linked with c, so links to c suffice for them. Linked pairs whose d do overlap meet
 again in a smaller group: members that share a column of d, rarest columns first, as many
-as the size bound allows to miss. Columns that all members share change R and drop out.
-Groups shrink until nobody is left who is not linked with c. No link between different
-texts is lost, and no group is expanded into pairs.
+as the size bound allows to miss. Columns that most members share change R, so a shared
+column names at most half of a group; groups shrink until nobody is left who is not linked
+with c. No link between different texts is lost, and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -204,35 +204,33 @@ def links(docs: DataFrame, like: Likeness) -> DataFrame:
 
 def _round(groups: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     """Links of each group's members with its centre, and the smaller groups that remain."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
+    counts = groups.select("group", F.explode("d").alias("column")).groupBy("group", "column").agg(F.count("*").alias("have")).join(sizes, "group")
+    # the reference takes over what most members have: d then names each member's own differences
+    major = counts.where("2 * have > members").groupBy("group").agg(F.collect_list("column").alias("major"))
+    counts = counts.withColumn("have", F.when(F.expr("2 * have > members"), F.col("members") - F.col("have")).otherwise(F.col("have"))).drop("members")
+    flipped = F.concat(F.array_except("d", "major"), F.array_except("major", "d"))
+    rows = groups.join(major, "group", "left").withColumn("d", F.when(F.col("major").isNull(), F.col("d")).otherwise(flipped)).drop("major")
     weight = F.size("d") * (like.den + like.num) - F.col("n") * (like.den - like.num)
-    centres = groups.groupBy("group").agg(F.min_by(F.struct("x", "n", "d"), F.struct(weight, F.col("x"))).alias("c"), F.count("*").alias("members"))
+    centres = rows.groupBy("group").agg(F.min_by(F.struct("x", "n", "d"), F.struct(weight, F.col("x"))).alias("c"), F.count("*").alias("members"))
     apart = F.size("d") + F.size("c.d") - 2 * F.size(F.array_intersect("d", "c.d"))
-    rows = groups.join(centres, "group").withColumn("linked", _linked(apart, F.col("n"), F.col("c.n"), like))
-    edges = rows.where("linked AND x <> c.x").select(F.col("x").alias("u"), F.col("c.x").alias("v")).distinct()
-    rows = rows.select("group", "x", "n", "d", "linked", "members")
+    rows = stored(rows.join(centres, "group").select("group", "x", "n", "d", "members", "c.x", _linked(apart, F.col("n"), F.col("c.n"), like).alias("linked")).toDF("group", "x", "n", "d", "members", "centre", "linked"), "jaccard-rows")
+    edges = rows.where("linked AND x <> centre").select(F.col("x").alias("u"), F.col("centre").alias("v")).distinct()
     open_groups = rows.where("NOT linked").select("group").distinct()
-    rows = rows.join(open_groups, "group", "left_semi")
-    cells = rows.select("group", "x", "members", F.explode("d").alias("column"))
-    counts = cells.groupBy("group", "column").agg(F.count("*").alias("have"))
-    cells = cells.join(counts, ["group", "column"]).where("have < members")
+    still = rows.join(open_groups, "group", "left_semi")
+    cells = still.select("group", "x", "n", "linked", "members", F.explode("d").alias("column")).join(counts, ["group", "column"])
     # rarest first; a column that only one member has takes a place but meets nobody
     place = F.row_number().over(Window.partitionBy("group", "x").orderBy("have", "column"))
-    limit = like.misses_column(F.col("n"))
-    cells = cells.join(rows.select("group", "x", "n", "linked"), ["group", "x"]).withColumn("place", place).where((F.col("place") <= limit + 1) & (F.col("have") > 1))
-    part = F.xxhash64("group", "column")
-    cells = cells.select("group", "x", part.alias("part"), "linked")
-    alike = cells.groupBy("group", "part").agg(F.count("*").alias("k"), F.min("linked").alias("closed"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("who")).where("k > 1 AND NOT closed")
-    parts = alike.groupBy("group", "who", "k").agg(F.min("part").alias("part")).select("group", "part")  # equal members: one group
-    members = cells.join(parts, ["group", "part"]).select("group", "part", "x")
-    smaller = members.join(rows.select("group", "x", "n", "d"), ["group", "x"]).join(_common(counts, rows), "group", "left")
-    rest = F.when(F.col("common").isNull(), F.col("d")).otherwise(F.array_except("d", "common"))
-    return edges, smaller.select(F.col("part").alias("group"), "x", "n", rest.alias("d"))
-
-
-def _common(counts: DataFrame, rows: DataFrame) -> DataFrame:
-    """group, common: the columns that all members of a group have."""
-    sizes = rows.groupBy("group").agg(F.first("members").alias("members"))
-    return counts.join(sizes, "group").where("have = members").groupBy("group").agg(F.collect_list("column").alias("common"))
+    cells = cells.withColumn("place", place).where((F.col("place") <= like.misses_column(F.col("n")) + 1) & (F.col("have") > 1))
+    cells = stored(cells.select("group", "x", "linked", "members", F.xxhash64("group", "column").alias("part")), "jaccard-cells")
+    parts = cells.groupBy("group", "part").agg(F.min("linked").alias("closed"), F.min("x").alias("least"), F.count("*").alias("k")).where("k > 1 AND NOT closed")
+    placed = cells.join(parts.select("group", "part", "least"), ["group", "part"])
+    # parts with the same least member become one group, unless that is nearly all of the old one
+    unions = placed.select("group", "least", "x", "members").distinct().groupBy("group", "least", "members").agg(F.count("*").alias("k"))
+    unions = unions.where("4 * k <= 3 * members").select("group", "least", F.lit(True).alias("whole"))
+    named = placed.join(unions, ["group", "least"], "left").withColumn("to", F.when(F.col("whole"), F.xxhash64("group", "least", F.lit(0))).otherwise(F.col("part")))
+    smaller = named.select("group", "x", "to").distinct().join(rows.select("group", "x", "n", "d"), ["group", "x"])
+    return edges, smaller.select(F.col("to").alias("group"), "x", "n", "d")
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
