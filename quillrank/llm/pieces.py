@@ -22,6 +22,7 @@ from quillrank.llm.shared import table
 SPACE_MARK = "▁"
 CACHE_WORDS = 300_000
 COMPATIBLE_PAIRS = 1_000_000
+_NEVER = float("inf")
 
 
 def vocabulary(path: str) -> list[tuple[str, float, str]]:
@@ -55,6 +56,7 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        self.histories: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -67,12 +69,52 @@ class Codec:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
+    def history(self, a: int) -> tuple[list[float], list[str], list[str]]:
+        """Priorities of the merges that form a piece, and its first and last part before each and at the end."""
+        found = self.histories.get(a)
+        if found is None:
+            parts = list(self.text[a])
+            order, firsts, lasts = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                best, i = min((self.priority.get(x + y, _NEVER), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best == _NEVER:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                order.append(best)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            order.append(_NEVER)
+            found = self.histories[a] = order, firsts, lasts
+        return found
+
     def compatible(self, a: int, b: int) -> bool:
+        """True if merging the joined text of two pieces gives the two pieces.
+
+        Each side merges as it does alone until a pair across the border is due: better
+        than the left side's next merge (equal ones on the left come first) and no worse
+        than the right side's.
+        """
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) >= COMPATIBLE_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
+            left, _, lasts = self.history(a)
+            right, firsts, _ = self.history(b)
+            i = j = 0
+            priority = self.priority
+            while True:
+                across = priority.get(lasts[i] + firsts[j], _NEVER)
+                if across < left[i] and across <= right[j]:
+                    found = False
+                    break
+                if left[i] == right[j] == _NEVER:
+                    found = True
+                    break
+                if left[i] <= right[j]:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[a, b] = found
         return found
 
     def alone(self, a: int) -> bool:
@@ -83,18 +125,30 @@ class Codec:
 
     def known(self, text: str) -> list[int]:
         """Ids of a text of known characters without inner spaces, by the prefix table."""
-        last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
+        last = [-1] * (len(text) + 1)  # the last token of each prefix
+        sizes = [0] * (len(text) + 1)
+        pairs, whole = self.pairs, self.whole
         for end, (token, size) in self.automaton.iter(text):
-            if last[end + 1] is None:
-                start = end + 1 - size
-                if self.alone(token) if not start else self.compatible(last[start][0], token):
-                    last[end + 1] = token, size
+            end += 1
+            if last[end] < 0:
+                start = end - size
+                if start:
+                    fits = pairs.get((last[start], token))
+                    if fits is None:
+                        fits = self.compatible(last[start], token)
+                else:
+                    fits = whole.get(token)
+                    if fits is None:
+                        fits = self.alone(token)
+                if fits:
+                    last[end] = token
+                    sizes[end] = size
         ids, at = [], len(text)
         while at:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
-        return ids[::-1]
+            ids.append(last[at])
+            at -= sizes[at]
+        ids.reverse()
+        return ids
 
     def word(self, text: str) -> list[int]:
         """Ids of a word with its leading mark; characters outside the vocabulary become bytes."""
@@ -116,6 +170,8 @@ class Codec:
 
     def pieces_text(self, ids: list[int] | tuple[int, ...]) -> str:
         """The text of ids, marks as spaces; runs of byte pieces are read as UTF-8."""
+        if not any(i in self.bytes for i in ids):
+            return "".join([self.text[i] for i in ids]).replace(SPACE_MARK, " ")
         out, held = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -153,12 +209,14 @@ class Codec:
                 marks += 1
                 if part:
                     found = self.cached(part)
-                    ids = found[0]
-                    if self.text[ids[0]] == SPACE_MARK:
-                        ids = (*self.marks(marks), *ids[1:])
-                    elif marks > 1:
-                        ids = (*self.marks(marks - 1), *ids)
-                    rows.append((ids, ",".join(map(str, ids)), self.pieces_text(ids)))
+                    if marks > 1:  # else the cached row is right as it is
+                        ids = found[0]
+                        if self.text[ids[0]] == SPACE_MARK:
+                            ids = (*self.marks(marks), *ids[1:])
+                        else:
+                            ids = (*self.marks(marks - 1), *ids)
+                        found = ids, ",".join(map(str, ids)), self.pieces_text(ids)
+                    rows.append(found)
                     marks = 0
             if marks:
                 ids = tuple(self.marks(marks))
