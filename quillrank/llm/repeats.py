@@ -152,7 +152,10 @@ def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def repeated_groups(docs: DataFrame, method: Method, places: Places, wanted) -> DataFrame:
-    """key, sh, occ, m of groups whose key is in the table; `again`: the batch holds this group earlier."""
+    """key, sh, occ, m of groups whose key is in the table.
+
+    Groups that the batch holds earlier (`again`) come as runs of m windows instead.
+    """
 
     def run(batches):
         for batch in batches:
@@ -165,8 +168,11 @@ def repeated_groups(docs: DataFrame, method: Method, places: Places, wanted) ->
                 rows.append((g.key[hit], sh, _places(places, ids, first, start), count))
             if rows:
                 key, sh, occ, count = map(np.concatenate, zip(*rows, strict=True))
-                again = ~_first_of_each(key, sh)
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(sh), pa.array(occ), pa.array(count.astype(np.int32)), pa.array(again)], names=["key", "sh", "occ", "m", "again"])
+                new = _first_of_each(key, sh)
+                runs, length = joined_runs(occ[~new], count[~new])
+                gone = np.zeros(len(runs), np.int64)
+                out = (np.concatenate((key[new].view(np.int64), gone)), np.concatenate((sh[new].view(np.int64), gone)), np.concatenate((occ[new], runs)), np.concatenate((count[new], length)).astype(np.int32), np.arange(new.sum() + len(runs)) >= new.sum())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "sh", "occ", "m", "again"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, sh long, occ long, m int, again boolean")
 
@@ -215,6 +221,17 @@ def single_windows(docs: DataFrame, method: Method, places: Places, wanted) -> D
     return docs.select("doc_id", "text").mapInArrow(run, "w long, occ long, m int, again boolean")
 
 
+def joined_runs(occ: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of windows, with those that follow each other joined."""
+    if not len(occ):
+        return occ, count
+    order = np.argsort(occ, kind="stable")
+    occ, count = occ[order], count[order]
+    starts = np.flatnonzero(np.concatenate(([True], occ[1:] > occ[:-1] + count[:-1])))
+    last = np.append(starts[1:], len(occ)) - 1
+    return occ[starts], occ[last] + count[last] - occ[starts]
+
+
 def consecutive(occ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of consecutive numbers in a sorted array."""
     if not len(occ):
@@ -265,10 +282,26 @@ def find_repeats(docs: DataFrame, method: Method, label: str, match_groups: Call
     return whole.select("occ", "m").unionByName(single.select("occ", "m")), places
 
 
-def with_spans(docs: DataFrame, removed: DataFrame, places: Places, window: int) -> DataFrame:
-    """`docs` with `_spans`, null where nothing is removed."""
+def with_spans(docs: DataFrame, removed: DataFrame, places: Places, window: int, label: str = "spans") -> DataFrame:
+    """`docs` with `_spans`, null where nothing is removed.
+
+    Only texts that may have spans (by a bit table of their places) go through the join;
+    all others pass by without a shuffle.
+    """
+    spans = stored(spans_of(removed, places, window), label)
+    touched = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select(spread_column("_doc").alias("key"))))
     rank = F.coalesce(F.col("doc_id") - F.lit(places.least) + 1, F.lit(0)).cast("long")
-    return docs.withColumn("_doc", rank).join(spans_of(removed, places, window), "_doc", "left").drop("_doc")
+
+    def side(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                hit = in_table(touched.value, spread(places.docs(batch.column("doc_id"))))
+                yield batch.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    changed = side(True).withColumn("_doc", rank).join(spans, "_doc", "left").drop("_doc")
+    return changed.unionByName(side(False).withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
 
 
 def span_arrays(column) -> Iterator[np.ndarray | None]:

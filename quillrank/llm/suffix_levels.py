@@ -19,11 +19,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import Poly, byte_tokens, text_chunks
-from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, later, span_arrays, with_spans
+from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, span_arrays, with_spans
 from quillrank.llm.shared import stored, table
 
 WINDOW = 100
@@ -67,29 +67,23 @@ class SuffixLevels:
         """All different groups with their first place."""
         return reduce(DataFrame.unionByName, (level for _, level in self.levels))
 
-    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Match a batch (key, sh, occ, m; later places than any level) and add it.
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Match a batch (key, sh, occ, m; later places than any level), add what is new; returns the repeats.
 
-        Returns (groups that repeat an earlier one, keys that now have several different
-        groups).
+        One sort by (key, sh) serves the match within the batch and the merge with the levels.
         """
-        fresh = batch.where("NOT again")
-        mine = fresh.groupBy("key", "sh").agg(F.min("occ").alias("occ"))
-        whole = batch.where("again").unionByName(later(fresh, "key", "sh"))
-        known = self.entries() if self.levels else None
-        mixed = mine.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
-        if known is not None:
-            whole = whole.unionByName(fresh.join(known.select("key", "sh").hint("merge"), ["key", "sh"], "left_semi"))
-            mine = stored(mine.join(known.select("key", "sh").hint("merge"), ["key", "sh"], "left_anti").sortWithinPartitions("key", "sh"), self.label)
-            mixed = mixed.unionByName(mine.join(known.select("key"), "key", "left_semi").select("key"))
-        else:
-            mine = stored(mine.sortWithinPartitions("key", "sh"), self.label)
-        self.levels.append((1, mine))
+        least = F.min("occ").over(Window.partitionBy("key", "sh"))
+        rows = batch.withColumn("first", F.col("occ") == least)
+        if self.levels:
+            known = self.entries().select("key", "sh", F.lit(True).alias("known"))
+            rows = rows.join(known.hint("merge"), ["key", "sh"], "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
+        rows = stored(rows, self.label)
+        self.levels.append((1, rows.where("first").select("key", "sh", "occ")))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             merged = stored(a.unionByName(b).repartition("key").sortWithinPartitions("key", "sh"), self.label)
             self.levels.append((2 * size, merged))
-        return whole, mixed
+        return rows.where("NOT first")
 
 
 def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
@@ -97,18 +91,18 @@ def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
     bounds = groups.select(F.percentile_approx("occ", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(bounds)), None]
     family = SuffixLevels()
-    whole, mixed = [], []
+    fresh = groups.where("NOT again")
+    whole = [groups.where("again").select("occ", "m")]
     for low, high in zip(edges, edges[1:], strict=False):
-        batch = groups
+        batch = fresh
         if low is not None:
             batch = batch.where(F.col("occ") >= low)
         if high is not None:
             batch = batch.where(F.col("occ") < high)
-        found = family.add(batch)
-        whole.append(found[0].select("occ", "m"))
-        mixed.append(found[1])
-    firsts = family.entries().join(reduce(DataFrame.unionByName, mixed).distinct(), "key", "left_semi")
-    return reduce(DataFrame.unionByName, whole), firsts.select("occ")
+        whole.append(family.add(batch.select("key", "sh", "occ", "m")).select("occ", "m"))
+    entries = family.entries()
+    mixed = entries.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
+    return reduce(DataFrame.unionByName, whole), entries.join(mixed, "key", "left_semi").select("occ")
 
 
 def cut_bytes(docs: DataFrame, places, removed: DataFrame, window: int, keep: bool = True) -> DataFrame:
