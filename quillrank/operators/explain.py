@@ -46,11 +46,12 @@ def explain(top: DataFrame, entities: DataFrame) -> DataFrame:
         python_int(F.col("candidate_id")).alias("vid"),
     )
     rows = top.join(facts, "candidate_id")
+    columns = [*top.columns, "reasoning"]
 
     def run(frames: Iterator):
         for frame in frames:
             frame["reasoning"] = [sentence(r) for r in frame.to_dict("records")]
-            yield frame[[*top.columns, "reasoning"]]
+            yield frame[columns]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in top.schema.fields)
     return rows.mapInPandas(run, f"{fields}, reasoning string")

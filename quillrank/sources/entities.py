@@ -50,9 +50,10 @@ def _leaf(value: Column, kind: str, default) -> Column:
 def typed(raw: DataFrame, signals: str = "signals") -> DataFrame:
     """Typed records with defaults; the signals field is called `signals` from here on."""
     struct = lambda base, fields: F.struct(*(_leaf(base[n], k, d).alias(n) for n, (k, d) in fields.items()))
+    element = lambda fields: lambda e: struct(e, fields)
     columns = [F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), struct(F.col("profile"), PROFILE).alias("profile")]
     for name, fields in LISTS.items():
-        columns.append(F.transform(F.coalesce(F.col(name), F.array().cast(raw.schema[name].dataType)), lambda e, f=fields: struct(e, f)).alias(name))
+        columns.append(F.transform(F.coalesce(F.col(name), F.array().cast(raw.schema[name].dataType)), element(fields)).alias(name))
     s = F.col(signals)
     scores = F.coalesce(s["skill_assessment_scores"], F.create_map().cast("map<string,string>"))
     leaves = [_leaf(s[n], k, d).alias(n) for n, (k, d) in SIGNALS.items()]
@@ -74,7 +75,7 @@ def read_entities(spark: SparkSession, path: str, mode: str = "strict", array: b
         raw = raw.where(F.col(CORRUPT).isNull() & F.col("candidate_id").isNotNull())
     else:
         ok = F.col(CORRUPT).isNull()
-        raw = raw.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed record: "), F.coalesce(CORRUPT, F.lit("")))).cast("boolean")))
+        raw = raw.where(F.when(ok, F.coalesce(F.length("candidate_id"), F.lit(0)) >= 0).otherwise(F.raise_error(F.concat(F.lit("malformed record: "), F.coalesce(CORRUPT, F.lit("")))).cast("boolean")))
     out = typed(raw, signals)
     return out if limit is None else out.limit(limit)
 

@@ -41,7 +41,7 @@ def fingerprint(df: DataFrame, key: str) -> DataFrame:
 
 def write_ranking(ranked: DataFrame, path: str, key: str = "candidate_id") -> None:
     """CSV with header: id, rank, score (six decimals), reasoning; one small file in rank order."""
-    out = ranked.select(key, "rank", F.format_number(F.col("final"), "0.000000").alias("score"), "reasoning")
+    out = ranked.select(key, "rank", F.col("final").cast("decimal(20,6)").cast("string").alias("score"), "reasoning")
     out.coalesce(1).sortWithinPartitions("rank").write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
 
