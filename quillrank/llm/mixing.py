@@ -41,7 +41,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     filled = filled.withColumn("fill", F.row_number().over(by_fill)).withColumn("level", level)
     filled = filled.withColumn("capped", F.coalesce(F.col("level") * F.col("weight") >= F.col("source_size") * F.lit(most), F.lit(True)))
     target = F.when(F.col("capped"), (F.col("source_size") * most).cast("double")).otherwise(F.col("level") * F.col("weight"))
-    rate = F.when(F.col("capped"), F.lit(float(most))).otherwise(target / F.col("source_size"))
+    # a source without words has target 0 and is not taken
+    rate = F.when(F.col("source_size") == 0, F.lit(0.0)).when(F.col("capped"), F.lit(float(most))).otherwise(target / F.col("source_size"))
     return filled.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
@@ -98,7 +99,7 @@ shares AS (SELECT min_by(level, fill) AS shared FROM capped WHERE NOT full_up),
 final AS (SELECT source, source_size, weight, shared, coalesce(shared * weight >= 3 * source_size, true) AS full_up FROM capped CROSS JOIN shares),
 targets AS (
   SELECT source, source_size, CASE WHEN full_up THEN (3 * source_size)::DOUBLE ELSE shared * weight END AS target,
-    CASE WHEN full_up THEN 3.0::DOUBLE ELSE shared * weight / source_size END AS rate FROM final),
+    CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN full_up THEN 3.0::DOUBLE ELSE shared * weight / source_size END AS rate FROM final),
 taken AS (
   SELECT doc_id, size, source_size, target, (floor(coalesce(rate, 0)) + CASE WHEN
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':17'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE
