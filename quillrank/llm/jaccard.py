@@ -17,7 +17,8 @@ linked with c, so links to c suffice for them. Linked pairs whose d do overlap m
 again in a smaller group: members that share a column of d, rarest columns first, as many
 as the size bound allows to miss. Columns that most members share change R, so a shared
 column names at most half of a group; groups shrink until nobody is left who is not linked
-with c. No link between different texts is lost, and no group is expanded into pairs.
+with c. Members that links have already brought into one component need no further look. No
+link between different texts is lost, and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -195,42 +196,55 @@ def links(docs: DataFrame, like: Likeness) -> DataFrame:
     found = None
     while True:
         groups = stored(groups, "jaccard-groups")
-        edges, groups = _round(groups, like)
-        edges = stored(edges, "jaccard-edges")
-        found = edges if found is None else found.unionByName(edges)
-        if groups.isEmpty():
-            return found.select("u", "v")
+        star = _star(groups, like)
+        found = stored(star if found is None else found.unionByName(star).distinct(), "jaccard-edges")
+        still = _unsettled(groups, found)
+        if still.isEmpty():
+            return found
+        edges, groups = _split(still, like)
+        found = found.unionByName(edges)
 
 
-def _round(groups: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """Links of each group's members with its centre, and the smaller groups that remain."""
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
-    counts = groups.select("group", F.explode("d").alias("column")).groupBy("group", "column").agg(F.count("*").alias("have")).join(sizes, "group")
+def _star(groups: DataFrame, like: Likeness) -> DataFrame:
+    """u, v: links of each group's members with its centre."""
+    weight = F.size("d") * (like.den + like.num) - F.col("n") * (like.den - like.num)
+    centres = groups.groupBy("group").agg(F.min_by(F.struct("x", "n", "d"), F.struct(weight, F.col("x"))).alias("c"))
+    apart = F.size("d") + F.size("c.d") - 2 * F.size(F.array_intersect("d", "c.d"))
+    rows = groups.join(centres, "group").where(F.col("x") != F.col("c.x")).where(_linked(apart, F.col("n"), F.col("c.n"), like))
+    return rows.select(F.col("x").alias("u"), F.col("c.x").alias("v")).distinct()
+
+
+def _unsettled(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups whose members are not yet of one component, with each member's component (root)."""
+    roots = components(found, "jaccard-roots")
+    named = groups.select("group", "x").join(roots.withColumnRenamed("node", "x"), "x", "left").select("group", "x", F.coalesce("root", "x").alias("root"))
+    several = named.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).where("a <> b").select("group", "members")
+    return stored(groups.join(several, "group").join(named, ["group", "x"]), "jaccard-open")
+
+
+def _split(groups: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Links with the centre under the majority's reference, and the smaller groups that remain."""
+    counts = groups.select("group", "members", F.explode("d").alias("column")).groupBy("group", "members", "column").agg(F.count("*").alias("have"))
     # the reference takes over what most members have: d then names each member's own differences
     major = counts.where("2 * have > members").groupBy("group").agg(F.collect_list("column").alias("major"))
-    counts = counts.withColumn("have", F.when(F.expr("2 * have > members"), F.col("members") - F.col("have")).otherwise(F.col("have"))).drop("members")
     flipped = F.concat(F.array_except("d", "major"), F.array_except("major", "d"))
     rows = groups.join(major, "group", "left").withColumn("d", F.when(F.col("major").isNull(), F.col("d")).otherwise(flipped)).drop("major")
-    weight = F.size("d") * (like.den + like.num) - F.col("n") * (like.den - like.num)
-    centres = rows.groupBy("group").agg(F.min_by(F.struct("x", "n", "d"), F.struct(weight, F.col("x"))).alias("c"), F.count("*").alias("members"))
-    apart = F.size("d") + F.size("c.d") - 2 * F.size(F.array_intersect("d", "c.d"))
-    rows = stored(rows.join(centres, "group").select("group", "x", "n", "d", "members", "c.x", _linked(apart, F.col("n"), F.col("c.n"), like).alias("linked")).toDF("group", "x", "n", "d", "members", "centre", "linked"), "jaccard-rows")
-    edges = rows.where("linked AND x <> centre").select(F.col("x").alias("u"), F.col("centre").alias("v")).distinct()
-    open_groups = rows.where("NOT linked").select("group").distinct()
-    still = rows.join(open_groups, "group", "left_semi")
-    cells = still.select("group", "x", "n", "linked", "members", F.explode("d").alias("column")).join(counts, ["group", "column"])
+    rows = stored(rows, "jaccard-rows")
+    cells = rows.select("group", "x", "n", "root", "members", F.explode("d").alias("column"))
+    counts = cells.groupBy("group", "column").agg(F.count("*").alias("have"))
+    cells = cells.join(counts, ["group", "column"])
     # rarest first; a column that only one member has takes a place but meets nobody
     place = F.row_number().over(Window.partitionBy("group", "x").orderBy("have", "column"))
     cells = cells.withColumn("place", place).where((F.col("place") <= like.misses_column(F.col("n")) + 1) & (F.col("have") > 1))
-    cells = stored(cells.select("group", "x", "linked", "members", F.xxhash64("group", "column").alias("part")), "jaccard-cells")
-    parts = cells.groupBy("group", "part").agg(F.min("linked").alias("closed"), F.min("x").alias("least"), F.count("*").alias("k")).where("k > 1 AND NOT closed")
+    cells = stored(cells.select("group", "x", "root", "members", F.xxhash64("group", "column").alias("part")), "jaccard-cells")
+    parts = cells.groupBy("group", "part").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("x").alias("least")).where("a <> b")
     placed = cells.join(parts.select("group", "part", "least"), ["group", "part"])
     # parts with the same least member become one group, unless that is nearly all of the old one
     unions = placed.select("group", "least", "x", "members").distinct().groupBy("group", "least", "members").agg(F.count("*").alias("k"))
     unions = unions.where("4 * k <= 3 * members").select("group", "least", F.lit(True).alias("whole"))
     named = placed.join(unions, ["group", "least"], "left").withColumn("to", F.when(F.col("whole"), F.xxhash64("group", "least", F.lit(0))).otherwise(F.col("part")))
     smaller = named.select("group", "x", "to").distinct().join(rows.select("group", "x", "n", "d"), ["group", "x"])
-    return edges, smaller.select(F.col("to").alias("group"), "x", "n", "d")
+    return _star(rows, like), smaller.select(F.col("to").alias("group"), "x", "n", "d")
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
