@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import exprs as X
 from quillrank.functions import lexicon as L
+from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
 from quillrank.operators import labeling, retrieval, scoring, trees
@@ -425,3 +426,30 @@ def windowed_activity(spark, d):
     from quillrank.streaming.live import activity
 
     return activity(read(spark, d, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT name, count(v)::BIGINT AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS low, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS q2, round(quantile_cont(v, 0.75), 4) AS q3, max(v) AS high
+FROM (SELECT 'c_acctbal' AS name, c_acctbal AS v FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey::DOUBLE FROM customer) GROUP BY name""")
+def summary_stats(spark, d):
+    out = audit.describe(read(spark, d, "customer"), "c_acctbal", "c_nationkey")
+    return out.select("name", "n", *(F.round(c, 4).alias(c) for c in ("mean", "std")), "low", *(F.round(c, 4).alias(c) for c in ("q1", "q2", "q3")), "high")
+
+
+@query("SELECT source, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) FILTER (lang = 'en') / count(*), 1) AS english, round(100.0::DOUBLE * count(*) FILTER (n_chars > 2000) / count(*), 1) AS long FROM documents GROUP BY source")
+def group_shares(spark, d):
+    return audit.shares(read(spark, d, "documents"), "source", {"english": F.col("lang") == "en", "long": F.col("n_chars") > 2000})
+
+
+@query(_SCORED + "SELECT c_mktsegment AS segment, count(*)::BIGINT AS n FROM (SELECT id FROM z ORDER BY round(final, 6) DESC, id::VARCHAR LIMIT 100) JOIN customer ON c_custkey = id GROUP BY c_mktsegment")
+def fairness_top(spark, d):
+    segments = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    scored = _scored(spark, d).withColumn("final", F.round("final", 6)).join(segments, "id")
+    return audit.fairness(scored, "segment", 100, F.desc("final"), F.col("candidate_id"))[0]
+
+
+@query("SELECT e.event_id, e.user_id, c_nationkey FROM events e JOIN customer ON c_custkey = e.user_id WHERE e.value > 50 AND e.ts::DATE = (SELECT max(ts)::DATE FROM events)")
+def newest_activity(spark, d):
+    events = read(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    last = audit.newest(events, F.col("day"))
+    recent = events.join(F.broadcast(last), F.col("day") == F.col("reference")).where("value > 50")
+    return recent.join(read(spark, d, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "user_id", "c_nationkey")
