@@ -33,6 +33,7 @@ from quillrank.llm.arrays import Poly, mix, text_chunks
 from quillrank.llm.shared import stored
 
 BITS_LOG2 = 26  # 8 MB
+CHUNK = 1 << 18  # bytes of text at a time: some dozen arrays of eight bytes per byte of it
 #: (tokens, first token of each document) of a chunk
 Tokens = tuple[np.ndarray, np.ndarray]
 
@@ -86,7 +87,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], method: Method, places: Places):
     for batch in batches:
         ids = places.docs(batch.column("doc_id"))
         batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
-        for part, offsets, data in text_chunks(batch):
+        for part, offsets, data in text_chunks(batch, limit=CHUNK):
             tokens, first = method.tokens(data, offsets)
             if len(tokens) >= method.window:
                 yield places.docs(part.column("doc_id")), tokens, first, method.groups(tokens, first, method.window), Poly(tokens)
