@@ -21,7 +21,6 @@ from quillrank.llm.shared import clean_text, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
-SPAN = 16  # words that a rule may look at, from its place
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 
@@ -152,6 +151,33 @@ def _spelled(keyword: str) -> list[str]:
     return [keyword]
 
 
+def most_words(pattern: str) -> int:
+    """Words of the longest match of a pattern, optional parts included."""
+
+    def spaces(i: int) -> tuple[int, int]:
+        longest = here = 0
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                longest, here, i = max(longest, here), 0, i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                n, i = spaces(i + 3)
+                i += 1
+            elif pattern[i] in "([.^$" or re.match(r"\\[^Sd]", pattern[i:]):
+                raise ValueError(f"no bound on the words of {pattern}")
+            else:
+                n, i = int(pattern[i] == " "), i + (2 if pattern[i] == "\\" else 1)
+            often = re.match(r"\?|\{(?:\d+,)?(\d+)\}|[*+]|\{", pattern[i:])
+            if often:
+                if n and often[0] in ("*", "+", "{"):
+                    raise ValueError(f"no bound on the words of {pattern}")
+                n, i = n * int(often[1] or 1), i + often.end()
+            here += n
+        return max(longest, here), i
+
+    return spaces(0)[0] + 1
+
+
 def words_of(text: Column) -> Column:
     """Words after lower-casing A-Z only."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -187,11 +213,12 @@ def detections(docs: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     """(key, start, end, label, score, base, priority): every match of a rule, before suppression."""
     spark = docs.sparkSession
     keywords = _keywords(rules)
+    span = max(most_words(r.pattern) for r in rules)  # words that a rule may look at, from its place
     places = let(
         F.col("_words"),
         lambda w: F.transform(
             F.filter(F.transform(w, lambda x, i: F.when(x.isin(keywords), i)), lambda i: i.isNotNull()),
-            lambda i: F.struct(i.alias("start"), F.array_join(F.slice(w, i + 1, SPAN), " ").alias("ahead")),
+            lambda i: F.struct(i.alias("start"), F.array_join(F.slice(w, i + 1, span), " ").alias("ahead")),
         ),
     )
     found = docs.where(_gate(F.col("_text"), rules)).select(key, words_of(F.col("_text")).alias("_words")).select(key, F.explode(places).alias("p"))

@@ -166,6 +166,34 @@ def test_licenses(spark):
     assert {"apache-2.0", "cc-by-sa-4.0", "gpl-3+"} <= set(got[1]["labels"].split(",")) and "mit" in got[4]["labels"] and len(licenses.build_rules()) > 300
 
 
+@pytest.mark.parametrize("pattern, n", [("a", 1), (r"a \S+", 2), (r"a(?: \S+){1,4} b", 6), ("(?:a|b c d) e ?f", 5), ("a (?:b (?:c )?)?d", 4)])
+def test_longest_match_in_words(pattern, n):
+    assert licenses.most_words(pattern) == n
+
+
+@pytest.mark.parametrize("pattern", ["a(?: b)*", "a [b ]c", "a(?: b){2,}", r"a\sb"])
+def test_patterns_of_any_length_are_refused(pattern):
+    with pytest.raises(ValueError):
+        licenses.most_words(pattern)
+
+
+def test_license_notices(spark):
+    published = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    notices = {
+        "gpl-2+": "under the terms of the GNU General Public License " + published.format(2),
+        "gpl-3+": "under the terms of the GNU General Public License " + published.format("3.0"),
+        "lgpl-2.1+": "under the terms of the GNU Lesser General Public License " + published.format("2.1"),
+        "lgpl-2+": "under the terms of the GNU Library General Public License " + published.format("2.0"),
+        "lgpl-3+": "the GNU Lesser General Public License version 3 of the License, or (at your option) any later version",
+        "agpl-3+": "under the terms of the GNU Affero General Public License " + published.format("3.0"),
+        "fdl-1.3+": "under the terms of the GNU Free Documentation License " + published.format("1.3"),
+    }
+    docs = spark.createDataFrame(list(enumerate(notices.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, label in enumerate(notices):
+        assert label in got[i]["labels"].split(",") and label[:-1] not in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+
+
 def test_containment_suppression(spark):
     rows = [(1, 0, 5, "a", 1.0, False, 3), (1, 1, 4, "b", 1.0, False, 0), (1, 0, 5, "c", 1.0, False, 1), (1, 4, 7, "d", 1.0, False, 9), (2, 1, 4, "e", 1.0, False, 5)]
     df = spark.createDataFrame(rows, "k long, start long, end long, label string, score double, base boolean, priority int")
