@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.llm.arrays import Poly, mix, owners, text_chunks, word_tokens
-from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, first_of_groups, span_arrays, with_spans
+from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, first_of_groups, own_ids, span_arrays, with_spans
 from quillrank.llm.shared import table
 
 WINDOW = 20
@@ -155,13 +155,15 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, dig
     Earlier means a smaller doc_id, or the same document and an earlier start. Adds
     n_words, n_removed and kept_sha256 (columns of these names are replaced). A text
     that loses nothing stays as it is, any other becomes its kept words joined by one
-    space. Null and empty texts have no words; a null doc_id comes before all others;
-    rows that share a doc_id must share the text (their windows count as the same
-    places, so none removes the other).
+    space. Null and empty texts have no words; a null doc_id comes before all others,
+    several of them one by one in order of a hash of their texts; rows that share a
+    doc_id must share the text (their windows count as the same places, so none removes
+    the other).
     """
+    docs, restored = own_ids(docs, "recompression-ids")
     method = Method(window, word_tokens, lambda t, f, w: window_groups(t, f, w, rounds))
     removed, places = find_repeats(docs, method, "recompression", first_of_groups)
-    return cut_words(docs, places, removed, window, digest_only)
+    return restored(cut_words(docs, places, removed, window, digest_only))
 
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

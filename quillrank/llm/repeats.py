@@ -82,6 +82,30 @@ class Places:
         return np.where(some.is_null().to_numpy(zero_copy_only=False), 0, some.fill_null(self.least).to_numpy(zero_copy_only=False) - self.least + 1)
 
 
+def own_ids(docs: DataFrame, label: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(`docs` where rows without a doc_id have numbers of their own, how to make these null again).
+
+    The numbers lie below all others and follow a hash of the text, so the layout of the
+    rows does not matter. A single null needs no number: it has place 0 to itself.
+    """
+    nulls, least = docs.agg(F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
+    if nulls < 2:
+        return docs, lambda out: out
+    least = least or 0
+    lone = docs.where("doc_id IS NULL").withColumn("_hash", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id())
+    lone = lone.repartitionByRange("_hash", "_at").sortWithinPartitions("_hash", "_at")
+    lone = stored(lone.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), label)
+    before, total = [], least - nulls
+    for part, n in sorted(lone.groupBy("_part").count().collect()):  # one row per partition
+        before.append((part, total))
+        total += n
+    starts = F.broadcast(docs.sparkSession.createDataFrame(before, "_part int, _before long"))
+    numbered = lone.join(starts, "_part").withColumn("doc_id", F.col("_before") + F.col("_at")).select(*docs.columns)
+    known = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = docs.schema["doc_id"].dataType
+    return known.unionByName(numbered), lambda out: out.withColumn("doc_id", F.when(F.col("doc_id") >= least, F.col("doc_id")).cast(kind))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], method: Method, places: Places):
     """(row order, document ranks, tokens, first, groups, poly) of each chunk, documents in order of doc_id."""
     for batch in batches:
@@ -98,18 +122,24 @@ def _places(places: Places, docs: np.ndarray, first: np.ndarray, token: np.ndarr
     return (docs[doc] << places.shift) + token - first[doc]
 
 
-def _first_of_each(*keys: np.ndarray) -> np.ndarray:
-    """True where a combination of keys is seen for the first time (rows come in order of place)."""
+def _first_of_each(occ: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, again): where a combination of keys is seen for the first time, and where later than at that place.
+
+    Rows come in order of place, but rows that repeat a doc_id repeat its places: these
+    are neither, as their document holds the content no earlier.
+    """
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), dtype=bool)
     if len(order):
         new[0] = True
         for k in keys:
             new[1:] |= k[order][1:] != k[order][:-1]
-    out = np.zeros(len(order), dtype=bool)
     # lexsort is stable, so the first of equal rows is the earliest
-    out[order] = new
-    return out
+    place = occ[order]
+    first, again = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
+    first[order] = new
+    again[order] = place > place[new][np.cumsum(new) - 1]
+    return first, again
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -169,8 +199,8 @@ def repeated_groups(docs: DataFrame, method: Method, places: Places, wanted) ->
                 rows.append((g.key[hit], sh, _places(places, ids, first, start), count))
             if rows:
                 key, sh, occ, count = map(np.concatenate, zip(*rows, strict=True))
-                new = _first_of_each(key, sh)
-                runs, length = joined_runs(occ[~new], count[~new])
+                new, again = _first_of_each(occ, key, sh)
+                runs, length = joined_runs(occ[again], count[again])
                 gone = np.zeros(len(runs), np.int64)
                 out = (np.concatenate((key[new].view(np.int64), gone)), np.concatenate((sh[new].view(np.int64), gone)), np.concatenate((occ[new], runs)), np.concatenate((count[new], length)).astype(np.int32), np.arange(new.sum() + len(runs)) >= new.sum())
                 yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "sh", "occ", "m", "again"])
@@ -213,8 +243,8 @@ def single_windows(docs: DataFrame, method: Method, places: Places, wanted) -> D
                 rows.append((poly.spans(token, token + method.window), _places(places, ids, first, token)))
             if rows:
                 w, occ = map(np.concatenate, zip(*rows, strict=True))
-                new = _first_of_each(w)
-                runs, length = consecutive(np.sort(occ[~new]))
+                new, again = _first_of_each(occ, w)
+                runs, length = consecutive(np.sort(occ[again]))
                 w, occ = w[new], occ[new]
                 out = (np.concatenate((w.view(np.int64), np.zeros(len(runs), np.int64))), np.concatenate((occ, runs)), np.concatenate((np.ones(len(occ), np.int32), length.astype(np.int32))), np.arange(len(occ) + len(runs)) >= len(occ))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["w", "occ", "m", "again"])

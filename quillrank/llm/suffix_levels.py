@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import Poly, byte_tokens, text_chunks
-from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, span_arrays, with_spans
+from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, own_ids, span_arrays, with_spans
 from quillrank.llm.shared import stored, table
 
 WINDOW = 100
@@ -72,18 +72,20 @@ class SuffixLevels:
 
         One sort by (key, sh) serves the match within the batch and the merge with the levels.
         """
-        least = F.min("occ").over(Window.partitionBy("key", "sh"))
-        rows = batch.withColumn("first", F.col("occ") == least)
+        own = Window.partitionBy("key", "sh").orderBy("occ")
+        # rows that repeat a doc_id repeat its places: one of them goes to the level, the others are no repeats
+        rows = batch.withColumn("first", F.row_number().over(own) == 1).withColumn("later", F.col("occ") > F.min("occ").over(own))
         if self.levels:
             known = self.entries().select("key", "sh", F.lit(True).alias("known"))
-            rows = rows.join(known.hint("merge"), ["key", "sh"], "left").withColumn("first", F.col("first") & F.col("known").isNull()).drop("known")
+            rows = rows.join(known.hint("merge"), ["key", "sh"], "left").withColumn("first", F.col("first") & F.col("known").isNull())
+            rows = rows.withColumn("later", F.col("later") | F.col("known").isNotNull()).drop("known")
         rows = stored(rows, self.label)
         self.levels.append((1, rows.where("first").select("key", "sh", "occ")))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             merged = stored(a.unionByName(b).repartition("key").sortWithinPartitions("key", "sh"), self.label)
             self.levels.append((2 * size, merged))
-        return rows.where("NOT first")
+        return rows.where("later")
 
 
 def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
@@ -135,11 +137,13 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, k
 
     The text column gives way to kept (binary: what remains need not be UTF-8), n_bytes,
     n_removed, n_spans and kept_sha256. Null and empty texts have no bytes; a null
-    doc_id comes before all others; rows that share a doc_id must share the text.
+    doc_id comes before all others, several of them one by one in order of a hash of
+    their texts; rows that share a doc_id must share the text (none removes the other).
     """
+    docs, restored = own_ids(docs, "suffix-levels-ids")
     method = Method(window, tokens, lambda t, f, w: window_groups(t, f, w, min(ANCHOR, w)))
     removed, places = find_repeats(docs, method, "suffix-levels", lambda groups: match_levels(groups, batches))
-    return cut_bytes(docs, places, removed, window, keep)
+    return restored(cut_bytes(docs, places, removed, window, keep))
 
 
 def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

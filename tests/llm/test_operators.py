@@ -227,6 +227,44 @@ def test_repeated_bytes(docs, rows, batches):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for r in got} == want
 
 
+@pytest.fixture(params=[1, 10000], ids=["batches of one row", "one batch"])
+def batch_rows(spark, request):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def passages(*names):
+    return " ".join(f"{name}{i}" for name in names for i in range(30))
+
+
+def test_repeated_rows_keep_their_text(spark, batch_rows):
+    distinct = [(1, passages("a", "b", "a")), (2, passages("c", "b")), (3, passages("d"))]
+    docs = spark.createDataFrame([*distinct, *distinct, distinct[0]], "doc_id long, text string").coalesce(1)
+    want = removed(distinct, 20, words, lambda w: " ".join(w).encode())
+    got = recompression.dedup_words(docs).collect()
+    assert len(got) == 7 and all((r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]][:3] for r in got)
+    want = removed(distinct, 100, str.encode, bytes)
+    got = suffix_levels.dedup_bytes(docs, batches=2).collect()
+    assert len(got) == 7 and all((r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) == want[r["doc_id"]] for r in got)
+
+
+def test_rows_without_doc_id_have_places_of_their_own(spark, batch_rows):
+    texts = [passages("a", "b"), passages("c", "b", "d"), passages("e", "a"), passages("c", "b", "d"), passages("f"), None]
+    docs = spark.createDataFrame([*((None, t) for t in texts), (0, passages("f", "g"))], "doc_id int, text string").coalesce(1)
+    order = docs.where("doc_id IS NULL").orderBy(F.xxhash64("text")).collect()
+    known = [*((i - 10, r["text"]) for i, r in enumerate(order)), (0, passages("f", "g"))]
+    want = removed(known, 20, words, lambda w: " ".join(w).encode())
+    got = recompression.dedup_words(docs)
+    assert got.schema["doc_id"] == docs.schema["doc_id"]
+    assert sorted((r["doc_id"] is None, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == sorted((k < 0, *v[:3]) for k, v in want.items())
+    want = removed(known, 100, str.encode, bytes)
+    got = suffix_levels.dedup_bytes(docs, batches=2).collect()
+    assert sorted((r["doc_id"] is None, r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for r in got) == sorted((k < 0, *v) for k, v in want.items())
+
+
 def test_repeats_of_nothing(empty):
     assert recompression.dedup_words(empty).count() == 0 and suffix_levels.dedup_bytes(empty).count() == 0
 
