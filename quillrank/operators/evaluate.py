@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +45,26 @@ def variants(df: DataFrame, columns: dict[str, str], id_: str = "id") -> DataFra
     return df.select(id_, "tier", F.expr(f"stack({len(columns)}, {pairs}) as (variant, score)"))
 
 
-def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+def hashed_draw(n: Column, round_: Column, draw: Column, seed: int) -> Column:
+    """A row number below n: the first 15 hex digits of md5('round:draw:seed') modulo n, in any engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", round_.cast("string"), draw.cast("string"), F.lit(str(seed)))), 1, 15)
+    return F.conv(digits, 16, 10).cast("long") % n
+
+
+def resampled(df: DataFrame, rounds: int, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw) -> DataFrame:
+    """n, round, draw, idx: as many draws as rows in each round, with replacement."""
+    n = df.agg(F.count("*").alias("n")).where("n > 0")
+    draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("n", "round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
+    return draws.withColumn("idx", index(F.col("n"), F.col("round"), F.col("draw"), seed))
+
+
+def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw) -> DataFrame:
     """metric means, population deviations and 95 % intervals over resampled rows.
 
-    `df` has idx 0..n-1 (labelled rows: some thousands). Draw i of round b takes row
-    (b * 7919 + i * 104729 + seed) % n, so any engine repeats it.
+    `df` has idx 0..n-1 (labelled rows: some thousands). `index` chooses the row of each
+    draw; the default draws with replacement.
     """
-    n = df.agg(F.count("*").alias("n"))
-    draws = df.crossJoin(F.broadcast(n)).select("n").limit(1).select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("n", "round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
-    draws = draws.withColumn("idx", (F.col("round") * 7919 + F.col("draw") * 104729 + seed) % F.col("n"))
-    rows = draws.join(df, "idx").withColumn("id", F.col("draw"))
+    rows = resampled(df, rounds, seed, index).join(df, "idx").withColumn("id", F.col("draw"))
     per = metrics(rows.select("round", "id", score, "tier"), "round", score)
     return per.agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"), F.expr("percentile(composite, 0.025)").alias("low"), F.expr("percentile(composite, 0.975)").alias("high"))
 

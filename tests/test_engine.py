@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -27,6 +28,17 @@ def test_metrics(spark):
     assert _metrics(spark, "cebda")["ndcg10"] == pytest.approx(0.537496, abs=1e-6)
 
 
+def test_bootstrap_draws_with_replacement(spark):
+    n, rounds = 60, 25
+    df = spark.createDataFrame([(i, i * 7 % 5, float(i * 11 % 17)) for i in range(n)], "idx long, tier int, score double")
+    drawn = {(r["round"], r["draw"]): r["idx"] for r in evaluate.resampled(df, rounds).collect()}
+    assert drawn == {(b, i): int(md5(f"{b}:{i}:42".encode()).hexdigest()[:15], 16) % n for b in range(rounds) for i in range(n)}
+    different = [len({drawn[b, i] for i in range(n)}) for b in range(rounds)]
+    assert max(different) < n and 0.55 < sum(different) / (n * rounds) < 0.72
+    out = evaluate.bootstrap(df, "score", rounds).first()
+    assert out["std"] > 0.01 and out["low"] < out["mean"] < out["high"]
+
+
 def test_no_relevant_row(spark):
     df = spark.createDataFrame([("k", "x", 1, 1.0), ("k", "z", 0, 2.0)], "k string, id string, tier int, score double")
     m = evaluate.metrics(df, "k", "score").first()
