@@ -57,6 +57,10 @@ class Likeness:
         both = n + F.floor(n * self.den / self.num)
         return F.floor(both * (self.den - self.num) / (self.den + self.num))
 
+    def classes_up(self) -> int:
+        """How many size classes above its own a linked set can lie."""
+        return math.ceil(math.log(self.den / self.num) / math.log(_CLASS_RATIO))
+
     def slack(self) -> float:
         """Share of extra blocks: enough to outnumber the blocks that stay empty."""
         t = self.num / self.den
@@ -99,13 +103,13 @@ def set_ids(docs: DataFrame, like: Likeness) -> DataFrame:
 
 
 def block_keys(n: np.ndarray, doc: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of each block's content, in the document's size class and, near its end, the next."""
+    """(document, key) of each block's content, in the document's size class and in those above that a linked set can have."""
     size_class = np.floor(np.log(np.maximum(n, 1)) / math.log(_CLASS_RATIO)).astype(np.int64)
     out = []
-    for up in (0, 1):
+    for up in range(like.classes_up() + 1):
         chosen = like.misses(n) > 0
         if up:
-            chosen &= n * like.den >= like.num * np.floor(_CLASS_RATIO ** (size_class + 1.0))
+            chosen &= n * like.den >= like.num * np.floor(_CLASS_RATIO ** (size_class + float(up)))
         blocks, spare = like.blocks(size_class + up)
         blocks = np.where(chosen, blocks, 0)
         begin = np.cumsum(blocks) - blocks

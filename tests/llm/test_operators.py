@@ -291,6 +291,16 @@ def test_jaccard(docs, rows, shingle, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("num", [50, 30])
+def test_jaccard_across_size_classes(spark, num):
+    sizes = (5, 10, 18, 33, 60, 100)
+    sets = {10 * k + i: {f"g{k}w{j}" for j in range(n)} for k, (a, b) in enumerate((a, b) for a in sizes for b in sizes if a < b) for i, n in enumerate((a, b))}
+    docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, jaccard.Likeness(1, num, 100)).collect()}
+    linked = {i: i - 1 if i % 10 and 100 * len(sets[i] & sets[i - 1]) >= num * len(sets[i] | sets[i - 1]) else i for i in sets}
+    assert got == linked and any(i != k for i, k in linked.items())
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
