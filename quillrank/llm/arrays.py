@@ -103,10 +103,31 @@ def byte_tokens(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
+_PLACES = 32
+_AT = mix(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0xA24BAED4963EE407))
+
+
 def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word, and the index of each document's first word."""
+    """A 64-bit hash for each word, and the index of each document's first word.
+
+    The sum over a word's bytes of a random value for (place in the word, byte): unlike a
+    polynomial modulo 2^64 it has no words of a pattern that collide.
+    """
     starts, ends, first = word_bounds(data, offsets)
-    return Poly(byte_tokens(data)).spans(starts, ends), first
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    length = ends - starts
+    at = np.flatnonzero(~SPACE[data])
+    code = at - np.repeat(starts, length)
+    code <<= 8
+    code |= data[at]
+    value = _AT[np.minimum(code, len(_AT) - 1)]
+    far = np.flatnonzero(code >= len(_AT))
+    value[far] = mix(code[far].astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
+    sums = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(value, out=sums[1:])
+    until = np.cumsum(length)
+    return mix(sums[until] - sums[until - length] + length.astype(np.uint64)), first
 
 
 def owners(first: np.ndarray) -> np.ndarray:
@@ -124,7 +145,12 @@ def shingles(tokens: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     doc = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + first[:-1][doc]
-    hashes = Poly(tokens).spans(start, np.minimum(start + size, first[1:][doc]))
+    hashes = mix(np.minimum(count, size).astype(np.uint64))[doc]
+    end = first[1:][doc]
+    for step in range(size):
+        inside = start + step < end
+        following = tokens[np.minimum(start + step, len(tokens) - 1)] if len(tokens) else hashes
+        hashes = np.where(inside, mix(hashes * _BASE + following), hashes)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     keep = np.ones(len(doc), dtype=bool)

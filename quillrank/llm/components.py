@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.shared import stored
+from quillrank.llm.shared import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     state = _state(edges)
     while True:
         wide = to_least(edges, True).where("u <> v").distinct()
-        edges = stored(to_least(wide, False).where("u <> v").distinct(), label)
+        before, edges = edges, stored(to_least(wide, False).where("u <> v").distinct(), label)
+        discard(before)
         new = _state(edges)
         if new == state:
             break

@@ -1,31 +1,34 @@
 """N-gram Jaccard join as a blocked sparse product of documents by shingles.
 
-Two sets x, y are linked when den * |x & y| >= num * |x | y|, which is the same as
-(den + num) * |x ^ y| <= (den - num) * (|x| + |y|): a bound on the symmetric
-difference that follows from the sizes.
-
-Columns (shingles) are cut into blocks by hash, a few more blocks than the bound, so two
-linked sets agree wholly on at least one block. The blocks' contents are the keys under
-which candidates meet. Text that many documents share hardly ever fills a block, so keys
-are shared by near copies and little else.
-
-Candidates that meet are not paired off. Each group takes a reference set R (one of its
-members). With d(x) = x ^ R, |x ^ y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)|: overlaps are now
-counted on the few columns in which members differ from R. Let c be the member with the
-least (den + num) * |d| - (den - num) * size. Linked x, y whose d do not overlap are both
-linked with c, so links to c suffice for them. Linked pairs whose d do overlap meet
-again in a smaller group: members that share a column of d, rarest columns first, as many
-as the size bound allows to miss. Columns that most members share change R, so a shared
-column names at most half of a group; groups shrink until nobody is left who is not linked
-with c. Members that links have already brought into one component need no further look. No
-link between different texts is lost, and no group is expanded into pairs.
+The incidence matrix has a row per different set and a column per shingle. Two sets x, y
+are linked when den * |x & y| >= num * |x | y|, so a linked set can lack or add only a
+few columns, a number that follows from the sizes (Likeness.misses).
+
+1. A Spark job counts in how many documents each shingle occurs (frequency.py). Columns are
+   ordered rarest first; the order is the same everywhere, so two linked sets share a
+   column among the first misses + 1 of each. Only these cells are kept, and of them only
+   those whose column may occur twice: most documents keep none.
+2. The product over these cells: sets that share a column meet, overlap counts accumulate
+   per pair, and a pair is discarded as soon as the count and what can still follow (from
+   the sizes and the last common column) stay below the bound. The overlap of the pairs
+   that are left is counted on the whole sets.
+3. A column of more than SMALL sets is no place to pair everybody: near copies of one
+   text. Such columns become groups (those with the same least member are one). A group
+   of bounded size is multiplied within a task, block of columns by block of columns, and
+   returns its components only. A larger group is split first: around the set R of what
+   most members have, members are their differences d(x) = x ^ R, and |x ^ y| = |d(x)| +
+   |d(y)| - 2 |d(x) & d(y)|. Linked x, y whose differences do not overlap are both linked
+   with the member of least (den + num) * |d| - (den - num) * size; the others share a
+   column of d and meet again in its group, which has at most half of the members.
+
+No link between different texts is lost and no group is expanded into pairs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import lower_ascii, mix, shingles, text_chunks, word_tokens
+from quillrank.llm.bits import bit_table, bits_for, in_table
 from quillrank.llm.components import components
-from quillrank.llm.repeats import bit_table, in_table
-from quillrank.llm.shared import stored, table
+from quillrank.llm.frequency import Layout, counted, frequency
+from quillrank.llm.shared import discard, small_batches, stored, table
 
-_CLASS_RATIO = 1.6
+SMALL = 64  # sets that may meet pair by pair under one column
+MOST_MEMBERS = 2048  # of a group that one task multiplies
+MOST_CELLS = 1 << 21
+_DENSE = 64  # columns with more members than this are multiplied as dense blocks
+_BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -57,25 +65,9 @@ class Likeness:
         both = n + F.floor(n * self.den / self.num)
         return F.floor(both * (self.den - self.num) / (self.den + self.num))
 
-    def classes_up(self) -> int:
-        """How many size classes above its own a linked set can lie."""
-        return math.ceil(math.log(self.den / self.num) / math.log(_CLASS_RATIO))
-
-    def slack(self) -> float:
-        """Share of extra blocks: enough to outnumber the blocks that stay empty."""
-        t = self.num / self.den
-        load = t * (1 + t) / (2 * (1 - t) * _CLASS_RATIO) if t < 1 else 100.0
-        share = 0.05
-        while share / (1 + share) < 1.25 * math.exp(-load / (1 + share)) and share < 2:
-            share += 0.05
-        return share
-
-    def blocks(self, size_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of blocks, how many of them may be empty) for a size class."""
-        top = np.ceil(_CLASS_RATIO ** (size_class + 1.0)).astype(np.int64)
-        bound = 2 * top * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + np.ceil(bound * self.slack()).astype(np.int64)
-        return bound + 1 + spare, spare
+    def linked(self, apart, n, m):
+        """Whether sets of n and m that differ in `apart` columns are linked; for arrays and Columns."""
+        return apart * (self.den + self.num) <= (n + m) * (self.den - self.num)
 
 
 def _sets(batch: pa.RecordBatch, like: Likeness):
@@ -84,129 +76,154 @@ def _sets(batch: pa.RecordBatch, like: Likeness):
         tokens, first = word_tokens(lower_ascii(data) if like.lower else data, offsets)
         doc, grams = shingles(tokens, first, like.shingle)
         n = np.bincount(doc, minlength=part.num_rows).astype(np.int64)
-        total = np.zeros(part.num_rows, dtype=np.uint64)
-        np.add.at(total, doc, mix(grams))
-        yield part, n, doc, grams, mix(total + n.astype(np.uint64)).view(np.int64)
+        total = np.zeros(len(grams) + 1, dtype=np.uint64)
+        np.cumsum(mix(grams + np.uint64(1)), out=total[1:])
+        end = np.cumsum(n)
+        yield part, n, doc, grams, mix(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
 
 
-def set_ids(docs: DataFrame, like: Likeness) -> DataFrame:
-    """`docs` without text, with n_shingles and node: equal sets have equal nodes; null for empty sets."""
-    columns = [c for c in docs.columns if c not in ("text", "n_shingles", "node")]
+def shingle_frequency(docs: DataFrame, like: Likeness):
+    """In how many documents each shingle occurs, as levels."""
+    octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    layout = Layout.of(octets // 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, n, _, _, node in _sets(batch, like):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n), pa.array(node, mask=n == 0)], names=[*columns, "n_shingles", "node"])
-
-    fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return docs.mapInArrow(run, ", ".join([*fields, "n_shingles long, node long"]))
-
-
-def block_keys(n: np.ndarray, doc: np.ndarray, grams: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of each block's content, in the document's size class and in those above that a linked set can have."""
-    size_class = np.floor(np.log(np.maximum(n, 1)) / math.log(_CLASS_RATIO)).astype(np.int64)
-    out = []
-    for up in range(like.classes_up() + 1):
-        chosen = like.misses(n) > 0
-        if up:
-            chosen &= n * like.den >= like.num * np.floor(_CLASS_RATIO ** (size_class + float(up)))
-        blocks, spare = like.blocks(size_class + up)
-        blocks = np.where(chosen, blocks, 0)
-        begin = np.cumsum(blocks) - blocks
-        mine = chosen[doc]
-        d, g = doc[mine], grams[mine]
-        slot = begin[d] + (mix(g ^ np.uint64(0x5851F42D4C957F2D)) % np.maximum(blocks, 1).astype(np.uint64)[d]).astype(np.int64)
-        content = np.zeros(blocks.sum(), dtype=np.uint64)
-        np.add.at(content, slot, mix(g + np.uint64(1)))
-        filled = np.bincount(slot, minlength=len(content))
-        owner = np.repeat(np.arange(len(n)), blocks)
-        number = np.arange(len(content)) - begin[owner]
-        empty = np.bincount(owner[filled == 0], minlength=len(n))
-        use = (filled > 0) | (empty > spare)[owner]
-        salt = ((size_class[owner] + up) * 1_000_003 + number).astype(np.uint64)
-        out.append((owner[use], mix(content[use] + mix(salt[use] + np.uint64(1)))))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
-
-
-def _keys(docs: DataFrame, like: Likeness, wanted=None) -> DataFrame:
-    """key, n of block keys counted per batch, or (wanted given) key, node of keys in that bit table."""
+        return counted((grams for batch in batches for _, _, _, grams, _ in _sets(batch, like)), layout)
+
+    return frequency(docs.select("text").mapInArrow(run, "range int, hashes binary"), layout)
+
+
+def rare_cells(n: np.ndarray, doc: np.ndarray, grams: np.ndarray, occurs: np.ndarray, like: Likeness):
+    """(document, shingle, place from the rarest) of the cells that linked documents must share one of."""
+    need = like.misses(n) + 1
+    lone = np.bincount(doc[occurs == 0], minlength=len(n))
+    some = np.flatnonzero((lone < need)[doc] & (occurs > 0))
+    some = some[np.lexsort((grams[some], occurs[some], doc[some]))]
+    doc, grams = doc[some], grams[some]
+    count = np.bincount(doc, minlength=len(n))
+    place = np.arange(len(doc)) - (np.cumsum(count) - count)[doc] + lone[doc]
+    keep = place < need[doc]
+    return doc[keep], grams[keep], place[keep]
+
+
+def incidence(docs: DataFrame, like: Likeness, occurs) -> DataFrame:
+    """A row per document (doc_id, id, n, node) and a row per rare cell (column, node, n, place), in one pass.
+
+    `node` names the set: equal sets have equal nodes, an empty set has none. A task gives
+    the cells of a set once per batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, n, doc, grams, node in _sets(batch, like):
-                owner, key = block_keys(n, doc, grams, like)
-                if wanted is not None:
-                    hit = in_table(wanted.value, key)
-                    owner, key = owner[hit], key[hit]
-                found.append((key.view(np.int64), node[owner]))
-            if found:
-                key, node = map(np.concatenate, zip(*found, strict=True))
-                order = np.lexsort((node, key))
-                key, node = key[order], node[order]
-                new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-                key, node = key[new], node[new]
-                if wanted is None:
-                    key, count = np.unique(key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.minimum(count, 2).astype(np.int32))], names=["key", "n"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
-
-    return docs.select("text").mapInArrow(run, "key long, n int" if wanted is None else "key long, node long")
-
-
-def _wanted_sets(docs: DataFrame, like: Likeness, wanted) -> DataFrame:
-    """node, grams (sorted) of the sets whose node is in the bit table, once each."""
+            for part, n, doc, grams, node in _sets(batch, like):
+                d, column, place = rare_cells(n, doc, grams, occurs.value.occurrences(grams), like)
+                _, firsts = np.unique(node, return_index=True)
+                once = np.zeros(len(node), dtype=bool)
+                once[firsts] = True
+                once = once[d]
+                d, column, place = d[once], column[once], place[once]
+                rows, cells = part.num_rows, len(d)
+                names = ["doc_id", "id", "column", "place", "n", "node"]
+                missing = [pa.nulls(cells, part.column(c).type) for c in names[:2]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.concat_arrays([part.column(c), m]) for c, m in zip(names[:2], missing, strict=True)),
+                        pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(column.view(np.int64))]),
+                        pa.concat_arrays([pa.nulls(rows, pa.int32()), pa.array(place.astype(np.int32))]),
+                        pa.array(np.concatenate((n, n[d]))),
+                        pa.array(np.concatenate((node, node[d])), mask=np.concatenate((n == 0, np.zeros(cells, dtype=bool)))),
+                    ],
+                    names=names,
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), "text").mapInArrow(run, f"doc_id {kind}, id long, column long, place int, n long, node long")
+
+
+def candidate_pairs(cells: DataFrame, like: Likeness) -> DataFrame:
+    """u, v, n, m of sets that meet under columns of at most SMALL sets and may be linked."""
+    x = cells.select("column", F.col("node").alias("u"), F.col("n"), F.col("place").alias("i"))
+    y = cells.select("column", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("j"))
+    sizes = F.least("n", "m") * like.den >= F.greatest("n", "m") * like.num
+    pairs = x.join(y, "column").where((F.col("u") < F.col("v")) & sizes)
+    pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("common"), F.max("i").alias("i"), F.max("j").alias("j"))
+    most = F.col("common") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    return pairs.where(like.linked(F.col("n") + F.col("m") - 2 * most, F.col("n"), F.col("m"))).select("u", "v")
+
+
+def wanted_sets(docs: DataFrame, like: Likeness, ids, nodes) -> DataFrame:
+    """node, grams (sorted) of the sets whose node is in the table `nodes`, once each; `ids` has a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
+            batch = batch.filter(pa.array(in_table(ids.value, batch.column("id").to_numpy().view(np.uint64))))
             for _, n, _, grams, node in _sets(batch, like):
                 ends = np.cumsum(n)
-                take = []
-                for i in np.flatnonzero((n > 0) & in_table(wanted.value, node.view(np.uint64))):
-                    if node[i] not in seen:
-                        seen.add(int(node[i]))
-                        take.append(i)
-                if take:
+                take = np.flatnonzero((n > 0) & in_table(nodes.value, node.view(np.uint64)))
+                take = take[np.unique(node[take], return_index=True)[1]]
+                if len(take):
                     lists = pa.array([grams[ends[i] - n[i] : ends[i]].view(np.int64) for i in take], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(node[take]), lists], names=["node", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node long, grams array<bigint>").dropDuplicates(["node"])
+    found = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(run, "node long, grams array<bigint>")
+    return found.dropDuplicates(["node"])
+
+
+def overlaps(count: np.ndarray, member: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """How many columns any two of the members share: a sparse product, dense where columns are."""
+    k = len(count)
+    out = np.zeros((k, k), dtype=np.float32)
+    _, code, have = np.unique(column, return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    member, code = member[order], code[order]
+    width = have[code]
+    thin = (width > 1) & (width <= _DENSE)
+    rows, cols = member[thin], code[thin]
+    for step in range(1, _DENSE):
+        meet = np.flatnonzero(cols[step:] == cols[:-step]) if len(cols) > step else np.zeros(0, np.int64)
+        if not len(meet):
+            break
+        np.add.at(out, (rows[meet], rows[meet + step]), 1)
+    out += out.T
+    wide = np.flatnonzero(have > _DENSE)
+    slot = np.full(len(have), -1, dtype=np.int64)
+    slot[wide] = np.arange(len(wide))
+    rows, cols = member[width > _DENSE], slot[code[width > _DENSE]]
+    for begin in range(0, len(wide), _BLOCK):
+        here = (cols >= begin) & (cols < begin + _BLOCK)
+        block = np.zeros((k, _BLOCK), dtype=np.float32)
+        block[rows[here], cols[here] - begin] = 1
+        out += block @ block.T
+    return out
+
+
+def group_components(n: np.ndarray, count: np.ndarray, column: np.ndarray, like: Likeness) -> np.ndarray:
+    """The least member that links reach, for each member (with `count` columns of `column` each)."""
+    k = len(n)
+    member = np.repeat(np.arange(k), count)
+    apart = count[:, None] + count[None, :] - 2 * overlaps(count, member, column).astype(np.int64)
+    linked = like.linked(apart, n[:, None], n[None, :])
+    root = np.arange(k)
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], k).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            return root
+        root = least
 
 
-def _linked(apart: Column, n: Column, m: Column, like: Likeness) -> Column:
-    return apart * (like.den + like.num) <= (n + m) * (like.den - like.num)
+def small_group_links(groups: DataFrame, like: Likeness) -> DataFrame:
+    """u, v: each member with the least member of its component, of groups that fit a task."""
 
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        x, n = group["x"].to_numpy(), group["n"].to_numpy()
+        lists = group["d"].combine_chunks()
+        root = group_components(n, lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), like)
+        own = root != np.arange(len(root))
+        return pa.table({"u": x[own], "v": x[root[own]]})
 
-def links(docs: DataFrame, like: Likeness) -> DataFrame:
-    """u, v: links between nodes (different sets) that connect what the threshold connects."""
-    spark = docs.sparkSession
-    bits = bit_table(_keys(docs, like).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-    keys = stored(_keys(docs, like, spark.sparkContext.broadcast(bits)), "jaccard-keys")
-    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead")
-    met = stored(keys.join(leads, "key").select("node", "lead").distinct(), "jaccard-met")
-    nodes = met.select(F.explode(F.array("node", "lead")).alias("key")).distinct()
-    sets = stored(_wanted_sets(docs, like, spark.sparkContext.broadcast(bit_table(nodes))), "jaccard-sets")
-    lead_sets = sets.select(F.col("node").alias("lead"), F.col("grams").alias("lead_grams"))
-    own = F.transform(F.array_except("grams", "lead_grams"), lambda g: F.xxhash64(g, F.lit(1)))
-    lacking = F.transform(F.array_except("lead_grams", "grams"), lambda g: F.xxhash64(g, F.lit(2)))
-    groups = (
-        met.join(sets, "node")
-        .join(lead_sets, "lead")
-        .select(F.col("lead").alias("group"), F.col("node").alias("x"), F.size("grams").cast("long").alias("n"), F.concat(own, lacking).alias("d"))
-    )
-    found = None
-    while True:
-        groups = stored(groups, "jaccard-groups")
-        star = _star(groups, like)
-        found = stored(star if found is None else found.unionByName(star).distinct(), "jaccard-edges")
-        still = _unsettled(groups, found)
-        if still.isEmpty():
-            return found
-        edges, groups = _split(still, like)
-        found = found.unionByName(edges)
+    return groups.groupBy("group").applyInArrow(run, "u long, v long")
 
 
 def _star(groups: DataFrame, like: Likeness) -> DataFrame:
@@ -214,41 +231,74 @@ def _star(groups: DataFrame, like: Likeness) -> DataFrame:
     weight = F.size("d") * (like.den + like.num) - F.col("n") * (like.den - like.num)
     centres = groups.groupBy("group").agg(F.min_by(F.struct("x", "n", "d"), F.struct(weight, F.col("x"))).alias("c"))
     apart = F.size("d") + F.size("c.d") - 2 * F.size(F.array_intersect("d", "c.d"))
-    rows = groups.join(centres, "group").where(F.col("x") != F.col("c.x")).where(_linked(apart, F.col("n"), F.col("c.n"), like))
+    rows = groups.join(centres, "group").where(F.col("x") != F.col("c.x")).where(like.linked(apart, F.col("n"), F.col("c.n")))
     return rows.select(F.col("x").alias("u"), F.col("c.x").alias("v")).distinct()
 
 
-def _unsettled(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups whose members are not yet of one component, with each member's component (root)."""
-    roots = components(found, "jaccard-roots")
-    named = groups.select("group", "x").join(roots.withColumnRenamed("node", "x"), "x", "left").select("group", "x", F.coalesce("root", "x").alias("root"))
-    several = named.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("members")).where("a <> b").select("group", "members")
-    return stored(groups.join(several, "group").join(named, ["group", "x"]), "jaccard-open")
-
-
 def _split(groups: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     """Links with the centre under the majority's reference, and the smaller groups that remain."""
-    counts = groups.select("group", "members", F.explode("d").alias("column")).groupBy("group", "members", "column").agg(F.count("*").alias("have"))
+    members = groups.groupBy("group").agg(F.count("*").alias("members"))
+    counts = groups.select("group", F.explode("d").alias("column")).groupBy("group", "column").agg(F.count("*").alias("have"))
     # the reference takes over what most members have: d then names each member's own differences
-    major = counts.where("2 * have > members").groupBy("group").agg(F.collect_list("column").alias("major"))
+    major = counts.join(members, "group").where("2 * have > members").groupBy("group").agg(F.collect_list("column").alias("major"))
     flipped = F.concat(F.array_except("d", "major"), F.array_except("major", "d"))
     rows = groups.join(major, "group", "left").withColumn("d", F.when(F.col("major").isNull(), F.col("d")).otherwise(flipped)).drop("major")
     rows = stored(rows, "jaccard-rows")
-    cells = rows.select("group", "x", "n", "root", "members", F.explode("d").alias("column"))
+    star = stored(_star(rows, like), "jaccard-star")
+    cells = rows.select("group", "x", "n", F.explode("d").alias("column"))
     counts = cells.groupBy("group", "column").agg(F.count("*").alias("have"))
     cells = cells.join(counts, ["group", "column"])
     # rarest first; a column that only one member has takes a place but meets nobody
     place = F.row_number().over(Window.partitionBy("group", "x").orderBy("have", "column"))
     cells = cells.withColumn("place", place).where((F.col("place") <= like.misses_column(F.col("n")) + 1) & (F.col("have") > 1))
-    cells = stored(cells.select("group", "x", "root", "members", F.xxhash64("group", "column").alias("part")), "jaccard-cells")
-    parts = cells.groupBy("group", "part").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("x").alias("least")).where("a <> b")
-    placed = cells.join(parts.select("group", "part", "least"), ["group", "part"])
-    # parts with the same least member become one group, unless that is nearly all of the old one
-    unions = placed.select("group", "least", "x", "members").distinct().groupBy("group", "least", "members").agg(F.count("*").alias("k"))
-    unions = unions.where("4 * k <= 3 * members").select("group", "least", F.lit(True).alias("whole"))
-    named = placed.join(unions, ["group", "least"], "left").withColumn("to", F.when(F.col("whole"), F.xxhash64("group", "least", F.lit(0))).otherwise(F.col("part")))
-    smaller = named.select("group", "x", "to").distinct().join(rows.select("group", "x", "n", "d"), ["group", "x"])
-    return _star(rows, like), smaller.select(F.col("to").alias("group"), "x", "n", "d")
+    cells = cells.select("x", F.xxhash64("group", "column").alias("to"), "group")
+    smaller = stored(cells.join(rows, ["group", "x"]).select(F.col("to").alias("group"), "x", "n", "d"), "jaccard-groups")
+    discard(rows)
+    return star, smaller
+
+
+def group_links(groups: DataFrame, like: Likeness, most_members: int | None = None) -> list[DataFrame]:
+    """Tables of u, v that connect what is linked within groups of (group, x, n, d); `groups` is a stored table."""
+    found = []
+    most_members = most_members or MOST_MEMBERS
+    while True:
+        sizes = groups.groupBy("group").agg(F.count("*").alias("members"), F.sum(F.size("d")).alias("cells"))
+        fits = (F.col("members") <= most_members) & (F.col("cells") <= MOST_CELLS) | (F.col("members") <= 2)
+        sizes = stored(sizes.where("members > 1").withColumn("fits", fits), "jaccard-sizes")
+        fitting = groups.join(sizes.where("fits").select("group"), "group", "left_semi")
+        found.append(stored(small_group_links(fitting, like), "jaccard-links"))
+        large = sizes.where("NOT fits").select("group")
+        if large.isEmpty():
+            discard(groups, sizes)
+            return found
+        star, smaller = _split(groups.join(large, "group", "left_semi"), like)
+        discard(groups, sizes)
+        found.append(star)
+        groups = smaller
+
+
+def links(docs: DataFrame, cells: DataFrame, named: DataFrame, like: Likeness) -> DataFrame:
+    """u, v: links between nodes (different sets) that connect what the threshold connects."""
+    spark = docs.sparkSession
+    columns = cells.groupBy("column").agg(F.count("*").alias("have"), F.min("node").alias("least")).where("have > 1")
+    cells = stored(cells.join(columns, "column"), "jaccard-cells")
+    pairs = stored(candidate_pairs(cells.where(F.col("have") <= SMALL), like), "jaccard-pairs")
+    crowds = stored(cells.where(F.col("have") > SMALL).select(F.col("least").alias("group"), F.col("node").alias("x"), "n").distinct(), "jaccard-crowds")
+    discard(cells)
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowds.select(F.col("x").alias("node")))
+    nodes = stored(nodes.distinct(), "jaccard-nodes")
+    bits = bits_for(nodes.count())
+    holders = named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("key"))
+    ids, wanted = (spark.sparkContext.broadcast(bit_table(t, bits)) for t in (holders.select("key"), nodes.select(F.col("node").alias("key"))))
+    sets = stored(wanted_sets(docs, like, ids, wanted), "jaccard-sets")
+    u, v = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_set")) for c in "uv")
+    n, m = F.size("u_set"), F.size("v_set")
+    apart = n + m - 2 * F.size(F.array_intersect("u_set", "v_set"))
+    joined = pairs.join(u, "u").join(v, "v").where(like.linked(apart.cast("long"), n, m)).select("u", "v")
+    found = [stored(joined, "jaccard-links")]
+    groups = stored(crowds.join(sets.withColumnRenamed("node", "x"), "x").select("group", "x", "n", F.col("grams").alias("d")), "jaccard-groups")
+    discard(pairs, crowds, nodes, sets)
+    return reduce(DataFrame.unionByName, found + group_links(groups, like))
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -257,18 +307,24 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     Sets that are equal form one class first, however many rows it has. A null or empty
     text has an empty set and is linked with nothing; a row with a null doc_id takes
     part in links and gets the smallest doc_id of its component (null if there is
-    none); repeated rows are equal sets and share a component.
+    none); repeated rows are equal sets and share a component. A text of any length is one
+    set. An empty table gives an empty result; other columns of `docs` are not read.
     """
     docs = docs.select("doc_id", "text")
-    ids = stored(set_ids(docs, like), "jaccard-ids")
-    classes = ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
-    roots = components(links(docs, like), "jaccard-links")
+    spark = docs.sparkSession
+    small_batches(spark)
+    occurs = spark.sparkContext.broadcast(shingle_frequency(docs, like))
+    rows = stored(incidence(docs, like, occurs), "jaccard-rows")
+    named = rows.where("column IS NULL")
+    cells = rows.where("column IS NOT NULL").select("column", "node", "n", "place").distinct()
+    classes = named.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
+    roots = components(links(docs, cells, named.where("node IS NOT NULL"), like), "jaccard-roots")
     least = classes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component"))
-    named = classes.join(roots.join(least, "root").select("node", "component"), "node", "left")
-    named = named.select("node", "class_size", F.coalesce("component", "least").alias("component"))
-    joined = ids.join(named, "node", "left")
+    of_node = classes.join(roots.join(least, "root").select("node", "component"), "node", "left")
+    of_node = of_node.select("node", "class_size", F.coalesce("component", "least").alias("component"))
+    joined = named.join(of_node, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

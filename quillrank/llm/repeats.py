@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import Poly, mix, text_chunks
+from quillrank.llm.bits import bit_table, in_table
 from quillrank.llm.shared import stored
 
 BITS_LOG2 = 26  # 8 MB
@@ -159,29 +160,6 @@ def key_counts(docs: DataFrame, method: Method, places: Places) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def bit_table(keys: DataFrame, bits: int = BITS_LOG2) -> np.ndarray:
-    """Two bits per key in a table of 2^bits bits: at most 2^bits / 64 longs reach the driver."""
-    spots = F.explode(F.array(F.col("key").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("key", 64 - bits)))
-    words = (
-        keys.select(spots.alias("spot"))
-        .groupBy(F.shiftright("spot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("mask"))
-    )
-    found = words.toArrow()  # Arrow: no object per row on the driver
-    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    table[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
-    return table
-
-
-def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bits = np.uint64(int(len(table) * 64).bit_length() - 1)
-
-    def has(spot):
-        return (table[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) != 0
-
-    return has(keys & np.uint64(len(table) * 64 - 1)) & has(keys >> (np.uint64(64) - bits))
-
-
 def repeated_groups(docs: DataFrame, method: Method, places: Places, wanted) -> DataFrame:
     """key, sh, occ, m of groups whose key is in the table.
 
@@ -302,10 +280,10 @@ def find_repeats(docs: DataFrame, method: Method, label: str, match_groups: Call
     spark = docs.sparkSession
     places = Places.of(docs)
     repeated = key_counts(docs, method, places).where("n > 1").select("key")
-    wanted = spark.sparkContext.broadcast(bit_table(repeated))
+    wanted = spark.sparkContext.broadcast(bit_table(repeated, BITS_LOG2))
     groups = stored(repeated_groups(docs, method, places, wanted), f"{label}-groups")
     whole, firsts = match_groups(groups)
-    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key"))))
+    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key")), BITS_LOG2))
     windows = single_windows(docs, method, places, chosen)
     # runs that the batch knew pass through beside the windows, each in a partition of its own place
     least = F.min("occ").over(Window.partitionBy("again", F.when(F.col("again"), F.col("occ")).otherwise(F.col("w"))))
@@ -320,7 +298,7 @@ def with_spans(docs: DataFrame, removed: DataFrame, places: Places, window: int,
     all others pass by without a shuffle.
     """
     spans = stored(spans_of(removed, places, window), label)
-    touched = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select(spread_column("_doc").alias("key"))))
+    touched = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select(spread_column("_doc").alias("key")), BITS_LOG2))
     rank = F.coalesce(F.col("doc_id") - F.lit(places.least) + 1, F.lit(0)).cast("long")
 
     def side(wanted: bool) -> DataFrame:

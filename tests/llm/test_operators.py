@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, recompression, suffix_levels, warc
-from quillrank.llm.arrays import text_chunks
+from quillrank.llm import fingerprints, frequency, jaccard, language, licenses, mixing, pieces, quality, recompression, suffix_levels, warc
+from quillrank.llm.arrays import mix, text_chunks
 from quillrank.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -301,6 +301,62 @@ def test_jaccard_across_size_classes(spark, num):
     assert got == linked and any(i != k for i, k in linked.items())
 
 
+def brute_components(sets, num):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("small", "members"), [(64, 2048), (2, 2048), (2, 6)], ids=["pairs", "groups", "split groups"])
+def test_jaccard_near_the_threshold(spark, monkeypatch, small, members):
+    """Copies of three texts with so many edits that links come and go, some edits shared, some in chains."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "MOST_MEMBERS", members)
+    rng = random.Random(11)
+    texts = []
+    for b in range(3):
+        base = [f"b{b}w{j}" for j in range(90)]
+        for _ in range(40):
+            w = list(base)
+            for at in rng.sample([3, 20, 21, 44, 60, 61, 80], rng.randint(0, 3)) + [rng.randrange(90) for _ in range(rng.randint(0, 2))]:
+                w[at] = f"e{at}" if rng.random() < 0.5 else f"own{rng.random()}"
+            texts.append(" ".join(w[rng.randint(0, 4) :]))
+    sets = {i: frozenset(tuple(w[a : a + 3]) for a in range(len(w) - 2)) for i, w in enumerate(map(str.split, texts))}
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), jaccard.Likeness(3, 90, 100)).collect()
+    want = brute_components(sets, 90)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 10 < len(set(want.values())) < 110
+
+
+def test_jaccard_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(5, long), (3, long + " x"), (None, long), (None, None), (7, ""), (9, "A b"), (9, "a B"), (9, "c d"), (None, "q r s"), (4, "q R s")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n_shingles int, node int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["class_size"]) for r in jaccard.near_duplicates(docs, jaccard.Likeness(3, 90, 100)).collect()), key=str)
+    want = [(5, 29_998, 3, 2), (3, 29_999, 3, 1), (None, 29_998, 3, 2), (None, 0, None, 1), (7, 0, 7, 1), (9, 1, 9, 2), (9, 1, 9, 2), (9, 1, 9, 1), (None, 1, 4, 2), (4, 1, 4, 2)]
+    assert got == sorted(want, key=str)
+
+
+def test_frequency_in_spark(spark):
+    keys = mix(np.arange(1, 4001, dtype=np.uint64))
+    times = np.array([1, 2, 20, 200])[np.arange(4000) % 4]
+    layout = frequency.Layout(3, 16)
+    df = spark.createDataFrame([(int(k), int(t)) for k, t in zip(keys.view(np.int64), times)], "k long, t int").repartition(3)
+    packs = df.mapInArrow(lambda batches: frequency.counted((np.repeat(b["k"].to_numpy().view(np.uint64), b["t"].to_numpy()) for b in batches), layout), "range int, hashes binary")
+    got = frequency.frequency(packs, layout).occurrences(keys)
+    want = np.array([0, 1, 2, 3])[np.arange(4000) % 4]
+    assert (got >= want).all() and (got == want).mean() > 0.98
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
