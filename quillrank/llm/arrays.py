@@ -23,22 +23,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for slot, base in enumerate((_BASE, _INVERSE)):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _POWERS[slot] = np.multiply.accumulate(row)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -48,17 +32,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Poly:
-    """Prefix sums of a polynomial over 64-bit tokens: any span hashes in O(1)."""
+class Spans:
+    """Hashes of spans of tokens, from hashes of all spans of 1, 2, 4, ... tokens.
 
-    def __init__(self, tokens: np.ndarray):
-        power, self.inverse = powers(len(tokens) + 1)
-        self.sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
-        np.cumsum(tokens * power[:-1], out=self.sums[1:])
+    A span is hashed by the two (overlapping) spans of a power of two that cover it, and
+    its length. With `octets` the tokens are bytes, and spans up to 8 are the bytes themselves.
+    """
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(np.uint64))
+    def __init__(self, tokens: np.ndarray, octets: bool = False):
+        self.levels, self.octets = [tokens], octets
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            left, right = last[:-step], last[step:]
+            if self.octets and step < 8:
+                self.levels.append(left | (right << np.uint64(8 * step)))
+            else:
+                self.levels.append(mix(left * _BASE + right))
+        return self.levels[k]
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - start
+        power = np.log2(np.maximum(length, 1)).astype(np.int64)
+        out = np.zeros(len(start), dtype=np.uint64)
+        for k in np.unique(power):
+            here = np.flatnonzero(power == k)
+            level = self.level(int(k))
+            out[here] = mix(level[start[here]] * _BASE + mix(level[end[here] - (1 << int(k))] + length[here].astype(np.uint64)))
+        return out
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -99,10 +101,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def byte_tokens(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
-
-
 _PLACES = 32
 _AT = mix(np.arange(_PLACES * 256, dtype=np.uint64) + np.uint64(0xA24BAED4963EE407))
 

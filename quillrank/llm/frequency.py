@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LEVELS = (2, 16, 128)  # occurrences
-FLUSH = 1 << 21  # hashes that a task packs at a time
+FLUSH = 1 << 20  # hashes that a task packs at a time
 _RANGE_KEYS = 1 << 18
 _SLICE_LOG2 = 17
 MOST_TABLE_LOG2 = 29  # 64 MB
@@ -71,13 +71,13 @@ class Frequency:
         return out
 
 
-def packed(hashes: np.ndarray, layout: Layout) -> pa.RecordBatch:
-    """range, hashes: a row for each range seen; a hash comes as often as seen here, up to the highest level."""
+def packed(hashes: np.ndarray, layout: Layout, most: int) -> pa.RecordBatch:
+    """range, hashes: a row for each range seen; a hash comes as often as seen here, `most` times at most."""
     value = np.sort(hashes >> np.uint64(32 - layout.ranges_log2))
     new = np.ones(len(value), dtype=bool)
     new[1:] = value[1:] != value[:-1]
     at = np.arange(len(value))
-    value = value[at - np.maximum.accumulate(np.where(new, at, 0)) < LEVELS[-1]]
+    value = value[at - np.maximum.accumulate(np.where(new, at, 0)) < most]
     part = (value >> np.uint64(32)).astype(np.int32)
     begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
     offsets = np.append(begin, len(part)).astype(np.int32) * 4
@@ -85,17 +85,17 @@ def packed(hashes: np.ndarray, layout: Layout) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[begin]), data], names=["range", "hashes"])
 
 
-def counted(chunks: Iterator[np.ndarray], layout: Layout) -> Iterator[pa.RecordBatch]:
+def counted(chunks: Iterator[np.ndarray], layout: Layout, most: int = LEVELS[-1]) -> Iterator[pa.RecordBatch]:
     """Packs hashes from an iterator of arrays, FLUSH at a time."""
     held, size = [], 0
     for hashes in chunks:
         held.append(hashes)
         size += len(hashes)
         if size >= FLUSH:
-            yield packed(np.concatenate(held), layout)
+            yield packed(np.concatenate(held), layout, most)
             held, size = [], 0
     if size:
-        yield packed(np.concatenate(held), layout)
+        yield packed(np.concatenate(held), layout, most)
 
 
 def frequency(packs: DataFrame, layout: Layout, levels: tuple[int, ...] = LEVELS) -> Frequency:

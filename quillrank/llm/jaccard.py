@@ -34,12 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillrank.llm.arrays import lower_ascii, mix, shingles, text_chunks, word_tokens
 from quillrank.llm.bits import bit_table, bits_for, in_table
 from quillrank.llm.components import components
 from quillrank.llm.frequency import Layout, counted, frequency
-from quillrank.llm.shared import discard, small_batches, stored, table
+from quillrank.llm.shared import discard, small_batches, stored, table, unused
 
 SMALL = 64  # sets that may meet pair by pair under one column
 MOST_MEMBERS = 2048  # of a group that one task multiplies
@@ -301,30 +302,74 @@ def links(docs: DataFrame, cells: DataFrame, named: DataFrame, like: Likeness) -
     return reduce(DataFrame.unionByName, found + group_links(groups, like))
 
 
-def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach), class_size per row of `docs`.
-
-    Sets that are equal form one class first, however many rows it has. A null or empty
-    text has an empty set and is linked with nothing; a row with a null doc_id takes
-    part in links and gets the smallest doc_id of its component (null if there is
-    none); repeated rows are equal sets and share a component. A text of any length is one
-    set. An empty table gives an empty result; other columns of `docs` are not read.
-    """
+def classified(docs: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, n, node (null for an empty set), group (a node of its component), component, class_size per row."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     small_batches(spark)
     occurs = spark.sparkContext.broadcast(shingle_frequency(docs, like))
     rows = stored(incidence(docs, like, occurs), "jaccard-rows")
-    named = rows.where("column IS NULL")
+    named = rows.where("column IS NULL").select("doc_id", "id", "n", "node")
     cells = rows.where("column IS NOT NULL").select("column", "node", "n", "place").distinct()
     classes = named.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     roots = components(links(docs, cells, named.where("node IS NOT NULL"), like), "jaccard-roots")
     least = classes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component"))
-    of_node = classes.join(roots.join(least, "root").select("node", "component"), "node", "left")
-    of_node = of_node.select("node", "class_size", F.coalesce("component", "least").alias("component"))
-    joined = named.join(of_node, "node", "left")
+    of_node = classes.join(roots.join(least, "root"), "node", "left")
+    of_node = of_node.select("node", "class_size", F.coalesce("root", "node").alias("group"), F.coalesce("component", "least").alias("component"))
+    return named.join(of_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach), class_size per row of `docs`.
+
+    Sets that are equal form one class first, however many rows it has. A null or empty
+    text has an empty set and is linked with nothing; a row with a null doc_id takes
+    part in links and gets the smallest doc_id of its component (null if there is
+    none); repeated rows are equal sets and share a component. A text of any length is one
+    set. An empty table gives an empty result; other columns of `docs` are not read.
+    """
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    rows = classified(docs, like)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+
+
+def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """`docs` with one row of each component: the smallest doc_id (null last), of repeated rows any one.
+
+    Different texts under one doc_id are judged each by itself. Rows without words stay.
+    Only documents whose doc_id is concerned are read again word by word and shuffled;
+    the others pass by.
+    """
+    spark = docs.sparkSession
+    found = stored(classified(docs, like).where("node IS NOT NULL").select("doc_id", "id", "node", "group"), "jaccard-found")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    kept = found.groupBy("group").agg(F.count("*").alias("rows"), F.min(order).alias("kept")).where("rows > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("node") == F.col("kept.node"))
+    judged = stored(found.join(kept, "group").select("id", "node", stays.alias("stays")).distinct(), "jaccard-judged")
+    discard(found)
+    bits = bits_for(judged.count())
+    concerned = spark.sparkContext.broadcast(bit_table(judged.select(F.col("id").alias("key")).distinct(), bits))
+    taken = set(docs.columns)
+    key, node, verdict = (unused(c, taken) for c in ("id", "node", "stays"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id"))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~in_table(concerned.value, batch.column(key).to_numpy().view(np.uint64))))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_table(concerned.value, batch.column(key).to_numpy().view(np.uint64))))
+            for part, n, _, _, own in _sets(batch, like):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, mask=n == 0)], names=[*part.schema.names, node])
+
+    untouched = keyed.mapInArrow(passing, keyed.schema).select(*docs.columns)
+    touched = keyed.mapInArrow(named, StructType([*keyed.schema.fields, StructField(node, LongType())]))
+    judged = judged.select(F.col("id").alias(key), F.col("node").alias(node), F.col("stays").alias(verdict))
+    touched = touched.join(judged, [key, node], "left")
+    alone = touched.where(F.col(verdict).isNull())
+    chosen = touched.where(F.col(verdict)).dropDuplicates([key, node])
+    return untouched.unionByName(alone.select(*docs.columns)).unionByName(chosen.select(*docs.columns))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

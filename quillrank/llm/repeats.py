@@ -7,16 +7,18 @@ windows hold the same anchor at the same distance. Windows that share an anchor
 each other, so they travel as one *group*: (key, sh, occ, m) = hash of the anchor's
 surroundings, hash of the whole group, place of its first window, number of windows.
 
-1. Count anchor keys; only keys that occur twice can belong to repeats. They go into a
-   bit table of fixed size, the only thing that is broadcast.
+1. Anchor keys are counted; only keys that occur twice can belong to repeats. They go into
+   a bit table of bounded size, the only thing that is broadcast.
 2. Groups with such keys: a group whose content occurred before is a repeat as a whole.
 3. Keys that keep several different groups (borders of repeats, edited copies): the
    windows of each group's first occurrence are compared one by one. Later occurrences
    of a group are repeats already, so they add nothing.
 4. Spans per document are joined with the texts and cut.
 
-Each task first drops what repeats inside its own batch, so any one content sends at
-most one row per batch to a shuffle, however often it occurs.
+Contents are compared by two independent 64-bit hashes (key, and group or window). Each
+task first drops what repeats inside what it holds, so any one content sends a row per
+FLUSH rows to a shuffle, however often it occurs. A text longer than CHUNK is read in
+pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import Poly, mix, text_chunks
-from quillrank.llm.bits import bit_table, in_table
-from quillrank.llm.shared import stored
+from quillrank.llm.arrays import Spans, mix, text_chunks
+from quillrank.llm.bits import bit_table, bits_for, in_table
+from quillrank.llm.frequency import Frequency, Layout, counted, frequency
+from quillrank.llm.shared import discard, small_batches, stored, unused
 
-BITS_LOG2 = 26  # 8 MB
 CHUNK = 1 << 18  # bytes of text at a time: some dozen arrays of eight bytes per byte of it
+FLUSH = 1 << 19  # rows that a task holds to drop what repeats in them
+LOOK = (2,)  # the only level of occurrences that matters here
 #: (tokens, first token of each document) of a chunk
 Tokens = tuple[np.ndarray, np.ndarray]
 
@@ -51,91 +55,129 @@ class Groups:
 
 @dataclass
 class Method:
-    """How texts become tokens and where anchors lie."""
+    """How texts become tokens and where anchors lie.
+
+    `tokens(data, offsets)` tokenises a chunk, `piece(data, begin, window)` cuts one long
+    text: (end of the piece that starts at byte `begin`, start of the next piece or None,
+    tokens between the two starts), `spans(tokens)` hashes spans of tokens and
+    `groups(tokens, first, spans)` finds the groups.
+    """
 
     window: int
     tokens: Callable[[np.ndarray, np.ndarray], Tokens]
-    groups: Callable[[np.ndarray, np.ndarray, int], Groups]
+    piece: Callable[[np.ndarray, int, int], tuple[int, int | None, int]]
+    spans: Callable[[np.ndarray], Spans]
+    groups: Callable[[np.ndarray, np.ndarray, Spans], Groups]
 
 
 @dataclass
 class Places:
-    """Packs (doc_id, token) into one long that orders alike: (doc_id - least + 1) << shift | token.
-
-    A null doc_id comes first of all. Where a long is too small the number of bits does
-    not fit and packing stops with an error before anything is removed.
-    """
+    """Packs (document rank, token) into one long that orders alike: (doc_id - least + 1) << shift | token."""
 
     least: int
     shift: int
 
-    @staticmethod
-    def of(docs: DataFrame) -> Places:
-        row = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
-        least, most, longest = row[0] or 0, row[1] or 0, row[2] or 0
-        places = Places(least, max(1, int(longest).bit_length()))
-        if (most - least + 2).bit_length() + places.shift > 63:
-            raise ValueError("doc_id range times text length exceeds 63 bits; renumber doc_id first")
-        return places
-
     def docs(self, ids: pa.Array) -> np.ndarray:
         some = ids.cast(pa.int64())
         return np.where(some.is_null().to_numpy(zero_copy_only=False), 0, some.fill_null(self.least).to_numpy(zero_copy_only=False) - self.least + 1)
 
 
-def own_ids(docs: DataFrame, label: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(`docs` where rows without a doc_id have numbers of their own, how to make these null again).
+def numbered(docs: DataFrame, rank: str) -> tuple[DataFrame, Places]:
+    """(`docs` with the column `rank` that orders rows as doc_id does, how it is packed).
 
-    The numbers lie below all others and follow a hash of the text, so the layout of the
-    rows does not matter. A single null needs no number: it has place 0 to itself.
+    Where doc_id is unique, has at most one null (which comes first) and fits beside the
+    longest text in 63 bits, the rank is doc_id itself. Otherwise the different
+    (doc_id, text) are numbered: nulls first, different texts under one doc_id by a hash
+    of the text. Rows that repeat both have one rank: they are one document.
     """
-    nulls, least = docs.agg(F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
-    if nulls < 2:
-        return docs, lambda out: out
-    least = least or 0
-    lone = docs.where("doc_id IS NULL").withColumn("_hash", F.xxhash64("text")).withColumn("_at", F.monotonically_increasing_id())
-    lone = lone.repartitionByRange("_hash", "_at").sortWithinPartitions("_hash", "_at")
-    lone = stored(lone.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), label)
-    before, total = [], least - nulls
-    for part, n in sorted(lone.groupBy("_part").count().collect()):  # one row per partition
+    row = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
+    least, most, longest, rows, known = row[0], row[1], row[2] or 0, row[3], row[4]
+    shift = max(1, int(longest).bit_length())
+    whole = isinstance(least or 0, int)
+    unique = rows - known < 2 and docs.select("doc_id").distinct().count() == rows
+    if whole and unique and ((most or 0) - (least or 0) + 2).bit_length() + shift <= 63:
+        return docs.withColumn(rank, F.col("doc_id").cast("long")), Places(least or 0, shift)
+    spark = docs.sparkSession
+    tie = unused("tie", set(docs.columns))
+    keys = docs.select("doc_id", F.struct(F.xxhash64("text"), F.sha2("text", 256)).alias(tie)).distinct()
+    keys = keys.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    keys = stored(keys.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranks")
+    before, total = [], 0
+    for part, n in sorted(keys.groupBy("part").count().collect()):  # one row per partition
         before.append((part, total))
         total += n
-    starts = F.broadcast(docs.sparkSession.createDataFrame(before, "_part int, _before long"))
-    numbered = lone.join(starts, "_part").withColumn("doc_id", F.col("_before") + F.col("_at")).select(*docs.columns)
-    known = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    kind = docs.schema["doc_id"].dataType
-    return known.unionByName(numbered), lambda out: out.withColumn("doc_id", F.when(F.col("doc_id") >= least, F.col("doc_id")).cast(kind))
+    starts = F.broadcast(spark.createDataFrame(before, "part int, before long"))
+    ranks = keys.join(starts, "part").select(F.col("doc_id").alias("known_id"), F.col(tie).alias("known_tie"), (F.col("before") + F.col("at")).alias(rank))
+    own = F.struct(F.xxhash64("text"), F.sha2("text", 256))
+    joined = docs.join(ranks, F.col("doc_id").eqNullSafe(F.col("known_id")) & own.eqNullSafe(F.col("known_tie")), "left")
+    if total.bit_length() + 1 + shift > 63:
+        raise ValueError("more documents than fit beside the longest text in 63 bits; split the longest texts")
+    return stored(joined.select(*docs.columns, rank), "ranked"), Places(0, shift)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], method: Method, places: Places):
-    """(row order, document ranks, tokens, first, groups, poly) of each chunk, documents in order of doc_id."""
+@dataclass
+class Piece:
+    """Whole documents of a chunk, or a piece of one: `at` is the place of each document's first token here."""
+
+    at: np.ndarray
+    tokens: np.ndarray
+    first: np.ndarray
+
+    def places(self, token: np.ndarray) -> np.ndarray:
+        doc = np.searchsorted(self.first, token, side="right") - 1
+        return self.at[doc] + token - self.first[doc]
+
+
+def pieces(batch: pa.RecordBatch, method: Method, places: Places, rank: str) -> Iterator[Piece]:
+    """The batch's documents in order of rank, at most about CHUNK bytes at a time."""
+    ids = places.docs(batch.column(rank))
+    batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
+    for part, offsets, data in text_chunks(batch, limit=CHUNK):
+        at = places.docs(part.column(rank)) << places.shift
+        if len(data) <= 2 * CHUNK:
+            yield Piece(at, *method.tokens(data, offsets))
+            continue
+        begin: int | None = 0  # a single long text
+        while begin is not None:
+            end, following, skipped = method.piece(data, begin, method.window)
+            yield Piece(at.copy(), *method.tokens(data[begin:end], np.array([0, end - begin])))
+            begin, at = following, at + skipped
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], method: Method, places: Places, rank: str) -> Iterator[tuple[Piece, Groups, Spans]]:
     for batch in batches:
-        ids = places.docs(batch.column("doc_id"))
-        batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
-        for part, offsets, data in text_chunks(batch, limit=CHUNK):
-            tokens, first = method.tokens(data, offsets)
-            if len(tokens) >= method.window:
-                yield places.docs(part.column("doc_id")), tokens, first, method.groups(tokens, first, method.window), Poly(tokens)
-
-
-def _places(places: Places, docs: np.ndarray, first: np.ndarray, token: np.ndarray) -> np.ndarray:
-    doc = np.searchsorted(first, token, side="right") - 1
-    return (docs[doc] << places.shift) + token - first[doc]
-
-
-def _first_of_each(occ: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, again): where a combination of keys is seen for the first time, and where later than at that place.
-
-    Rows come in order of place, but rows that repeat a doc_id repeat its places: these
-    are neither, as their document holds the content no earlier.
+        for piece in pieces(batch, method, places, rank):
+            if len(piece.tokens) >= method.window:
+                spans = method.spans(piece.tokens)
+                yield piece, method.groups(piece.tokens, piece.first, spans), spans
+
+
+def flushed(parts: Iterator[tuple[np.ndarray, ...]], limit: int = FLUSH) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of arrays joined to tuples of at least `limit` rows (but for the last)."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= limit:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def first_of_each(occ: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, again): where a combination of keys has its least place, and where a later one than that.
+
+    Rows that repeat a document repeat its places: these are neither, as their document
+    holds the content no earlier.
     """
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort((occ, *keys[::-1]))
     new = np.zeros(len(order), dtype=bool)
     if len(order):
         new[0] = True
         for k in keys:
             new[1:] |= k[order][1:] != k[order][:-1]
-    # lexsort is stable, so the first of equal rows is the earliest
     place = occ[order]
     first, again = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
     first[order] = new
@@ -143,47 +185,39 @@ def _first_of_each(occ: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.n
     return first, again
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def key_counts(docs: DataFrame, method: Method, places: Places) -> DataFrame:
-    """key, n: how often each anchor key occurs, counted per batch before the shuffle."""
+def anchor_table(docs: DataFrame, method: Method, places: Places, rank: str) -> Frequency:
+    """Which anchor keys may occur twice."""
+    layout = Layout.of((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 16)
 
     def run(batches):
-        for batch in batches:
-            keys = [g.key for *_, g, _ in _chunks([batch], method, places)]
-            if keys:
-                found, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(np.minimum(n, 2).astype(np.int32))], names=["key", "n"])
+        return counted((g.key for _, g, _ in _chunks(batches, method, places, rank)), layout, LOOK[-1])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    return frequency(docs.select(rank, "text").mapInArrow(run, "range int, hashes binary"), layout, LOOK)
 
 
-def repeated_groups(docs: DataFrame, method: Method, places: Places, wanted) -> DataFrame:
+def repeated_groups(docs: DataFrame, method: Method, places: Places, rank: str, wanted) -> DataFrame:
     """key, sh, occ, m of groups whose key is in the table.
 
-    Groups that the batch holds earlier (`again`) come as runs of m windows instead.
+    Groups that the task has seen earlier (`again`) come as runs of m windows instead.
     """
 
+    def found(batches):
+        for piece, g, spans in _chunks(batches, method, places, rank):
+            hit = np.flatnonzero(wanted.value.occurrences(g.key))
+            start, count = g.start[hit], g.count[hit]
+            content = spans.of(start, start + count - 1 + method.window)
+            sh = mix(content + (g.anchor[hit] - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield g.key[hit].view(np.int64), sh.view(np.int64), piece.places(start), count
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for ids, _, first, g, poly in _chunks([batch], method, places):
-                hit = np.flatnonzero(in_table(wanted.value, g.key))
-                start, count = g.start[hit], g.count[hit]
-                content = poly.spans(start, start + count - 1 + method.window)
-                sh = mix(content + (g.anchor[hit] - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                rows.append((g.key[hit], sh, _places(places, ids, first, start), count))
-            if rows:
-                key, sh, occ, count = map(np.concatenate, zip(*rows, strict=True))
-                new, again = _first_of_each(occ, key, sh)
-                runs, length = joined_runs(occ[again], count[again])
-                gone = np.zeros(len(runs), np.int64)
-                out = (np.concatenate((key[new].view(np.int64), gone)), np.concatenate((sh[new].view(np.int64), gone)), np.concatenate((occ[new], runs)), np.concatenate((count[new], length)).astype(np.int32), np.arange(new.sum() + len(runs)) >= new.sum())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "sh", "occ", "m", "again"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, sh long, occ long, m int, again boolean")
+        for key, sh, occ, count in flushed(found(batches)):
+            new, again = first_of_each(occ, key, sh)
+            runs, length = joined_runs(occ[again], count[again])
+            gone = np.zeros(len(runs), np.int64)
+            out = (np.concatenate((key[new], gone)), np.concatenate((sh[new], gone)), np.concatenate((occ[new], runs)), np.concatenate((count[new], length)).astype(np.int32), np.arange(new.sum() + len(runs)) >= new.sum())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "sh", "occ", "m", "again"])
+
+    return docs.select(rank, "text").mapInArrow(run, "key long, sh long, occ long, m int, again boolean")
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -205,29 +239,28 @@ def spread_column(name: str) -> Column:
     return F.expr(x)
 
 
-def single_windows(docs: DataFrame, method: Method, places: Places, wanted) -> DataFrame:
-    """w (hash), occ, m = 1 of each window of the groups whose place is in the table.
+def single_windows(docs: DataFrame, method: Method, places: Places, rank: str, wanted) -> DataFrame:
+    """key (of the anchor), w (hash), occ, m = 1 of each window of the groups whose place is in the table.
 
-    Windows that the batch holds earlier (`again`) come as runs of m windows instead.
+    Windows that the task has seen earlier (`again`) come as runs of m windows instead.
     """
 
+    def found(batches):
+        for piece, g, spans in _chunks(batches, method, places, rank):
+            hit = np.flatnonzero(in_table(wanted.value, spread(piece.places(g.start))))
+            start, count = g.start[hit], g.count[hit]
+            token = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            yield np.repeat(g.key[hit], count).view(np.int64), spans.of(token, token + method.window).view(np.int64), piece.places(token)
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for ids, _, first, g, poly in _chunks([batch], method, places):
-                hit = np.flatnonzero(in_table(wanted.value, spread(_places(places, ids, first, g.start))))
-                start, count = g.start[hit], g.count[hit]
-                token = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                rows.append((poly.spans(token, token + method.window), _places(places, ids, first, token)))
-            if rows:
-                w, occ = map(np.concatenate, zip(*rows, strict=True))
-                new, again = _first_of_each(occ, w)
-                runs, length = consecutive(np.sort(occ[again]))
-                w, occ = w[new], occ[new]
-                out = (np.concatenate((w.view(np.int64), np.zeros(len(runs), np.int64))), np.concatenate((occ, runs)), np.concatenate((np.ones(len(occ), np.int32), length.astype(np.int32))), np.arange(len(occ) + len(runs)) >= len(occ))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["w", "occ", "m", "again"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "w long, occ long, m int, again boolean")
+        for key, w, occ in flushed(found(batches)):
+            new, again = first_of_each(occ, key, w)
+            runs, length = consecutive(np.unique(occ[again]))
+            gone = np.zeros(len(runs), np.int64)
+            out = (np.concatenate((key[new], gone)), np.concatenate((w[new], gone)), np.concatenate((occ[new], runs)), np.concatenate((np.ones(new.sum(), np.int32), length.astype(np.int32))), np.arange(new.sum() + len(runs)) >= new.sum())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "w", "occ", "m", "again"])
+
+    return docs.select(rank, "text").mapInArrow(run, "key long, w long, occ long, m int, again boolean")
 
 
 def joined_runs(occ: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,10 +268,10 @@ def joined_runs(occ: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not len(occ):
         return occ, count
     order = np.argsort(occ, kind="stable")
-    occ, count = occ[order], count[order]
-    starts = np.flatnonzero(np.concatenate(([True], occ[1:] > occ[:-1] + count[:-1])))
+    occ, end = occ[order], np.maximum.accumulate((occ + count)[order])
+    starts = np.flatnonzero(np.concatenate(([True], occ[1:] > end[:-1])))
     last = np.append(starts[1:], len(occ)) - 1
-    return occ[starts], occ[last] + count[last] - occ[starts]
+    return occ[starts], end[last] - occ[starts]
 
 
 def consecutive(occ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,17 +283,51 @@ def consecutive(occ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def later(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows that are not the first of their content; rows come at most once per content and batch."""
+    """Rows that are not the first of their content; rows come at most once per content and FLUSH rows of a task."""
     return rows.withColumn("_least", F.min("occ").over(Window.partitionBy(*keys))).where("occ > _least").drop("_least")
 
 
 def spans_of(removed: DataFrame, places: Places, window: int) -> DataFrame:
-    """doc, spans: the removed token ranges [from, to) per document; `removed` has occ, m."""
-    mask = (1 << places.shift) - 1
-    at = F.col("occ").bitwiseAND(mask)
-    doc = F.shiftright("occ", places.shift)
-    rows = removed.select(doc.alias("_doc"), F.struct(at.cast("int").alias("a"), (at + F.col("m") - 1 + window).cast("int").alias("b")).alias("span"))
-    return rows.groupBy("_doc").agg(F.collect_list("span").alias("_spans"))
+    """doc, spans: the removed token ranges [from, to) per document, joined; `removed` has occ, m."""
+    at = F.col("occ").bitwiseAND((1 << places.shift) - 1)
+    rows = removed.select(F.shiftright("occ", places.shift).alias("doc"), at.alias("a"), (at + F.col("m") - 1 + window).alias("b"))
+    rows = rows.repartition("doc").sortWithinPartitions("doc", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # ranges come in order; the last document of a batch may go on in the next one
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            doc, a, b = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("doc", "a", "b"), strict=True))
+            doc, a, b = merged(doc, a, b)
+            rest = np.searchsorted(doc, doc[-1]) if len(doc) else 0
+            held = [x[rest:] for x in (doc, a, b)]
+            if rest:
+                yield listed(doc[:rest], a[:rest], b[:rest])
+        if len(held[0]):
+            yield listed(*held)
+
+    return rows.mapInArrow(run, "doc long, spans array<struct<a: long, b: long>>")
+
+
+def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges in order of (doc, a), with those of one document that touch joined."""
+    if not len(doc):
+        return doc, a, b
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    far = int(b.max()) + 1  # ends of one document stay below the starts of the next one
+    number = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+    end = np.maximum.accumulate(b + number * far)
+    starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (a[1:] + number[1:] * far > end[:-1]))))
+    last = np.append(starts[1:], len(doc)) - 1
+    return doc[starts], a[starts], end[last] - number[last] * far
+
+
+def listed(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    begin = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    ranges = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)).astype(np.int32)), ranges)
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), lists], names=["doc", "spans"])
 
 
 def covered_tokens(n: int, spans: np.ndarray) -> np.ndarray:
@@ -271,46 +338,53 @@ def covered_tokens(n: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, method: Method, label: str, match_groups: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, Places]:
-    """(occ, m) of all repeated groups and windows, and how places are packed.
+def find_repeats(docs: DataFrame, method: Method, places: Places, rank: str, label: str, match_groups: Callable[[DataFrame], tuple[DataFrame, DataFrame, list[DataFrame]]], table: Frequency | None = None) -> DataFrame:
+    """doc, spans (a stored table): the token ranges that repeated windows cover, per rank.
 
     `match_groups` gets the stored groups and returns (groups that repeat an earlier
-    one: occ, m; first occurrences of groups whose key has several different ones: occ).
+    one: occ, m; first occurrences of groups whose key has several different ones: occ;
+    stored tables that these two read).
+    `table` says which anchor keys may occur twice (counted here if it isn't given).
     """
     spark = docs.sparkSession
-    places = Places.of(docs)
-    repeated = key_counts(docs, method, places).where("n > 1").select("key")
-    wanted = spark.sparkContext.broadcast(bit_table(repeated, BITS_LOG2))
-    groups = stored(repeated_groups(docs, method, places, wanted), f"{label}-groups")
-    whole, firsts = match_groups(groups)
-    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key")), BITS_LOG2))
-    windows = single_windows(docs, method, places, chosen)
-    # runs that the batch knew pass through beside the windows, each in a partition of its own place
-    least = F.min("occ").over(Window.partitionBy("again", F.when(F.col("again"), F.col("occ")).otherwise(F.col("w"))))
-    single = windows.withColumn("_least", least).where("again OR occ > _least")
-    return whole.select("occ", "m").unionByName(single.select("occ", "m")), places
-
-
-def with_spans(docs: DataFrame, removed: DataFrame, places: Places, window: int, label: str = "spans") -> DataFrame:
-    """`docs` with `_spans`, null where nothing is removed.
-
-    Only texts that may have spans (by a bit table of their places) go through the join;
+    wanted = spark.sparkContext.broadcast(table or anchor_table(docs, method, places, rank))
+    groups = stored(repeated_groups(docs, method, places, rank, wanted), f"{label}-groups")
+    whole, firsts, between = match_groups(groups)
+    whole, firsts = stored(whole, f"{label}-whole"), stored(firsts, f"{label}-firsts")
+    discard(groups, *between)
+    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key")), bits_for(firsts.count())))
+    windows = single_windows(docs, method, places, rank, chosen)
+    # runs that the task knew pass through beside the windows, each in a partition of its own place
+    same = Window.partitionBy("again", F.when(F.col("again"), F.col("occ")).otherwise(F.col("w")), "key")
+    single = windows.withColumn("_least", F.min("occ").over(same)).where("again OR occ > _least")
+    removed = whole.select("occ", "m").unionByName(single.select("occ", "m"))
+    spans = stored(spans_of(removed, places, method.window), f"{label}-spans")
+    discard(whole, firsts)
+    return spans
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, places: Places, rank: str, name: str) -> DataFrame:
+    """`docs` without `rank`, with the spans as column `name`, null where nothing is removed.
+
+    Only texts that may have spans (by a bit table of their ranks) go through the join;
     all others pass by without a shuffle.
     """
-    spans = stored(spans_of(removed, places, window), label)
-    touched = docs.sparkSession.sparkContext.broadcast(bit_table(spans.select(spread_column("_doc").alias("key")), BITS_LOG2))
-    rank = F.coalesce(F.col("doc_id") - F.lit(places.least) + 1, F.lit(0)).cast("long")
+    keys = spans.select(spread_column("doc").alias("key"))
+    touched = docs.sparkSession.sparkContext.broadcast(bit_table(keys, bits_for(spans.count())))
+    packed = F.coalesce(F.col(rank) - F.lit(places.least) + 1, F.lit(0)).cast("long")
+    columns = [c for c in docs.columns if c != rank]
 
     def side(wanted: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
-                hit = in_table(touched.value, spread(places.docs(batch.column("doc_id"))))
+                hit = in_table(touched.value, spread(places.docs(batch.column(rank))))
                 yield batch.filter(pa.array(hit == wanted))
 
         return docs.mapInArrow(run, docs.schema)
 
-    changed = side(True).withColumn("_doc", rank).join(spans, "_doc", "left").drop("_doc")
-    return changed.unionByName(side(False).withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType)))
+    found = spans.select(F.col("doc").alias(f"{rank}_known"), F.col("spans").alias(name))
+    changed = side(True).join(found, packed == F.col(f"{rank}_known"), "left").select(*columns, name)
+    return changed.unionByName(side(False).select(*columns).withColumn(name, F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def span_arrays(column) -> Iterator[np.ndarray | None]:
@@ -326,10 +400,10 @@ def span_arrays(column) -> Iterator[np.ndarray | None]:
         begin = end
 
 
-def first_of_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def first_of_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(groups that repeat an earlier one, firsts of keys with several different groups), over all groups at once."""
     fresh = groups.where("NOT again")
     whole = groups.where("again").unionByName(later(fresh, "key", "sh"))
     mixed = fresh.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
     firsts = fresh.groupBy("key", "sh").agg(F.min("occ").alias("occ")).join(mixed, "key", "left_semi")
-    return whole, firsts.select("occ")
+    return whole.select("occ", "m"), firsts.select("occ"), []

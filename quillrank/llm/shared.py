@@ -61,6 +61,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def unused(name: str, taken: set[str]) -> str:
+    """`name`, with underscores before it until no column of a table is called so (case aside)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    taken.add(name)
+    return name
+
+
 def clean_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

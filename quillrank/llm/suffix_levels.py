@@ -22,20 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import Poly, byte_tokens, text_chunks
-from quillrank.llm.repeats import Groups, Method, covered_tokens, find_repeats, own_ids, span_arrays, with_spans
-from quillrank.llm.shared import stored, table
+from quillrank.llm.arrays import Spans, text_chunks
+from quillrank.llm.repeats import CHUNK, Groups, Method, Places, covered_tokens, find_repeats, numbered, span_arrays, with_spans
+from quillrank.llm.shared import small_batches, stored, table, unused
 
 WINDOW = 100
 ANCHOR = 40
 BATCHES = 4
 
 
-def window_groups(tokens: np.ndarray, first: np.ndarray, window: int, anchor: int = ANCHOR) -> Groups:
+def window_groups(tokens: np.ndarray, first: np.ndarray, spans: Spans, window: int, anchor: int = ANCHOR) -> Groups:
     n = len(tokens)
-    poly = Poly(tokens)
     at = np.arange(n - anchor + 1)
-    gram = poly.spans(at, at + anchor)
+    gram = spans.of(at, at + anchor)
     bits = np.uint64(int(n).bit_length())
     least = (gram >> bits << bits) | at.astype(np.uint64)
     width, size = window - anchor + 1, 1
@@ -52,8 +51,15 @@ def window_groups(tokens: np.ndarray, first: np.ndarray, window: int, anchor: in
     return Groups(gram[chosen[group]], place[group], np.diff(np.append(group, len(place))), chosen[group])
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return byte_tokens(data), offsets
+def byte_piece(data: np.ndarray, begin: int, window: int) -> tuple[int, int | None, int]:
+    """Cuts a long text; the next piece starts a window (less one byte) before the end."""
+    end = begin + CHUNK + window - 1
+    return (end, begin + CHUNK, CHUNK) if end < len(data) else (len(data), None, 0)
+
+
+def bytes_method(window: int, anchor: int = ANCHOR) -> Method:
+    tokens = lambda data, offsets: (data.astype(np.uint64), offsets)
+    return Method(window, tokens, byte_piece, lambda t: Spans(t, octets=True), lambda t, first, spans: window_groups(t, first, spans, window, min(anchor, window)))
 
 
 class SuffixLevels:
@@ -62,6 +68,7 @@ class SuffixLevels:
     def __init__(self, label: str = "suffixes"):
         self.label = label
         self.levels: list[tuple[int, DataFrame]] = []
+        self.tables: list[DataFrame] = []
 
     def entries(self) -> DataFrame:
         """All different groups with their first place."""
@@ -80,15 +87,17 @@ class SuffixLevels:
             rows = rows.join(known.hint("merge"), ["key", "sh"], "left").withColumn("first", F.col("first") & F.col("known").isNull())
             rows = rows.withColumn("later", F.col("later") | F.col("known").isNotNull()).drop("known")
         rows = stored(rows, self.label)
+        self.tables.append(rows)
         self.levels.append((1, rows.where("first").select("key", "sh", "occ")))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             merged = stored(a.unionByName(b).repartition("key").sortWithinPartitions("key", "sh"), self.label)
+            self.tables.append(merged)
             self.levels.append((2 * size, merged))
         return rows.where("later")
 
 
-def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """All groups through the index family, batch by batch in order of place."""
     bounds = groups.select(F.percentile_approx("occ", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     edges = [None, *sorted(set(bounds)), None]
@@ -104,23 +113,24 @@ def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
         whole.append(family.add(batch.select("key", "sh", "occ", "m")).select("occ", "m"))
     entries = family.entries()
     mixed = entries.groupBy("key").agg(F.min("sh").alias("a"), F.max("sh").alias("b")).where("a <> b").select("key")
-    return reduce(DataFrame.unionByName, whole), entries.join(mixed, "key", "left_semi").select("occ")
+    return reduce(DataFrame.unionByName, whole), entries.join(mixed, "key", "left_semi").select("occ"), family.tables
 
 
-def cut_bytes(docs: DataFrame, places, removed: DataFrame, window: int, keep: bool = True) -> DataFrame:
-    joined = with_spans(docs, removed, places, window)
+def cut_bytes(docs: DataFrame, places: Places, rank: str, spans: DataFrame, keep: bool = True) -> DataFrame:
+    name = unused("spans", set(docs.columns))
+    joined = with_spans(docs, spans, places, rank, name)
     new = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    columns = [c for c in docs.columns if c not in new and c != "text"]
+    columns = [c for c in docs.columns if c not in new and c not in ("text", rank)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, offsets, data in text_chunks(batch):
                 rows = []
-                for i, spans in enumerate(span_arrays(part.column("_spans"))):
+                for i, ranges in enumerate(span_arrays(part.column(name))):
                     own = data[offsets[i] : offsets[i + 1]]
                     n_spans, rest = 0, own
-                    if spans is not None:
-                        gone = covered_tokens(len(own), spans)
+                    if ranges is not None:
+                        gone = covered_tokens(len(own), ranges)
                         n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                         rest = own[~gone]
                     rest_bytes = rest.tobytes()
@@ -136,14 +146,17 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, k
     """`docs` without bytes inside strings of `window` bytes that also start earlier.
 
     The text column gives way to kept (binary: what remains need not be UTF-8), n_bytes,
-    n_removed, n_spans and kept_sha256. Null and empty texts have no bytes; a null
-    doc_id comes before all others, several of them one by one in order of a hash of
-    their texts; rows that share a doc_id must share the text (none removes the other).
+    n_removed, n_spans and kept_sha256 (columns of these names are replaced). Null and
+    empty texts have no bytes. A null doc_id comes before all others; several rows without
+    one, or different texts under one doc_id, are documents of their own in order of a
+    hash of their texts; rows that repeat doc_id and text are one document, so none
+    removes the other. An empty table gives an empty result.
     """
-    docs, restored = own_ids(docs, "suffix-levels-ids")
-    method = Method(window, tokens, lambda t, f, w: window_groups(t, f, w, min(ANCHOR, w)))
-    removed, places = find_repeats(docs, method, "suffix-levels", lambda groups: match_levels(groups, batches))
-    return restored(cut_bytes(docs, places, removed, window, keep))
+    small_batches(docs.sparkSession)
+    rank = unused("rank", set(docs.columns))
+    docs, places = numbered(docs, rank)
+    spans = find_repeats(docs, bytes_method(window), places, rank, "suffix-levels", lambda groups: match_levels(groups, batches))
+    return cut_bytes(docs, places, rank, spans, keep)
 
 
 def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

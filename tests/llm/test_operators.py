@@ -12,8 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.llm import fingerprints, frequency, jaccard, language, licenses, mixing, pieces, quality, recompression, suffix_levels, warc
-from quillrank.llm.arrays import mix, text_chunks
+from quillrank.llm import fingerprints, frequency, jaccard, language, licenses, mixing, pieces, quality, recompression, repeats, suffix_levels, warc
+from quillrank.llm.arrays import Spans, mix, text_chunks, word_tokens
 from quillrank.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -253,16 +253,52 @@ def test_repeated_rows_keep_their_text(spark, batch_rows):
 
 def test_rows_without_doc_id_have_places_of_their_own(spark, batch_rows):
     texts = [passages("a", "b"), passages("c", "b", "d"), passages("e", "a"), passages("c", "b", "d"), passages("f"), None]
-    docs = spark.createDataFrame([*((None, t) for t in texts), (0, passages("f", "g"))], "doc_id int, text string").coalesce(1)
-    order = docs.where("doc_id IS NULL").orderBy(F.xxhash64("text")).collect()
-    known = [*((i - 10, r["text"]) for i, r in enumerate(order)), (0, passages("f", "g"))]
+    docs = spark.createDataFrame([*((None, t) for t in texts), (0, passages("f", "g")), (9, passages("h", "f")), (9, passages("i", "h"))], "doc_id int, text string").coalesce(1)
+    order = docs.withColumn("h", F.struct(F.xxhash64("text"), F.sha2("text", 256))).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()
+    known, copies = [], []
+    for r in order:  # rows that repeat doc_id and text are one document
+        again = [k for k, before in enumerate(known) if (before[2], before[1]) == (r["doc_id"], r["text"])]
+        copies.append(again[0] if again else len(known))
+        if not again:
+            known.append((len(known), r["text"], r["doc_id"]))
     want = removed(known, 20, words, lambda w: " ".join(w).encode())
     got = recompression.dedup_words(docs)
     assert got.schema["doc_id"] == docs.schema["doc_id"]
-    assert sorted((r["doc_id"] is None, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == sorted((k < 0, *v[:3]) for k, v in want.items())
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == sorted((str(known[k][2]), *want[k][:3]) for k in copies)
     want = removed(known, 100, str.encode, bytes)
     got = suffix_levels.dedup_bytes(docs, batches=2).collect()
-    assert sorted((r["doc_id"] is None, r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for r in got) == sorted((k < 0, *v) for k, v in want.items())
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for r in got) == sorted((str(known[k][2]), *want[k]) for k in copies)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_repeats_in_long_and_periodic_texts_with_wide_ids(spark, monkeypatch, rounds):
+    """Texts that are read in pieces, runs and periods, ids of 64 bits."""
+    monkeypatch.setattr(recompression, "CHUNK", 700)
+    monkeypatch.setattr(suffix_levels, "CHUNK", 700)
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    rng = random.Random(rounds)
+    pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(15, 60))) for _ in range(6)]
+    texts = ["  ".join(rng.choice(pool) if rng.random() < 0.6 else " ".join(str(rng.random()) for _ in range(9)) for _ in range(rng.randint(0, 14))) for _ in range(14)]
+    texts += ["x " * 900, "a b " * 300 + "c", "x " * 30 + "é" * 400, "z" * 3000 + " " + pool[0], pool[1], "x y z " * 5]
+    rows = [((i * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63), t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = removed(rows, 20, words, lambda w: " ".join(w).encode())
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompression.dedup_words(docs, rounds=rounds).collect()}
+    assert got == {k: v[:3] for k, v in want.items()}
+    if rounds == 1:
+        want = removed(rows, 100, str.encode, bytes)
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for r in suffix_levels.dedup_bytes(docs).collect()} == want
+
+
+def test_words_of_a_pattern_do_not_collide():
+    """Words that a polynomial modulo 2^64 cannot tell apart."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    data = np.frombuffer((a + " " + a.translate({97: 98, 98: 97})).encode(), np.uint8)
+    tokens, _ = word_tokens(data, np.array([0, len(data)]))
+    whole = Spans(data.astype(np.uint64), octets=True).of(np.array([0, 1025]), np.array([1024, 2049]))
+    assert tokens[0] != tokens[1] and whole[0] != whole[1]
 
 
 def test_repeats_of_nothing(empty):
@@ -346,6 +382,17 @@ def test_jaccard_odd_rows(spark):
     assert got == sorted(want, key=str)
 
 
+def test_jaccard_keeps_one_row_of_each_component(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(4, a), (4, a), (2, a + " x"), (None, a), (7, b), (7, "q r s t u v"), (7, b), (None, None), (None, ""), (None, "other words here"), (None, "other words here"), (8, None)]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, node string, id int")
+    out = jaccard.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["node"], r["id"]) for r in out.collect()), key=str)
+    assert got == sorted(((*r, "k", 1) for r in [(2, a + " x"), (7, b), (7, "q r s t u v"), (None, None), (None, ""), (None, "other words here"), (8, None)]), key=str)
+    assert jaccard.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_frequency_in_spark(spark):
     keys = mix(np.arange(1, 4001, dtype=np.uint64))
     times = np.array([1, 2, 20, 200])[np.arange(4000) % 4]
