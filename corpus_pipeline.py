@@ -25,19 +25,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group that shares 0.8 of its five-word shingles.
+    """One row (the smallest doc_id, null last) of each group that shares 0.8 of its five-word shingles.
 
-    Rows without a doc_id cannot be told apart and stay. Rows that repeat a doc_id stay
-    together.
+    Repeated rows are copies of each other; texts without words stay.
     """
-    found = jaccard.near_duplicates(docs, jaccard.Likeness(5, 80, 100))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.deduplicated(docs, jaccard.Likeness(5, 80, 100))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of passages of 20 words that occur earlier; n_chars follows the text."""
-    cut = recompression.dedup_words(docs)
+    cut = recompression.dedup_words(docs, measures=False)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
