@@ -2,25 +2,23 @@
 
 A rule is a regular expression over words that are joined by single spaces, anchored at
 a place. It has a keyword as its first word; only places with a keyword are tried, and
-only in texts that hold one of the gate strings. Detections that lie inside another one
+only in texts where a word starts with one of the gates. Detections that lie inside another one
 are suppressed; of equal intervals the rule with the better priority stays.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.fingerprints import let
-from quillrank.llm.shared import clean_text, table
+from quillrank.llm.shared import clean_text, table, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 
@@ -137,14 +135,6 @@ def build_rules() -> list[Rule]:
     return unique + rules
 
 
-def _keywords(rules: list[Rule]) -> list[str]:
-    """First words of the rules; a first word that is itself a pattern is spelled out."""
-    found: set[str] = set()
-    for r in rules:
-        found |= set(_spelled(r.keyword))
-    return sorted(found)
-
-
 def _spelled(keyword: str) -> list[str]:
     if keyword.startswith("(?:") and keyword.endswith(")"):
         return keyword[3:-1].split("|")
@@ -184,23 +174,44 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-#: Each rule needs one of these strings (fixed values, checked against the rules).
+#: Each rule needs a word that starts with one of these (checked against the rules).
 GATES = (
-    "licen", "rights", "public", "domain", "copyright", "creative", "gpl", "reserv", "vorbehalten", "droits", "fdl", "cc", "bsd",
-    "mit license", "isc ", "zlib", "apache", "mpl", "epl", "cddl", "eupl", "osl", "afl", "odbl", "ofl", "lppl", "cecill", "confidential",
-    "unauthorized", "reproduced", "permission", "redistribution", "wtfpl", "spdx", "mit",
+    "afl", "agpl", "apache", "bsd", "cc", "cddl", "cecill", "confidential", "copyright", "creative", "droits", "epl", "eupl", "fdl",
+    "gpl", "lgpl", "licen", "lppl", "mpl", "odbl", "ofl", "osl", "permission", "public", "redistribution", "released", "reproduced",
+    "reserv", "rights", "spdx", "unauthorized", "unlicen", "vorbehalten", "wtfpl",
 )
 _YEAR = r"(?:c|©) (?:19|20)\d\d"
+_MARK = "\x01"
+_NOT_WORD = "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum())  # single characters: a class of them is one look-up
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of some words that tries each letter once."""
+    if words == [""]:
+        return ""
+    heads = {w[0]: sorted({x[1:] for x in words if x and x[0] == w[0]}) for w in words if w}
+    inner = "|".join(head + _trie(rest) for head, rest in sorted(heads.items()))
+    return f"(?:{inner})" + ("?" if "" in words else "")
 
 
-def _gate(text: Column, rules: list[Rule]) -> Column:
-    """True if the text holds a string that some rule needs; no detection is lost by it."""
+def check_gates(rules: list[Rule]) -> None:
+    """Raises for a rule that could match without a gate: optional parts and alternatives don't count."""
     for r in rules:
-        if r.pattern != _YEAR and not any(g in r.pattern for g in GATES):
-            raise ValueError(f"no gate string for {r.pattern}")
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    year = lower.rlike(r"[c©][\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:19|20)\d\d")
-    return let(lower, lambda t: reduce(or_, (t.contains(g) for g in GATES))) | year
+        fixed = r.pattern
+        while (less := re.sub(r"\(\?:[^()]*\)(?:\?|\{[\d,]+\})?", " ", fixed)) != fixed:
+            fixed = less
+        if r.pattern != _YEAR and not any(w.startswith(GATES) for w in re.findall(r"[^\s?]+(?!\S*\?)", fixed)):
+            raise ValueError(f"no gate for {r.pattern}")
+
+
+def marks_of(text: Column) -> Column:
+    """A mark for each word, followed by the gate that it starts with (or the c before a year).
+
+    One pass counts the words and tells whether any rule can match.
+    """
+    gate = rf"(?:{_trie(sorted(GATES))}|[c©](?=[{_NOT_WORD}]++(?:19|20)\d\d))"
+    # the word at the end leaves no tail without a word
+    return F.regexp_replace(F.concat(text, F.lit(" 0")), rf"[{_NOT_WORD}]*+(?=[^{_NOT_WORD}])((?i:{gate}))?+[^{_NOT_WORD}]*+", f"{_MARK}$1")
 
 
 def _literal(pattern: str) -> str:
@@ -209,65 +220,87 @@ def _literal(pattern: str) -> str:
     return plain[:-1] if pattern[len(plain) : len(plain) + 1] in ("?", "*") else plain
 
 
-def detections(docs: DataFrame, rules: list[Rule], key: str) -> DataFrame:
-    """(key, start, end, label, score, base, priority): every match of a rule, before suppression."""
-    spark = docs.sparkSession
-    keywords = _keywords(rules)
+def detections(words: Column, rules: list[Rule]) -> Column:
+    """Array of (start, end, label, score, base, priority): every match of a rule, before suppression."""
+    by_word: dict[str, list] = {}
+    for i, r in enumerate(rules):
+        rule = {"literal": _literal(r.pattern), "pattern": rf"^(?:{r.pattern})(?= |$)", "label": r.label, "score": r.score, "base": r.base, "priority": i}
+        for word in _spelled(r.keyword):
+            by_word.setdefault(word, []).append(rule)
+    # the rules are fixed by build_rules(), some hundreds of them: a constant of the plan
+    listed = F.from_json(F.lit(json.dumps(by_word)), "map<string, array<struct<literal: string, pattern: string, label: string, score: double, base: boolean, priority: int>>>")
     span = max(most_words(r.pattern) for r in rules)  # words that a rule may look at, from its place
-    places = let(
-        F.col("_words"),
-        lambda w: F.transform(
-            F.filter(F.transform(w, lambda x, i: F.when(x.isin(keywords), i)), lambda i: i.isNotNull()),
-            lambda i: F.struct(i.alias("start"), F.array_join(F.slice(w, i + 1, span), " ").alias("ahead")),
-        ),
-    )
-    found = docs.where(_gate(F.col("_text"), rules)).select(key, words_of(F.col("_text")).alias("_words")).select(key, F.explode(places).alias("p"))
-    found = found.select(key, "p.start", "p.ahead", F.substring_index("p.ahead", " ", 1).alias("keyword"))
-    rows = [(word, _literal(r.pattern), rf"^(?:{r.pattern})(?= |$)", r.label, r.score, r.base, i) for i, r in enumerate(rules) for word in _spelled(r.keyword)]
-    # the rules are fixed by build_rules(), some hundreds of rows
-    listed = F.broadcast(spark.createDataFrame(rows, "keyword string, literal string, pattern string, label string, score double, base boolean, priority int"))
-    matched = found.join(listed, "keyword").where(F.startswith("ahead", "literal")).withColumn("match", F.expr("regexp_substr(ahead, pattern)")).where("match IS NOT NULL")
-    return matched.select(key, F.col("start").cast("long").alias("start"), (F.col("start") + F.size(F.split("match", " ")) - 1).cast("long").alias("end"), "label", "score", "base", "priority")
 
+    def at_place(w: Column, i: Column) -> Column:
+        def tried(ahead: Column) -> Column:
+            hits = F.transform(
+                F.filter(F.element_at(listed, F.get(w, i)), lambda r: F.startswith(ahead, r["literal"])),
+                lambda r: F.struct(r.alias("rule"), F.regexp_substr(ahead, r["pattern"]).alias("match")),
+            )
+            return F.transform(
+                F.filter(hits, lambda h: h["match"].isNotNull()),
+                lambda h: F.struct(
+                    i.cast("long").alias("start"),
+                    (i + F.size(F.split(h["match"], " ")) - 1).cast("long").alias("end"),
+                    *(h["rule"][k].alias(k) for k in ("label", "score", "base", "priority")),
+                ),
+            )
+
+        return let(F.array_join(F.slice(w, i + 1, span), " "), tried)
+
+    def of_words(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(sorted(by_word)), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(places, lambda i: at_place(w, i)))
+
+    return let(words, of_words)
 
-def unsuppressed(found: DataFrame, key: str) -> DataFrame:
-    """Detections that no other one of the same text contains.
+
+def unsuppressed(found: Column) -> Column:
+    """Struct of reach, labels (distinct) and score of the detections that no other one of the text contains.
 
     In order of start, longer ones first, then by priority, a detection lies inside an
     earlier one exactly if some earlier end reaches its own end. Base rules are not
     suppressed here; they have their own columns.
     """
-    before = Window.partitionBy(key).orderBy("start", F.col("end").desc(), "priority").rowsBetween(Window.unboundedPreceding, -1)
-    return found.where("NOT base").withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR _reach < end").drop("_reach")
+    order = F.array_sort(F.transform(F.filter(found, lambda d: ~d["base"]), lambda d: F.struct(d["start"], (-d["end"]).alias("back"), d["priority"], d["label"], d["score"])))
+    nothing = F.struct(F.lit(-1).cast("long").alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+
+    def step(acc: Column, d: Column) -> Column:
+        kept = F.struct((-d["back"]).alias("reach"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["score"], d["score"]).alias("score"))
+        return F.when(-d["back"] > acc["reach"], kept).otherwise(acc)
+
+    return F.aggregate(order, nothing, step)
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Columns of these names are replaced. A null text is empty: no words, empty labels,
-    score 0. Each row is judged alone, so repeated rows get equal answers.
+    score 0. Each row is judged alone and by itself, whatever its doc_id, so repeated rows
+    get equal answers; a text of any length is searched whole; an empty table gives an
+    empty result.
     """
     rules = rules or build_rules()
-    added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "_text", "_row")
-    # the row's own number ties detections to rows even if doc_id repeats or is null
-    rows = docs.drop(*added).withColumn("_row", F.monotonically_increasing_id()).withColumn("_text", clean_text())
-    found = detections(rows.select("_row", "_text"), rules, "_row")
-    base = found.where("base").groupBy("_row").agg(
-        F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("_base"), F.max("score").alias("_base_score")
-    )
-    other = unsuppressed(found, "_row").groupBy("_row").agg(F.collect_set("label").alias("_other"), F.max("score").alias("_other_score"))
-    nothing = F.array().cast("array<string>")
-    joined = rows.withColumn("n_words", F.regexp_count(F.col("_text"), F.lit(ANY_CASE_WORD)).cast("long")).join(base, "_row", "left").join(other, "_row", "left")
-    own = F.coalesce("_base", nothing)
-    return joined.select(
+    check_gates(rules)
+    added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    taken = {*docs.columns, *added}
+    text, marks, gates, found, base, other = (unused(c, taken) for c in ("plain", "marks", "gates", "found", "base", "other"))
+    rows = docs.drop(*added).withColumn(text, clean_text()).withColumn(marks, marks_of(F.col(text)))
+    rows = rows.withColumn(gates, F.replace(marks, F.lit(_MARK), F.lit("")))
+    words = F.when(F.col(gates) != "", words_of(F.col(text))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn(found, detections(words, rules))
+    rows = rows.withColumn(base, F.filter(found, lambda d: d["base"])).withColumn(other, unsuppressed(F.col(found)))
+    own = F.array_distinct(F.transform(base, lambda d: d["label"]))
+    starts = F.transform(base, lambda d: d["start"])
+    return rows.select(
         *(c for c in docs.columns if c not in added),
-        "n_words",
-        F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"),
-        "first_word",
-        "last_word",
+        (F.length(marks) - F.length(gates) - 1).cast("long").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(own), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(own, F.coalesce("_other", nothing)))), ",").alias("labels"),
-        F.greatest(F.coalesce("_base_score", F.lit(0.0)), F.coalesce("_other_score", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union(own, F.col(other)["labels"])), ",").alias("labels"),
+        F.greatest(F.coalesce(F.array_max(F.transform(base, lambda d: d["score"])), F.lit(0.0)), F.col(other)["score"]).alias("score"),
     )
 
 

@@ -195,9 +195,47 @@ def test_license_notices(spark):
 
 
 def test_containment_suppression(spark):
-    rows = [(1, 0, 5, "a", 1.0, False, 3), (1, 1, 4, "b", 1.0, False, 0), (1, 0, 5, "c", 1.0, False, 1), (1, 4, 7, "d", 1.0, False, 9), (2, 1, 4, "e", 1.0, False, 5)]
-    df = spark.createDataFrame(rows, "k long, start long, end long, label string, score double, base boolean, priority int")
-    assert sorted(r["label"] for r in licenses.unsuppressed(df, "k").collect()) == ["c", "d", "e"]
+    rows = [(1, [(0, 5, "a", 1.0, False, 3), (1, 4, "b", 1.0, False, 0), (0, 5, "c", 1.0, False, 1), (4, 7, "d", 0.5, False, 9)]), (2, [(1, 4, "e", 1.0, False, 5), (0, 9, "f", 1.0, True, 0)]), (3, [])]
+    df = spark.createDataFrame(rows, "k long, found array<struct<start: long, end: long, label: string, score: double, base: boolean, priority: int>>")
+    assert {r["k"]: (sorted(r["o"]["labels"]), r["o"]["score"]) for r in df.select("k", licenses.unsuppressed(F.col("found")).alias("o")).collect()} == {1: (["c", "d"], 1.0), 2: (["e"], 1.0), 3: ([], 0.0)}
+
+
+def plain_licenses(text, rules):
+    """Words, detections of every rule at every place, and what containment leaves."""
+    w = re.findall(licenses.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    found = []
+    for i in range(len(w)):
+        ahead = " ".join(w[i:])
+        for k, r in enumerate(rules):
+            if r.pattern[0] in ("(", w[i][0]) and (m := re.match(rf"(?:{r.pattern})(?= |$)", ahead)):
+                found.append((i, i + len(m[0].split(" ")) - 1, k, r))
+    base = [d for d in found if d[3].base]
+    other = [d for d in found if not d[3].base]
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and ((a[0], a[1]) != (b[0], b[1]) or b[2] < a[2])
+    left = base + [d for d in other if not any(inside(d, e) for e in other)]
+    return len(w), len(base), sorted({d[3].label for d in base}), sorted({d[3].label for d in left}), max((d[3].score for d in left), default=0.0)
+
+
+def test_licenses_against_every_rule_at_every_place(spark):
+    """Texts made of the rules' own wordings, between words that look like gates and keywords."""
+    rng = random.Random(4)
+    rules = licenses.build_rules()
+    fill = ["mit", "accept", "cc", "by", "the", "The", "publicly", "oslo", "(c)", "©", "2019", "19999", "é", "licen", "x,", "2", "CC0", "May not", "ümit"]
+    plain = [re.sub(r"\\S\+", "any", re.sub(r"\\d", "7", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?:\?|\{1,4\})?", r"\1", r.pattern))).replace("?", "") for r in rules]
+    rows = [(1, None), (2, ""), (3, " \n")] + [(10 + i, " - ".join(rng.choice(fill) if rng.random() < 0.6 else rng.choice(plain).title() for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    rows += [(200 + i, p) for i, p in enumerate(plain)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("marks", F.lit(1)).repartition(4)).collect()}
+    for i, text in rows:
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"], r["labels"], r["score"]) == (lambda n, b, bl, la, sc: (n, b, ",".join(bl), ",".join(la), sc))(*plain_licenses(text, rules)), text
+    assert len({r["labels"] for r in got.values()}) > 120
+
+
+def test_licenses_of_long_texts_and_none(spark, empty):
+    text = "mit license cc by " * 5000
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_base"], r["labels"], r["last_word"]) == (20_000, 5000, "cc-by,mit", 19_998)
+    assert licenses.scan(empty).count() == 0
 
 
 def removed(rows, size, units, join):
