@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import Spans, text_chunks
+from quillrank.llm.arrays import Spans, mix, text_chunks
 from quillrank.llm.repeats import CHUNK, Groups, Method, Places, covered_tokens, find_repeats, numbered, span_arrays, with_spans
 from quillrank.llm.shared import small_batches, stored, table, unused
 
 WINDOW = 100
-ANCHOR = 40
+ANCHOR = 64
 BATCHES = 4
 
 
@@ -48,7 +48,8 @@ def window_groups(tokens: np.ndarray, first: np.ndarray, spans: Spans, window: i
     head = np.ones(len(place), dtype=bool)
     head[1:] = (chosen[1:] != chosen[:-1]) | (place[1:] != place[:-1] + 1)
     group = np.flatnonzero(head)
-    return Groups(gram[chosen[group]], place[group], np.diff(np.append(group, len(place))), chosen[group])
+    # the least of many hashes is not spread evenly: mixed once more
+    return Groups(mix(gram[chosen[group]]), place[group], np.diff(np.append(group, len(place))), chosen[group])
 
 
 def byte_piece(data: np.ndarray, begin: int, window: int) -> tuple[int, int | None, int]:
