@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.llm.arrays import text_chunks
-from quillrank.llm.shared import table
+from quillrank.llm.shared import small_batches, table
 
 SPACE_MARK = "▁"
-CACHE_WORDS = 300_000
+CACHE_BYTES = 24 << 20
 COMPATIBLE_PAIRS = 1_000_000
 _NEVER = float("inf")
 
@@ -58,6 +58,8 @@ class Codec:
         self.whole: dict[int, bool] = {}
         self.histories: dict[int, tuple[list[float], list[str], list[str]]] = {}
         self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """What merging gives for a short text: best priority first, then leftmost."""
@@ -192,10 +194,16 @@ class Codec:
     def cached(self, part: str) -> tuple[tuple[int, ...], str, str]:
         found = self.words.get(part)
         if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            ids = tuple(self.word(SPACE_MARK + part))
-            found = self.words[part] = ids, ",".join(map(str, ids)), self.pieces_text(ids)
+            found = self.older.get(part)
+            if found is None:
+                ids = tuple(self.word(SPACE_MARK + part))
+                found = ids, ",".join(map(str, ids)), self.pieces_text(ids)
+            size = 400 + 48 * len(found[0]) + 8 * len(part)  # of the entry, about
+            if size < CACHE_BYTES // 1000:
+                self.words[part] = found
+                self.held += size
+                if self.held > CACHE_BYTES:  # words that are not met again are forgotten with the older half
+                    self.older, self.words, self.held = self.words, {}, 0
         return found
 
     def encode(self, text: str) -> tuple[list[tuple[int, ...]], str, str]:
@@ -262,6 +270,7 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     columns = [c for c in docs.columns if c != "text" and c not in new]
+    small_batches(docs.sparkSession)
     pieces = _Shared(docs.sparkSession.sparkContext.broadcast(vocabulary(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
