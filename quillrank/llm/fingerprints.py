@@ -1,8 +1,9 @@
 """Threshold-scaled document sketches, in DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range (and the
-smallest hash, where none is below). Sketches of parts merge by set union, and the
-overlap of two sketches estimates containment however unequal the documents are.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, so the overlap
+of two sketches estimates containment however unequal the documents are. Where no hash lies
+below, the least one stands in; merged() forms the sketch of several parts from theirs: the
+union of what lies below, or else the least of all.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quillrank.llm.shared import WORD, clean_text, table
 
 SHINGLE = 5
-FRACTION = 8
+FRACTION = 4
 HASH_BITS = 48
 
 
@@ -45,6 +46,13 @@ def sketch(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Co
     return let(F.transform(words, lambda x: F.xxhash64(x)), lambda w: let(hashes(w), kept))
 
 
+def merged(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """The sketch of the shingles of two sketches: that of all their shingles together."""
+    both = F.array_sort(F.array_union(a, b))
+    low = F.filter(both, lambda x: x < (1 << HASH_BITS) // fraction)
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Share of the smaller sketch that the other one holds; two empty sketches are alike."""
     small = F.least(F.size(a), F.size(b))
@@ -55,28 +63,59 @@ def as_text(s: Column) -> Column:
     return F.lower(F.array_join(F.transform(s, lambda x: F.hex(x)), ","))
 
 
-def with_next(docs: DataFrame, carried: list[str], buckets: int | None = None) -> DataFrame:
-    """Each row with `next_<column>` of the next row in descending doc_id; the last row gets the first.
+_STEP = 64
+_PARTS_LOG2 = 4  # ranges of one doc_id that holds much of the table
+
+
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most `value`; looks at every 64th cut, then at 64 of them."""
+    if not cuts:
+        return F.lit(0)
+    array = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    below = lambda values, v: F.size(F.filter(values, lambda c: c <= v))
+    coarse = cuts[_STEP - 1 :: _STEP]
+    if not coarse:
+        return below(array(cuts), value)
+    return let(below(array(coarse), value), lambda k: k * _STEP + below(F.slice(array(cuts), k * _STEP + 1, _STEP), value))
 
-    Rows are cut into ranges of doc_id at sampled quantiles, so each task orders one
-    range; only the first row of every range (one per range) is passed to the range
-    before it. Rows that share a doc_id are ordered by text; a null doc_id comes last.
+
+def with_next(docs: DataFrame, made: dict[str, Callable[[Column], Column]], buckets: int | None = None) -> DataFrame:
+    """`docs` (doc_id, text) with the columns `made` of text, and next_text and next_<column> of the next row.
+
+    The next row is the one after in descending doc_id; the last row gets the first. Rows
+    that share a doc_id are ordered by a hash of the text, then by the text; null doc_ids
+    come last. Rows are cut into ranges of doc_id at sampled quantiles (a doc_id that fills
+    several ranges, and nulls, by the hash too), so each task orders one range; only the
+    first row of every range is passed to the range before it. The text is shuffled once.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
-    cuts = sorted(set(cuts or []))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("doc_id")))) if cuts else F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = docs.withColumn("_bucket", bucket)
-    heads = rows.groupBy("_bucket").agg(F.min_by(F.struct(*carried), F.struct(F.bitwise_not("doc_id"), "text")).alias("_head"))
+    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
+    often = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
+    order, part = F.shiftrightunsigned(F.xxhash64("text"), 1), F.shiftrightunsigned(F.xxhash64("text"), 64 - _PARTS_LOG2)
+    known = F.col("doc_id").cast("long")
+    split = known.isin(often) if often else F.lit(False)
+    number = F.when(known.isNull(), F.lit(-1)).otherwise(_range_of(known, sorted(set(cuts)))) * (1 << _PARTS_LOG2)
+    bucket = number + F.when(known.isNull() | split, (1 << _PARTS_LOG2) - 1 - part).otherwise(F.lit((1 << _PARTS_LOG2) - 1)).cast("int")
+    rows = docs.withColumn("_bucket", bucket).withColumn("_order", order)
+    place = F.struct(F.bitwise_not(F.coalesce(known, F.lit(0))).alias("id"), "_order")
+    least = rows.groupBy("_bucket").agg(F.min(place).alias("_least"))  # a row per range, of numbers only
+    heads = rows.join(F.broadcast(least.withColumnRenamed("_bucket", "_b")), (F.col("_bucket") == F.col("_b")) & (place == F.col("_least")))
+    heads = heads.groupBy("_bucket").agg(F.min("text").alias("_text"))
     ring = Window.orderBy(F.col("_bucket").desc())  # one row per range
-    first = F.first("_head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("_bucket", F.coalesce(F.lead("_head").over(ring), first).alias("_head"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
+    first = F.first("_text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("_bucket", F.coalesce(F.lead("_text").over(ring), first).alias("_text"))
+    for name, body in made.items():
+        heads = heads.withColumn(name, body(F.col("_text")))
+    carried = ["text", *made]
+    heads = heads.select("_bucket", F.struct(F.col("_text").alias("text"), *made).alias("_head"))
+    rows = rows.repartition("_bucket")
+    for name, body in made.items():
+        rows = rows.withColumn(name, body(F.col("text")))
+    inside = Window.partitionBy("_bucket").orderBy(F.col("doc_id").desc_nulls_last(), "_order", "text")
     rows = rows.withColumn("_next", F.lead(F.struct(*carried)).over(inside))
     rows = rows.join(heads, "_bucket", "left").withColumn("_next", F.coalesce("_next", "_head"))
-    return rows.select(*docs.columns, *(F.col("_next")[c].alias(f"next_{c}") for c in carried))
+    return rows.select("doc_id", *carried, *(F.col("_next")[c].alias(f"next_{c}") for c in carried))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -86,14 +125,19 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every document and of its edited text, with their likeness.
+    """Fingerprint of every document and of its edited text, with their likeness."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next per row of `docs`.
 
-    Null texts are empty; an empty table gives an empty result; a single document is
-    its own next document.
+    Null texts are empty and have empty fingerprints; an empty table gives an empty result;
+    a single document is its own next document; equal texts have equal fingerprints,
+    repeated rows follow each other. Other columns of `docs` are not read.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", clean_text().alias("text"))
-    docs = docs.withColumn("sketch", sketch(F.col("text")))
-    rows = with_next(docs, ["text", "sketch"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    docs = docs.select("doc_id", clean_text().alias("text"))
+    rows = with_next(docs, {"sketch": sketch}).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
     return rows.select(
         "doc_id",

@@ -74,28 +74,63 @@ def test_quality_lines_and_symbols():
     assert m["n_dup_lines"].tolist() == [1, 0, 1] and m["n_symbols"].tolist() == [0, 0, 4]
 
 
-def test_fingerprints(spark, docs, rows):
-    cols = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = {r["doc_id"]: r for r in fingerprints.with_next(cols.withColumn("s", fingerprints.sketch(F.col("text"))), ["text", "s"], 5).withColumn("e", fingerprints.edited(F.col("text"), F.col("next_text"))).collect()}
-    order = sorted(rows, key=lambda r: -r[0])
-    for (i, text, *_), (_, after, *_) in zip(order, order[1:] + order[:1], strict=True):
-        text, after = text or "", after or ""
-        third = len(text) // 3
-        assert got[i]["e"] == text[: len(text) - third] + after[:third]
-        assert bool(got[i]["s"]) == bool(words(text))
-    assert got[106]["s"] == got[108]["s"]
-
-
-def test_fingerprint_fraction(spark):
-    df = spark.createDataFrame([(1, " ".join(map(str, range(5000))))], "doc_id long, text string")
-    r = df.select(fingerprints.sketch(F.col("text")).alias("s"), fingerprints.containment(fingerprints.sketch(F.col("text")), fingerprints.sketch(F.substring("text", 1, 5000))).alias("c")).first()
-    assert 500 < len(r["s"]) < 750 and r["s"] == sorted(set(r["s"])) and r["c"] == 1
+def java_xxhash(spark, rows):
+    """Spark's xxhash64 of tuples of strings (words first, then the longs)."""
+    df = spark.createDataFrame([(i, list(r)) for i, r in enumerate(rows)], "i long, w array<string>").select("i", F.transform("w", lambda x: F.when(x.isNotNull(), F.xxhash64(x))).alias("h"))
+    five = F.xxhash64(*(F.get("h", F.lit(k)) for k in range(fingerprints.SHINGLE)))
+    return [r[0] for r in df.select("i", F.shiftrightunsigned(five, 64 - fingerprints.HASH_BITS).alias("x")).orderBy("i").select("x").collect()]
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 300])
+def test_fingerprints(spark, rows, buckets, monkeypatch):
+    given = [*rows, (None, "lone words of no id at all", "en", "s", 0), (None, None, "en", "s", 0), (106, rows[3][1], "x", "s", 1), (7, " ".join(map(str, range(900))), "", "", 0)]
+    docs = spark.createDataFrame(given, SCHEMA).withColumn("sketch", F.lit("clash")).repartition(3)
+    real = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda d, made: real(d, made, buckets))
+    got = fingerprints.fingerprints(docs).collect()
+    hashes = spark.createDataFrame([(r[1] or "",) for r in given], "text string").select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).distinct()
+    at = {r["text"]: r["h"] for r in hashes.collect()}
+    order = sorted(((r[0], r[1] or "") for r in given), key=lambda r: (r[0] is None, -(r[0] or 0), at[r[1]], r[1]))
+    follows = [(i, text, after[1]) for (i, text), after in zip(order, order[1:] + order[:1], strict=True)]
+    edits = [text[: len(text) - len(text) // 3] + after[: len(text) // 3] for _, text, after in follows]
+    texts = {t for _, text, after in follows for t in (text, after)} | set(edits)
+    grams = {t: [tuple((w[a : a + 5] + [None] * 5)[:5]) for a in range(max(1, len(w) - 4))] if (w := words(t)) else [] for t in texts}
+    flat = sorted({g for found in grams.values() for g in found}, key=str)
+    number = dict(zip(flat, java_xxhash(spark, flat), strict=True))
+
+    def sketch(t):
+        all_of = sorted({number[g] for g in grams[t]})
+        return [x for x in all_of if x < 2**fingerprints.HASH_BITS // fingerprints.FRACTION] or all_of[:1]
+
+    def like(a, b):
+        small = min(len(a), len(b))
+        return len(set(a) & set(b)) / small if small else float(not a and not b)
+
+    shown = lambda s: ",".join(f"{x:x}" for x in s)
+    want = [
+        (str(i), len(text), sha256(e.encode()).hexdigest(), shown(sketch(text)), shown(sketch(e)), like(sketch(text), sketch(e)), like(sketch(text), sketch(after)))
+        for (i, text, after), e in zip(follows, edits, strict=True)
+    ]
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
+
+
+def test_fingerprint_fraction_and_merging(spark):
+    a, b = " ".join(map(str, range(5000))), " ".join(map(str, range(4000, 9000)))
+    df = spark.createDataFrame([(a, b)], "a string, b string").select("a", "b", *(fingerprints.sketch(F.col(c)).alias(f"s{c}") for c in "ab"))
+    r = df.select("sa", "sb", fingerprints.merged(F.col("sa"), F.col("sb")).alias("m"), fingerprints.containment(F.col("sa"), fingerprints.sketch(F.substring("a", 1, 5000))).alias("c")).first()
+    assert 1050 < len(r["sa"]) < 1450 and r["sa"] == sorted(set(r["sa"])) and r["c"] == 1 and r["m"] == sorted({*r["sa"], *r["sb"]})
+    high = spark.createDataFrame([([2**47 + 5], [2**47 + 2], [3])], "a array<long>, b array<long>, c array<long>")
+    merged = high.select(fingerprints.merged(F.col("a"), F.col("b")).alias("ab"), fingerprints.merged(F.col("a"), F.col("c")).alias("ac")).first()
+    assert merged["ab"] == [2**47 + 2] and merged["ac"] == [3]
 
 
 def test_next_of_one_row_and_none(spark, empty):
     one = spark.createDataFrame([(7, "abcdef")], "doc_id long, text string")
-    assert fingerprints.with_next(one, ["text"], 4).first()["next_text"] == "abcdef"
-    assert fingerprints.with_next(empty.select("doc_id", "text"), ["text"], 4).count() == 0
+    assert fingerprints.with_next(one, {}, 4).first()["next_text"] == "abcdef"
+    assert fingerprints.with_next(empty.select("doc_id", "text"), {}, 4).count() == 0 and fingerprints.fingerprints(empty).count() == 0
+    cuts = sorted(random.Random(1).sample(range(-1000, 1000), 500))
+    df = spark.range(-1010, 1010).select("id", fingerprints._range_of(F.col("id"), cuts).alias("k"))
+    assert all(r["k"] == sum(c <= r["id"] for c in cuts) for r in df.collect())
 
 
 def test_suffix_automaton_matches_every_substring():
