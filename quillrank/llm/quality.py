@@ -3,8 +3,10 @@
 Within each document the suffixes of its word sequence are sorted by prefix
 doubling (numpy, all documents of a chunk together). Longest common prefixes of
 neighbours in that order give, for every position, the longest passage that occurs
-elsewhere in the document: the maximal repeated substrings. Their spans are united;
-the covered share and the longest repeat are limited.
+elsewhere in the document: the maximal repeated substrings. Their spans are united. Beside
+the base rule (repeats of eight words), the share that all repeats cover and the longest
+repeat are limited: a text of one phrase of five words, over and over, and a text with a
+paragraph pasted twice both pass the base rule.
 """
 
 from __future__ import annotations
@@ -16,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillrank.llm.arrays import SPACE, owners, text_chunks, word_bounds
-from quillrank.llm.shared import table
+from quillrank.llm.shared import small_batches, table
 
 MIN_WORDS = 20
 REPEAT_WORDS = 8
-MOST_COVERED = 30  # percent of words inside repeats of REPEAT_WORDS words and more
-MOST_LONGEST = 25  # percent of words in the longest repeat
-LEAST_LONGEST = 50  # words; shorter repeats never count as the longest
+MOST_REPEATED = 30  # percent of words inside repeats of REPEAT_WORDS words and more (base rule)
+SHORT_WORDS = 3
+MOST_COVERED = 50  # percent of words inside the union of all maximal repeats of SHORT_WORDS words and more
+LONG_WORDS = 50
+MOST_LONGEST = 5  # percent of words in the longest repeat, if that has LONG_WORDS words and more
 
 RULES_SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "longest_repeat long, base_failed boolean, kept boolean"
+    "n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 )
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -149,17 +153,19 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n_words = np.diff(first)
     repeat = covered(first, best, REPEAT_WORDS)
     longest = longest_per_document(best, first)
-    failed = (n_words < MIN_WORDS) | (100 * repeat > MOST_COVERED * n_words)
-    long = (longest >= LEAST_LONGEST) & (100 * longest > MOST_LONGEST * n_words)
+    union = covered(first, best, SHORT_WORDS)
+    failed = (n_words < MIN_WORDS) | (100 * repeat > MOST_REPEATED * n_words)
+    long = (longest >= LONG_WORDS) & (100 * longest > MOST_LONGEST * n_words)
     return {
         "n_words": n_words,
         "word_chars": per_document(~SPACE[data] & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": per_document(_SYMBOL[data], offsets),
         "n_dup_lines": repeated_lines(data.tobytes(), offsets),
         "n_repeat_words": repeat,
+        "n_covered_words": union,
         "longest_repeat": longest,
         "base_failed": failed,
-        "kept": ~(failed | long),
+        "kept": ~(failed | long | (100 * union > MOST_COVERED * n_words)),
     }
 
 
@@ -167,8 +173,10 @@ def quality(docs: DataFrame) -> DataFrame:
     """`docs` with the rule columns of RULES_SCHEMA; columns of these names are replaced.
 
     A null or empty text has no words and fails the base rule. Rows are judged one by
-    one, so repeated rows get equal verdicts; an empty table gives an empty result.
+    one, so repeated rows get equal verdicts; a text of any length is judged whole; an
+    empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     names = [part.split()[0] for part in RULES_SCHEMA.split(", ")]
     base = docs.drop(*names)
 
@@ -182,5 +190,17 @@ def quality(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, f"{fields}, {RULES_SCHEMA}")
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that quality() keeps, with their own columns whatever their names."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, offsets, data in text_chunks(batch):
+                yield part.filter(pa.array(measure(data, offsets)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

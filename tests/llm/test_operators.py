@@ -63,8 +63,30 @@ def test_quality(docs, rows):
         longest = max((k for k in range(1, n) if max(Counter(tuple(w[a : a + k]) for a in range(n - k + 1)).values()) > 1), default=0)
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["longest_repeat"]) == (n, sum(map(len, w)), len(inside), longest)
+        short = Counter(tuple(w[a : a + 3]) for a in range(n - 2))
+        union = {b for a in range(n - 2) if short[tuple(w[a : a + 3])] > 1 for b in range(a, a + 3)}
+        assert r["n_covered_words"] == len(union)
         assert r["base_failed"] == (n < 20 or 100 * len(inside) > 30 * n)
-        assert not (r["base_failed"] and r["kept"])
+        assert r["kept"] == (not r["base_failed"] and 100 * len(union) <= 50 * n and not (longest >= 50 and 100 * longest > 5 * n))
+
+
+def test_quality_limits_of_the_method(spark, empty):
+    own = [f"w{i}" for i in range(800)]
+    texts = {
+        "clean": own,
+        "phrase": [x for i in range(60) for x in (*"buy this now please".split(), f"n{i}")],
+        "pasted": own[:500] + own[:60],
+        "long and pasted": own + [f"v{i}" for i in range(800)] + own[:60],
+        "very long": [f"u{i}" for i in range(60_000)],
+        "short": own[:19],
+    }
+    docs = spark.createDataFrame([(k, " ".join(w), True, 1) for k, w in texts.items()], "doc_id string, text string, kept boolean, n_words int")
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    assert {k for k, r in got.items() if r["base_failed"]} == {"short"}
+    assert {k for k, r in got.items() if r["kept"]} == {"clean", "long and pasted", "very long"}
+    passed = quality.passing(docs)
+    assert passed.schema == docs.schema and {(r["doc_id"], r["kept"], r["n_words"]) for r in passed.collect()} == {(k, True, 1) for k in ("clean", "long and pasted", "very long")}
+    assert quality.quality(empty).count() == quality.passing(empty).count() == 0
 
 
 def test_quality_lines_and_symbols():
