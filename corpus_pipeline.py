@@ -19,9 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules; n_chars is kept as it is."""
-    columns = [c for c in docs.columns]
-    judged = quality.quality(docs)
-    return judged.where("kept").select(*columns)
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
