@@ -26,11 +26,11 @@ class Policy:
     production_terms: tuple[str, ...] = ("production", "deployed", "shipped", "serving", "latency", "on-call", "kubernetes", "live")
     research_terms: tuple[str, ...] = ("research", "phd", "postdoc", "academic", "laboratory", "thesis")
     services_firms: tuple[str, ...] = ("consulting services", "outsourcing", "it services", "staffing")
-    tier1_places: tuple[str, ...] = ("pune", "noida")
-    tier2_places: tuple[str, ...] = ("bangalore", "hyderabad", "mumbai", "delhi")
-    tier3_places: tuple[str, ...] = ("chennai", "kolkata", "jaipur")
-    home_country: str = "india"
-    must_have: tuple[tuple[str, ...], ...] = (("embedding", "vector"), ("retrieval", "search"), ("ranking", "learning to rank"), ("python",), ("evaluation", "ndcg"))
+    tier1_places: tuple[str, ...] = ("lisbon", "oporto")
+    tier2_places: tuple[str, ...] = ("madrid", "turin", "lyon")
+    tier3_places: tuple[str, ...] = ("ghent", "graz")
+    home_country: str = "portugal"
+    must_have: tuple[tuple[str, ...], ...] = (("sql", "dataframe"), ("scala", "java"), ("streaming", "batch jobs"), ("monitoring", "alerting"), ("code review",))
     # fixed values: component weights, penalties, gates and bands of the scoring rubric
     weights: dict[str, float] = field(default_factory=lambda: {"role": 0.30, "semantic": 0.15, "skills": 0.23, "experience": 0.12, "production": 0.10, "company": 0.10})
     penalties: dict[str, float] = field(default_factory=lambda: {"services": 0.20, "vision": 0.25, "wrapper": 0.25, "research": 0.30, "no_code": 0.20, "chaser": 0.15})

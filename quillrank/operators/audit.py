@@ -7,9 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.functions.exprs import months, num
 from quillrank.functions.policy import DEFAULT, Policy
 from quillrank.operators.evaluate import histogram
-from quillrank.operators.features import timeline
 
 
 def describe(df: DataFrame, *names: str) -> DataFrame:
@@ -37,9 +37,25 @@ def newest(df: DataFrame, dates: Column) -> DataFrame:
     return df.agg(F.max(dates).alias("reference"))
 
 
-def timeline_variant(policy: Policy = DEFAULT) -> tuple[Column, Column]:
-    """The profile's own timeline check: 9 months of tolerance for open roles as well."""
-    return timeline(policy, role_limit=9, open_limit=9)
+def timeline_variant(policy: Policy = DEFAULT) -> Column:
+    """Number of contradictions by the rules of a data profile, over enriched records (features.enrich).
+
+    They differ from those of the features: four inflated skills, nine months of tolerance
+    whichever way a role's dates and duration differ, two and a half years between the
+    claimed experience and the span, and no education that could explain it.
+    """
+    career, years = F.col("_career"), num(F.col("profile.years_of_experience"))
+    ref = F.to_date(F.lit(policy.reference_date))
+    ends = F.transform(career, lambda e: F.coalesce(e["end"], ref))
+    gaps = F.zip_with(career, ends, lambda e, end: F.abs(months(e["start"], end) - e["months"]))
+    inflated = F.size(F.filter("skills", lambda s: s["proficiency"].isin("advanced", "expert") & (s["duration_months"] <= 1))) >= 4
+    first = F.array_min(F.transform(career, lambda e: e["start"]))
+    span = months(first, F.array_max(ends)) / 12.0
+    last = F.array_max(F.filter(F.transform("education", lambda e: e["end_year"]), lambda y: y.isNotNull() & (y != 0)))
+    graduate = (years >= 5) & (last - F.year(first) > 4) & (last >= F.year(ref) - 2)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    roles = F.size(F.filter(gaps, lambda g: g > 9)) + F.size(F.filter(career, lambda e: e["months"] > 12 * years + 6))
+    return flag(inflated) + roles + flag(span + 0.5 < years - 2) + flag(graduate)
 
 
 def tiers_for_training(labels: DataFrame, features: DataFrame, key: str = "candidate_id") -> DataFrame:

@@ -25,7 +25,7 @@ def enrich(df: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
         start, raw_end = parse_date(e["start_date"]), e["end_date"]
         is_open = e["is_current"] | raw_end.isNull()
         end = F.coalesce(parse_date(raw_end), F.when(is_open, ref))
-        related = any_of(e["title"], policy.target_titles) | any_of(text, policy.core_skills)
+        related = any_of(text, policy.target_titles) | any_of(text, policy.core_skills)
         return F.struct(
             text.alias("text"),
             start.alias("start"),
@@ -35,8 +35,8 @@ def enrich(df: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
             related.alias("related"),
             (related & any_of(text, policy.production_terms) & any_of(text, policy.core_skills)).alias("built"),
             months(end, ref).alias("gap"),
-            any_of(F.concat_ws(" ", e["company"], e["industry"]), policy.services_firms).alias("services"),
-            any_of(e["title"], policy.research_terms).alias("research"),
+            any_of(e["company"], policy.services_firms).alias("services"),
+            any_of(text, policy.research_terms).alias("research"),
         )
 
     out = df.withColumn("_career", F.transform("career_history", role))
@@ -121,12 +121,11 @@ def company_features(p: Policy) -> dict[str, Column]:
     career = F.col("_career")
     total = _sum(career, lambda e: e["months"])
     share = ratio(_sum(F.filter(career, lambda e: e["services"]), lambda e: e["months"]), total)
-    current = F.concat_ws(" ", F.col("profile.current_company"), F.col("profile.current_industry"))
     return {
         "services_fraction": share,
         "all_services_career_flag": _flag((share >= 0.95) & (total > 0)),
         "product_company_flag": _flag(F.exists(career, lambda e: ~e["services"])),
-        "current_is_services": _flag(any_of(current, p.services_firms)),
+        "current_is_services": _flag(any_of(F.col("profile.current_company"), p.services_firms)),
     }
 
 
@@ -201,7 +200,7 @@ def timeline(p: Policy, role_limit: int = 9, open_limit: int = 9) -> tuple[Colum
     inflated = F.size(F.filter("skills", lambda s: s["proficiency"].isin("advanced", "expert") & (s["duration_months"] <= 1))) >= 5
     total = _sum(career, lambda e: e["months"])
     hard = hard + too_short(1.5).cast("int") + F.coalesce(graduate, F.lit(False)).cast("int")
-    soft = soft + 0.3 * (too_short(0.75) & ~too_short(1.5)).cast("int") + 0.3 * F.coalesce(total > 1.6 * span + 12, F.lit(False)).cast("int") + 0.3 * inflated.cast("int")
+    soft = soft + 0.3 * (too_short(0.75) & ~too_short(1.5)).cast("int") + 0.3 * F.coalesce((years > 0) & (total > 1.6 * span + 12), F.lit(False)).cast("int") + 0.3 * inflated.cast("int")
     return hard, soft
 
 

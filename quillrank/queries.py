@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import exprs as X
 from quillrank.functions import lexicon as L
+from quillrank.functions.policy import Policy
 from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
 from quillrank.operators import labeling, retrieval, scoring, trees
+from quillrank.sources.entities import raw_schema, typed
 from quillrank.sources.store import latest, remaining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +202,65 @@ def consistency(spark, d):
     return _histories(spark, d).select("id", hard.alias("hard"))
 
 
+_ROLES = f"""roles AS (SELECT o_custkey AS id, o_orderkey % 40 AS months, substr(o_orderpriority, 1, 1) IN ('1', '3') AS related, substr(o_orderpriority, 1, 1) = '3' AS built, substr(o_orderpriority, 1, 1) = '4' AS research,
+  o_orderkey % 3 = 0 AS services, o_orderkey % 4 = 0 AS open, o_orderdate::DATE AS start, CASE WHEN o_orderkey % 4 = 0 THEN DATE '{REF}' ELSE o_orderdate::DATE + (o_orderkey % 900)::INT END AS fin FROM orders),
+dated AS (SELECT *, datediff('month', start, fin) AS lasted, datediff('month', fin, DATE '{REF}') AS ago, id % 20 AS years FROM roles),
+apart AS (SELECT *, CASE WHEN open THEN months - lasted ELSE abs(lasted - months) END AS off FROM dated),
+person AS (SELECT id, any_value(years)::DOUBLE AS years, count(*)::DOUBLE AS n, sum(months)::DOUBLE AS months, sum(CASE WHEN related THEN months ELSE 0 END) / 12.0::DOUBLE AS applied, bool_or(related) AS related, bool_or(built) AS built,
+  count(*) FILTER (research) AS research, sum(CASE WHEN services THEN months ELSE 0 END)::DOUBLE AS services, bool_or(NOT services) AS product, min(CASE WHEN related AND ago >= 0 THEN ago END) AS since, coalesce(bool_or(related AND ago <= 18), false) AS recent,
+  count(*) FILTER (lasted >= 0 AND off > 9) + count(*) FILTER (years > 0 AND months > 12 * years + 6) AS hard, count(*) FILTER (lasted >= 0 AND off <= 9 AND off > 5) AS soft, datediff('month', min(start), max(fin)) AS span FROM apart GROUP BY id),
+judged AS (SELECT *, id % 4 = 1 AS off_target, id % 4 IN (1, 2) AS manager, CASE id % 4 WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0::DOUBLE ELSE 0.4::DOUBLE END AS role_now, CASE WHEN months > 0 THEN services / months ELSE 0 END AS share,
+  hard + (span / 12.0::DOUBLE + 1.5 < years)::INT AS n_hard, 0.3::DOUBLE * soft + 0.3::DOUBLE * (span / 12.0::DOUBLE + 1.5 >= years AND span / 12.0::DOUBLE + 0.75 < years)::INT + 0.3::DOUBLE * (years > 0 AND months > 1.6::DOUBLE * span + 12)::INT AS n_soft FROM person)"""
+
+
+def _people(spark, d):
+    """Orders as the roles of nested records, read as such: JSON text, lenient leaves, declared types."""
+    order, kind = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    start = F.to_date("o_orderdate")
+    role = F.struct(
+        F.when(kind == "1", "Ranking Engineer").when(kind == "2", "Clerk").otherwise("Analyst").alias("title"),
+        F.when(kind == "3", "retrieval in production").when(kind == "4", "phd thesis").otherwise("ledger").alias("description"),
+        F.when(order % 3 == 0, "IT Services Ltd").otherwise("Acme").alias("company"),
+        F.when(order % 5 == 0, "staffing").otherwise("retail").alias("industry"),
+        start.cast("string").alias("start_date"),
+        F.when(order % 4 != 0, F.date_add(start, (order % 900).cast("int")).cast("string")).alias("end_date"),
+        (order % 40).cast("string").alias("duration_months"),
+    )
+    roles = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(role).alias("career_history"))  # some dozen a customer
+    title = F.element_at(F.array(*map(F.lit, ("Search Engineer", "Sales Manager", "Director", "Clerk"))), (F.col("id") % 4 + 1).cast("int"))
+    company = F.when(F.col("id") % 6 == 0, "Outsourcing AG").otherwise("Acme")
+    profile = F.struct(title.alias("current_title"), company.alias("current_company"), F.lit("staffing").alias("current_industry"), (F.col("id") % 20).cast("string").alias("years_of_experience"))
+    record = F.to_json(F.struct(F.col("id").cast("string").alias("candidate_id"), profile.alias("profile"), "career_history"))
+    return typed(roles.select(F.from_json(record, raw_schema()).alias("r")).select("r.*"))
+
+
+_FEATURES = {
+    "role_target_current": "role_now", "role_target_best": "greatest(role_now, related::INT::DOUBLE)", "relevant_history_flag": "related::INT::DOUBLE", "ever_built_relevant_flag": "built::INT::DOUBLE",
+    "is_offtarget_current": "off_target::INT::DOUBLE", "is_manager_current": "manager::INT::DOUBLE", "title_seniority": "0.5::DOUBLE", "yoe": "years",
+    "experience_fit": "least(1::DOUBLE, 0.15::DOUBLE + 0.85::DOUBLE * exp(-pow(years - 7, 2) / 18.0::DOUBLE))", "applied_ml_years": "applied",
+    "applied_ml_fraction": "CASE WHEN years > 0 THEN least(1::DOUBLE, applied / years) ELSE 0 END", "n_roles": "n", "avg_tenure_months": "months / n",
+    "years_since_last_relevant": "coalesce(since / 12.0::DOUBLE, 99::DOUBLE)", "tenure_chaser_flag": "(n >= 4 AND months / n < 18)::INT::DOUBLE",
+    "services_fraction": "share", "all_services_career_flag": "(share >= 0.95 AND months > 0)::INT::DOUBLE", "product_company_flag": "product::INT::DOUBLE", "current_is_services": "(id % 6 = 0)::INT::DOUBLE",
+    "production_signal": "built::INT::DOUBLE", "consistency_score": "least(1::DOUBLE, greatest(0::DOUBLE, 1 - least(1::DOUBLE, 0.5::DOUBLE * n_hard + n_soft)))", "honeypot_flag": "(n_hard >= 1)::INT::DOUBLE", "n_hard_contradictions": "n_hard::DOUBLE",
+    "pure_research_flag": "(research / n >= 0.6 AND NOT built)::INT::DOUBLE", "no_recent_code_flag": "(manager AND NOT recent)::INT::DOUBLE",
+    "core_skill_hits": "0::DOUBLE", "assessment_alignment": "1::DOUBLE", "recency_score": "0.5::DOUBLE", "response_rate_score": "0.5::DOUBLE", "interview_completion_score": "0::DOUBLE", "days_since_active": "-1::DOUBLE", "location_tier_score": "0.3::DOUBLE", "work_mode_fit": "0.7::DOUBLE",
+}
+
+
+@query(f"WITH {_ROLES} SELECT id::VARCHAR AS candidate_id, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in _FEATURES.items()) + " FROM judged")
+def entity_features(spark, d):
+    """The library's own features of nested records."""
+    found = FE.static_features(_people(spark, d), Policy(reference_date=REF))
+    return found.select("candidate_id", *(F.round(name, 6).alias(name) for name in _FEATURES))
+
+
+@query(f"""WITH {_ROLES} SELECT id::VARCHAR AS candidate_id, (count(*) FILTER (abs(lasted - months) > 9) + count(*) FILTER (months > 12 * years + 6) + (datediff('month', min(start), max(fin)) / 12.0::DOUBLE + 0.5 < any_value(years) - 2)::INT)::INT AS reasons FROM apart GROUP BY id""")
+def profile_contradictions(spark, d):
+    """Contradictions by the rules of the data profile."""
+    policy = Policy(reference_date=REF)
+    return FE.enrich(_people(spark, d), policy).select("candidate_id", audit.timeline_variant(policy).alias("reasons"))
+
+
 @query("""SELECT c_custkey, CASE WHEN base < 0.85 AND moves THEN least(0.85::DOUBLE, base + 0.15::DOUBLE) ELSE base END AS tier FROM (
   SELECT c_custkey, c_acctbal > 0 AS moves, CASE WHEN regexp_matches(lower(n_name), '1') THEN 1::DOUBLE WHEN regexp_matches(lower(n_name), '2') THEN 0.85::DOUBLE WHEN r_regionkey = 0 THEN 0.65::DOUBLE ELSE 0.3::DOUBLE END AS base
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""")
@@ -350,11 +411,10 @@ def best_parameter(spark, d):
     return E.best_parameter(parameter_sweep(spark, d))
 
 
-@query(_BM25 + ", " + _LABELLED + ", n AS (SELECT count(*) AS n FROM lab), rows_ AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, tier, bm25 FROM lab), long AS (SELECT b AS k, i AS id, tier, bm25 AS score FROM n, unnest(range(0, 50)) x(b), unnest(range(0, n)) y(i) JOIN rows_ ON idx = (b * 7919 + i * 104729 + 42) % n)" + _METRIC_SQL + ", c AS (SELECT 0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10 AS c FROM final) SELECT round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS std, round(quantile_cont(c, 0.025), 5) AS low, round(quantile_cont(c, 0.975), 5) AS high FROM c")
+@query(_BM25 + ", " + _LABELLED + ", n AS (SELECT count(*) AS n FROM lab), rows_ AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, tier, bm25 FROM lab), long AS (SELECT b AS k, i AS id, tier, bm25 AS score FROM n, unnest(range(0, 1000)) x(b), unnest(range(0, n)) y(i) JOIN rows_ ON idx = ('0x' || substr(md5(b || ':' || i || ':42'), 1, 15))::BIGINT % n)" + _METRIC_SQL + ", c AS (SELECT 0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10 AS c FROM final) SELECT round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS std, round(quantile_cont(c, 0.025), 5) AS low, round(quantile_cont(c, 0.975), 5) AS high FROM c")
 def bootstrap_ci(spark, d):
     rows = _labelled(spark, d).withColumn("idx", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))  # labelled rows only
-    # the SQL fixes rounds and rows: a round takes every row once, so std and interval are far too small (REPLY_r01.md)
-    out = E.bootstrap(rows.select("idx", "tier", "bm25"), "bm25", 50, index=lambda n, b, i, seed: (b * 7919 + i * 104729 + seed) % n)
+    out = E.bootstrap(rows.select("idx", "tier", "bm25"), "bm25", 1000)
     return out.select(*(F.round(c, 5).alias(c) for c in ("mean", "std", "low", "high")))
 
 
