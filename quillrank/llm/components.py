@@ -29,11 +29,11 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
             return found.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         return found.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(found.select("u", F.col("least").alias("v")))
 
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label, small=True)
     state = _state(edges)
     while True:
         wide = to_least(edges, True).where("u <> v").distinct()
-        before, edges = edges, stored(to_least(wide, False).where("u <> v").distinct(), label)
+        before, edges = edges, stored(to_least(wide, False).where("u <> v").distinct(), label, small=True)
         discard(before)
         new = _state(edges)
         if new == state:

@@ -245,7 +245,7 @@ def _split(groups: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     flipped = F.concat(F.array_except("d", "major"), F.array_except("major", "d"))
     rows = groups.join(major, "group", "left").withColumn("d", F.when(F.col("major").isNull(), F.col("d")).otherwise(flipped)).drop("major")
     rows = stored(rows, "jaccard-rows")
-    star = stored(_star(rows, like), "jaccard-star")
+    star = stored(_star(rows, like), "jaccard-star", small=True)
     cells = rows.select("group", "x", "n", F.explode("d").alias("column"))
     counts = cells.groupBy("group", "column").agg(F.count("*").alias("have"))
     cells = cells.join(counts, ["group", "column"])
@@ -253,7 +253,7 @@ def _split(groups: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     place = F.row_number().over(Window.partitionBy("group", "x").orderBy("have", "column"))
     cells = cells.withColumn("place", place).where((F.col("place") <= like.misses_column(F.col("n")) + 1) & (F.col("have") > 1))
     cells = cells.select("x", F.xxhash64("group", "column").alias("to"), "group")
-    smaller = stored(cells.join(rows, ["group", "x"]).select(F.col("to").alias("group"), "x", "n", "d"), "jaccard-groups")
+    smaller = stored(cells.join(rows, ["group", "x"]).select(F.col("to").alias("group"), "x", "n", "d"), "jaccard-groups", small=True)
     discard(rows)
     return star, smaller
 
@@ -265,9 +265,9 @@ def group_links(groups: DataFrame, like: Likeness, most_members: int | None = No
     while True:
         sizes = groups.groupBy("group").agg(F.count("*").alias("members"), F.sum(F.size("d")).alias("cells"))
         fits = (F.col("members") <= most_members) & (F.col("cells") <= MOST_CELLS) | (F.col("members") <= 2)
-        sizes = stored(sizes.where("members > 1").withColumn("fits", fits), "jaccard-sizes")
+        sizes = stored(sizes.where("members > 1").withColumn("fits", fits), "jaccard-sizes", small=True)
         fitting = groups.join(sizes.where("fits").select("group"), "group", "left_semi")
-        found.append(stored(small_group_links(fitting, like), "jaccard-links"))
+        found.append(stored(small_group_links(fitting, like), "jaccard-links", small=True))
         large = sizes.where("NOT fits").select("group")
         if large.isEmpty():
             discard(groups, sizes)
@@ -282,22 +282,22 @@ def links(docs: DataFrame, cells: DataFrame, named: DataFrame, like: Likeness) -
     """u, v: links between nodes (different sets) that connect what the threshold connects."""
     spark = docs.sparkSession
     columns = cells.groupBy("column").agg(F.count("*").alias("have"), F.min("node").alias("least")).where("have > 1")
-    cells = stored(cells.join(columns, "column"), "jaccard-cells")
-    pairs = stored(candidate_pairs(cells.where(F.col("have") <= SMALL), like), "jaccard-pairs")
-    crowds = stored(cells.where(F.col("have") > SMALL).select(F.col("least").alias("group"), F.col("node").alias("x"), "n").distinct(), "jaccard-crowds")
+    cells = stored(cells.join(columns, "column"), "jaccard-cells", small=True)
+    pairs = stored(candidate_pairs(cells.where(F.col("have") <= SMALL), like), "jaccard-pairs", small=True)
+    crowds = stored(cells.where(F.col("have") > SMALL).select(F.col("least").alias("group"), F.col("node").alias("x"), "n").distinct(), "jaccard-crowds", small=True)
     discard(cells)
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(crowds.select(F.col("x").alias("node")))
-    nodes = stored(nodes.distinct(), "jaccard-nodes")
+    nodes = stored(nodes.distinct(), "jaccard-nodes", small=True)
     bits = bits_for(nodes.count())
     holders = named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("key"))
     ids, wanted = (spark.sparkContext.broadcast(bit_table(t, bits)) for t in (holders.select("key"), nodes.select(F.col("node").alias("key"))))
-    sets = stored(wanted_sets(docs, like, ids, wanted), "jaccard-sets")
+    sets = stored(wanted_sets(docs, like, ids, wanted), "jaccard-sets", small=True)
     u, v = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_set")) for c in "uv")
     n, m = F.size("u_set"), F.size("v_set")
     apart = n + m - 2 * F.size(F.array_intersect("u_set", "v_set"))
     joined = pairs.join(u, "u").join(v, "v").where(like.linked(apart.cast("long"), n, m)).select("u", "v")
-    found = [stored(joined, "jaccard-links")]
-    groups = stored(crowds.join(sets.withColumnRenamed("node", "x"), "x").select("group", "x", "n", F.col("grams").alias("d")), "jaccard-groups")
+    found = [stored(joined, "jaccard-links", small=True)]
+    groups = stored(crowds.join(sets.withColumnRenamed("node", "x"), "x").select("group", "x", "n", F.col("grams").alias("d")), "jaccard-groups", small=True)
     discard(pairs, crowds, nodes, sets)
     return reduce(DataFrame.unionByName, found + group_links(groups, like))
 
@@ -341,11 +341,11 @@ def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     the others pass by.
     """
     spark = docs.sparkSession
-    found = stored(classified(docs, like).where("node IS NOT NULL").select("doc_id", "id", "node", "group"), "jaccard-found")
+    found = stored(classified(docs, like).where("node IS NOT NULL").select("doc_id", "id", "node", "group"), "jaccard-found", small=True)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     kept = found.groupBy("group").agg(F.count("*").alias("rows"), F.min(order).alias("kept")).where("rows > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("node") == F.col("kept.node"))
-    judged = stored(found.join(kept, "group").select("id", "node", stays.alias("stays")).distinct(), "jaccard-judged")
+    judged = stored(found.join(kept, "group").select("id", "node", stays.alias("stays")).distinct(), "jaccard-judged", small=True)
     discard(found)
     bits = bits_for(judged.count())
     concerned = spark.sparkContext.broadcast(bit_table(judged.select(F.col("id").alias("key")).distinct(), bits))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import SPACE, Spans, mix, owners, text_chunks, word_bounds, word_tokens
 from quillrank.llm.frequency import Frequency, Layout, counted, frequency
-from quillrank.llm.repeats import CHUNK, LOOK, Groups, Method, Places, covered_tokens, find_repeats, first_of_groups, numbered, pieces, span_arrays, with_spans
+from quillrank.llm.repeats import CHUNK, LOOK, Groups, Method, Places, covered_tokens, cut_by_spans, find_repeats, first_of_groups, numbered, pieces
 from quillrank.llm.shared import small_batches, table, unused
 
 WINDOW = 20
@@ -207,42 +207,41 @@ def words_method(window: int, rounds: int, tables=()) -> Method:
 
 def cut_words(docs: DataFrame, places: Places, rank: str, spans: DataFrame, digest_only: bool, measures: bool) -> DataFrame:
     """`docs` with text of kept words joined by single spaces where something was removed, and the measures."""
-    name = unused("spans", set(docs.columns))
-    joined = with_spans(docs, spans, places, rank, name)
     new = ("n_words", "n_removed", "kept_sha256") if measures else ()
     columns = [c for c in docs.columns if c != rank and c not in new and not (digest_only and c == "text")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, offsets, data in text_chunks(batch):
-                data = data.tobytes()
-                texts, n_words, n_removed, digests = [], [], [], []
-                for i, gone in enumerate(span_arrays(part.column(name))):
-                    if gone is None and not measures:
-                        texts.append(None)
-                        continue
-                    words = data[offsets[i] : offsets[i + 1]].split()
-                    kept = words
-                    if gone is not None:
-                        kept = list(compress(words, ~covered_tokens(len(words), gone)))
-                    n_words.append(len(words))
-                    n_removed.append(len(words) - len(kept))
-                    joined_text = b" ".join(kept)
-                    if measures:
-                        digests.append(sha256(joined_text).hexdigest())
-                    texts.append(joined_text.decode() if len(kept) < len(words) else None)
-                out = []
-                for c in columns:
-                    old = part.column(c)
-                    if c == "text":
-                        old = pa.array([new_text if new_text is not None else was for new_text, was in zip(texts, old.to_pylist(), strict=True)], old.type)
-                    out.append(old)
-                measured = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] if measures else []
-                yield pa.RecordBatch.from_arrays([*out, *measured], names=[*columns, *new])
+    def cut(batch: pa.RecordBatch, ranges: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for part, offsets, data in text_chunks(batch):
+            data = data.tobytes()
+            texts, n_words, n_removed, digests = [], [], [], []
+            for i, gone in enumerate(ranges[at : at + part.num_rows]):
+                if gone is None and not measures:
+                    texts.append(None)
+                    continue
+                words = data[offsets[i] : offsets[i + 1]].split()
+                kept = words
+                if gone is not None:
+                    kept = list(compress(words, ~covered_tokens(len(words), gone)))
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(kept))
+                joined_text = b" ".join(kept)
+                if measures:
+                    digests.append(sha256(joined_text).hexdigest())
+                texts.append(joined_text.decode() if len(kept) < len(words) else None)
+            at += part.num_rows
+            out = []
+            for c in columns:
+                old = part.column(c)
+                if c == "text" and any(t is not None for t in texts):
+                    old = pa.array([new_text if new_text is not None else was for new_text, was in zip(texts, old.to_pylist(), strict=True)], old.type)
+                out.append(old)
+            measured = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] if measures else []
+            yield pa.RecordBatch.from_arrays([*out, *measured], names=[*columns, *new])
 
     fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns]
     kinds = ["n_words long", "n_removed long", "kept_sha256 string"] if measures else []
-    return joined.mapInArrow(run, ", ".join([*fields, *kinds]))
+    return cut_by_spans(docs, spans, places, rank, cut, ", ".join([*fields, *kinds]))
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, digest_only: bool = False, measures: bool = True) -> DataFrame:

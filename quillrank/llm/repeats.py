@@ -350,41 +350,55 @@ def find_repeats(docs: DataFrame, method: Method, places: Places, rank: str, lab
     wanted = spark.sparkContext.broadcast(table or anchor_table(docs, method, places, rank))
     groups = stored(repeated_groups(docs, method, places, rank, wanted), f"{label}-groups")
     whole, firsts, between = match_groups(groups)
-    whole, firsts = stored(whole, f"{label}-whole"), stored(firsts, f"{label}-firsts")
-    discard(groups, *between)
-    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key")), bits_for(firsts.count())))
+    most = groups.where("NOT again").count()
+    chosen = spark.sparkContext.broadcast(bit_table(firsts.select(spread_column("occ").alias("key")), bits_for(most, 8)))
     windows = single_windows(docs, method, places, rank, chosen)
     # runs that the task knew pass through beside the windows, each in a partition of its own place
     same = Window.partitionBy("again", F.when(F.col("again"), F.col("occ")).otherwise(F.col("w")), "key")
     single = windows.withColumn("_least", F.min("occ").over(same)).where("again OR occ > _least")
     removed = whole.select("occ", "m").unionByName(single.select("occ", "m"))
-    spans = stored(spans_of(removed, places, method.window), f"{label}-spans")
-    discard(whole, firsts)
+    spans = stored(spans_of(removed, places, method.window), f"{label}-spans", small=True)
+    discard(groups, *between)
     return spans
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, places: Places, rank: str, name: str) -> DataFrame:
-    """`docs` without `rank`, with the spans as column `name`, null where nothing is removed.
+Cut = Callable[[pa.RecordBatch, list[np.ndarray | None]], Iterator[pa.RecordBatch]]
+
+
+def cut_by_spans(docs: DataFrame, spans: DataFrame, places: Places, rank: str, cut: Cut, schema: str) -> DataFrame:
+    """`cut(rows, spans of each row or None)` over all rows of `docs`.
 
     Only texts that may have spans (by a bit table of their ranks) go through the join;
-    all others pass by without a shuffle.
+    all others are cut where they are, without a shuffle.
     """
     keys = spans.select(spread_column("doc").alias("key"))
     touched = docs.sparkSession.sparkContext.broadcast(bit_table(keys, bits_for(spans.count())))
     packed = F.coalesce(F.col(rank) - F.lit(places.least) + 1, F.lit(0)).cast("long")
-    columns = [c for c in docs.columns if c != rank]
 
-    def side(wanted: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                hit = in_table(touched.value, spread(places.docs(batch.column(rank))))
-                yield batch.filter(pa.array(hit == wanted))
+    def has(batch: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
+        hit = in_table(touched.value, spread(places.docs(batch.column(rank))))
+        return batch.filter(pa.array(hit == wanted))
+
+    def concerned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield has(batch, True)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = has(batch, False)
+            yield from cut(batch, [None] * batch.num_rows)
 
-        return docs.mapInArrow(run, docs.schema)
+    taken = set(docs.columns)
+    known, name = unused("doc", taken), unused("spans", taken)
+    found = spans.select(F.col("doc").alias(known), F.col("spans").alias(name))
+    joined = docs.mapInArrow(concerned, docs.schema).join(found, packed == F.col(known), "left").select(*docs.columns, name)
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from cut(batch.select(docs_columns), list(span_arrays(batch.column(name))))
 
-    found = spans.select(F.col("doc").alias(f"{rank}_known"), F.col("spans").alias(name))
-    changed = side(True).join(found, packed == F.col(f"{rank}_known"), "left").select(*columns, name)
-    return changed.unionByName(side(False).select(*columns).withColumn(name, F.lit(None).cast(spans.schema["spans"].dataType)))
+    docs_columns = docs.columns
+    return joined.mapInArrow(joining, schema).unionByName(docs.mapInArrow(passing, schema))
 
 
 def span_arrays(column) -> Iterator[np.ndarray | None]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import Spans, mix, text_chunks
-from quillrank.llm.repeats import CHUNK, Groups, Method, Places, covered_tokens, find_repeats, numbered, span_arrays, with_spans
+from quillrank.llm.repeats import CHUNK, Groups, Method, Places, covered_tokens, cut_by_spans, find_repeats, numbered
 from quillrank.llm.shared import small_batches, stored, table, unused
 
 WINDOW = 100
@@ -64,7 +64,7 @@ def bytes_method(window: int, anchor: int = ANCHOR) -> Method:
 
 
 class SuffixLevels:
-    """Levels of (key, sh, occ), each sorted by (key, sh) in the shared folder."""
+    """Levels of (key, sh, occ) in the shared folder, dealt by key and in runs sorted by (key, sh)."""
 
     def __init__(self, label: str = "suffixes"):
         self.label = label
@@ -87,12 +87,12 @@ class SuffixLevels:
             known = self.entries().select("key", "sh", F.lit(True).alias("known"))
             rows = rows.join(known.hint("merge"), ["key", "sh"], "left").withColumn("first", F.col("first") & F.col("known").isNull())
             rows = rows.withColumn("later", F.col("later") | F.col("known").isNotNull()).drop("known")
-        rows = stored(rows, self.label)
+        rows = stored(rows, self.label, small=True)
         self.tables.append(rows)
         self.levels.append((1, rows.where("first").select("key", "sh", "occ")))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            merged = stored(a.unionByName(b).repartition("key").sortWithinPartitions("key", "sh"), self.label)
+            merged = stored(a.unionByName(b).repartition("key").sortWithinPartitions("key", "sh"), self.label, small=True)
             self.tables.append(merged)
             self.levels.append((2 * size, merged))
         return rows.where("later")
@@ -118,29 +118,28 @@ def match_levels(groups: DataFrame, batches: int = BATCHES) -> tuple[DataFrame,
 
 
 def cut_bytes(docs: DataFrame, places: Places, rank: str, spans: DataFrame, keep: bool = True) -> DataFrame:
-    name = unused("spans", set(docs.columns))
-    joined = with_spans(docs, spans, places, rank, name)
     new = ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     columns = [c for c in docs.columns if c not in new and c not in ("text", rank)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, offsets, data in text_chunks(batch):
-                rows = []
-                for i, ranges in enumerate(span_arrays(part.column(name))):
-                    own = data[offsets[i] : offsets[i + 1]]
-                    n_spans, rest = 0, own
-                    if ranges is not None:
-                        gone = covered_tokens(len(own), ranges)
-                        n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                        rest = own[~gone]
-                    rest_bytes = rest.tobytes()
-                    rows.append((rest_bytes if keep else None, len(own), len(own) - len(rest), n_spans, sha256(rest_bytes).hexdigest()))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*columns, *new])
+    def cut(batch: pa.RecordBatch, ranges: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for part, offsets, data in text_chunks(batch):
+            rows = []
+            for i, removed in enumerate(ranges[at : at + part.num_rows]):
+                own = data[offsets[i] : offsets[i + 1]]
+                n_spans, rest = 0, own
+                if removed is not None:
+                    gone = covered_tokens(len(own), removed)
+                    n_spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                    rest = own[~gone]
+                rest_bytes = rest.tobytes()
+                rows.append((rest_bytes if keep else None, len(own), len(own) - len(rest), n_spans, sha256(rest_bytes).hexdigest()))
+            at += part.num_rows
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*columns, *new])
 
     fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return joined.mapInArrow(run, ", ".join([*fields, "kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"]))
+    return cut_by_spans(docs, spans, places, rank, cut, ", ".join([*fields, "kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"]))
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, keep: bool = True) -> DataFrame:
