@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.shared import clean_text, table, word_count
+from quillrank.llm.shared import clean_text, table, unused, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -52,29 +52,37 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def _planned(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with size, source_size, target and copies under names that it doesn't have, and these names."""
+    taken = set(docs.columns)
+    name = {c: unused(c, taken) for c in ("size", "source_size", "target", "copies", "rate", "known_source")}
+    base = docs.withColumn(name["size"], word_count(clean_text()))
+    targets = source_targets(base.select("source", F.col(name["size"]).alias("size")), weights, most)
+    targets = targets.select(F.col("source").alias(name["known_source"]), *(F.col(c).alias(name[c]) for c in ("source_size", "target", "rate")))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rate = F.coalesce(F.col(name["rate"]), F.lit(0.0))
+    extra = (uniform(key, seed) < rate - F.floor(rate)).cast("int")
+    joined = base.join(targets, F.col("source").eqNullSafe(F.col(name["known_source"])), "left")
+    return joined.withColumn(name["copies"], (F.floor(rate) + extra).cast("int")).drop(name["known_source"], name["rate"]), name
+
+
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """`docs` with size, source_size, target and copies (how often the mix takes the row).
 
     copies = floor(rate) plus one with a probability of rate's fraction, decided by a
     hash of doc_id and the seed. A null text has size 0, a null source is a source of
     its own, rows that share a doc_id share the decision, a null doc_id hashes as the
-    word null. Other columns pass through; columns of the names that are added here
-    are replaced.
+    word null; a text of any length counts whole; an empty table gives an empty result.
+    Other columns pass through; columns of the names that are added here are replaced.
     """
-    added = ("size", "source_size", "target", "copies", "rate")
-    base = docs.drop(*added).withColumn("size", word_count(clean_text()))
-    targets = source_targets(base.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rate = F.coalesce(F.col("rate"), F.lit(0.0))
-    extra = (uniform(key, seed) < rate - F.floor(rate)).cast("int")
-    joined = base.join(targets, base["source"].eqNullSafe(targets["_source"]), "left")
-    return joined.withColumn("copies", (F.floor(rate) + extra).cast("int")).drop("_source", "rate")
+    return _planned(docs.drop("size", "source_size", "target", "copies"), weights, most, seed)[0]
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every row of `docs` as often as plan_mix() says, same columns."""
-    planned = plan_mix(docs, **options).where("copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
+    """The mixed corpus: every row of `docs` as often as plan_mix() says, with its own columns whatever their names."""
+    planned, name = _planned(docs, weights, most, seed)
+    copies = planned.where(F.col(name["copies"]) > 0).select("*", F.explode(F.sequence(F.lit(1), F.col(name["copies"]))))
+    return copies.select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -511,7 +511,7 @@ def test_components(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nxyz \x00"
-    pages = spark.createDataFrame([(1, "http://a", tricky), (2, "http://b", tricky), (3, None, None), (4, "http://c", ""), (2, "http://b", tricky), (None, "u", "é")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://a", tricky), (2, "http://b", tricky), (3, None, None), (4, "http://c", ""), (2, "http://b", tricky), (None, "u\r\n\r\nWARC/1.1\nx", "é")], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
     records = warc.read_archives(spark, str(tmp_path / "w"))
     assert records.count() == 18 and records.where("intact = false").count() == 0
@@ -536,7 +536,7 @@ def test_pieces_are_those_of_the_library(spark, docs, rows):
         assert r["ids"] == model.encode(text) and r["n_tokens"] == len(r["ids"])
 
 
-def test_mixing(docs, rows, empty):
+def test_mixing(spark, docs, rows, empty):
     got = mixing.plan_mix(docs.withColumn("size", F.lit("clash"))).collect()
     size = {i: len(words(t)) for i, t, *_ in rows}
     total = Counter()
@@ -559,6 +559,10 @@ def test_mixing(docs, rows, empty):
         rate = target[r["source"]] / total[r["source"]] if total[r["source"]] else 0
         assert r["copies"] in (int(rate + 1e-9), int(rate + 1e-9) + 1) and r["copies"] <= 3
     assert sorted((r["doc_id"], r["copies"]) for r in got) == sorted((r["doc_id"], r["copies"]) for r in mixing.plan_mix(docs.repartition(5)).collect())
+    clashing = docs.select("*", *(F.lit(c).alias(c) for c in ("rate", "size", "copies", "target", "_copy")))
+    assert mixing.mix(clashing).columns == clashing.columns and mixing.mix(clashing).where("rate = 'rate' AND size = 'size' AND copies = 'copies'").count() == sum(r["copies"] for r in got)
+    long = spark.createDataFrame([(1, "w " * 200_000, "a"), (2, "w", "b")], "doc_id long, text string, source string")
+    assert mixing.plan_mix(long).where("doc_id = 1").first()["size"] == 200_000
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.plan_mix(empty).count() == 0
