@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quillrank.llm.shared import shared_folder, table
 
 RECORDS_PER_FILE = 30_000
+BYTES_PER_FILE = 1 << 28  # of payloads, about: an archive is read as one value
+SALTS = 16
 LEAST_BYTES = 0
 _END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -53,13 +55,20 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date:
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest
     page_id are responses, the others revisit them; null page_ids come last. A null html
-    is an empty payload. Rows that repeat a page_id stay captures of their own.
+    is an empty payload. Rows that repeat a page_id stay captures of their own. Line
+    breaks in a url, which would end its header line, are percent-encoded; a page of any
+    length is one record; an empty table gives archives without records.
     """
-    rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    url = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    mean, most = pages.agg(F.avg(F.octet_length("html")), F.max(F.octet_length("html"))).first()
+    per_file = min(RECORDS_PER_FILE, 3 * max(1, int(BYTES_PER_FILE / max(1, 2 * (mean or 0), (most or 0) / 16))))
+    rows = pages.select("page_id", url.alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("hex", F.sha1("html")).withColumn("digest", base32(F.col("hex"))).withColumn("row", F.monotonically_increasing_id())
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     first = rows.groupBy("digest").agg(F.min(order).alias("first"))
-    rows = rows.join(first, "digest")
+    # a payload that many pages share is dealt out to several tasks
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(first, ["digest", "salt"])
     revisit = (F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     urn = lambda p, r, kind: F.concat(F.lit("<urn:capture:"), p, F.lit(":"), r.cast("string"), F.lit(f":{kind}>"))
@@ -84,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date:
     )
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", own("metadata")), when, uri, together, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit("\r\n")))
     records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -101,6 +110,8 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"a record without Content-Length: {fields}")
         size = int(fields["content-length"])
         block = stream.read(size)
         if len(block) < size:
