@@ -374,3 +374,21 @@ def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Likeness(3, 90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+cells AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM words, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS t(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM cells GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM cells a JOIN cells b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM met JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 90 * (x.n + y.n - common)),
+steps AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reached(u, v) AS (SELECT u, v FROM steps UNION SELECT r.u, s.v FROM reached r JOIN steps s ON r.v = s.u),
+least AS (SELECT u, min(v) AS v FROM reached GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.v, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.u = d.doc_id
+"""

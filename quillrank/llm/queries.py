@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.SQL, "op9_recompression": recompression.SQL, "op10_mixing": mixing.SQL}
+    modules = {
+        "op5_suffix_levels": suffix_levels,
+        "op6_jaccard": jaccard,
+        "op7_warc": warc,
+        "op9_recompression": recompression,
+        "op10_mixing": mixing,
+    }
+    return {name: module.SQL for name, module in modules.items()}

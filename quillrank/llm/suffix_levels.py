@@ -161,3 +161,15 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, k
 
 def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False).drop("kept")
+
+
+SQL = """
+WITH octets AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT doc_id, i, b[i:i + 99] AS w, octet_length(b) AS n, hex(b[i:i]) AS octet FROM octets, unnest(range(1, octet_length(b) + 1)) AS t(i)),
+windows AS (SELECT doc_id, i, octet, i + 99 <= n AND row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM places),
+covered AS (SELECT doc_id, i, octet, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM windows),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM covered),
+cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(octet, '' ORDER BY i) FILTER (NOT gone) AS kept FROM edges GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM octets LEFT JOIN cut USING (doc_id)
+"""
