@@ -20,8 +20,8 @@ from quillrank.llm.arrays import text_chunks
 from quillrank.llm.shared import small_batches, table
 
 SPACE_MARK = "▁"
-CACHE_BYTES = 24 << 20
-COMPATIBLE_PAIRS = 1_000_000
+CACHE_BYTES = 40 << 20  # of each half
+COMPATIBLE_PAIRS = 400_000
 _NEVER = float("inf")
 
 
@@ -41,6 +41,8 @@ class Codec:
         import ahocorasick
 
         self.text = [p for p, _, _ in pieces]
+        self.shown = [p.replace(SPACE_MARK, " ") for p in self.text]
+        self.number = [str(i) for i in range(len(pieces))]
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k == "piece"}
@@ -154,7 +156,7 @@ class Codec:
 
     def word(self, text: str) -> list[int]:
         """Ids of a word with its leading mark; characters outside the vocabulary become bytes."""
-        if set(text) <= self.chars:
+        if self.chars.issuperset(text):
             return self.known(text)
         ids: list[int] = []
         begin = 0
@@ -172,8 +174,9 @@ class Codec:
 
     def pieces_text(self, ids: list[int] | tuple[int, ...]) -> str:
         """The text of ids, marks as spaces; runs of byte pieces are read as UTF-8."""
-        if not any(i in self.bytes for i in ids):
-            return "".join([self.text[i] for i in ids]).replace(SPACE_MARK, " ")
+        if self.bytes.keys().isdisjoint(ids):
+            shown = self.shown
+            return "".join([shown[i] for i in ids])
         out, held = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -187,6 +190,10 @@ class Codec:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out).replace(SPACE_MARK, " ")
 
+    def joined(self, ids: list[int] | tuple[int, ...]) -> str:
+        number = self.number
+        return ",".join([number[i] for i in ids])
+
     def decode(self, ids: list[int]) -> str:
         text = self.pieces_text(ids)
         return text[1:] if text.startswith(" ") else text
@@ -197,7 +204,7 @@ class Codec:
             found = self.older.get(part)
             if found is None:
                 ids = tuple(self.word(SPACE_MARK + part))
-                found = ids, ",".join(map(str, ids)), self.pieces_text(ids)
+                found = ids, self.joined(ids), self.pieces_text(ids)
             size = 400 + 48 * len(found[0]) + 8 * len(part)  # of the entry, about
             if size < CACHE_BYTES // 1000:
                 self.words[part] = found
@@ -223,12 +230,12 @@ class Codec:
                             ids = (*self.marks(marks), *ids[1:])
                         else:
                             ids = (*self.marks(marks - 1), *ids)
-                        found = ids, ",".join(map(str, ids)), self.pieces_text(ids)
+                        found = ids, self.joined(ids), self.pieces_text(ids)
                     rows.append(found)
                     marks = 0
             if marks:
                 ids = tuple(self.marks(marks))
-                rows.append((ids, ",".join(map(str, ids)), self.pieces_text(ids)))
+                rows.append((ids, self.joined(ids), self.pieces_text(ids)))
         else:
             rows = [self.cached(p) for p in parts]
         decoded = "".join([r[2] for r in rows])
