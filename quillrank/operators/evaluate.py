@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.exprs import clamp
+from quillrank.functions.policy import DEFAULT, Policy
+from quillrank.operators import scoring
+
 RELEVANT = 3
 
 
@@ -86,6 +91,65 @@ def health(scored: DataFrame, flags: dict[str, Column], n: int, *order: Column)
     return scored.orderBy(*order).limit(n).agg(*(F.count_if(c).alias(k) for k, c in flags.items()))
 
 
+def ablation_table(df: DataFrame, columns: dict[str, str], flags: dict[str, Column], n: int, id_: str = "id") -> DataFrame:
+    """Metrics per variant (variant -> score column) beside the flags among its n best rows; `df` has tier, null without a label."""
+    scores = metrics(variants(df.where("tier IS NOT NULL"), columns, id_), "variant", "score", id_)
+    counts = [health(df, flags, n, F.col(c).desc(), F.col(id_)).withColumn("variant", F.lit(name)) for name, c in columns.items()]
+    return scores.join(F.broadcast(reduce(DataFrame.unionByName, counts)), "variant")  # one row per variant
+
+
+#: Points of the sensitivity sweeps: (numerators, denominator).
+GRIDS = {"blend": (range(21), 20.0), "offtarget_gate": (range(21), 40.0), "consistency_gate": (range(21), 100.0), "availability_floor": (range(6, 21), 20.0)}
+
+
+def sensitivity(scored: DataFrame, policy: Policy = DEFAULT, model: str | None = None, id_: str = "id") -> DataFrame:
+    """parameter, p and composite: each parameter of the final score alone moved over its grid.
+
+    `scored` is what scoring.score() gives, with tier; `model` is a column of a model's
+    score between 0 and 1, without which the blend is not moved.
+    """
+    fit = clamp(F.col("fit_raw"))
+    c = lambda name: scoring.col(scored, name) > 0
+    off, history, built = c("is_offtarget_current"), c("relevant_history_flag"), c("ever_built_relevant_flag")
+    p, high = F.col("p"), policy.availability_band[1]
+    parts = {
+        "offtarget_gate": {"offtarget_gate": F.when(off & built, 0.7).when(off & history, F.greatest(p, F.lit(0.5))).when(off, p).otherwise(1.0)},
+        "consistency_gate": {"honeypot_gate": F.when(c("honeypot_flag"), p).otherwise(1.0)},
+        "availability_floor": {"availability": F.least(F.lit(high), F.greatest(p, p + (high - p) * scoring.engagement(scored)))},
+    }
+    if model:
+        parts["blend"] = {"fit": clamp(p * F.col(model) + (1 - p) * F.col("rubric"))}
+    found = []
+    for name, moved in parts.items():
+        usual = {"fit": fit} | {k: F.col(k) for k in ("availability", "location", "offtarget_gate", "honeypot_gate")}
+        final = reduce(lambda a, b: a * b, (usual | moved).values())
+        numerators, denominator = GRIDS[name]
+        swept = sweep(scored.where("tier IS NOT NULL"), [i / denominator for i in numerators], F.round(final, 9), id_)
+        found.append(swept.select(F.lit(name).alias("parameter"), "p", "composite"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def by_hash(id_: str, seed: int) -> list[Column]:
+    """An order that depends on ids and seed alone."""
+    return [F.md5(F.concat(F.col(id_).cast("string"), F.lit(f":{seed}"))), F.col(id_)]
+
+
+def split(df: DataFrame, id_: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """`df` (unique ids) with the column validation: true for exactly int(n * share) rows, by hash order."""
+    k = int(df.count() * share)
+    chosen = df.select(id_).orderBy(*by_hash(id_, seed)).limit(k).withColumn("validation", F.lit(True))
+    return df.join(chosen, id_, "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
+
+
+def sample_with_quotas(df: DataFrame, stratum: str, total: int, whole: str, shares: dict[str, float], id_: str, seed: int = 42) -> DataFrame:
+    """All rows of the stratum `whole`, int(total * share) rows of each other one, then rows of any stratum up to `total`."""
+    parts = [df.where(F.col(stratum) == whole)]
+    parts += [df.where(F.col(stratum) == name).orderBy(*by_hash(id_, seed)).limit(int(total * share)) for name, share in shares.items()]
+    taken = reduce(DataFrame.unionByName, parts)
+    missing = max(0, total - taken.count())
+    return taken.unionByName(df.join(taken.select(id_), id_, "left_anti").select(*df.columns).orderBy(*by_hash(id_, seed)).limit(missing))
+
+
 def nearest_rank(df: DataFrame, value: str, q: float, key: str) -> DataFrame:
     """sorted[round(q * (n - 1))] with half-to-even rounding, per key."""
     by = Window.partitionBy(key)
@@ -105,8 +169,7 @@ def stratified(df: DataFrame, stratum: str, quotas: dict[str, int], id_: str, se
     Each stratum's rows are first cut to the smallest hashes that can be among its quota
     by TakeOrdered, so no stratum is sorted in one task.
     """
-    order = [F.md5(F.concat(F.col(id_).cast("string"), F.lit(f":{seed}"))), F.col(id_)]
-    parts = [df.where(F.col(stratum) == name).orderBy(*order).limit(k) for name, k in quotas.items()]
+    parts = [df.where(F.col(stratum) == name).orderBy(*by_hash(id_, seed)).limit(k) for name, k in quotas.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

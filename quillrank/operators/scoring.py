@@ -46,11 +46,15 @@ def blended(df: DataFrame, ranker: Column | None, policy: Policy = DEFAULT, stat
     return df.crossJoin(F.broadcast(stats)).withColumn("fit_raw", clamp(policy.blend * scaled + (1 - policy.blend) * F.col("rubric"))).drop(*stats.columns)
 
 
-def availability(df: DataFrame, policy: Policy = DEFAULT) -> Column:
+def engagement(df: DataFrame) -> Column:
+    """Weighted activity, before it is mapped to the availability band."""
     c = lambda n: col(df, n)
-    raw = 0.45 * c("recency_score") + 0.30 * c("response_rate_score") + 0.10 * (0.5 + 0.5 * c("open_to_work_flag")) + 0.08 * c("interview_completion_score") + 0.07 * c("offer_acceptance_score") + 0.05 * c("recruiter_demand_score")
+    return 0.45 * c("recency_score") + 0.30 * c("response_rate_score") + 0.10 * (0.5 + 0.5 * c("open_to_work_flag")) + 0.08 * c("interview_completion_score") + 0.07 * c("offer_acceptance_score") + 0.05 * c("recruiter_demand_score")
+
+
+def availability(df: DataFrame, policy: Policy = DEFAULT) -> Column:
     low, high = policy.availability_band
-    return clamp(low + (high - low) * raw, low, high)
+    return clamp(low + (high - low) * engagement(df), low, high)
 
 
 def location(df: DataFrame, policy: Policy = DEFAULT) -> Column:

@@ -364,10 +364,20 @@ def stratified_sample(spark, d):
     return E.stratified(read(spark, d, "customer"), "c_mktsegment", {"BUILDING": 30, "MACHINERY": 22}, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT doc_id, ('0x' || substr(md5(doc_id || ':42'), 1, 8))::BIGINT < 858993459 AS validation FROM labels")
+@query("""WITH pool AS (SELECT c_custkey, CASE WHEN c_nationkey < 2 THEN '0' WHEN c_nationkey < 9 THEN '1' WHEN c_nationkey < 17 THEN '2' ELSE '3' END AS stratum FROM customer),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(c_custkey || ':42'), c_custkey) AS n FROM pool),
+first AS (SELECT c_custkey, stratum FROM ordered WHERE stratum = '0' OR stratum = '1' AND n <= 15 OR stratum = '2' AND n <= 11),
+rest AS (SELECT c_custkey, stratum, row_number() OVER (ORDER BY md5(c_custkey || ':42'), c_custkey) AS n FROM pool WHERE c_custkey NOT IN (SELECT c_custkey FROM first))
+SELECT c_custkey, stratum FROM first UNION ALL SELECT c_custkey, stratum FROM rest WHERE n <= greatest(0, 50 - (SELECT count(*) FROM first))""")
+def quota_sample(spark, d):
+    nation = F.col("c_nationkey")
+    pool = read(spark, d, "customer").select("c_custkey", F.when(nation < 2, "0").when(nation < 9, "1").when(nation < 17, "2").otherwise("3").alias("stratum"))
+    return E.sample_with_quotas(pool, "stratum", 50, "0", {"1": 0.30, "2": 0.22}, "c_custkey")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) <= floor((SELECT count(*) FROM labels) * 0.2::DOUBLE) AS validation FROM labels")
 def hash_split(spark, d):
-    part = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42"))), 1, 8), 16, 10).cast("bigint")
-    return read(spark, d, "labels").select("doc_id", (part < 858993459).alias("validation"))
+    return E.split(read(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 _TIER = "CASE WHEN quality = 1 AND toxic = 0 THEN 3 WHEN quality = 1 THEN 2 ELSE 0 END + (doc_id % 5 = 0)::INT"
@@ -424,6 +434,35 @@ def health_counts(spark, d):
     return E.health(scored, {"off_target": F.col("offtarget_gate") < 1, "flagged": F.col("honeypot_gate") < 1}, 100, F.desc("final"), F.col("candidate_id"))
 
 
+_VARIANTS = {"keyword": "offer_acceptance_score", "dense": "dense_margin", "rubric": "rubric", "gated": "gated", "full": "final"}
+
+
+@query(_SCORED + ", v AS (SELECT z.*, f.offer, f.dense_margin FROM z JOIN f USING (id)), long AS (SELECT k, id, id % 5 AS tier, score FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS k, id, round({sql}, 6) AS score FROM v" for k, sql in (("keyword", "offer"), ("dense", "dense_margin"), ("rubric", "rubric"), ("gated", "rubric * gate * consistent"), ("full", "final"))) + "))" + _METRIC_SQL.replace("final AS", "measured AS") + ", top AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS n FROM long), hl AS (SELECT k, count(*) FILTER (gate < 1) AS off_target, count(*) FILTER (consistent < 1) AS flagged FROM top JOIN z USING (id) WHERE n <= 100 GROUP BY k) SELECT k AS variant, round(ndcg10, 4) AS ndcg10, round(map, 4) AS map, round(0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10, 4) AS composite, off_target, flagged FROM measured JOIN hl USING (k)")
+def ablation_health(spark, d):
+    """Five variants of the score: their metrics beside what their 100 best rows carry."""
+    scored = _scored(spark, d).withColumn("gated", F.col("rubric") * F.col("offtarget_gate") * F.col("honeypot_gate"))
+    rows = scored.select("id", (F.col("id") % 5).alias("tier"), "offtarget_gate", "honeypot_gate", *(F.round(c, 6).alias(c) for c in _VARIANTS.values()))
+    out = E.ablation_table(rows, _VARIANTS, {"off_target": F.col("offtarget_gate") < 1, "flagged": F.col("honeypot_gate") < 1}, 100)
+    return out.select("variant", *(F.round(c, 4).alias(c) for c in ("ndcg10", "map", "composite")), "off_target", "flagged")
+
+
+_MOVED = {
+    "blend": (21, 0, 20.0, "least(1, p * mm + (1 - p) * least(1, rubric)) * availability * gate * consistent"),
+    "offtarget_gate": (21, 0, 40.0, "least(1, rubric) * availability * CASE WHEN off_target AND built > 0 THEN 0.7::DOUBLE WHEN off_target AND history THEN greatest(p, 0.5::DOUBLE) WHEN off_target THEN p ELSE 1::DOUBLE END * consistent"),
+    "consistency_gate": (21, 0, 100.0, "least(1, rubric) * availability * gate * CASE WHEN flagged THEN p ELSE 1::DOUBLE END"),
+    "availability_floor": (21, 6, 20.0, "least(1, rubric) * least(1.05::DOUBLE, greatest(p, p + (1.05::DOUBLE - p) * (0.45::DOUBLE * recency + 0.05::DOUBLE + 0.08::DOUBLE * interview + 0.07::DOUBLE * offer))) * gate * consistent"),
+}
+
+
+@query(_SCORED + ", v AS (SELECT z.*, mm, recency, interview, offer, off_target, built, history, flagged FROM z JOIN rb USING (id)), long AS (SELECT name || ':' || p AS k, id, id % 5 AS tier, round(score, 9) AS score FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name, p, id, {sql} * 0.7::DOUBLE AS score FROM (SELECT v.*, i / {d}::DOUBLE AS p FROM v, unnest(range({low}, {high})) t(i))" for name, (high, low, d, sql) in _MOVED.items()) + "))" + _METRIC_SQL.replace("final AS", "measured AS") + "SELECT split_part(k, ':', 1) AS parameter, round(split_part(k, ':', 2)::DOUBLE, 4) AS p, round(0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10, 6) AS composite FROM measured")
+def sensitivity(spark, d):
+    """Each parameter of the final score alone moved over its grid; the margin stands for a model."""
+    scored = _scored(spark, d).withColumn("tier", F.col("id") % 5)
+    low, high = X.min_max_stats(scored, "dense_margin").first()
+    model = scored.withColumn("model", X.min_max(F.col("dense_margin"), F.lit(low), F.lit(high)))
+    return E.sensitivity(model, model="model").select("parameter", F.round("p", 4).alias("p"), F.round("composite", 6).alias("composite"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE least(4, greatest(0, conv_id % 9 - 2))::INT END AS tier FROM conversations")
 def judge_json(spark, d):
     tier = (F.col("conv_id") % 9 - 2).cast("string")
