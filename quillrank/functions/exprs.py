@@ -68,3 +68,8 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
 def python_int(text: Column) -> Column:
     """The digits of an id as a number; none is 0."""
     return F.coalesce(F.regexp_replace(text, r"\D", "").try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def deduped(values: Column) -> Column:
+    """An array's values in order, each once."""
+    return F.array_distinct(values)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Tree = dict[str, list]
@@ -28,6 +29,32 @@ def parse_model(text: str) -> tuple[list[str], list[Tree]]:
     return names, trees
 
 
+def format_model(names: list[str], trees: list[Tree]) -> str:
+    """The text of a model, as parse_model() reads it."""
+    lines = ["tree", "version=v4", f"feature_names={' '.join(names)}", ""]
+    for i, tree in enumerate(trees):
+        lines += [f"Tree={i}", f"num_leaves={len(tree['leaf_value'])}"]
+        lines += [f"{k}={' '.join(repr(v) for v in values)}" for k, values in tree.items()] + [""]
+    return "\n".join([*lines, "end of trees", ""])
+
+
+def save_model(spark: SparkSession, path: str, names: list[str], trees: list[Tree]) -> None:
+    """A model as text, with the names of its columns beside it, on any file system that Spark writes."""
+    for where, text in ((path, format_model(names, trees)), (f"{path}.cols", "\n".join(names))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(where)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[list[str], list[Tree]] | tuple[None, None]:
+    """(columns, trees) of a saved model; (None, None) where there is none."""
+    try:
+        parts = [spark.read.text(p, wholetext=True).first()[0] for p in (path, f"{path}.cols")]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None, None
+        raise
+    return parts[1].split(), parse_model(parts[0])[1]
+
+
 def predict_column(names: list[str], trees: list[Tree], missing: set[str] = frozenset()) -> Column:
     """Sum of leaf values as one expression: value <= threshold goes left, a negative child is ~leaf."""
 
@@ -178,10 +205,26 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: int, least: int,
     return tree
 
 
-def train_lambdamart(x: np.ndarray, tier: np.ndarray, rounds: int = 60, rate: float = 0.05, leaves: int = 31, least: int = 20, l2: float = 1.0) -> list[Tree]:
-    """Trees whose summed leaves rank one query group; labelled rows are few thousand."""
+def ndcg(score: np.ndarray, tier: np.ndarray, k: int) -> float:
+    """NDCG at k of one query group; 0 without a relevant row."""
+    discount = 1 / np.log2(np.arange(2, min(k, len(tier)) + 2))
+    gain = lambda order: float(((2.0 ** tier[order][:k] - 1) * discount).sum())
+    best = gain(np.argsort(-tier, kind="stable"))
+    return gain(np.argsort(-score, kind="stable")) / best if best else 0.0
+
+
+def train_lambdamart(
+    x: np.ndarray, tier: np.ndarray, rounds: int = 60, rate: float = 0.05, leaves: int = 31, least: int = 20, l2: float = 1.0, validation: tuple[np.ndarray, np.ndarray] | None = None, patience: int = 50
+) -> list[Tree]:
+    """Trees whose summed leaves rank one query group; labelled rows are few thousand.
+
+    With `validation` (x, tier), training stops when NDCG@10 there has not risen for
+    `patience` rounds, and the trees up to the best round are kept.
+    """
     x = x.astype(np.float32).astype(float)
     score, trees = np.zeros(len(x)), []
+    held = validation and (validation[0].astype(np.float32).astype(float), validation[1], np.zeros(len(validation[1])))
+    best, best_round = -1.0, 0
     for _ in range(rounds):
         g, h = lambda_gradients(score, tier)
         tree = _grow(x, g, h, leaves, least, l2)
@@ -190,7 +233,14 @@ def train_lambdamart(x: np.ndarray, tier: np.ndarray, rounds: int = 60, rate: fl
             break
         trees.append(tree)
         score = score + predict(tree, x)
-    return trees
+        if held:
+            held = held[0], held[1], held[2] + predict(tree, held[0])
+            now = ndcg(held[2], held[1], 10)
+            if now > best:
+                best, best_round = now, len(trees)
+            elif len(trees) - best_round >= patience:
+                break
+    return trees[:best_round] if held and trees else trees
 
 
 def predict(tree: Tree, x: np.ndarray) -> np.ndarray:

@@ -82,6 +82,21 @@ def read_entities(spark: SparkSession, path: str, mode: str = "strict", array: b
 
 def skipped(spark: SparkSession, path: str, array: bool = False, signals: str = "signals") -> DataFrame:
     """One row: how many records a skip-mode read accepts and leaves out."""
-    raw = read_raw(spark, path, array, signals).cache()
     bad = F.col(CORRUPT).isNotNull() | F.col("candidate_id").isNull()
-    return raw.agg(F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("skipped"))
+    return read_raw(spark, path, array, signals).agg(F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("skipped"))
+
+
+def read_upload(spark: SparkSession, path: str, cap: int | None = 100, signals: str = "signals") -> DataFrame:
+    """Typed records of an uploaded file: a JSON array, one object over many lines, or JSON lines.
+
+    Malformed lines and what is no object are left out; `cap` bounds the records.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    first = lines.select(F.ltrim("value")).first()
+    whole = bool(first) and (first[0].startswith("[") or first[0].startswith("{") and lines.where(F.from_json("value", "map<string, string>").isNotNull()).isEmpty())
+    return read_entities(spark, path, "skip", whole, cap, signals)
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Names of the numeric columns, sorted."""
+    return sorted(f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType))

@@ -82,6 +82,35 @@ def test_lambdamart_learns_an_order():
     assert tier[top].mean() > tier.mean() + 1
 
 
+def test_training_stops_early_and_models_are_kept(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    tier = np.clip(np.round(x[:, 1] * 1.5 + rng.normal(size=400) + 1), 0, 4).astype(int)
+    part = slice(0, 300), slice(300, 400)
+    model = trees.train_lambdamart(x[part[0]], tier[part[0]], rounds=40, rate=0.2, least=15, validation=(x[part[1]], tier[part[1]]), patience=5)
+    score = sum(trees.predict(t, x[part[1]].astype(np.float32).astype(float)) for t in model)
+    assert 1 <= len(model) < 40 and trees.ndcg(score, tier[part[1]], 10) > trees.ndcg(-score, tier[part[1]], 10)
+    path = str(tmp_path / "model")
+    assert trees.load_model(spark, path) == (None, None)
+    trees.save_model(spark, path, ["a", "b", "c"], model)
+    names, found = trees.load_model(spark, path)
+    assert names == ["a", "b", "c"] and sum(trees.predict(t, x) for t in found) == pytest.approx(sum(trees.predict(t, x) for t in model))
+
+
+def test_ndcg_of_one_group():
+    tier = np.array([0, 3, 1, 0])
+    assert trees.ndcg(np.array([1.0, 4, 3, 2]), tier, 10) == 1 and trees.ndcg(np.array([4.0, 3, 2, 1]), tier, 2) == pytest.approx((7 / math.log2(3)) / (7 + 1 / math.log2(3)))
+    assert trees.ndcg(np.ones(2), np.zeros(2, int), 5) == 0
+
+
+def test_exact_split_and_quotas(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 7 else "z") for i in range(103)], "id int, s string")
+    assert evaluate.split(df, "id").where("validation").count() == 20 and evaluate.split(df, "id").count() == 103
+    got = evaluate.sample_with_quotas(df, "s", 60, "z", {"a": 0.3, "b": 0.1}, "id").collect()
+    assert len(got) == len({r["id"] for r in got}) == 60 and sum(r["s"] == "z" for r in got) == 15
+    assert sum(r["s"] == "a" for r in got) >= 18 and sum(r["s"] == "b" for r in got) >= 6
+
+
 def test_judgments(spark):
     replies = ['{"tier": 3.7, "reasoning": "x", "key_factors": ["a"]}', '```json\n{"tier": "9"}\n```', 'so {"tier": -1} ok', "nothing", None, '{"tier": null}', "[1]"]
     df = spark.createDataFrame(list(enumerate(replies)), "i int, r string")

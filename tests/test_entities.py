@@ -6,14 +6,16 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillrank.functions.exprs import deduped
 from quillrank.functions.policy import DEFAULT
 from quillrank.operators.audit import timeline_variant
 from quillrank.operators.explain import explain
 from quillrank.operators.features import enrich, feature_columns, static_features
 from quillrank.operators.scoring import rank_top, score
 from quillrank.plans.rank import feature_store, rank
-from quillrank.sources.entities import read_entities, skipped
+from quillrank.sources.entities import numeric_columns, read_entities, read_upload, skipped
 
 # reference date of the default policy: 2026-05-27
 STRONG = {
@@ -138,6 +140,20 @@ def test_lenient_reading(spark, tmp_path):
         read_entities(spark, str(path)).collect()
 
 
+def test_uploads(spark, tmp_path):
+    texts = {"array": json.dumps([EMPTY, STRONG], indent=1), "object": json.dumps(STRONG, indent=2), "lines": json.dumps(EMPTY) + "\n3\n{broken\n" + json.dumps(STRONG)}
+    want = {"array": 2, "object": 1, "lines": 2}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        assert read_upload(spark, str(tmp_path / name)).count() == want[name]
+    assert read_upload(spark, str(tmp_path / "array"), cap=1).count() == 1
+
+
+def test_numeric_columns_and_ordered_values(spark):
+    df = spark.createDataFrame([(1, "x", 2.0, [3, 1, 3])], "b int, t string, a double, v array<int>")
+    assert numeric_columns(df) == ["a", "b"] and df.select(deduped(F.col("v"))).first()[0] == [3, 1]
+
+
 def test_array_file_and_key_order(spark, tmp_path):
     path = tmp_path / "array.json"
     path.write_text(json.dumps([dict(reversed(STRONG.items())), EMPTY]))
