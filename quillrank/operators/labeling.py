@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -63,6 +64,17 @@ class QuotaExhausted(Exception):
     """A judge's daily quota is used up."""
 
 
+def pause_of(error: Exception) -> float | None:
+    """Seconds that an error asks to wait: its retry_after, or "try again in 1m2.5s" in its text."""
+    hint = getattr(error, "retry_after", None)
+    if hint is not None:
+        return float(hint)
+    found = re.search(r"try again in (?:(\d+)m)?(?:([\d.]+)s)?", str(error), re.IGNORECASE)
+    if not found or not any(found.groups()):
+        return None
+    return 60.0 * int(found[1] or 0) + float(found[2] or 0)
+
+
 def with_retry(call: Callable[[], str], tries: int = 6, sleep: Callable[[float], None] = time.sleep) -> str | None:
     """`call` with growing pauses; None when the tries are used up, QuotaExhausted passes through."""
     for i in range(tries):
@@ -71,32 +83,60 @@ def with_retry(call: Callable[[], str], tries: int = 6, sleep: Callable[[float],
         except QuotaExhausted:
             raise
         except Exception as error:
-            hint = getattr(error, "retry_after", None)
+            hint = pause_of(error)
             sleep(hint if hint is not None else min(30.0, 2.0 * 2**i + 1))
     return None
 
 
-def judge(messages: DataFrame, key: str, client: Callable[[str], str], per_minute: float, partitions: int) -> DataFrame:
-    """(key, reply) of each message; the total rate is shared out evenly over the partitions."""
+def judge(messages: DataFrame, key: str, client: Callable[[str], str], per_minute: float, partitions: int, tokens_per_minute: float | None = None) -> DataFrame:
+    """(key, reply) of each message; the total rates are shared out evenly over the partitions.
+
+    A message counts as a quarter of its characters in tokens. A client that has used up
+    its quota gives null for the messages that are left in the partition.
+    """
 
     def run(frames: Iterator):
         import pandas as pd
 
-        bucket = Bucket(per_minute / partitions)
+        requests = Bucket(per_minute / partitions)
+        tokens = Bucket(tokens_per_minute / partitions) if tokens_per_minute else None
+        spent = False
         for frame in frames:
             replies = []
             for text in frame["message"]:
-                bucket.take()
-                try:
-                    replies.append(with_retry(lambda t=text: client(t)))
-                except QuotaExhausted:
-                    replies.append(None)
+                reply = None
+                if not spent:
+                    requests.take()
+                    if tokens:
+                        tokens.take(max(1, len(text) // 4))
+                    try:
+                        reply = with_retry(lambda t=text: client(t))
+                    except QuotaExhausted:
+                        spent = True
+                replies.append(reply)
             yield pd.DataFrame({key: frame[key], "reply": replies})
 
     kind = messages.schema[key].dataType.simpleString()
     return messages.select(key, "message").repartition(partitions).mapInPandas(run, f"{key} {kind}, reply string")
 
 
+def judge_all(messages: DataFrame, key: str, clients: list[Callable[[str], str]], path: str, per_minute: float, partitions: int, tries: int = 3) -> DataFrame:
+    """(key, reply) of every message that a client answers, kept as JSON under `path`.
+
+    Messages without a reply go to the next client, `tries` times round; what `path` holds
+    is not asked again, so a run that was broken off goes on where it stopped.
+    """
+    spark = messages.sparkSession
+    schema = f"{key} {messages.schema[key].dataType.simpleString()}, reply string"
+    spark.createDataFrame([], schema).write.mode("append").json(path)
+    for client in clients * tries:
+        left = open_messages(messages, spark.read.schema(schema).json(path), key)
+        if left.isEmpty():
+            break
+        judge(left, key, client, per_minute, partitions).where("reply IS NOT NULL").write.mode("append").json(path)
+    return spark.read.schema(schema).json(path)
+
+
 def open_messages(messages: DataFrame, checkpoint: DataFrame, key: str) -> DataFrame:
     """Messages that have no judgment yet."""
     return remaining(messages, checkpoint, key)

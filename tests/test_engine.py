@@ -131,6 +131,32 @@ def test_judge_resume_and_bucket(spark):
     assert now[0] == pytest.approx(30, abs=0.1)
 
 
+def test_pauses_that_errors_ask_for():
+    limited = ValueError("rate limit: please try again in 1m2.5s")
+    assert labeling.pause_of(limited) == 62.5 and labeling.pause_of(ValueError("Try again in 7s.")) == 7 and labeling.pause_of(ValueError("no")) is None
+    limited.retry_after = 3
+    assert labeling.pause_of(limited) == 3
+
+
+def test_open_messages_go_round_the_clients(spark, tmp_path):
+    messages = spark.createDataFrame([(i, f"m{i}") for i in range(8)], "id int, message string")
+
+    def spent(text):
+        raise labeling.QuotaExhausted
+
+    def shy(text):
+        if text in ("m0", "m5"):
+            raise labeling.QuotaExhausted
+        return "b" + text
+
+    path = str(tmp_path / "replies")
+    first = labeling.judge_all(messages.where("id < 4"), "id", [spent, shy], path, 60_000, 1, tries=1)
+    assert sorted((r["id"], r["reply"]) for r in first.collect()) == []
+    got = labeling.judge_all(messages, "id", [spent, shy, lambda t: "c" + t], path, 60_000, 1).collect()
+    assert sorted((r["id"], r["reply"]) for r in got) == [(i, f"cm{i}") for i in range(8)]
+    assert labeling.judge_all(messages, "id", [spent], path, 60_000, 1).count() == 8
+
+
 def test_retry_gives_up_and_quota_passes():
     def fail():
         raise ValueError
