@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillrank.llm.arrays import lower_ascii, mix, shingles, text_chunks, word_tokens
+from quillrank.llm.arrays import frugal, lower_ascii, mix, shingles, text_chunks, word_tokens
 from quillrank.llm.bits import bit_table, bits_for, in_table
 from quillrank.llm.components import components
 from quillrank.llm.frequency import Layout, counted, frequency
@@ -91,7 +91,7 @@ def shingle_frequency(docs: DataFrame, like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return counted((grams for batch in batches for _, _, _, grams, _ in _sets(batch, like)), layout)
 
-    return frequency(docs.select("text").mapInArrow(run, "range int, hashes binary"), layout)
+    return frequency(docs.select("text").mapInArrow(frugal(run), "range int, hashes binary"), layout)
 
 
 def rare_cells(n: np.ndarray, doc: np.ndarray, grams: np.ndarray, occurs: np.ndarray, like: Likeness):
@@ -138,7 +138,7 @@ def incidence(docs: DataFrame, like: Likeness, occurs) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), "text").mapInArrow(run, f"doc_id {kind}, id long, column long, place int, n long, node long")
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), "text").mapInArrow(frugal(run), f"doc_id {kind}, id long, column long, place int, n long, node long")
 
 
 def candidate_pairs(cells: DataFrame, like: Likeness) -> DataFrame:
@@ -166,7 +166,7 @@ def wanted_sets(docs: DataFrame, like: Likeness, ids, nodes) -> DataFrame:
                     lists = pa.array([grams[ends[i] - n[i] : ends[i]].view(np.int64) for i in take], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(node[take]), lists], names=["node", "grams"])
 
-    found = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(run, "node long, grams array<bigint>")
+    found = docs.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(frugal(run), "node long, grams array<bigint>")
     return found.dropDuplicates(["node"])
 
 
@@ -363,8 +363,8 @@ def deduplicated(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
             for part, n, _, _, own in _sets(batch, like):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, mask=n == 0)], names=[*part.schema.names, node])
 
-    untouched = keyed.mapInArrow(passing, keyed.schema).select(*docs.columns)
-    touched = keyed.mapInArrow(named, StructType([*keyed.schema.fields, StructField(node, LongType())]))
+    untouched = keyed.mapInArrow(frugal(passing), keyed.schema).select(*docs.columns)
+    touched = keyed.mapInArrow(frugal(named), StructType([*keyed.schema.fields, StructField(node, LongType())]))
     judged = judged.select(F.col("id").alias(key), F.col("node").alias(node), F.col("stays").alias(verdict))
     touched = touched.join(judged, [key, node], "left")
     alone = touched.where(F.col(verdict).isNull())

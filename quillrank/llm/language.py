@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import text_chunks
+from quillrank.llm.arrays import frugal, text_chunks
 from quillrank.llm.shared import table
 
 SAMPLE_BYTES = 40_000  # labelled text per language, the bound of the sample
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(names[best], pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 
     fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    return base.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return base.mapInArrow(frugal(run), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

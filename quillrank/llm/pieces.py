@@ -16,12 +16,12 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.llm.arrays import text_chunks
+from quillrank.llm.arrays import frugal, text_chunks
 from quillrank.llm.shared import small_batches, table
 
 SPACE_MARK = "▁"
-CACHE_BYTES = 40 << 20  # of each half
-COMPATIBLE_PAIRS = 400_000
+CACHE_BYTES = 24 << 20  # of each half
+COMPATIBLE_PAIRS = 200_000
 _NEVER = float("inf")
 
 
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
 
     fields = [f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in columns]
     kinds = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if ids else [])]
-    return docs.mapInArrow(run, ", ".join([*fields, *kinds]))
+    return docs.mapInArrow(frugal(run), ", ".join([*fields, *kinds]))
 
 
 def default_model() -> str:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillrank.llm.arrays import SPACE, owners, text_chunks, word_bounds
+from quillrank.llm.arrays import SPACE, frugal, owners, text_chunks, word_bounds
 from quillrank.llm.shared import small_batches, table
 
 MIN_WORDS = 20
@@ -187,7 +187,7 @@ def quality(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[n]) for n in names)], names=[*part.schema.names, *names])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{fields}, {RULES_SCHEMA}")
+    return base.mapInArrow(frugal(run), f"{fields}, {RULES_SCHEMA}")
 
 
 def passing(docs: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def passing(docs: DataFrame) -> DataFrame:
             for part, offsets, data in text_chunks(batch):
                 yield part.filter(pa.array(measure(data, offsets)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import SPACE, Spans, mix, owners, text_chunks, word_bounds, word_tokens
+from quillrank.llm.arrays import SPACE, Spans, frugal, mix, owners, text_chunks, word_bounds, word_tokens
 from quillrank.llm.frequency import Frequency, Layout, counted, frequency
 from quillrank.llm.repeats import CHUNK, LOOK, Groups, Method, Places, covered_tokens, cut_by_spans, find_repeats, first_of_groups, numbered, pieces
 from quillrank.llm.shared import small_batches, table, unused
@@ -135,7 +135,7 @@ def name_rounds(docs: DataFrame, places: Places, rank: str, window: int, rounds:
 
             return counted(keys(), layout, LOOK[-1])
 
-        tables.append(context.broadcast(frequency(docs.select(rank, "text").mapInArrow(run, "range int, hashes binary"), layout, LOOK)))
+        tables.append(context.broadcast(frequency(docs.select(rank, "text").mapInArrow(frugal(run), "range int, hashes binary"), layout, LOOK)))
     return tables
 
 

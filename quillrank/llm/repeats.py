@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import Spans, mix, text_chunks
+from quillrank.llm.arrays import Spans, frugal, mix, text_chunks
 from quillrank.llm.bits import bit_table, bits_for, in_table
 from quillrank.llm.frequency import Frequency, Layout, counted, frequency
 from quillrank.llm.shared import discard, small_batches, stored, unused
@@ -192,7 +192,7 @@ def anchor_table(docs: DataFrame, method: Method, places: Places, rank: str) ->
     def run(batches):
         return counted((g.key for _, g, _ in _chunks(batches, method, places, rank)), layout, LOOK[-1])
 
-    return frequency(docs.select(rank, "text").mapInArrow(run, "range int, hashes binary"), layout, LOOK)
+    return frequency(docs.select(rank, "text").mapInArrow(frugal(run), "range int, hashes binary"), layout, LOOK)
 
 
 def repeated_groups(docs: DataFrame, method: Method, places: Places, rank: str, wanted) -> DataFrame:
@@ -217,7 +217,7 @@ def repeated_groups(docs: DataFrame, method: Method, places: Places, rank: str,
             out = (np.concatenate((key[new], gone)), np.concatenate((sh[new], gone)), np.concatenate((occ[new], runs)), np.concatenate((count[new], length)).astype(np.int32), np.arange(new.sum() + len(runs)) >= new.sum())
             yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "sh", "occ", "m", "again"])
 
-    return docs.select(rank, "text").mapInArrow(run, "key long, sh long, occ long, m int, again boolean")
+    return docs.select(rank, "text").mapInArrow(frugal(run), "key long, sh long, occ long, m int, again boolean")
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def single_windows(docs: DataFrame, method: Method, places: Places, rank: str, w
             out = (np.concatenate((key[new], gone)), np.concatenate((w[new], gone)), np.concatenate((occ[new], runs)), np.concatenate((np.ones(new.sum(), np.int32), length.astype(np.int32))), np.arange(new.sum() + len(runs)) >= new.sum())
             yield pa.RecordBatch.from_arrays([*map(pa.array, out)], names=["key", "w", "occ", "m", "again"])
 
-    return docs.select(rank, "text").mapInArrow(run, "key long, w long, occ long, m int, again boolean")
+    return docs.select(rank, "text").mapInArrow(frugal(run), "key long, w long, occ long, m int, again boolean")
 
 
 def joined_runs(occ: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +306,7 @@ def spans_of(removed: DataFrame, places: Places, window: int) -> DataFrame:
         if len(held[0]):
             yield listed(*held)
 
-    return rows.mapInArrow(run, "doc long, spans array<struct<a: long, b: long>>")
+    return rows.mapInArrow(frugal(run), "doc long, spans array<struct<a: long, b: long>>")
 
 
 def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,14 +391,15 @@ def cut_by_spans(docs: DataFrame, spans: DataFrame, places: Places, rank: str, c
     taken = set(docs.columns)
     known, name = unused("doc", taken), unused("spans", taken)
     found = spans.select(F.col("doc").alias(known), F.col("spans").alias(name))
-    joined = docs.mapInArrow(concerned, docs.schema).join(found, packed == F.col(known), "left").select(*docs.columns, name)
+    # merged, so that the two Python passes fall into two stages and no task holds two workers
+    joined = docs.mapInArrow(frugal(concerned), docs.schema).join(found.hint("merge"), packed == F.col(known), "left").select(*docs.columns, name)
 
     def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from cut(batch.select(docs_columns), list(span_arrays(batch.column(name))))
 
     docs_columns = docs.columns
-    return joined.mapInArrow(joining, schema).unionByName(docs.mapInArrow(passing, schema))
+    return joined.mapInArrow(frugal(joining), schema).unionByName(docs.mapInArrow(frugal(passing), schema))
 
 
 def span_arrays(column) -> Iterator[np.ndarray | None]:
