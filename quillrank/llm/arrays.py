@@ -25,6 +25,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+_PLACE_BITS = 24
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, giving freed memory back to the machine at the end of a task: workers outlive it, idle ones too."""
 
@@ -48,6 +52,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ordered(hashes: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """Numbers that order places by their hash (40 bits of it), then place, and the way back to places.
+
+    The order of two places never depends on the length of the array, so equal texts choose
+    equal places wherever they are cut.
+    """
+    at = np.arange(len(hashes))
+    bits = np.uint64(_PLACE_BITS)
+    if len(hashes) <= 1 << _PLACE_BITS:
+        return (hashes >> bits << bits) | at.astype(np.uint64), lambda x: (x & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    by = np.lexsort((at, hashes >> bits))
+    rank = np.empty(len(hashes), dtype=np.uint64)
+    rank[by] = at.astype(np.uint64)
+    return rank, lambda x: by[x.astype(np.int64)]
+
+
 class Spans:
     """Hashes of spans of tokens, from hashes of all spans of 1, 2, 4, ... tokens.
 

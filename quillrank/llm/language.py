@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import frugal, text_chunks
-from quillrank.llm.shared import table
+from quillrank.llm.shared import table, unused
 
 SAMPLE_BYTES = 40_000  # labelled text per language, the bound of the sample
 SAMPLE_ROWS = 400  # rows per language that are asked for, about
@@ -186,11 +186,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is `und` with score 0, as is every text if no
     language was learned. Ties go to the language that sorts first. Only the text
-    decides: equal texts get equal answers.
+    decides: equal texts get equal answers. Texts of any length are parsed whole, bytes
+    that are no UTF-8 count as U+FFFD, and an empty table gives an empty result.
     """
-    base = docs.drop("lang_pred", "score", "_letter").withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    base = docs.drop("lang_pred", "score")
+    mark = unused("letter", {*base.columns, "lang_pred", "score"})
+    text = F.make_valid_utf8(F.col("text").cast("string"))
+    base = base.withColumn("text", text).withColumn(mark, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_BYTES * 2 states per language
-    columns = [c for c in base.columns if c not in ("_letter", "text")]
+    columns = [c for c in base.columns if c not in (mark, "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
@@ -198,7 +202,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             lower = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text").cast(pa.large_string())))
             for part, offsets, data in text_chunks(lower):
-                letter = part.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+                letter = part.column(mark).to_numpy(zero_copy_only=False).astype(bool)
                 best, score = np.full(part.num_rows, len(names) - 1), np.zeros(part.num_rows)
                 if learned.languages and len(data):
                     best, score = learned.judge(*gaps_closed(data, offsets))

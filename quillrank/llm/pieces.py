@@ -15,6 +15,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillrank.llm.arrays import frugal, text_chunks
 from quillrank.llm.shared import small_batches, table
@@ -272,12 +273,15 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
     """`docs` without text, with n_tokens, ids_sha256, decoded_sha256 and (ids) ids, decoded.
 
     Null texts are empty: no ids, an empty decoded text. Columns of these names are
-    replaced; rows stay as they are, an empty table gives an empty result. The
+    replaced; rows stay as they are (repeated ones too), an empty table gives an empty
+    result. Bytes that are no UTF-8 count as U+FFFD. A long text is encoded whole, by its
+    words. The
     vocabulary (its size is fixed by the model) is broadcast.
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])]
     columns = [c for c in docs.columns if c != "text" and c not in new]
     small_batches(docs.sparkSession)
+    docs = docs.withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
     pieces = _Shared(docs.sparkSession.sparkContext.broadcast(vocabulary(model_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,10 +22,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import SPACE, Spans, frugal, mix, owners, text_chunks, word_bounds, word_tokens
+from quillrank.llm.arrays import SPACE, Spans, frugal, mix, ordered, owners, text_chunks, word_bounds, word_tokens
 from quillrank.llm.frequency import Frequency, Layout, counted, frequency
 from quillrank.llm.repeats import CHUNK, LOOK, Groups, Method, Places, covered_tokens, cut_by_spans, find_repeats, first_of_groups, numbered, pieces
 from quillrank.llm.shared import small_batches, table, unused
@@ -171,11 +172,10 @@ def window_groups(tokens: np.ndarray, first: np.ndarray, spans: Spans, window: i
     a = np.searchsorted(low, at, side="left")
     b = np.searchsorted(high, at + window, side="right") - 1
     some = a <= b
-    bits = np.uint64(int(len(name)).bit_length())
-    order = (mix(name ^ _STEP) >> bits << bits) | np.arange(len(name)).astype(np.uint64)
+    order, place_of = ordered(mix(name ^ _STEP))
     symbol = np.full(len(at), -1, dtype=np.int64)
     if some.any():
-        symbol[some] = (least_in_ranges(order, a[some], b[some]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        symbol[some] = place_of(least_in_ranges(order, a[some], b[some]))
     head = np.ones(len(at), dtype=bool)
     head[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] < 0) | (at[1:] != at[:-1] + 1)
     group = np.flatnonzero(head)
@@ -228,13 +228,14 @@ def cut_words(docs: DataFrame, places: Places, rank: str, spans: DataFrame, dige
                 joined_text = b" ".join(kept)
                 if measures:
                     digests.append(sha256(joined_text).hexdigest())
-                texts.append(joined_text.decode() if len(kept) < len(words) else None)
+                texts.append(joined_text.decode(errors="replace") if len(kept) < len(words) else None)
             at += part.num_rows
             out = []
             for c in columns:
                 old = part.column(c)
                 if c == "text" and any(t is not None for t in texts):
-                    old = pa.array([new_text if new_text is not None else was for new_text, was in zip(texts, old.to_pylist(), strict=True)], old.type)
+                    new_texts = pa.array(texts, old.type)
+                    old = pc.if_else(new_texts.is_valid(), new_texts, old)
                 out.append(old)
             measured = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())] if measures else []
             yield pa.RecordBatch.from_arrays([*out, *measured], names=[*columns, *new])
@@ -254,6 +255,8 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, dig
     all others; several rows without one, or different texts under one doc_id, are
     documents of their own in order of a hash of their texts; rows that repeat doc_id and
     text are one document, so none removes the other. An empty table gives an empty result.
+    Texts of any length are read in overlapping pieces. Words are compared as bytes; bytes
+    that are no UTF-8 become U+FFFD where a text is cut, and count as they are in the digest.
     """
     small_batches(docs.sparkSession)
     rank = unused("rank", set(docs.columns))

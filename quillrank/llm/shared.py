@@ -36,13 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """`df` written as a table in the shared folder and read again: lineage ends here.
 
-    A table that is a small part of what was shuffled for it goes to an eighth as many
-    files as the shuffle has partitions (8 at least), not to as many tiny ones.
+    A table that is a small part of what was shuffled for it is rebalanced into an eighth
+    as many files as the shuffle has partitions (8 at least), not written as many tiny
+    ones; the join or aggregate before keeps all its partitions, and large parts are split.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if small:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.hint("rebalance", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

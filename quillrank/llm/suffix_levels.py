@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.arrays import Spans, mix, text_chunks
+from quillrank.llm.arrays import Spans, mix, ordered, text_chunks
 from quillrank.llm.repeats import CHUNK, Groups, Method, Places, covered_tokens, cut_by_spans, find_repeats, numbered
 from quillrank.llm.shared import small_batches, stored, table, unused
 
@@ -35,8 +35,7 @@ def window_groups(tokens: np.ndarray, first: np.ndarray, spans: Spans, window: i
     n = len(tokens)
     at = np.arange(n - anchor + 1)
     gram = spans.of(at, at + anchor)
-    bits = np.uint64(int(n).bit_length())
-    least = (gram >> bits << bits) | at.astype(np.uint64)
+    least, place_of = ordered(gram)
     width, size = window - anchor + 1, 1
     while size < width:
         step = min(size, width - size)
@@ -44,7 +43,7 @@ def window_groups(tokens: np.ndarray, first: np.ndarray, spans: Spans, window: i
         size += step
     lengths = np.maximum(np.diff(first) - window + 1, 0)
     place = np.repeat(first[:-1] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    chosen = (least[place] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    chosen = place_of(least[place])
     head = np.ones(len(place), dtype=bool)
     head[1:] = (chosen[1:] != chosen[:-1]) | (place[1:] != place[:-1] + 1)
     group = np.flatnonzero(head)

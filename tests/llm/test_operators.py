@@ -566,3 +566,34 @@ def test_mixing(spark, docs, rows, empty):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.plan_mix(empty).count() == 0
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """Broken bytes count as U+FFFD; words are compared as they are."""
+    text = F.expr("cast(unhex('616220ff63') as string)")
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, F.concat_ws(" ", F.array_repeat(text, 12))).otherwise("ab").alias("text"))
+    fixed = docs.withColumn("text", F.make_valid_utf8("text"))
+    model = pieces.default_model()
+    of = lambda d: sorted(map(tuple, pieces.encode(d, model).select("doc_id", "n_tokens", "ids_sha256", "decoded").collect()))
+    assert of(docs) == of(fixed)
+    cut = {r["doc_id"]: r for r in recompression.dedup_words(docs).collect()}
+    assert cut[1]["n_removed"] == cut[1]["n_words"] == 24
+    learned = language.Model({"en": b"ab ab abba", "de": b"zzz zz"})
+    assert [r["lang_pred"] for r in language.identify(docs, learned).collect()] == ["en"] * 3
+
+
+def test_language_keeps_user_columns(spark):
+    docs = spark.createDataFrame([(1, "ab", "x"), (2, None, "y")], "doc_id long, text string, _letter string")
+    learned = language.Model({"en": b"ab ab abba"})
+    got = {r["doc_id"]: r for r in language.identify(docs.withColumn("letter", F.lit(3)), learned).collect()}
+    assert (got[1]["_letter"], got[1]["letter"], got[1]["lang_pred"], got[2]["lang_pred"]) == ("x", 3, "en", "und")
+
+
+def test_order_of_places_does_not_hang_on_length(monkeypatch):
+    from quillrank.llm import arrays
+
+    hashes = np.array([7 << 30, 5 << 30, (5 << 30) + 1, 9 << 30, 5 << 30], dtype=np.uint64)
+    for bits in (24, 2):  # fewer places than the array has, and more
+        monkeypatch.setattr(arrays, "_PLACE_BITS", bits)
+        order, place_of = arrays.ordered(hashes)
+        assert place_of(np.sort(order)).tolist() == [1, 2, 4, 0, 3]
