@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.sources.tables import discard, shared_folder, stored  # noqa: F401
+
 BATCH_BYTES = 4 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,47 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    In local mode (tests) an unset folder becomes a temporary one of this machine; a
-    cluster without the setting is an error, as executors would not see each other's files.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, label: str, small: bool = False) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: lineage ends here.
-
-    A table that is a small part of what was shuffled for it is rebalanced into an eighth
-    as many files as the shuffle has partitions (8 at least), not written as many tiny
-    ones; the join or aggregate before keeps all its partitions, and large parts are split.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    if small:
-        df = df.hint("rebalance", max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of stored() whose readers have all been written themselves."""
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes: workers and JVM hold some megabytes of text, not Spark's 64.
 
