@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, recompression, repair, suffix_levels, warc
+from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, recompression, repair, suffix_levels, trie, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pieces": pieces.op8_pieces,
         "op9_recompression": recompression.op9_recompression,
         "op10_mixing": mixing.op10_mixing,
+        "op11_trie": trie.op11_trie,
         "op13_repair": repair.op13_repair,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc,
         "op9_recompression": recompression,
         "op10_mixing": mixing,
+        "op11_trie": trie,
     }
     return {name: module.SQL for name, module in modules.items()}

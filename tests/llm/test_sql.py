@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = queries()[name](spark, D)
     cols = sorted(df.columns)
