@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, recompression, repair, suffix_levels, trie, warc
+from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, neighbours, pieces, quality, recompression, repair, suffix_levels, trie, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_recompression": recompression.op9_recompression,
         "op10_mixing": mixing.op10_mixing,
         "op11_trie": trie.op11_trie,
+        "op12_neighbours": neighbours.op12_neighbours,
         "op13_repair": repair.op13_repair,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_recompression": recompression,
         "op10_mixing": mixing,
         "op11_trie": trie,
+        "op12_neighbours": neighbours,
     }
     return {name: module.SQL for name, module in modules.items()}
