@@ -5,49 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.exprs import clamp
 from quillrank.functions.policy import DEFAULT, Policy
 from quillrank.operators import scoring
+from quillrank.operators.ranges import dealt, first_by_hash, marked_by_hash, nearest_rank, percentiles, running  # noqa: F401
+from quillrank.sources.tables import stored
 
 RELEVANT = 3
 
 
-def ranked(df: DataFrame, key: str, score: str, id_: str = "id") -> DataFrame:
-    """pos (by score, ties by id) and ideal_pos (by tier) within each `key` group."""
-    by = Window.partitionBy(key)
-    return df.withColumn("pos", F.row_number().over(by.orderBy(F.col(score).desc(), F.col(id_)))).withColumn("ideal_pos", F.row_number().over(by.orderBy(F.col("tier").desc(), F.col(id_))))
+def best_of(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
+    """The k first rows of each key with their position; tasks keep k rows of a key before anything is shuffled."""
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("pos") <= k)
 
 
 def metrics(df: DataFrame, key: str, score: str, id_: str = "id") -> DataFrame:
-    """ndcg@10, ndcg@50, map, p@5, p@10 and composite per `key`; labelled rows only (column tier)."""
-    hits = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = ranked(df, key, score, id_).withColumn("hit", (F.col("tier") >= RELEVANT).cast("int"))
-    rows = rows.withColumn("seen", F.sum("hit").over(hits))
-    gain = F.pow(F.lit(2.0), F.col("tier").cast("double")) - 1
+    """ndcg@10, ndcg@50, map, p@5, p@10 and composite per `key`; labelled rows only (column tier).
 
-    def dcg(pos: str, k: int) -> Column:
-        return F.sum(F.when(F.col(pos) <= k, gain / F.log2(F.col(pos) + 1.0)).otherwise(0.0))
+    Gains and precisions look at the 50 first rows by score and by tier. For the average
+    precision each hit needs its position and the hits before it among all rows of its key:
+    these come from ranges of (key, score), so a variant of any size is never in one task.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.col(score).alias("_score"), F.col(id_).alias("_id"), "tier", (F.col("tier") >= RELEVANT).cast("long").alias("_hit"))
+    by_score = [F.col("_score").desc(), F.col("_id")]
+    table = dealt(rows, "_key", *by_score)  # computed once, read three times
+    rows = table.drop("_part")
+    gain = F.pow(F.lit(2.0), F.col("tier").cast("double")) - 1
 
-    def ndcg(k: int) -> Column:
-        ideal = dcg("ideal_pos", k)
-        return F.when(ideal > 0, dcg("pos", k) / ideal).otherwise(0.0)
+    def dcg(k: int) -> Column:
+        return F.sum(F.when(F.col("pos") <= k, gain / F.log2(F.col("pos") + 1.0)).otherwise(0.0))
 
     def precision(k: int) -> Column:
-        return F.sum(F.when(F.col("pos") <= k, F.col("hit")).otherwise(0)) / float(k)
-
-    relevant = F.sum("hit")
-    average = F.when(relevant > 0, F.sum(F.col("hit") * F.col("seen") / F.col("pos")) / relevant).otherwise(0.0)
-    out = rows.groupBy(key).agg(ndcg(10).alias("ndcg10"), ndcg(50).alias("ndcg50"), average.alias("map"), precision(5).alias("p5"), precision(10).alias("p10"))
+        return F.sum(F.when(F.col("pos") <= k, F.coalesce("_hit", F.lit(0))).otherwise(0)) / float(k)
+
+    got = best_of(rows, "_key", 50, *by_score).groupBy("_key").agg(dcg(10).alias("_dcg10"), dcg(50).alias("_dcg50"), precision(5).alias("p5"), precision(10).alias("p10"))
+    ideal = best_of(rows, "_key", 50, F.col("tier").desc(), F.col("_id")).groupBy(F.col("_key").alias("_own")).agg(dcg(10).alias("_ideal10"), dcg(50).alias("_ideal50"))
+    placed = running(rows, ["_key"], by_score, "pos", {"_seen": ("sum", "_hit")}, table).where("_hit = 1")
+    average = placed.groupBy(F.col("_key").alias("_named")).agg((F.sum(F.col("_seen") / F.col("pos")) / F.count("*")).alias("_map"))
+    out = got.join(ideal, F.col("_key").eqNullSafe(F.col("_own"))).join(average, F.col("_key").eqNullSafe(F.col("_named")), "left")
+    ndcg = lambda k: F.when(F.col(f"_ideal{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_ideal{k}")).otherwise(0.0).alias(f"ndcg{k}")
+    out = out.select(F.col("_key").alias(key), ndcg(10), ndcg(50), F.coalesce("_map", F.lit(0.0)).alias("map"), "p5", "p10")
     return out.withColumn("composite", 0.5 * F.col("ndcg10") + 0.3 * F.col("ndcg50") + 0.15 * F.col("map") + 0.05 * F.col("p10"))
 
 
-def variants(df: DataFrame, columns: dict[str, str], id_: str = "id") -> DataFrame:
+def variants(df: DataFrame, columns: dict[str, str], id_: str = "id", more: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """One row per (variant, id) with the variant's score: the ablation's long form."""
     pairs = ", ".join(f"'{name}', cast(`{c}` as double)" for name, c in columns.items())
-    return df.select(id_, "tier", F.expr(f"stack({len(columns)}, {pairs}) as (variant, score)"))
+    return df.select(id_, "tier", *more, F.expr(f"stack({len(columns)}, {pairs}) as (variant, score)"))
 
 
 def hashed_draw(n: Column, round_: Column, draw: Column, seed: int) -> Column:
@@ -56,21 +63,22 @@ def hashed_draw(n: Column, round_: Column, draw: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("long") % n
 
 
-def resampled(df: DataFrame, rounds: int, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw) -> DataFrame:
-    """n, round, draw, idx: as many draws as rows in each round, with replacement."""
-    n = df.agg(F.count("*").alias("n")).where("n > 0")
-    draws = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("n", "round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("draw"))
-    return draws.withColumn("idx", index(F.col("n"), F.col("round"), F.col("draw"), seed))
+def resampled(spark: SparkSession, n: int, rounds: int, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw) -> DataFrame:
+    """round, draw, idx: n draws of 0..n-1 in each round, with replacement; made where they are used, a range of numbers per task."""
+    draws = spark.range(rounds * n).select((F.col("id") / F.lit(max(n, 1))).cast("long").alias("round"), (F.col("id") % F.lit(max(n, 1))).alias("draw"))
+    return draws.withColumn("idx", index(F.lit(n).cast("long"), F.col("round"), F.col("draw"), seed))
 
 
-def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw) -> DataFrame:
-    """metric means, population deviations and 95 % intervals over resampled rows.
+def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw, id_: str = "id") -> DataFrame:
+    """Mean, population deviation and 95 % interval of the composite metric over resampled rows.
 
-    `df` has idx 0..n-1 (labelled rows: some thousands). `index` chooses the row of each
-    draw; the default draws with replacement.
+    `df` has id, score and tier; rows are numbered by id in ranges. `index` chooses the row
+    of each draw; the default draws with replacement. Draws of equal score come in the
+    order in which they were drawn.
     """
-    rows = resampled(df, rounds, seed, index).join(df, "idx").withColumn("id", F.col("draw"))
-    per = metrics(rows.select("round", "id", score, "tier"), "round", score)
+    rows = running(df.select(id_, score, "tier"), [], [F.col(id_)], "idx").select((F.col("idx") - 1).alias("idx"), score, "tier")
+    drawn = resampled(df.sparkSession, rows.count(), rounds, seed, index).join(rows, "idx").withColumn("id", F.col("draw"))
+    per = metrics(drawn.select("round", "id", score, "tier"), "round", score)
     return per.agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"), F.expr("percentile(composite, 0.025)").alias("low"), F.expr("percentile(composite, 0.975)").alias("high"))
 
 
@@ -93,9 +101,12 @@ def health(scored: DataFrame, flags: dict[str, Column], n: int, *order: Column)
 
 def ablation_table(df: DataFrame, columns: dict[str, str], flags: dict[str, Column], n: int, id_: str = "id") -> DataFrame:
     """Metrics per variant (variant -> score column) beside the flags among its n best rows; `df` has tier, null without a label."""
+    df = stored(df.select(id_, "tier", *columns.values(), *(F.coalesce(c, F.lit(False)).alias(f"_flag_{k}") for k, c in flags.items())), "ablation")
     scores = metrics(variants(df.where("tier IS NOT NULL"), columns, id_), "variant", "score", id_)
-    counts = [health(df, flags, n, F.col(c).desc(), F.col(id_)).withColumn("variant", F.lit(name)) for name, c in columns.items()]
-    return scores.join(F.broadcast(reduce(DataFrame.unionByName, counts)), "variant")  # one row per variant
+    long = variants(df, columns, id_, [f"_flag_{k}" for k in flags])
+    top = best_of(long, "variant", n, F.col("score").desc(), F.col(id_))
+    counts = top.groupBy("variant").agg(*(F.count_if(f"_flag_{k}").alias(k) for k in flags))
+    return scores.join(counts, "variant")
 
 
 #: Points of the sensitivity sweeps: (numerators, denominator).
@@ -119,58 +130,48 @@ def sensitivity(scored: DataFrame, policy: Policy = DEFAULT, model: str | None =
     }
     if model:
         parts["blend"] = {"fit": clamp(p * F.col(model) + (1 - p) * F.col("rubric"))}
-    found = []
-    for name, moved in parts.items():
-        usual = {"fit": fit} | {k: F.col(k) for k in ("availability", "location", "offtarget_gate", "honeypot_gate")}
-        final = reduce(lambda a, b: a * b, (usual | moved).values())
-        numerators, denominator = GRIDS[name]
-        swept = sweep(scored.where("tier IS NOT NULL"), [i / denominator for i in numerators], F.round(final, 9), id_)
-        found.append(swept.select(F.lit(name).alias("parameter"), "p", "composite"))
-    return reduce(DataFrame.unionByName, found)
+    usual = {"fit": fit} | {k: F.col(k) for k in ("availability", "location", "offtarget_gate", "honeypot_gate")}
+    points = [(name, i / GRIDS[name][1]) for name in parts for i in GRIDS[name][0]]
+    grid = F.broadcast(scored.sparkSession.createDataFrame(points, "parameter string, p double"))  # four short lists
+    final = F.coalesce(*(F.when(F.col("parameter") == name, reduce(lambda a, b: a * b, (usual | moved).values())) for name, moved in parts.items()))
+    moved = scored.where("tier IS NOT NULL").crossJoin(grid).select(F.struct("parameter", "p").alias("point"), F.col(id_).alias("id"), "tier", F.round(final, 9).alias("moved"))
+    return metrics(moved, "point", "moved").select("point.parameter", "point.p", "composite")
 
 
-def by_hash(id_: str, seed: int) -> list[Column]:
-    """An order that depends on ids and seed alone."""
-    return [F.md5(F.concat(F.col(id_).cast("string"), F.lit(f":{seed}"))), F.col(id_)]
+def digest(id_: str, seed: int) -> Column:
+    """A hash of ids and seed that any engine computes: what samples are drawn by."""
+    return F.md5(F.concat(F.col(id_).cast("string"), F.lit(f":{seed}")))
 
 
 def split(df: DataFrame, id_: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """`df` (unique ids) with the column validation: true for exactly int(n * share) rows, by hash order."""
-    k = int(df.count() * share)
-    chosen = df.select(id_).orderBy(*by_hash(id_, seed)).limit(k).withColumn("validation", F.lit(True))
-    return df.join(chosen, id_, "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
+    """`df` (unique ids) with the column validation: true for exactly int(n * share) rows, the first by hash."""
+    return marked_by_hash(df, int(df.count() * share), digest(id_, seed), F.col(id_), mark="validation")
+
 
+def sample_with_quotas(df: DataFrame, whole: Column, strata: list[tuple[Column, float]], total: int, id_: str, seed: int = 42) -> DataFrame:
+    """Up to `total` rows: those of `whole`, int(total * share) of each stratum, then any others, cut to `total`.
 
-def sample_with_quotas(df: DataFrame, stratum: str, total: int, whole: str, shares: dict[str, float], id_: str, seed: int = 42) -> DataFrame:
-    """All rows of the stratum `whole`, int(total * share) rows of each other one, then rows of any stratum up to `total`."""
-    parts = [df.where(F.col(stratum) == whole)]
-    parts += [df.where(F.col(stratum) == name).orderBy(*by_hash(id_, seed)).limit(int(total * share)) for name, share in shares.items()]
-    taken = reduce(DataFrame.unionByName, parts)
-    missing = max(0, total - taken.count())
-    return taken.unionByName(df.join(taken.select(id_), id_, "left_anti").select(*df.columns).orderBy(*by_hash(id_, seed)).limit(missing))
+    Strata are conditions and may overlap: a row that several have chosen counts once. Each
+    stratum takes its first rows by hash; the rest is filled with the first rows by hash
+    that are not taken yet, and if `whole` alone is too large its first `total` rows stay.
+    """
+    marks, rows = [], df
+    for i, (condition, share) in enumerate(strata):  # a row per stratum is broadcast; the table itself stays one scan
+        marks.append(f"_in{i}")
+        rows = marked_by_hash(rows, {"true": int(total * share)}, digest(id_, seed), F.col(id_), F.coalesce(condition, F.lit(False)).cast("string"), marks[-1], source=df)
+    taken = reduce(lambda a, b: a | b, (F.col(m) for m in marks), F.coalesce(whole, F.lit(False)))
+    rows = rows.withColumn("_taken", taken.cast("string"))
+    sizes = {r["_taken"]: r["n"] for r in rows.groupBy("_taken").agg(F.count("*").alias("n")).collect()}
+    picked = min(total, sizes.get("true", 0))
+    return first_by_hash(rows, {"true": picked, "false": total - picked}, digest(id_, seed), F.col(id_), F.col("_taken")).select(*df.columns)
 
 
-def nearest_rank(df: DataFrame, value: str, q: float, key: str) -> DataFrame:
-    """sorted[round(q * (n - 1))] with half-to-even rounding, per key."""
-    by = Window.partitionBy(key)
-    rows = df.select(key, value).withColumn("_n", F.count("*").over(by)).withColumn("_i", F.row_number().over(by.orderBy(value)))
-    return rows.where(F.col("_i") == F.bround(F.lit(q) * (F.col("_n") - 1)).cast("int") + 1).select(key, F.col(value).alias("pct"))
+def stratified(df: DataFrame, stratum: str, quotas: dict[str, int], id_: str, seed: int = 42) -> DataFrame:
+    """Exactly min(quota, size) rows per stratum, the first by hash of id and seed."""
+    return first_by_hash(df, quotas, digest(id_, seed), F.col(id_), F.col(stratum))
 
 
 def histogram(df: DataFrame, value: str, key: str, bins: int = 40, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts in equal bins; the last bin includes its upper end."""
     position = F.least(F.floor((F.col(value) - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
     return df.where(F.col(value).between(low, high)).groupBy(key, position.alias("bin")).agg(F.count("*").alias("n"))
-
-
-def stratified(df: DataFrame, stratum: str, quotas: dict[str, int], id_: str, seed: int = 42) -> DataFrame:
-    """Exactly min(quota, size) rows per stratum, in order of a hash of id and seed.
-
-    Each stratum's rows are first cut to the smallest hashes that can be among its quota
-    by TakeOrdered, so no stratum is sorted in one task.
-    """
-    parts = [df.where(F.col(stratum) == name).orderBy(*by_hash(id_, seed)).limit(k) for name, k in quotas.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

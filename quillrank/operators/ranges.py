@@ -111,26 +111,44 @@ def percentiles(df: DataFrame, value: str, key: str, qs: dict[str, float]) -> Da
     return joined.groupBy(key).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in qs))
 
 
-def first_by_hash(df: DataFrame, k: int | dict, digest: Column, id_: Column, key: Column | None = None, digits: int = 4) -> DataFrame:
-    """The k rows of smallest (digest, id), per `key` if given (then `k` maps keys to numbers).
+def _keyed(df: DataFrame, want: dict[str, int], digest: Column, id_: Column, key: Column | None) -> DataFrame:
+    """`df` with _key, _k (rows asked for of the key), _digest and _id."""
+    asked = F.create_map(*(F.lit(x) for name, n in want.items() for x in (name, int(n))))
+    rows = df.withColumn("_key", F.lit("") if key is None else F.coalesce(key.cast("string"), F.lit("\0"))).withColumn("_digest", digest).withColumn("_id", id_)
+    return rows.withColumn("_k", F.coalesce(F.element_at(asked, F.col("_key")), F.lit(0)))
+
+
+def last_by_hash(df: DataFrame, k: int | dict, digest: Column, id_: Column, key: Column | None = None, digits: int = 5) -> DataFrame:
+    """_own (key), _last (digest and id): the k-th row in order of (digest, id) of each key; no row where there are fewer.
 
     `digest` is a hex string. Counts of its first `digits` digits (16 ** digits numbers per
-    key) show in which of them the k-th row lies; all rows before it are taken as they are
-    and only the rows of that one prefix are ordered.
+    key at most) show in which of them the k-th row lies, and only the rows of that one
+    prefix are ordered.
     """
-    columns = df.columns
-    want = {None: k} if key is None else k
-    rows = df.withColumn("_key", F.lit(None).cast("string") if key is None else key).withColumn("_digest", digest).withColumn("_id", id_)
-    asked = F.create_map(*(F.lit(x) for name, n in want.items() for x in (name or "", int(n)))) if want else None
-    if asked is None:
-        return df.limit(0)
-    rows = rows.withColumn("_k", F.element_at(asked, F.coalesce("_key", F.lit("")))).where("_k > 0")
-    rows = rows.withColumn("_prefix", F.substring("_digest", 1, digits))
-    counts = rows.groupBy("_key", "_k", "_prefix").agg(F.count("*").alias("_n"))
+    want = {"": k} if key is None else {str(name): n for name, n in k.items()}
+    hashes = _keyed(df, want, digest, id_, key).where("_k > 0").select("_key", "_k", "_digest", "_id", F.substring("_digest", 1, digits).alias("_prefix"))
+    counts = hashes.groupBy("_key", "_k", "_prefix").agg(F.count("*").alias("_n"))
     until = F.sum("_n").over(Window.partitionBy("_key").orderBy("_prefix"))
     edges = counts.withColumn("_until", until).where("_until - _n < _k AND _until >= _k").select(F.col("_key").alias("_c"), F.col("_prefix").alias("_edge"), (F.col("_k") - (F.col("_until") - F.col("_n"))).alias("_rest"))
-    dealt_rows = rows.join(F.broadcast(edges), F.col("_key").eqNullSafe(F.col("_c")), "left")  # one row per key
-    sure = dealt_rows.where("_edge IS NULL OR _prefix < _edge").select(*columns)
-    edge = dealt_rows.where("_prefix = _edge")
-    picked = edge.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("_digest", "_id"))).where("_i <= _rest")
-    return sure.unionByName(picked.select(*columns))
+    edge = hashes.join(F.broadcast(edges), (F.col("_key") == F.col("_c")) & (F.col("_prefix") == F.col("_edge")))  # one row per key asked for
+    at = F.row_number().over(Window.partitionBy("_key").orderBy("_digest", "_id"))
+    return edge.withColumn("_at", at).where("_at = _rest").select(F.col("_key").alias("_own"), F.struct("_digest", "_id").alias("_last"))
+
+
+def marked_by_hash(df: DataFrame, k: int | dict, digest: Column, id_: Column, key: Column | None = None, mark: str = "chosen", digits: int = 5, source: DataFrame | None = None) -> DataFrame:
+    """`df` with `mark`: true for the k rows of smallest (digest, id), per `key` if given (then `k` maps keys to numbers).
+
+    The k-th row (last_by_hash(); one per key, broadcast) marks all others in one scan. It
+    is sought in `source`, if given: a frame of the same rows with a shorter plan.
+    """
+    want = {"": k} if key is None else {str(name): n for name, n in k.items()}
+    if not want:
+        return df.withColumn(mark, F.lit(False))
+    last = last_by_hash(df if source is None else source, k, digest, id_, key, digits)
+    told = _keyed(df, want, digest, id_, key).join(F.broadcast(last), F.col("_key") == F.col("_own"), "left")
+    return told.select(*df.columns, ((F.col("_k") > 0) & (F.col("_last").isNull() | (F.struct("_digest", "_id") <= F.col("_last")))).alias(mark))
+
+
+def first_by_hash(df: DataFrame, k: int | dict, digest: Column, id_: Column, key: Column | None = None, digits: int = 5) -> DataFrame:
+    """The rows that marked_by_hash() marks."""
+    return marked_by_hash(df, k, digest, id_, key, "_chosen", digits).where("_chosen").drop("_chosen")

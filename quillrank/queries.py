@@ -341,7 +341,10 @@ def union_cached_live(spark, d):
 
 @query("SELECT event_type, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) FILTER (value > 50) / count(*), 1) AS pct_high, round(median(value), 6) AS med, round(quantile_cont(value, 0.9), 6) AS p90, stddev_pop(value) IS NOT NULL AS has_sd FROM events GROUP BY event_type")
 def event_profile(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(F.col("value") > 50) / F.count("*"), 1).alias("pct_high"), F.round(F.median("value"), 6).alias("med"), F.round(F.expr("percentile(value, 0.9)"), 6).alias("p90"), F.stddev_pop("value").isNotNull().alias("has_sd"))
+    events = read(spark, d, "events")
+    counted = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(F.col("value") > 50) / F.count("*"), 1).alias("pct_high"), F.stddev_pop("value").isNotNull().alias("has_sd"))
+    ranked = E.percentiles(events, "value", "event_type", {"med": 0.5, "p90": 0.9})
+    return counted.join(ranked, "event_type").select("event_type", "n", "pct_high", F.round("med", 6).alias("med"), F.round("p90", 6).alias("p90"), "has_sd")
 
 
 @query("SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
@@ -364,15 +367,26 @@ def stratified_sample(spark, d):
     return E.stratified(read(spark, d, "customer"), "c_mktsegment", {"BUILDING": 30, "MACHINERY": 22}, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@query("""WITH pool AS (SELECT c_custkey, CASE WHEN c_nationkey < 2 THEN '0' WHEN c_nationkey < 9 THEN '1' WHEN c_nationkey < 17 THEN '2' ELSE '3' END AS stratum FROM customer),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(c_custkey || ':42'), c_custkey) AS n FROM pool),
-first AS (SELECT c_custkey, stratum FROM ordered WHERE stratum = '0' OR stratum = '1' AND n <= 15 OR stratum = '2' AND n <= 11),
-rest AS (SELECT c_custkey, stratum, row_number() OVER (ORDER BY md5(c_custkey || ':42'), c_custkey) AS n FROM pool WHERE c_custkey NOT IN (SELECT c_custkey FROM first))
-SELECT c_custkey, stratum FROM first UNION ALL SELECT c_custkey, stratum FROM rest WHERE n <= greatest(0, 50 - (SELECT count(*) FROM first))""")
+def _quota_sql(whole: str, strata: tuple[tuple[str, int], ...], total: int) -> str:
+    """Overlapping strata: each takes its first rows by hash; the union is filled up and cut by hash."""
+    taken = " OR ".join([f"coalesce({whole}, false)", *(f"({c} AND n{i} <= {k})" for i, (c, k) in enumerate(strata))])
+    numbers = ", ".join(f"row_number() OVER (PARTITION BY ({c}) ORDER BY md5(c_custkey || ':42'), c_custkey) AS n{i}" for i, (c, _) in enumerate(strata))
+    return f"""SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY NOT taken, md5(c_custkey || ':42'), c_custkey) AS n FROM (
+  SELECT c_custkey, ({taken}) AS taken FROM (SELECT *, {numbers} FROM customer))) WHERE n <= {total}"""
+
+
+_STRATA = (("c_nationkey < 9", 15), ("c_acctbal > 5000", 11), ("c_mktsegment = 'BUILDING'", 12))
+
+
+@query(_quota_sql("c_nationkey < 2 AND c_acctbal < 0", _STRATA, 50))
 def quota_sample(spark, d):
-    nation = F.col("c_nationkey")
-    pool = read(spark, d, "customer").select("c_custkey", F.when(nation < 2, "0").when(nation < 9, "1").when(nation < 17, "2").otherwise("3").alias("stratum"))
-    return E.sample_with_quotas(pool, "stratum", 50, "0", {"1": 0.30, "2": 0.22}, "c_custkey")
+    return E.sample_with_quotas(read(spark, d, "customer"), F.expr("c_nationkey < 2 AND c_acctbal < 0"), [(F.expr(_STRATA[0][0]), 0.30), (F.expr(_STRATA[1][0]), 0.22), (F.expr(_STRATA[2][0]), 0.25)], 50, "c_custkey").select("c_custkey")
+
+
+@query(_quota_sql("c_nationkey < 5", _STRATA[1:], 20).replace("<= 11", "<= 4").replace("<= 12", "<= 5"))
+def quota_overfull(spark, d):
+    """A stratum that is taken whole and larger than the sample: it is cut."""
+    return E.sample_with_quotas(read(spark, d, "customer"), F.expr("c_nationkey < 5"), [(F.expr(_STRATA[1][0]), 0.22), (F.expr(_STRATA[2][0]), 0.25)], 20, "c_custkey").select("c_custkey")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) <= floor((SELECT count(*) FROM labels) * 0.2::DOUBLE) AS validation FROM labels")
@@ -423,8 +437,7 @@ def best_parameter(spark, d):
 
 @query(_BM25 + ", " + _LABELLED + ", n AS (SELECT count(*) AS n FROM lab), rows_ AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, tier, bm25 FROM lab), long AS (SELECT b AS k, i AS id, tier, bm25 AS score FROM n, unnest(range(0, 1000)) x(b), unnest(range(0, n)) y(i) JOIN rows_ ON idx = ('0x' || substr(md5(b || ':' || i || ':42'), 1, 15))::BIGINT % n)" + _METRIC_SQL + ", c AS (SELECT 0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10 AS c FROM final) SELECT round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS std, round(quantile_cont(c, 0.025), 5) AS low, round(quantile_cont(c, 0.975), 5) AS high FROM c")
 def bootstrap_ci(spark, d):
-    rows = _labelled(spark, d).withColumn("idx", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))  # labelled rows only
-    out = E.bootstrap(rows.select("idx", "tier", "bm25"), "bm25", 1000)
+    out = E.bootstrap(_labelled(spark, d), "bm25", 1000)
     return out.select(*(F.round(c, 5).alias(c) for c in ("mean", "std", "low", "high")))
 
 

@@ -39,8 +39,8 @@ def test_metrics(spark, order):
 
 def test_bootstrap_draws_with_replacement(spark):
     n, rounds = 60, 25
-    df = spark.createDataFrame([(i, i * 7 % 5, float(i * 11 % 17)) for i in range(n)], "idx long, tier int, score double")
-    drawn = {(r["round"], r["draw"]): r["idx"] for r in evaluate.resampled(df, rounds).collect()}
+    df = spark.createDataFrame([(i, i * 7 % 5, float(i * 11 % 17)) for i in range(n)], "id long, tier int, score double")
+    drawn = {(r["round"], r["draw"]): r["idx"] for r in evaluate.resampled(spark, n, rounds).collect()}
     assert drawn == {(b, i): int(md5(f"{b}:{i}:42".encode()).hexdigest()[:15], 16) % n for b in range(rounds) for i in range(n)}
     different = [len({drawn[b, i] for i in range(n)}) for b in range(rounds)]
     assert max(different) < n and 0.55 < sum(different) / (n * rounds) < 0.72
@@ -106,9 +106,13 @@ def test_ndcg_of_one_group():
 def test_exact_split_and_quotas(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3] if i % 7 else "z") for i in range(103)], "id int, s string")
     assert evaluate.split(df, "id").where("validation").count() == 20 and evaluate.split(df, "id").count() == 103
-    got = evaluate.sample_with_quotas(df, "s", 60, "z", {"a": 0.3, "b": 0.1}, "id").collect()
+    strata = [(F.col("s") == "a", 0.3), (F.col("id") % 2 == 0, 0.1)]
+    got = evaluate.sample_with_quotas(df, F.col("s") == "z", strata, 60, "id").collect()
     assert len(got) == len({r["id"] for r in got}) == 60 and sum(r["s"] == "z" for r in got) == 15
-    assert sum(r["s"] == "a" for r in got) >= 18 and sum(r["s"] == "b" for r in got) >= 6
+    assert sum(r["s"] == "a" for r in got) >= 18 and sum(r["id"] % 2 == 0 for r in got) >= 6
+    few = evaluate.sample_with_quotas(df, F.col("s") == "z", strata, 10, "id").collect()
+    assert len(few) == 10 and sum(r["s"] == "z" for r in few) >= 5
+    assert evaluate.sample_with_quotas(df, F.lit(None).cast("boolean"), [], 500, "id").count() == 103
 
 
 def test_judgments(spark):
