@@ -9,29 +9,32 @@ from quillrank.functions.exprs import dot
 from quillrank.functions.lexicon import tokens
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75, stats: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """key, bm25: score of each document; a query term that repeats counts as often.
 
     idf below zero becomes a quarter of the mean idf of the whole vocabulary (the mean is
-    taken before). One pass aggregates (document, term) counts of query terms and one the
-    vocabulary; only per-term rows of the query are broadcast.
+    taken before). One pass aggregates the vocabulary, one the lengths; a third scores each
+    document where it is, by a broadcast row as long as the query: documents are not shuffled.
+    For many queries over one corpus, postings.build() keeps an index.
     """
-    words = docs.select(F.col(key).alias("_key"), tokens(F.col(text)).alias("_w"))
-    size = words.select("_key", F.size("_w").alias("_dl"))
-    totals = size.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"))
+    words = docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
+    totals = words.agg(F.count("*").alias("_n"), F.avg(F.size("_w")).alias("_avg"))
     df = words.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    vocabulary = df.crossJoin(F.broadcast(totals)).withColumn("idf", idf)
-    mean = vocabulary.agg(F.avg("idf").alias("_mean"))
     times = {t: query.count(t) for t in query}
-    wanted = docs.sparkSession.createDataFrame(list(times.items()), "term string, times int")  # as long as the query
-    terms = vocabulary.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean))
-    terms = terms.select("term", (F.when(F.col("idf") < 0, 0.25 * F.col("_mean")).otherwise(F.col("idf")) * F.col("times")).alias("weight"))
-    hits = words.select("_key", F.explode(F.filter("_w", lambda w: w.isin(list(times)))).alias("term"))
-    tf = hits.groupBy("_key", "term").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "term").join(size, "_key").crossJoin(F.broadcast(totals))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
-    scores = tf.groupBy("_key").agg(F.sum(part).alias("bm25"))
-    return docs.select(F.col(key)).join(scores, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    often = F.coalesce(F.create_map(*(F.lit(x) for pair in times.items() for x in pair))[F.col("term")], F.lit(0)) if times else F.lit(0)
+    vocabulary = df.crossJoin(F.broadcast(totals)).select("term", "_avg", idf.alias("idf"), often.alias("often"))
+    # one row: the mean of all idf, and idf of the query's terms
+    asked = F.collect_list(F.when(F.col("often") > 0, F.struct("term", "idf", "often")))
+    stats = vocabulary.agg(F.avg("idf").alias("_mean"), F.first("_avg").alias("_avg"), F.array_sort(asked).alias("_asked"))
+
+    def part(t: Column) -> Column:
+        weight = F.when(t["idf"] < 0, 0.25 * F.col("_mean")).otherwise(t["idf"]) * t["often"]
+        tf = F.size(F.filter("_w", lambda w: w == t["term"]))
+        return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("_w") / F.col("_avg")))
+
+    score = F.aggregate(F.coalesce("_asked", F.array().cast("array<struct<term:string,idf:double,often:int>>")), F.lit(0.0), lambda s, t: s + part(t))
+    return words.crossJoin(F.broadcast(stats)).select(key, F.coalesce(score, F.lit(0.0)).alias("bm25"))
 
 
 def mean_vector(vectors: DataFrame, column: str) -> DataFrame:
@@ -50,10 +53,18 @@ def dense_features(vectors: DataFrame, column: str, positive: DataFrame, negativ
     return out.withColumn("dense_margin", F.col("dense_sim_pos") - F.col("dense_sim_neg")).drop("_pos", "_neg")
 
 
-def encode_text(text: Column, size: int = 384) -> Column:
-    """Hashed bag of words as a unit vector: a stand-in where no encoder model is at hand."""
-    from quillrank.functions.exprs import l2_normalised
+def hashed(docs: DataFrame, key: str, text: str, size: int = 384) -> DataFrame:
+    """key, vector: unit vectors of signed feature hashing, a stand-in where no encoder model is at hand.
 
-    slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return l2_normalised(counts)
+    The first eight hex digits of a token's md5 choose its place, the ninth its sign. Counts
+    per (document, place) are aggregated, so the work is linear in the tokens. A text without
+    tokens has the zero vector.
+    """
+    words = docs.select(F.col(key), F.explode_outer(tokens(F.col(text))).alias("_w")).withColumn("_h", F.md5("_w"))
+    place = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % size).cast("int")
+    sign = F.when(F.substring("_h", 9, 1) < "8", 1).otherwise(-1)
+    sums = words.groupBy(key, place.alias("_place")).agg(F.sum(sign).cast("double").alias("_sum"))
+    entries = F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_sum")))  # `size` entries at most
+    rows = sums.groupBy(key).agg(F.map_from_entries(entries).alias("_m"), F.sqrt(F.sum(F.col("_sum") * F.col("_sum"))).alias("_norm"))
+    value = lambda i: F.coalesce(F.col("_m")[i] / F.when(F.col("_norm") > 0, F.col("_norm")), F.lit(0.0))
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("vector"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ from quillrank.functions.policy import Policy
 from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
-from quillrank.operators import labeling, retrieval, scoring, trees
+from quillrank.operators import labeling, postings, retrieval, scoring, trees
 from quillrank.sources.entities import raw_schema, typed
 from quillrank.sources.store import latest, remaining
+from quillrank.sources.tables import shared_folder, stored
+from quillrank.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +43,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _sql_term(column: str, term: str) -> str:
     return f"regexp_matches(lower({column}), '{L.pattern(term)}')"
 
@@ -99,6 +108,92 @@ def bm25_topk(spark, d):
     return bm25_all(spark, d).orderBy(F.desc("bm25"), "doc_id").limit(50)
 
 
+_ASKED = {"first": "the license que license die", "second": "warranty license", "third": "die und que", "fourth": "zzzz"}
+
+
+def _of_query(text: str) -> str:
+    """The BM25 SQL for another query."""
+    times = {t: text.split().count(t) for t in text.split()}
+    return _BM25.replace("VALUES ('the', 1), ('license', 2), ('que', 1), ('die', 1)", "VALUES " + ", ".join(f"('{t}', {n})" for t, n in times.items()))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS query, * FROM ({_of_query(text)} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20)" for name, text in _ASKED.items()))
+def bm25_index(spark, d):
+    """Several queries from one stored index: the corpus is tokenised once."""
+    index = postings.build(read(spark, d, "documents"), "doc_id", "text", work_path(spark, "postings"))
+    found = [postings.top_k(index, text.split(), 20, digits=6).select(F.lit(name).alias("query"), F.col("key").alias("doc_id"), "bm25") for name, text in _ASKED.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+_UPLOADS = 3
+
+
+@query(" UNION ALL ".join(f"SELECT {u} AS upload, * FROM ({_BM25.replace('documents', f'(SELECT * FROM documents WHERE doc_id % {_UPLOADS} = {u})')} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm)" for u in range(_UPLOADS)))
+def live_bm25(spark, d):
+    """Uploads that arrive one after the other; each is scored with its own statistics, by a query that starts again from its checkpoint."""
+    path = work_path(spark, "live-bm25")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    for upload in range(_UPLOADS):
+        docs.where(F.col("doc_id") % _UPLOADS == upload).write.mode("append").json(f"{path}/in")
+        arriving = spark.readStream.schema("doc_id long, text string").json(f"{path}/in")
+        live.run_available(arriving, lambda batch: retrieval.bm25(batch, "doc_id", "text", BM25_QUERY.split()), f"{path}/out", f"{path}/checkpoint")
+    return live.kept(spark, f"{path}/out").select((F.col("doc_id") % _UPLOADS).cast("int").alias("upload"), "doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+def _replayed(spark, d, path: str, slices: int, work, mode: str):
+    """`events` in order of time, in so many arrivals, each taken by a query that starts again from its checkpoint."""
+    events = read(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    for i in range(slices):
+        first, last = (low + (high - low) * k // slices for k in (i, i + 1))
+        arrived = events.where((F.col("at") >= first if i == 0 else F.col("at") > first) & (F.col("at") <= last))
+        arrived.write.mode("append").json(f"{path}/in")
+        stream = spark.readStream.schema("event_id long, user_id long, event_type string, value double, at long").json(f"{path}/in")
+        stream = stream.withColumn("ts", F.timestamp_micros("at")).drop("at")
+        work(stream, mode)
+
+
+@query("""WITH s AS (SELECT c_custkey, (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS level FROM customer)
+SELECT event_id, user_id, round(0.6::DOUBLE * least(1, greatest(0, value / 100.0::DOUBLE)) + 0.4::DOUBLE * coalesce(level, 0), 6) AS score FROM events LEFT JOIN s ON c_custkey = user_id""")
+def live_scores(spark, d):
+    """Events scored as they arrive, against a snapshot of the customers that is frozen when the query starts."""
+    path = work_path(spark, "live-scores")
+    customers = read(spark, d, "customer")
+    stats = F.broadcast(X.min_max_stats(customers, "c_acctbal"))  # one row
+    level = X.min_max(F.col("c_acctbal"), F.col("c_acctbal_low"), F.col("c_acctbal_high"))
+    snapshot = stored(customers.crossJoin(stats).select(F.col("c_custkey").alias("user_id"), level.alias("level")), "snapshot")
+    score = 0.6 * X.clamp(F.col("value") / 100.0) + 0.4 * F.coalesce("level", F.lit(0.0))
+    work = live.scored_against(snapshot, "user_id", score)
+    _replayed(spark, d, path, 3, lambda stream, mode: live.run_available(stream, work, f"{path}/out", f"{path}/checkpoint", mode), "append")
+    return live.kept(spark, f"{path}/out").select("event_id", "user_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def live_latest(spark, d):
+    """The last event of each user, kept in state per day while the watermark lets it."""
+    path = work_path(spark, "live-latest")
+
+    def work(stream, mode):
+        latest_rows = live.latest_stream(stream, "user_id", "ts", ["ts", "event_id"])
+        live.run_available(latest_rows, lambda batch: batch, f"{path}/out", f"{path}/checkpoint", mode)
+
+    _replayed(spark, d, path, 4, work, "update")
+    return live.latest_kept(live.kept(spark, f"{path}/out"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+_TOKENS = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{L.TOKEN}')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 384 AS place, CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END AS sign FROM w),
+v AS (SELECT doc_id, place, sum(sign)::DOUBLE AS x FROM h GROUP BY ALL), u AS (SELECT doc_id, place, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0) AS x FROM v)"""
+
+
+@query(f"WITH {_TOKENS}, a AS (SELECT place, x FROM u WHERE doc_id = (SELECT min(doc_id) FROM documents)) SELECT doc_id, round(coalesce(s, 0), 6) + 0 AS cosine FROM documents LEFT JOIN (SELECT doc_id, sum(u.x * a.x) AS s FROM u JOIN a USING (place) GROUP BY doc_id) USING (doc_id)")
+def hashed_cosine(spark, d):
+    """Hashed vectors of all documents against that of the first one."""
+    vectors = retrieval.hashed(read(spark, d, "documents"), "doc_id", "text")
+    first = vectors.orderBy("doc_id").limit(1).select(F.col("vector").alias("anchor"))
+    return vectors.crossJoin(F.broadcast(first)).select("doc_id", (F.round(X.dot(F.col("vector"), F.col("anchor")), 6) + 0.0).alias("cosine"))
+
+
 @query(_BM25 + f"""SELECT doc_id, naive_rank, bm_rank, naive_rank - bm_rank AS rank_delta FROM (
   SELECT doc_id, row_number() OVER (ORDER BY b DESC, doc_id) AS bm_rank, row_number() OVER (ORDER BY n DESC, doc_id) AS naive_rank
   FROM (SELECT bm.doc_id, round(bm25, 6) AS b, ({_COUNT}) AS n FROM bm JOIN documents USING (doc_id) ORDER BY round(bm25, 6) DESC, bm.doc_id LIMIT 100))""")
@@ -536,9 +631,7 @@ def shap_topk(spark, d):
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_activity(spark, d):
-    from quillrank.streaming.live import activity
-
-    return activity(read(spark, d, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    return live.activity(read(spark, d, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT name, count(v)::BIGINT AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS low, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.5), 4) AS q2, round(quantile_cont(v, 0.75), 4) AS q3, max(v) AS high
