@@ -11,7 +11,8 @@ from quillrank.functions.exprs import clamp, gauss, months, num, parse_date, rat
 from quillrank.functions.lexicon import any_of, count_of, seniority
 from quillrank.functions.policy import DEFAULT, Policy
 
-SCALE = r"(?iU)\d[\d,.]*\s*(\+\s*)?(k|m|b|million|billion|thousand|tb|gb|qps|rps)\b"
+# fixed value: what counts as a number that tells of size
+SCALE = r"(?iU)\b\d+\s*(million|billion|m\b|b\b|k\b|tb|gb|qps|rps)"
 # fixed values: weight of a claimed proficiency
 PROFICIENCY = {"beginner": 0.25, "intermediate": 0.5, "advanced": 0.8, "expert": 1.0}
 

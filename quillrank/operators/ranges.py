@@ -93,22 +93,21 @@ def at_ranks(df: DataFrame, value: str, key: str, ranks: DataFrame, range_rows:
 
 def nearest_rank(df: DataFrame, value: str, q: float, key: str) -> DataFrame:
     """pct: sorted[round(q * (n - 1))] with half-to-even rounding, per key."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    ranks = sizes.select(key, F.bround(F.lit(q) * (F.col("n") - 1)).cast("long").alias("i"))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    ranks = sizes.select(key, F.bround(F.lit(q) * (F.col("_n") - 1)).cast("long").alias("i"))
     return at_ranks(df, value, key, ranks).select(key, F.col(value).alias("pct"))
 
 
 def percentiles(df: DataFrame, value: str, key: str, qs: dict[str, float]) -> DataFrame:
     """key and a column per percentile, with linear interpolation between the two nearest ranks."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    place = sizes.select(key, F.explode(F.create_map(*(F.lit(x) for pair in qs.items() for x in pair))).alias("name", "q"), "n").withColumn("at", F.col("q") * (F.col("n") - 1))
-    both = place.select(key, "name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("i"))
-    values = at_ranks(df, value, key, both.select(key, "i").distinct())
-    values = values.select(F.col(key).alias("_own"), F.col("i").alias("_i"), F.col(value).cast("double").alias("v"))
-    named = both.join(values, F.col(key).eqNullSafe(F.col("_own")) & (F.col("i") == F.col("_i"))).select(key, "name", "at", "i", "v")
-    low, high = F.min_by("v", "i"), F.max_by("v", "i")
-    joined = named.groupBy(key, "name").agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("v"))
-    return joined.groupBy(key).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in qs))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    place = sizes.select("_k", F.explode(F.create_map(*(F.lit(x) for pair in qs.items() for x in pair))).alias("_name", "_q"), "_n").withColumn("_at", F.col("_q") * (F.col("_n") - 1))
+    both = place.select("_k", "_name", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("i"))
+    values = at_ranks(df, value, key, both.select(F.col("_k").alias(key), "i").distinct()).select(F.col(key).alias("_own"), F.col("i").alias("_i"), F.col(value).cast("double").alias("_v"))
+    named = both.join(values, F.col("_k").eqNullSafe(F.col("_own")) & (F.col("i") == F.col("_i"))).select("_k", "_name", "_at", "i", "_v")
+    low, high = F.min_by("_v", "i"), F.max_by("_v", "i")
+    found = named.groupBy("_k", "_name").agg((low + (high - low) * (F.first("_at") - F.floor(F.first("_at")))).alias("_v"))
+    return found.groupBy(F.col("_k").alias(key)).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in qs))
 
 
 def _keyed(df: DataFrame, want: dict[str, int], digest: Column, id_: Column, key: Column | None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import factorial
+
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,11 +78,15 @@ def predict_column(names: list[str], trees: list[Tree], missing: set[str] = froz
     return out
 
 
-def importance(df_session, names: list[str], trees: list[Tree], top: int = 15) -> DataFrame:
-    """Features by total split gain."""
+def importance(splits: DataFrame, top: int = 15) -> DataFrame:
+    """Features by total gain of `splits` (feature, gain), those of a model or of many."""
+    return splits.groupBy("feature").agg(F.sum("gain").alias("gain")).orderBy(F.desc("gain"), "feature").limit(top)
+
+
+def split_table(spark: SparkSession, names: list[str], trees: list[Tree]) -> DataFrame:
+    """feature, gain of every split of a model."""
     rows = [(names[f], g) for t in trees for f, g in zip(t.get("split_feature", []), t.get("split_gain", []), strict=False)]
-    table = df_session.createDataFrame(rows, "feature string, gain double")
-    return table.groupBy("feature").agg(F.sum("gain").alias("gain")).orderBy(F.desc("gain"), "feature").limit(top)
+    return spark.createDataFrame(rows, "feature string, gain double")
 
 
 def attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -109,8 +116,6 @@ def attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
             old, reached = conditions.get(f, (1.0, True))
             yield from leaves(child, share, conditions | {f: (old * count(child) / count(at), reached and bool(here))})
 
-    from math import factorial
-
     for value, conditions in leaves(0, 1.0, {}):
         path = list(conditions.items())
         m = len(path)
@@ -126,23 +131,65 @@ def attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def top_attributions(rows: DataFrame, id_: str, names: list[str], trees: list[Tree], k: int = 5) -> DataFrame:
-    """(id, factor, shap_value) of the k strongest features per row; for the ranked rows, not the corpus."""
+def leaf_paths(tree: Tree) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """(value, [(feature, low, high, share)]) of each leaf: low < x <= high reaches it, `share` of the rows would if the feature were unknown."""
+
+    def count(at: int) -> float:
+        return tree["leaf_count"][~at] if at < 0 else tree["internal_count"][at]
+
+    def walk(at: int, path: dict[int, tuple[float, float, float]]):
+        if at < 0:
+            yield tree["leaf_value"][~at], [(f, *bounds) for f, bounds in path.items()]
+            return
+        f, t = tree["split_feature"][at], tree["threshold"][at]
+        low, high, share = path.get(f, (float("-inf"), float("inf"), 1.0))
+        for child, bounds in ((tree["left_child"][at], (low, min(high, t))), (tree["right_child"][at], (max(low, t), high))):
+            yield from walk(child, path | {f: (*bounds, share * count(child) / count(at))})
+
+    return list(walk(0, {})) if tree.get("split_feature") else [(tree["leaf_value"][0], [])]
 
-    def run(frames):
-        import pandas as pd
 
-        for frame in frames:
-            found = []
-            x = frame[names].to_numpy(dtype=np.float32).astype(float)
-            for i, row in enumerate(x):
-                phi = sum(attributions(t, np.nan_to_num(row)) for t in trees)[:-1]
-                for f in np.lexsort((np.arange(len(phi)), -np.abs(phi)))[:k]:
-                    found.append((frame[id_].iloc[i], names[f], float(phi[f])))
-            yield pd.DataFrame(found, columns=[id_, "factor", "shap_value"])
+def attribution_columns(names: list[str], trees: list[Tree]) -> dict[str, Column]:
+    """Exact Shapley values of every feature, as columns over the row.
+
+    A feature gets, from each leaf below one of its splits, the leaf's value times (reached
+    - share) times the Shapley-weighted mean, over the sets of other features on the path,
+    of the product of their `reached` (in the set) or `share` (out of it). The products of
+    sets of one size are the coefficients of a polynomial, folded over the path.
+    """
+    totals: dict[int, list[Column]] = {}
 
-    kind = rows.schema[id_].dataType.simpleString()
-    return rows.select(id_, *(F.col(n).cast("double").alias(n) for n in names)).mapInPandas(run, f"{id_} {kind}, factor string, shap_value double")
+    def value(f: int) -> Column:
+        return F.coalesce(F.nanvl(F.col(names[f]).cast("float").cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    for tree in trees:
+        for leaf, path in leaf_paths(tree):
+            m = len(path)
+            reached = {f: ((value(f) > low) & (value(f) <= high)).cast("double") for f, low, high, _ in path}
+            weights = F.array(*(F.lit(factorial(k) * factorial(m - k - 1) / factorial(m)) for k in range(m)))
+            for f, _, _, share in path:
+                others = F.array(*(F.struct(F.lit(s).alias("share"), reached[g].alias("reached")) for g, _, _, s in path if g != f)) if m > 1 else None
+                one = F.array(F.lit(1.0))
+                step = lambda poly, e: F.zip_with(F.concat(F.transform(poly, lambda c: c * e["share"]), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(poly, lambda c: c * e["reached"])), lambda a, b: a + b)
+                poly = F.aggregate(others, one, step) if others is not None else one
+                mean = F.aggregate(F.zip_with(poly, weights, lambda c, w: c * w), F.lit(0.0), lambda a, c: a + c)
+                totals.setdefault(f, []).append(F.lit(leaf) * (reached[f] - F.lit(share)) * mean)
+    return {names[f]: reduce(lambda a, b: a + b, parts) for f, parts in sorted(totals.items())}
+
+
+def top_attributions(rows: DataFrame, id_: str, names: list[str], trees: list[Tree], k: int = 5, labels: dict[str, str] | None = None) -> DataFrame:
+    """id, factor, shap_value of the k strongest features of each row (ties by the order of `names`); `labels` adds a readable name.
+
+    Columns only: one row, a ranking or a whole table alike. Features that no tree splits
+    on have the value 0.
+    """
+    found = attribution_columns(names, trees)
+    factors = F.array(*(F.struct(-F.round(F.abs(found.get(n, F.lit(0.0))), 9).alias("less"), F.lit(i).alias("i"), F.lit(n).alias("factor"), found.get(n, F.lit(0.0)).alias("shap_value")) for i, n in enumerate(names)))
+    out = rows.select(id_, F.explode(F.slice(F.array_sort(factors), 1, k)).alias("_f")).select(id_, "_f.factor", "_f.shap_value")
+    if labels is None:
+        return out
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else F.create_map().cast("map<string,string>")
+    return out.select(id_, "factor", F.coalesce(known[F.col("factor")], F.col("factor")).alias("label"), "shap_value")
 
 
 def lambda_gradients(score: np.ndarray, tier: np.ndarray, truncate: int = 50) -> tuple[np.ndarray, np.ndarray]:

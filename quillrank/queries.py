@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import exprs as X
 from quillrank.functions import lexicon as L
+from quillrank.functions import rewrite
 from quillrank.functions.policy import Policy
 from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
 from quillrank.operators import labeling, postings, retrieval, scoring, trees
-from quillrank.sources.entities import raw_schema, typed
+from quillrank.sources import vectors
+from quillrank.sources.entities import raw_schema, read_accounted, typed
 from quillrank.sources.store import latest, remaining
 from quillrank.sources.tables import shared_folder, stored
 from quillrank.streaming import live
@@ -204,6 +206,17 @@ def keyword_vs_engine(spark, d):
     return top.select("doc_id", rank("n").alias("naive_rank"), rank("bm25").alias("bm_rank")).withColumn("rank_delta", F.col("naive_rank") - F.col("bm_rank"))
 
 
+_RANKED = _BM25 + f"""SELECT doc_id, naive_rank, bm_rank, naive_rank - bm_rank AS rank_delta FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY b DESC, doc_id) AS bm_rank, row_number() OVER (ORDER BY n DESC, doc_id) AS naive_rank
+  FROM (SELECT bm.doc_id, round(bm25, 6) AS b, ({_COUNT}) AS n FROM bm JOIN documents USING (doc_id) ORDER BY round(bm25, 6) DESC, bm.doc_id LIMIT 100))"""
+
+
+@query(f"SELECT 'up' AS moved, doc_id, rank_delta FROM (SELECT * FROM ({_RANKED}) ORDER BY rank_delta DESC, doc_id LIMIT 3) UNION ALL SELECT 'down', doc_id, rank_delta FROM (SELECT * FROM ({_RANKED}) ORDER BY rank_delta, doc_id LIMIT 3)")
+def movers(spark, d):
+    """Whom the engine lifts and lowers most against the naive order."""
+    return audit.movers(keyword_vs_engine(spark, d), "rank_delta", "doc_id", 3)
+
+
 @query("""WITH a AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, unnest(range(1, 65)) t(i) WHERE label IN (0, 1) GROUP BY ALL),
 n AS (SELECT label, sqrt(sum(m * m)) AS n FROM a GROUP BY label), u AS (SELECT label, i, m / n AS x FROM a JOIN n USING (label)),
 s AS (SELECT vec_id, sum(CASE WHEN u.label = 0 THEN embedding[i]::DOUBLE * x ELSE 0 END) AS p, sum(CASE WHEN u.label = 1 THEN embedding[i]::DOUBLE * x ELSE 0 END) AS q FROM embeddings, u GROUP BY vec_id)
@@ -297,63 +310,130 @@ def consistency(spark, d):
     return _histories(spark, d).select("id", hard.alias("hard"))
 
 
-_ROLES = f"""roles AS (SELECT o_custkey AS id, o_orderkey % 40 AS months, substr(o_orderpriority, 1, 1) IN ('1', '3') AS related, substr(o_orderpriority, 1, 1) = '3' AS built, substr(o_orderpriority, 1, 1) = '4' AS research,
-  o_orderkey % 3 = 0 AS services, o_orderkey % 4 = 0 AS open, o_orderdate::DATE AS start, CASE WHEN o_orderkey % 4 = 0 THEN DATE '{REF}' ELSE o_orderdate::DATE + (o_orderkey % 900)::INT END AS fin FROM orders),
-dated AS (SELECT *, datediff('month', start, fin) AS lasted, datediff('month', fin, DATE '{REF}') AS ago, id % 20 AS years FROM roles),
+#: Words that a role's description holds, by the number of its order: (condition, word).
+_SAID = (("k % 7 = 0", "gauge archive"), ("k % 11 = 0", "unit hydrograph"), ("k % 13 = 0", "skill score"), ("k % 9 = 0", "river"), ("k % 10 = 0", "basin"), ("k % 6 = 1", "aquifer"), ("k % 5 = 2", "acoustics"), ("k % 16 = 3", "telescope"), ("k % 12 = 5", "spreadsheet macro"), ("k % 14 = 1", "kriging"), ("k % 17 = 0", "telemetry"), ("k % 15 = 4", "some 12 gb a day"))
+_SKILLS = ("groundwater", "snowmelt", "excel", "filing", "river gauging")
+_ROLES = f"""roles AS (SELECT o_custkey AS id, o_orderkey AS k, o_orderkey % 40 AS months, substr(o_orderpriority, 1, 1) AS kind, (o_orderkey % 3 = 0 OR o_custkey % 9 = 0) AS services, o_orderkey % 4 = 0 AS open, o_orderdate::DATE AS start,
+  CASE WHEN o_orderkey % 4 = 0 THEN DATE '{REF}' ELSE o_orderdate::DATE + (o_orderkey % 900)::INT END AS fin FROM orders),
+dated AS (SELECT *, kind IN ('1', '3') AS related, kind = '3' AS built, kind = '4' AS research, datediff('month', start, fin) AS lasted, datediff('month', fin, DATE '{REF}') AS ago, CASE WHEN id % 13 = 0 THEN 0 ELSE id % 20 END AS years FROM roles),
 apart AS (SELECT *, CASE WHEN open THEN months - lasted ELSE abs(lasted - months) END AS off FROM dated),
+ski AS (SELECT o_custkey AS id, l_partkey % 5 AS name, CASE l_returnflag WHEN 'A' THEN 0.8::DOUBLE WHEN 'N' THEN 1::DOUBLE ELSE 0.4::DOUBLE END AS w, l_returnflag IN ('A', 'N') AS claimed, (l_suppkey % 3) * 25 AS used, l_quantity::INT AS praised FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1),
+skill AS (SELECT id, bool_or(name = 0) AS ground, bool_or(name = 4) AS gauging, count(*) FILTER (name IN (0, 1, 4)) AS core, sum(CASE WHEN name IN (0, 1, 4) THEN w * (0.4::DOUBLE + 0.4::DOUBLE * ln(1 + least(used, 120)) / ln(121::DOUBLE) + 0.2::DOUBLE * ln(1 + least(praised, 100)) / ln(101::DOUBLE)) ELSE 0 END) AS trust,
+  count(*) FILTER (claimed AND used <= 1) AS inflated, count(*) FILTER (claimed AND id % 3 <> 0 AND name IN (0, 2)) AS tested, sum(CASE WHEN claimed AND id % 3 <> 0 AND name IN (0, 2) THEN greatest(0::DOUBLE, w - (CASE name WHEN 0 THEN id % 101 ELSE id * 7 % 101 END) / 100.0::DOUBLE) ELSE 0 END) AS over FROM ski GROUP BY id),
+seen AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id),
 person AS (SELECT id, any_value(years)::DOUBLE AS years, count(*)::DOUBLE AS n, sum(months)::DOUBLE AS months, sum(CASE WHEN related THEN months ELSE 0 END) / 12.0::DOUBLE AS applied, bool_or(related) AS related, bool_or(built) AS built,
   count(*) FILTER (research) AS research, sum(CASE WHEN services THEN months ELSE 0 END)::DOUBLE AS services, bool_or(NOT services) AS product, min(CASE WHEN related AND ago >= 0 THEN ago END) AS since, coalesce(bool_or(related AND ago <= 18), false) AS recent,
-  count(*) FILTER (lasted >= 0 AND off > 9) + count(*) FILTER (years > 0 AND months > 12 * years + 6) AS hard, count(*) FILTER (lasted >= 0 AND off <= 9 AND off > 5) AS soft, datediff('month', min(start), max(fin)) AS span FROM apart GROUP BY id),
-judged AS (SELECT *, id % 4 = 1 AS off_target, id % 4 IN (1, 2) AS manager, CASE id % 4 WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0::DOUBLE ELSE 0.4::DOUBLE END AS role_now, CASE WHEN months > 0 THEN services / months ELSE 0 END AS share,
-  hard + (span / 12.0::DOUBLE + 1.5 < years)::INT AS n_hard, 0.3::DOUBLE * soft + 0.3::DOUBLE * (span / 12.0::DOUBLE + 1.5 >= years AND span / 12.0::DOUBLE + 0.75 < years)::INT + 0.3::DOUBLE * (years > 0 AND months > 1.6::DOUBLE * span + 12)::INT AS n_soft FROM person)"""
-
-
-def _people(spark, d):
-    """Orders as the roles of nested records, read as such: JSON text, lenient leaves, declared types."""
-    order, kind = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+  {", ".join(f"bool_or({c}) AS said{i}" for i, (c, _) in enumerate(_SAID))},
+  count(*) FILTER (lasted >= 0 AND off > 9) + count(*) FILTER (years > 0 AND months > 12 * years + 6) AS hard, count(*) FILTER (lasted >= 0 AND off <= 9 AND off > 5) AS soft, min(start) AS first, datediff('month', min(start), max(fin)) AS span FROM apart GROUP BY id),
+learnt AS (SELECT person.*, coalesce(ground, false) AS ground, coalesce(gauging, false) AS gauging, coalesce(core, 0) AS core, coalesce(trust, 0) AS trust, coalesce(inflated, 0) AS inflated, coalesce(tested, 0) AS tested, coalesce(over, 0) AS over, seen.n AS visits,
+  CASE WHEN person.id % 3 = 0 THEN 1990 + person.id % 12 END AS a, CASE WHEN person.id % 5 = 0 THEN 2001 END AS b FROM person LEFT JOIN skill USING (id) LEFT JOIN seen USING (id)),
+taught AS (SELECT *, coalesce(2001 - least(a, b) + 1 >= years, false) AS supported, coalesce(years >= 5 AND greatest(a, b) >= 2000 AND greatest(a, b) - year(first) > 4, false) AS graduate, id % 4 = 1 AS off_target, id % 4 IN (1, 2) AS manager,
+  CASE id % 4 WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0::DOUBLE ELSE 0.4::DOUBLE END AS role_now, CASE WHEN months > 0 THEN services / months ELSE 0 END AS share, built OR said10 AS operational, said0 AS archive,
+  (said3 OR gauging)::INT + said4::INT + said5::INT + related::INT AS language, said6::INT + said7::INT AS vision, CASE WHEN visits IS NOT NULL THEN visits * 37 % 420 END AS days,
+  CASE id % 5 WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0.85::DOUBLE WHEN 2 THEN 0.65::DOUBLE ELSE CASE WHEN id % 3 = 0 THEN 0.65::DOUBLE ELSE 0.3::DOUBLE END END AS place FROM learnt),
+judged AS (SELECT *, hard + (span / 12.0::DOUBLE + 1.5 < years AND NOT supported)::INT + graduate::INT AS n_hard,
+  0.3::DOUBLE * soft + 0.3::DOUBLE * (span / 12.0::DOUBLE + 1.5 >= years AND span / 12.0::DOUBLE + 0.75 < years AND NOT supported)::INT + 0.3::DOUBLE * (years > 0 AND months > 1.6::DOUBLE * span + 12)::INT + 0.3::DOUBLE * (inflated >= 5)::INT AS n_soft FROM taught)"""
+
+
+def _records(spark, d):
+    """JSON text of nested records: orders are roles, first lines of orders are skills, events are signals."""
+    k, kind = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
     start = F.to_date("o_orderdate")
+    said = [F.when(F.expr(c.replace("k %", "o_orderkey %")), F.lit(word)) for c, word in _SAID]
     role = F.struct(
-        F.when(kind == "1", "Ranking Engineer").when(kind == "2", "Clerk").otherwise("Analyst").alias("title"),
-        F.when(kind == "3", "retrieval in production").when(kind == "4", "phd thesis").otherwise("ledger").alias("description"),
-        F.when(order % 3 == 0, "IT Services Ltd").otherwise("Acme").alias("company"),
-        F.when(order % 5 == 0, "staffing").otherwise("retail").alias("industry"),
+        F.when(kind == "1", "Flood Modeller").when(kind == "2", "Clerk").otherwise("Analyst").alias("title"),
+        F.concat_ws(", ", F.when(kind == "3", "flood routing, operational").when(kind == "4", "dissertation").otherwise("ledger"), *said).alias("description"),
+        F.when((k % 3 == 0) | (F.col("o_custkey") % 9 == 0), "Temp Agency Ltd").otherwise("Acme").alias("company"),
+        F.when(k % 5 == 0, "staff leasing").otherwise("retail").alias("industry"),
         start.cast("string").alias("start_date"),
-        F.when(order % 4 != 0, F.date_add(start, (order % 900).cast("int")).cast("string")).alias("end_date"),
-        (order % 40).cast("string").alias("duration_months"),
+        F.when(k % 4 != 0, F.date_add(start, (k % 900).cast("int")).cast("string")).alias("end_date"),
+        (k % 40).cast("string").alias("duration_months"),
+    )
+    orders = read(spark, d, "orders")
+    roles = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(role).alias("career_history"))  # some dozen a customer
+    skill = F.struct(
+        F.element_at(F.array(*map(F.lit, _SKILLS)), (F.col("l_partkey") % 5 + 1).cast("int")).alias("name"),
+        F.when(F.col("l_returnflag") == "A", "advanced").when(F.col("l_returnflag") == "N", "expert").otherwise("unrated").alias("proficiency"),
+        F.col("l_quantity").cast("int").cast("string").alias("endorsements"),
+        ((F.col("l_suppkey") % 3) * 25).cast("string").alias("duration_months"),
+    )
+    skills = read(spark, d, "lineitem").where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(skill).alias("skills"))
+    seen = read(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    i = F.col("id")
+    text = lambda c: c.cast("string")
+    flag = lambda m: (i % m == 0).cast("string")
+    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    years = F.when(i % 13 != 0, text(i % 20))
+    profile = F.struct(
+        F.concat(F.when(i % 7 == 0, "Senior ").otherwise(""), one_of(("Hydrologist", "Florist Superintendent", "Superintendent", "Clerk"))).alias("current_title"),
+        F.when(i % 6 == 0, "Contract Bureau AG").otherwise("Acme").alias("current_company"),
+        F.lit("staff leasing").alias("current_industry"),
+        years.alias("years_of_experience"),
+        F.when(i % 5 == 0, "early warning").otherwise("none").alias("headline"),
+        F.concat_ws(" and ", F.when(i % 3 == 0, "peer review"), F.when(i % 4 == 0, "borehole")).alias("summary"),
+        one_of(("Lisbon", "Turin", "Ghent", "Oslo", "Bergen")).alias("location"),
+        F.when(i % 3 == 0, "Portugal").otherwise("Norway").alias("country"),
     )
-    roles = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(role).alias("career_history"))  # some dozen a customer
-    title = F.element_at(F.array(*map(F.lit, ("Search Engineer", "Sales Manager", "Director", "Clerk"))), (F.col("id") % 4 + 1).cast("int"))
-    company = F.when(F.col("id") % 6 == 0, "Outsourcing AG").otherwise("Acme")
-    profile = F.struct(title.alias("current_title"), company.alias("current_company"), F.lit("staffing").alias("current_industry"), (F.col("id") % 20).cast("string").alias("years_of_experience"))
-    record = F.to_json(F.struct(F.col("id").cast("string").alias("candidate_id"), profile.alias("profile"), "career_history"))
-    return typed(roles.select(F.from_json(record, raw_schema()).alias("r")).select("r.*"))
+    ends = F.filter(F.array(F.when(i % 3 == 0, 1990 + i % 12), F.when(i % 5 == 0, F.lit(2001))), lambda y: y.isNotNull())
+    education = F.transform(ends, lambda y: F.struct(text(y).alias("end_year")))
+    signals = F.struct(
+        F.when(F.col("n").isNotNull(), text(F.date_sub(F.to_date(F.lit(REF)), (F.col("n") * 37 % 420).cast("int")))).alias("last_active_date"),
+        text(i % 11 / 10).alias("recruiter_response_rate"), text(i % 2).alias("applications_submitted_30d"), text(i % 200).alias("avg_response_time_hours"), text(i % 12 / 10).alias("interview_completion_rate"),
+        F.when(i % 3 == 0, "-1").otherwise(text(i % 7 / 6)).alias("offer_acceptance_rate"), F.when(i % 5 == 0, "-1").otherwise(text(i % 120)).alias("github_activity_score"),
+        text(i % 20).alias("saved_by_recruiters_30d"), text(i % 90).alias("search_appearance_30d"), text(i % 120).alias("profile_completeness_score"), text(i % 200).alias("notice_period_days"),
+        flag(2).alias("open_to_work_flag"), flag(2).alias("verified_email"), flag(3).alias("verified_phone"), flag(5).alias("linkedin_connected"), flag(4).alias("willing_to_relocate"),
+        one_of(("hybrid", "Onsite", "flexible", "remote", "any")).alias("preferred_work_mode"),
+        F.when(i % 3 != 0, F.create_map(F.lit("groundwater"), text(i % 101), F.lit("excel"), text(i * 7 % 101))).alias("skill_assessment_scores"),
+    )
+    rows = roles.join(skills, "id", "left").join(seen, "id", "left")
+    return rows.select("id", F.to_json(F.struct(text(i).alias("candidate_id"), profile.alias("profile"), "career_history", "skills", education.alias("education"), signals.alias("signals"))).alias("record"))
+
 
+def _people(spark, d, years_given=None):
+    """The records read as such: lenient leaves, declared types."""
+    return typed(_records(spark, d).select(F.from_json("record", raw_schema()).alias("r")).select("r.*"), years_given=years_given)
 
+
+_SCORE = lambda x: f"least(1::DOUBLE, greatest(0::DOUBLE, {x}))"
 _FEATURES = {
     "role_target_current": "role_now", "role_target_best": "greatest(role_now, related::INT::DOUBLE)", "relevant_history_flag": "related::INT::DOUBLE", "ever_built_relevant_flag": "built::INT::DOUBLE",
-    "is_offtarget_current": "off_target::INT::DOUBLE", "is_manager_current": "manager::INT::DOUBLE", "title_seniority": "0.5::DOUBLE", "yoe": "years",
+    "is_offtarget_current": "off_target::INT::DOUBLE", "is_manager_current": "manager::INT::DOUBLE", "title_seniority": "CASE WHEN id % 7 = 0 THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END", "yoe": "years",
     "experience_fit": "least(1::DOUBLE, 0.15::DOUBLE + 0.85::DOUBLE * exp(-pow(years - 7, 2) / 18.0::DOUBLE))", "applied_ml_years": "applied",
     "applied_ml_fraction": "CASE WHEN years > 0 THEN least(1::DOUBLE, applied / years) ELSE 0 END", "n_roles": "n", "avg_tenure_months": "months / n",
     "years_since_last_relevant": "coalesce(since / 12.0::DOUBLE, 99::DOUBLE)", "tenure_chaser_flag": "(n >= 4 AND months / n < 18)::INT::DOUBLE",
+    "core_skill_score": _SCORE("trust / 4"), "core_skill_hits": "core::DOUBLE", "assessment_alignment": f"CASE WHEN tested > 0 THEN {_SCORE('1 - over / tested')} ELSE 1::DOUBLE END", "skill_claim_inflation": "inflated::DOUBLE",
+    "vector_db_signal": "said0::INT::DOUBLE", "embedding_retrieval_signal": "said1::INT::DOUBLE", "eval_framework_signal": "said2::INT::DOUBLE", "nlp_ir_depth": _SCORE("language / 6.0::DOUBLE"),
+    "cv_speech_robotics_dominance": "vision::DOUBLE / greatest(1, language + vision)", "cv_dominant_flag": "(vision >= 2 AND language <= 1)::INT::DOUBLE", "langchain_only_recent_flag": "(said8 AND NOT said9 AND NOT said1)::INT::DOUBLE",
+    "production_signal": "operational::INT::DOUBLE", "scale_signal": "said11::INT::DOUBLE",
     "services_fraction": "share", "all_services_career_flag": "(share >= 0.95 AND months > 0)::INT::DOUBLE", "product_company_flag": "product::INT::DOUBLE", "current_is_services": "(id % 6 = 0)::INT::DOUBLE",
-    "production_signal": "built::INT::DOUBLE", "consistency_score": "least(1::DOUBLE, greatest(0::DOUBLE, 1 - least(1::DOUBLE, 0.5::DOUBLE * n_hard + n_soft)))", "honeypot_flag": "(n_hard >= 1)::INT::DOUBLE", "n_hard_contradictions": "n_hard::DOUBLE",
-    "pure_research_flag": "(research / n >= 0.6 AND NOT built)::INT::DOUBLE", "no_recent_code_flag": "(manager AND NOT recent)::INT::DOUBLE",
-    "core_skill_hits": "0::DOUBLE", "assessment_alignment": "1::DOUBLE", "recency_score": "0.5::DOUBLE", "response_rate_score": "0.5::DOUBLE", "interview_completion_score": "0::DOUBLE", "days_since_active": "-1::DOUBLE", "location_tier_score": "0.3::DOUBLE", "work_mode_fit": "0.7::DOUBLE",
+    "location_tier_score": "CASE WHEN place < 0.85 AND id % 4 = 0 THEN least(0.85::DOUBLE, place + 0.15::DOUBLE) ELSE place END", "in_india_flag": "(id % 3 = 0)::INT::DOUBLE", "willing_to_relocate_flag": "(id % 4 = 0)::INT::DOUBLE",
+    "work_mode_fit": "CASE id % 5 WHEN 0 THEN 1::DOUBLE WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.95::DOUBLE WHEN 3 THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END",
+    "days_since_active": "coalesce(days, -1)::DOUBLE", "recency_score": "CASE WHEN days IS NULL THEN 0.5::DOUBLE WHEN days <= 30 THEN 1::DOUBLE WHEN days >= 365 THEN 0.35::DOUBLE ELSE 1 - 0.65::DOUBLE * (days - 30) / 335.0::DOUBLE END",
+    "response_rate_score": f"CASE WHEN id % 11 = 0 AND id % 2 = 0 THEN 0.5::DOUBLE ELSE {_SCORE('0.05::DOUBLE + id % 11 / 10.0::DOUBLE')} END", "response_speed_score": f"CASE WHEN id % 200 = 0 THEN 0.5::DOUBLE ELSE {_SCORE('1 - id % 200 / 168.0::DOUBLE')} END",
+    "open_to_work_flag": "(id % 2 = 0)::INT::DOUBLE", "interview_completion_score": _SCORE("id % 12 / 10.0::DOUBLE"), "offer_acceptance_score": f"CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE ELSE {_SCORE('id % 7 / 6.0::DOUBLE')} END",
+    "github_score": f"CASE WHEN id % 5 = 0 THEN 0.5::DOUBLE ELSE {_SCORE('id % 120 / 100.0::DOUBLE')} END", "recruiter_demand_score": _SCORE("(id % 20 + 0.2::DOUBLE * (id % 90)) / 30"), "profile_completeness_score": _SCORE("id % 120 / 100.0::DOUBLE"),
+    "notice_score": _SCORE("1 - greatest(0, id % 200 - 30) / 150.0::DOUBLE"), "verification_score": "((id % 2 = 0)::INT + (id % 3 = 0)::INT + (id % 5 = 0)::INT) / 3.0::DOUBLE",
+    "consistency_score": "least(1::DOUBLE, greatest(0::DOUBLE, 1 - least(1::DOUBLE, 0.5::DOUBLE * n_hard + n_soft)))", "honeypot_flag": "(n_hard >= 1)::INT::DOUBLE", "n_hard_contradictions": "n_hard::DOUBLE",
+    "pure_research_flag": "(research / n >= 0.6 AND NOT operational)::INT::DOUBLE", "no_recent_code_flag": "(manager AND NOT recent)::INT::DOUBLE",
+    "must_have_overlap": "must / 5.0::DOUBLE", "must_have_count": "must::DOUBLE",
 }
+_MUST = "(SELECT *, built::INT + (said10 OR gauging)::INT + (ground OR id % 4 = 0)::INT + (id % 5 = 0)::INT + (id % 3 = 0)::INT AS must FROM judged)"
 
 
-@query(f"WITH {_ROLES} SELECT id::VARCHAR AS candidate_id, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in _FEATURES.items()) + " FROM judged")
+@query(f"WITH {_ROLES} SELECT id::VARCHAR AS candidate_id, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in _FEATURES.items()) + f" FROM {_MUST}")
 def entity_features(spark, d):
-    """The library's own features of nested records."""
+    """The library's own 55 features of nested records."""
     found = FE.static_features(_people(spark, d), Policy(reference_date=REF))
     return found.select("candidate_id", *(F.round(name, 6).alias(name) for name in _FEATURES))
 
 
-@query(f"""WITH {_ROLES} SELECT id::VARCHAR AS candidate_id, (count(*) FILTER (abs(lasted - months) > 9) + count(*) FILTER (months > 12 * years + 6) + (datediff('month', min(start), max(fin)) / 12.0::DOUBLE + 0.5 < any_value(years) - 2)::INT)::INT AS reasons FROM apart GROUP BY id""")
+@query(f"""WITH {_ROLES}, wrong AS (SELECT id, count(*) FILTER (abs(lasted - months) > 9) + count(*) FILTER (id % 13 <> 0 AND months > 12 * years + 6) AS n FROM apart GROUP BY id)
+SELECT id::VARCHAR AS candidate_id, (wrong.n + (id % 13 <> 0 AND span / 12.0::DOUBLE + 0.5 < years - 2)::INT + (inflated >= 4)::INT + (id % 13 <> 0 AND coalesce(years >= 5 AND greatest(a, b) - year(first) > 4 AND greatest(a, b) >= 1999, false))::INT)::INT AS reasons FROM judged JOIN wrong USING (id)""")
 def profile_contradictions(spark, d):
-    """Contradictions by the rules of the data profile."""
+    """Contradictions by the rules of the data profile; missing years are no contradiction."""
     policy = Policy(reference_date=REF)
-    return FE.enrich(_people(spark, d), policy).select("candidate_id", audit.timeline_variant(policy).alias("reasons"))
+    people = _people(spark, d, "given")
+    return FE.enrich(people, policy).select("candidate_id", audit.timeline_variant(policy, F.col("given")).alias("reasons"))
 
 
 @query("""SELECT c_custkey, CASE WHEN base < 0.85 AND moves THEN least(0.85::DOUBLE, base + 0.15::DOUBLE) ELSE base END AS tier FROM (
@@ -618,15 +698,34 @@ def tree_predict(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.round(trees.predict_column(*trees.parse_model(MODEL)), 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('c_acctbal', 10.0::DOUBLE), ('c_nationkey', 7.0::DOUBLE)) t(feature, gain)")
+@query("""WITH m AS (SELECT n_name AS feature, count(*) * 1.0::DOUBLE AS gain FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY n_name)
+SELECT feature, gain FROM m ORDER BY gain DESC, feature LIMIT 15""")
 def feature_importance(spark, d):
-    return trees.importance(spark, *trees.parse_model(MODEL))
+    """Gains of splits that lie in a table: here a split for each customer above a balance, on the feature of their nation."""
+    splits = read(spark, d, "customer").where("c_acctbal > 0").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return trees.importance(splits.select(F.col("n_name").alias("feature"), F.lit(1.0).alias("gain")))
+
 
+_SHAP = """WITH c AS (SELECT c_custkey, c_acctbal, c_acctbal::FLOAT::DOUBLE <= 1000 AS a, c_nationkey <= 12.5 AS n, c_nationkey <= 5.5 AS m FROM customer),
+v AS (SELECT *, 0.1::DOUBLE / 6 + 5 / 6.0::DOUBLE * (0.4::DOUBLE * 0.2 + 0.6::DOUBLE * -0.3) AS v0, CASE WHEN a THEN 0.1::DOUBLE ELSE 0.4::DOUBLE * 0.2 + 0.6::DOUBLE * -0.3 END AS va,
+  0.1::DOUBLE / 6 + 5 / 6.0::DOUBLE * (CASE WHEN n THEN 0.2::DOUBLE ELSE -0.3::DOUBLE END) AS vn, CASE WHEN a THEN 0.1::DOUBLE WHEN n THEN 0.2::DOUBLE ELSE -0.3::DOUBLE END AS van,
+  CASE WHEN m THEN 0.05::DOUBLE ELSE -0.05::DOUBLE END - (25 / 60.0::DOUBLE * 0.05 - 35 / 60.0::DOUBLE * 0.05) AS second FROM c),
+p AS (SELECT c_custkey, c_acctbal, (va - v0 + van - vn) / 2 AS pa, (vn - v0 + van - va) / 2 + second AS pn FROM v),
+l AS (SELECT c_custkey, c_acctbal, 'c_acctbal' AS factor, pa AS x FROM p UNION ALL SELECT c_custkey, c_acctbal, 'c_nationkey', pn FROM p)
+"""
+_LABELS = {"c_acctbal": "balance"}
 
-@query()
+
+@query(_SHAP + "SELECT c_custkey, factor, CASE factor WHEN 'c_acctbal' THEN 'balance' ELSE factor END AS label, round(x, 6) AS shap_value FROM l WHERE c_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100)")
 def shap_topk(spark, d):
     top = read(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100)
-    return trees.top_attributions(top, "c_custkey", *trees.parse_model(MODEL), k=2)
+    return trees.top_attributions(top, "c_custkey", *trees.parse_model(MODEL), k=2, labels=_LABELS).withColumn("shap_value", F.round("shap_value", 6))
+
+
+@query(_SHAP + "SELECT c_custkey, factor, round(x, 6) AS shap_value FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(abs(x), 9) DESC, factor) AS r FROM l) WHERE r = 1")
+def shap_strongest(spark, d):
+    """The strongest factor of every row."""
+    return trees.top_attributions(read(spark, d, "customer"), "c_custkey", *trees.parse_model(MODEL), k=1).select("c_custkey", "factor", F.round("shap_value", 6).alias("shap_value"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -653,6 +752,72 @@ def fairness_top(spark, d):
     return audit.fairness(scored, "segment", 100, F.desc("final"), F.col("candidate_id"))[0]
 
 
+@query(_SCORED + "SELECT c_mktsegment AS segment, least(floor(final * 40), 39)::INT AS bin, count(*)::BIGINT AS n FROM z JOIN customer ON c_custkey = id WHERE final BETWEEN 0 AND 1 GROUP BY ALL")
+def fairness_histogram(spark, d):
+    segments = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    scored = _scored(spark, d).withColumn("final", F.round("final", 12)).join(segments, "id")
+    return audit.fairness(scored, "segment", 100, F.desc("final"), F.col("candidate_id"))[1]
+
+
+@query(_SCORED + "SELECT round(min(availability), 6) AS availability_low, round(max(availability), 6) AS availability_high, round(avg(availability), 6) AS availability_mean, 0.7::DOUBLE AS location_low, 0.7::DOUBLE AS location_high, 0.7::DOUBLE AS location_mean FROM z")
+def modifier_ranges(spark, d):
+    found = audit.fairness(_scored(spark, d).withColumn("segment", F.lit("all")), "segment", 100, F.desc("final"))[2]
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
+_SINCE = "o_orderdate::DATE > (SELECT max(o_orderdate)::DATE - 365 FROM orders)"
+_PROFILE_FLAGS = {"large": "o_totalprice > 200000", "open": "o_orderstatus = 'O'", "recent": _SINCE, "urgent": "o_orderpriority LIKE '1%'"}
+_PROFILE_ROWS = "SELECT '{dim}' AS dimension, {group} AS value, '{name}' AS measure, count(*)::BIGINT AS n, count(*) FILTER ({flag})::BIGINT AS hits, round(100.0::DOUBLE * count(*) FILTER ({flag}) / count(*), 1) AS pct FROM orders {by}"
+
+
+@query(" UNION ALL ".join(_PROFILE_ROWS.format(dim=dim, group=f"{dim}::VARCHAR" if dim != "all" else "NULL::VARCHAR", name=name, flag=flag, by=f"GROUP BY {dim}" if dim != "all" else "") for dim in ("all", "o_orderpriority", "o_orderstatus") for name, flag in _PROFILE_FLAGS.items()))
+def profile(spark, d):
+    """Flags by several groupings at once; the reference date is the newest one of the data."""
+    orders = read(spark, d, "orders")
+    newest = audit.newest(orders, F.to_date("o_orderdate"))
+    rows = orders.crossJoin(F.broadcast(newest))  # one row
+    flags = {"large": F.col("o_totalprice") > 200000, "open": F.col("o_orderstatus") == "O", "recent": F.to_date("o_orderdate") > F.date_sub("reference", 365), "urgent": F.col("o_orderpriority").startswith("1")}
+    return audit.profile(rows, flags, ["o_orderpriority", "o_orderstatus"])
+
+
+@query("""SELECT 'same' AS cache, 'reused' AS found, count(*)::BIGINT AS kept, 0::BIGINT AS encoded FROM embeddings UNION ALL SELECT 'turned', 'reordered', count(*), 0 FROM embeddings
+UNION ALL SELECT 'partial', 'refilled', count(*) FILTER (vec_id % 7 <> 0), count(*) FILTER (vec_id % 7 = 0) FROM embeddings UNION ALL SELECT 'none', 'refilled', 0, count(*) FROM embeddings""")
+def vector_cache(spark, d):
+    """What of a vector cache is used again: everything, everything in another order, all but what is missing."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place"), "embedding")
+    texts = rows.select("id", "place", F.col("id").cast("string").alias("text"))
+    caches = {"same": rows, "turned": rows.withColumn("place", -F.col("place")), "partial": rows.where("id % 7 <> 0"), "none": rows.where("false")}
+    encode = lambda missing: missing.select("id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    out = []
+    for name, cache in caches.items():
+        how, filled = vectors.filled(cache, texts, encode)
+        out.append(filled.agg(F.lit(name).alias("cache"), F.lit(how).alias("found"), F.count_if(~F.col("new")).alias("kept"), F.count_if("new").alias("encoded")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT count(*) FILTER (c_custkey % 11 <> 3)::BIGINT AS accepted, count(*) FILTER (c_custkey % 11 = 3)::BIGINT AS skipped FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def read_accounting(spark, d):
+    """Records read once: what is good, what is kept aside, and their numbers, all from one scan."""
+    path = work_path(spark, "records")
+    text = F.when(F.col("id") % 11 == 3, F.substring("record", 1, 40)).otherwise(F.col("record"))
+    _records(spark, d).select(text.alias("value")).write.text(f"{path}/in")
+    return read_accounted(spark, f"{path}/in", f"{path}/good", f"{path}/bad")
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS candidate_id, true AS key_order, true AS unknown_fields, true AS quoted_numbers FROM orders")
+def metamorphic(spark, d):
+    """Features of records that are written otherwise: keys in another order, unknown fields everywhere, numbers in quotes."""
+    policy = Policy(reference_date=REF)
+    records = _records(spark, d).select("record")
+    of = lambda df: FE.static_features(typed(df.select(F.from_json("record", raw_schema()).alias("r")).select("r.*")), policy)
+    digest = lambda df, name: of(df).select("candidate_id", F.xxhash64(*sorted(FE.feature_columns(policy))).alias(name))
+    out = digest(records, "plain")
+    ways = {"key_order": rewrite.sorted_keys, "unknown_fields": rewrite.with_unknown_fields, "quoted_numbers": rewrite.with_quoted_numbers}
+    for name, way in ways.items():
+        out = out.join(digest(records.select(way(F.col("record")).alias("record")), f"_{name}"), "candidate_id")
+    return out.select("candidate_id", *((F.col("plain") == F.col(f"_{name}")).alias(name) for name in ways))
+
+
 @query("SELECT e.event_id, e.user_id, c_nationkey FROM events e JOIN customer ON c_custkey = e.user_id WHERE e.value > 50 AND e.ts::DATE = (SELECT max(ts)::DATE FROM events)")
 def newest_activity(spark, d):
     events = read(spark, d, "events").withColumn("day", F.col("ts").cast("date"))

@@ -6,7 +6,7 @@ integer costs no row. Nulls and values that do not cast take the default.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +47,12 @@ def _leaf(value: Column, kind: str, default) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default).cast(kind))
 
 
-def typed(raw: DataFrame, signals: str = "signals") -> DataFrame:
-    """Typed records with defaults; the signals field is called `signals` from here on."""
+def typed(raw: DataFrame, signals: str = "signals", years_given: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed records with defaults; the signals field is called `signals` from here on.
+
+    `years_given` names a column that tells records with years of experience from those
+    where the default stands for them; columns in `keep` stay.
+    """
     struct = lambda base, fields: F.struct(*(_leaf(base[n], k, d).alias(n) for n, (k, d) in fields.items()))
     element = lambda fields: lambda e: struct(e, fields)
     columns = [F.coalesce("candidate_id", F.lit("")).alias("candidate_id"), struct(F.col("profile"), PROFILE).alias("profile")]
@@ -60,7 +64,9 @@ def typed(raw: DataFrame, signals: str = "signals") -> DataFrame:
     leaves.append(F.map_filter(F.transform_values(scores, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull()).alias("skill_assessment_scores"))
     salary = s["expected_salary_range_inr_lpa"]
     leaves.append(F.struct(*(_leaf(salary[n], "double", 0.0).alias(n) for n in ("min", "max"))).alias("expected_salary_range_inr_lpa"))
-    return raw.select(*columns, F.struct(*leaves).alias("signals"))
+    if years_given:
+        columns.append(F.col("profile.years_of_experience").try_cast("double").isNotNull().alias(years_given))
+    return raw.select(*columns, F.struct(*leaves).alias("signals"), *keep)
 
 
 def read_raw(spark: SparkSession, path: str, array: bool = False, signals: str = "signals") -> DataFrame:
@@ -86,6 +92,23 @@ def skipped(spark: SparkSession, path: str, array: bool = False, signals: str =
     return read_raw(spark, path, array, signals).agg(F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("skipped"))
 
 
+def read_accounted(spark: SparkSession, path: str, good: str, bad: str, array: bool = False, signals: str = "signals") -> DataFrame:
+    """One row (accepted, skipped) of a read that keeps typed records under `good` and the text of malformed ones under `bad`.
+
+    The numbers come with the pass that writes, by an observation on the scan; the source is
+    read once, and `bad` holds few rows that are set aside from what was written.
+    """
+    seen = Observation("records")
+    wrong = F.col(CORRUPT).isNotNull() | F.col("candidate_id").isNull()
+    raw = read_raw(spark, path, array, signals).withColumn("_bad", wrong)
+    counted = raw.observe(seen, F.count_if(~F.col("_bad")).alias("accepted"), F.count_if(F.col("_bad")).alias("skipped"))
+    both = typed(counted, signals, keep=("_bad", CORRUPT))
+    both.write.mode("overwrite").partitionBy("_bad").parquet(good)
+    written = spark.read.parquet(good)
+    written.where(F.col("_bad").cast("boolean")).select(F.col(CORRUPT).alias("record")).write.mode("overwrite").parquet(bad)
+    return spark.createDataFrame([(seen.get["accepted"], seen.get["skipped"])], "accepted long, skipped long")
+
+
 def read_upload(spark: SparkSession, path: str, cap: int | None = 100, signals: str = "signals") -> DataFrame:
     """Typed records of an uploaded file: a JSON array, one object over many lines, or JSON lines.
 

@@ -20,36 +20,36 @@ from quillrank.sources.entities import numeric_columns, read_entities, read_uplo
 # reference date of the default policy: 2026-05-27
 STRONG = {
     "candidate_id": "CAND_0000001",
-    "profile": {"headline": "Relevance at scale", "summary": "query understanding", "location": "Oporto", "country": "Portugal", "current_title": "Relevance Engineer", "years_of_experience": "9.5"},
+    "profile": {"headline": "Rivers and basins", "summary": "peer review", "location": "Oporto", "country": "Portugal", "current_title": "Catchment Engineer", "years_of_experience": "9.5"},
     "career_history": [
-        {"company": "Northwind", "title": "Relevance Engineer", "description": "Runs hybrid retrieval in production, 40k qps.", "start_date": "2022-09-01", "end_date": None, "duration_months": 44.0, "is_current": True},
+        {"company": "Northwind", "title": "Catchment Engineer", "description": "Runs flood routing in an operational forecast service, 40k gauges.", "start_date": "2022-09-01", "end_date": None, "duration_months": 44.0, "is_current": True},
         {"company": "Fabrikam", "title": "Backend Developer", "description": "Owned billing.", "start_date": "2019-03-15", "end_date": "2022-08-20", "duration_months": 41},
-        {"company": "Contoso", "title": "NLP Engineer", "description": "Classifiers.", "start_date": "2016-11-02", "end_date": "2019-02-11", "duration_months": 26},
+        {"company": "Contoso", "title": "River Engineer", "description": "Weirs.", "start_date": "2016-11-02", "end_date": "2019-02-11", "duration_months": 26},
     ],
     "skills": [
-        {"name": "bm25", "proficiency": "advanced", "endorsements": 12, "duration_months": 70},
+        {"name": "groundwater", "proficiency": "advanced", "endorsements": 12, "duration_months": 70},
         {"name": "sql", "proficiency": "expert", "endorsements": 90, "duration_months": 110},
-        {"name": "recommender systems", "proficiency": "intermediate", "endorsements": 0, "duration_months": 9},
+        {"name": "river gauging by boat", "proficiency": "intermediate", "endorsements": 0, "duration_months": 9},
     ],
     "signals": {"last_active_date": "2026-02-26", "recruiter_response_rate": 0.35, "applications_submitted_30d": 1, "github_activity_score": 22, "notice_period_days": 75, "preferred_work_mode": "onsite", "avg_response_time_hours": 42},
 }
 MISFIT = {
     "candidate_id": "CAND_0000002",
-    "profile": {"location": "Turin", "country": "Italy", "current_title": "Sales Recruiter", "current_company": "Bright Staffing", "years_of_experience": 4},
+    "profile": {"location": "Turin", "country": "Italy", "current_title": "Florist", "current_company": "Bright Staff Leasing", "years_of_experience": 4},
     "career_history": [
-        {"company": "Bright Staffing", "title": "Sales Recruiter", "description": "Calls.", "start_date": "2023-06-01", "end_date": None, "duration_months": 35, "is_current": True},
-        {"company": "Own shop", "title": "Barista", "description": "Coffee.", "industry": "staffing", "start_date": "2022-05-01", "end_date": "2022-06-30", "duration_months": 1},
+        {"company": "Bright Staff Leasing", "title": "Florist", "description": "Calls.", "start_date": "2023-06-01", "end_date": None, "duration_months": 35, "is_current": True},
+        {"company": "Own shop", "title": "Barista", "description": "Coffee.", "industry": "staff leasing", "start_date": "2022-05-01", "end_date": "2022-06-30", "duration_months": 1},
     ],
-    "skills": [{"name": n, "proficiency": "advanced", "endorsements": 3, "duration_months": 1} for n in ("rag", "llm")] + [{"name": "excel", "proficiency": "expert", "duration_months": 40}],
-    "signals": {"skill_assessment_scores": {"rag": 50, "excel": "88"}, "willing_to_relocate": True},
+    "skills": [{"name": n, "proficiency": "advanced", "endorsements": 3, "duration_months": 1} for n in ("snowmelt", "water balance")] + [{"name": "excel", "proficiency": "expert", "duration_months": 40}],
+    "signals": {"skill_assessment_scores": {"snowmelt": 50, "excel": "88"}, "willing_to_relocate": True},
 }
-BROKEN = {"candidate_id": "CAND_0000003", "profile": {"years_of_experience": 2, "current_title": "Search Engineer"}, "career_history": [{"company": "B", "title": "Search Engineer", "description": "y", "start_date": "2025-01-10", "duration_months": 61, "is_current": True}]}
+BROKEN = {"candidate_id": "CAND_0000003", "profile": {"years_of_experience": 2, "current_title": "Hydrologist"}, "career_history": [{"company": "B", "title": "Hydrologist", "description": "y", "start_date": "2025-01-10", "duration_months": 61, "is_current": True}]}
 SCHOLAR = {
     "candidate_id": "CAND_0000005",
-    "profile": {"current_title": "Head of Lab", "years_of_experience": 0},
+    "profile": {"current_title": "Superintendent", "years_of_experience": 0},
     "career_history": [
-        {"company": "Uni", "title": "Fellow", "description": "Ranking for a thesis.", "industry": "outsourcing", "start_date": "2018-01-01", "end_date": "2024-01-01", "duration_months": 72},
-        {"company": "Uni", "title": "Fellow", "description": "Academic work.", "start_date": "2018-02-01", "end_date": "2024-02-01", "duration_months": 72},
+        {"company": "Uni", "title": "Fellow", "description": "Snowmelt for a dissertation.", "industry": "contract bureau", "start_date": "2018-01-01", "end_date": "2024-01-01", "duration_months": 72},
+        {"company": "Uni", "title": "Fellow", "description": "Fieldwork.", "start_date": "2018-02-01", "end_date": "2024-02-01", "duration_months": 72},
     ],
 }
 EMPTY = {"candidate_id": "CAND_0000004"}
@@ -110,8 +110,10 @@ def test_descriptions_count_and_no_years_mean_no_overlap(features):
 
 def test_contradictions_of_a_profile(entities):
     got = {r["candidate_id"][-1]: r["n"] for r in enrich(entities).select("candidate_id", timeline_variant().alias("n")).collect()}
-    # without years of experience every role is longer than the career
+    # with no years of experience every role is longer than the career, unless the years are not known
     assert got == {"1": 0, "2": 0, "3": 2, "4": 0, "5": 2}
+    known = enrich(entities).select("candidate_id", timeline_variant(years_given=F.col("candidate_id") != "CAND_0000005").alias("n")).collect()
+    assert {r["candidate_id"][-1]: r["n"] for r in known} == got | {"5": 0}
 
 
 def test_empty_record(features):
@@ -126,7 +128,7 @@ def test_ranking_and_explanations(entities):
     top = rank_top(score(store), 3)
     rows = explain(top, entities).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == [1, 2, 3] and rows[0]["candidate_id"] == "CAND_0000001"
-    assert "Relevance Engineer" in rows[0]["reasoning"] and "9.5 yrs" in rows[0]["reasoning"] and "Oporto" in rows[0]["reasoning"]
+    assert "Catchment Engineer" in rows[0]["reasoning"] and "9.5 yrs" in rows[0]["reasoning"] and "Oporto" in rows[0]["reasoning"]
     again = rank(entities, store.where("candidate_id < 'CAND_0000003'"), n=3).select("candidate_id").collect()
     assert again[0][0] == "CAND_0000001"
 

@@ -15,7 +15,7 @@ from quillrank.streaming import live
 
 
 def records(spark, ids):
-    rows = [(f"P{i}", f"{'search' if i % 2 else 'ledger'} engineer", f"ranking {'production ' * (i % 4)}work {i}") for i in ids]
+    rows = [(f"P{i}", f"{'river' if i % 2 else 'ledger'} engineer", f"discharge {'telemetry ' * (i % 4)}work {i}") for i in ids]
     raw = spark.createDataFrame(rows, "id string, title string, text string")
     record = F.struct(F.col("id").alias("candidate_id"), F.struct(F.col("title").alias("current_title"), F.col("text").alias("summary")).alias("profile"))
     return raw.select(F.to_json(record).alias("value"))
