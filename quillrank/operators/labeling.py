@@ -120,7 +120,7 @@ def judge(messages: DataFrame, key: str, client: Callable[[str], str], per_minut
     return messages.select(key, "message").repartition(partitions).mapInPandas(run, f"{key} {kind}, reply string")
 
 
-def judge_all(messages: DataFrame, key: str, clients: list[Callable[[str], str]], path: str, per_minute: float, partitions: int, tries: int = 3) -> DataFrame:
+def judge_all(messages: DataFrame, key: str, clients: list[Callable[[str], str]], path: str, per_minute: float, partitions: int, tries: int = 3, tokens_per_minute: float | None = None) -> DataFrame:
     """(key, reply) of every message that a client answers, kept as JSON under `path`.
 
     Messages without a reply go to the next client, `tries` times round; what `path` holds
@@ -133,7 +133,7 @@ def judge_all(messages: DataFrame, key: str, clients: list[Callable[[str], str]]
         left = open_messages(messages, spark.read.schema(schema).json(path), key)
         if left.isEmpty():
             break
-        judge(left, key, client, per_minute, partitions).where("reply IS NOT NULL").write.mode("append").json(path)
+        judge(left, key, client, per_minute, partitions, tokens_per_minute).where("reply IS NOT NULL").write.mode("append").json(path)
     return spark.read.schema(schema).json(path)
 
 

@@ -16,7 +16,7 @@ from quillrank.functions.policy import Policy
 from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
-from quillrank.operators import labeling, postings, retrieval, scoring, trees
+from quillrank.operators import explain, labeling, postings, retrieval, scoring, trees
 from quillrank.sources import vectors
 from quillrank.sources.entities import raw_schema, read_accounted, typed
 from quillrank.sources.store import latest, remaining
@@ -350,7 +350,7 @@ def _records(spark, d):
         (k % 40).cast("string").alias("duration_months"),
     )
     orders = read(spark, d, "orders")
-    roles = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(role).alias("career_history"))  # some dozen a customer
+    roles = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(role)).alias("career_history"))  # some dozen a customer
     skill = F.struct(
         F.element_at(F.array(*map(F.lit, _SKILLS)), (F.col("l_partkey") % 5 + 1).cast("int")).alias("name"),
         F.when(F.col("l_returnflag") == "A", "advanced").when(F.col("l_returnflag") == "N", "expert").otherwise("unrated").alias("proficiency"),
@@ -427,6 +427,35 @@ def entity_features(spark, d):
     return found.select("candidate_id", *(F.round(name, 6).alias(name) for name in _FEATURES))
 
 
+_TITLE = "CASE WHEN id % 7 = 0 THEN 'Senior ' ELSE '' END || CASE id % 4 WHEN 0 THEN 'Hydrologist' WHEN 1 THEN 'Florist Superintendent' WHEN 2 THEN 'Superintendent' ELSE 'Clerk' END"
+_DESCRIPTION = "concat_ws(', ', CASE kind WHEN '3' THEN 'flood routing, operational' WHEN '4' THEN 'dissertation' ELSE 'ledger' END, " + ", ".join(f"CASE WHEN {c} THEN '{word}' END" for c, word in _SAID) + ")"
+_WAY = lambda *texts: "CASE id % 3 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+_MOVES = "CASE WHEN willing_to_relocate_flag > 0 THEN ', would move' ELSE '' END"
+_PLACE = "CASE id % 5 WHEN 0 THEN 'Lisbon' WHEN 1 THEN 'Turin' WHEN 2 THEN 'Ghent' WHEN 3 THEN 'Oslo' ELSE 'Bergen' END"
+
+
+@query(f"""WITH {_ROLES}, f AS (SELECT id, {", ".join(f"{sql} AS {name}" for name, sql in _FEATURES.items())} FROM {_MUST}),
+phr AS (SELECT id, arg_min(array_to_string(w[1:14], ' '), [CASE kind WHEN '1' THEN 'Flood Modeller' WHEN '2' THEN 'Clerk' ELSE 'Analyst' END, d]) FILTER (len(w) >= 4) AS phrase FROM (SELECT *, string_split(d, ' ') AS w FROM (SELECT *, {_DESCRIPTION} AS d FROM roles)) GROUP BY id),
+t AS (SELECT *, role_target_best * consistency_score AS final, {_TITLE} AS title, printf('%.1f', yoe) AS yrs, printf('%.2f', id % 11 / 10.0::DOUBLE) AS rate,
+  CASE WHEN (role_target_best >= 1 OR relevant_history_flag > 0) AND applied_ml_years >= 2 THEN ', some ' || round_even(applied_ml_years, 0)::INT || ' of them applied' ELSE '' END AS told FROM f LEFT JOIN phr USING (id)),
+u AS (SELECT *, CASE WHEN final >= 0.66 THEN 'strong' WHEN final >= 0.4 THEN 'good' WHEN final >= 0.22 THEN 'partial' ELSE 'weak' END AS tone, {_WAY("title || ' with ' || yrs || ' yrs' || told", "yrs || ' yrs' || told || ', currently ' || title", "title || ', ' || yrs || ' yrs of experience' || told")} AS opener,
+  array_to_string(list_filter([CASE WHEN embedding_retrieval_signal > 0 THEN 'core methods' END, CASE WHEN vector_db_signal > 0 THEN 'data stores' END, CASE WHEN eval_framework_signal > 0 THEN 'evaluation' END], lambda x: x IS NOT NULL), ', ') AS deep,
+  CASE WHEN location_tier_score >= 1 THEN 'based in ' || {_PLACE} || ' (preferred)' WHEN in_india_flag > 0 THEN {_PLACE} || {_MOVES} ELSE 'Norway' || CASE WHEN willing_to_relocate_flag > 0 THEN ', would move' ELSE ' (abroad)' END END AS place,
+  CASE WHEN recency_score >= 0.8 AND response_rate_score >= 0.55 THEN 'answers (' || rate || '), active of late' WHEN recency_score < 0.45 OR response_rate_score < 0.2 THEN 'hard to reach (answers ' || rate || ', away for ' || days_since_active::INT || ' days)' END AS engaged,
+  list_filter([CASE WHEN is_offtarget_current > 0 AND relevant_history_flag = 0 THEN 'current role is off target' END, CASE WHEN services_fraction >= 0.9 THEN 'services-only career' END, CASE WHEN honeypot_flag > 0 THEN 'the record contradicts itself' END,
+    CASE WHEN cv_dominant_flag > 0 THEN 'main field is another one' END, CASE WHEN langchain_only_recent_flag > 0 THEN 'tools only, little below them' END, CASE WHEN id % 200 > 60 THEN id % 200 || ' days of notice' END], lambda x: x IS NOT NULL)[1:2] AS concerns FROM t),
+v AS (SELECT *, CASE WHEN (ever_built_relevant_flag > 0 OR production_signal > 0) AND phrase IS NOT NULL THEN {_WAY("tone || ' record'", "'has built'", "tone || ' practice'")} || ': "' || phrase || '"' END AS quote,
+  CASE WHEN deep <> '' THEN {_WAY("deep || ' in the record'", "'shows ' || deep", "'record covers ' || deep")} END AS depth, CASE WHEN len(concerns) > 0 THEN 'concerns: ' || array_to_string(concerns, ', ') WHEN final < 0.22 THEN 'near the cut' END AS concern FROM u),
+x AS (SELECT id, concat_ws('; ', opener, quote) || '.' AS first, CASE WHEN id % 2 = 1 THEN concat_ws('; ', depth, engaged, place, concern) ELSE concat_ws('; ', depth, place, engaged, concern) END AS tail FROM v)
+SELECT id::VARCHAR AS candidate_id, upper(first[1]) || first[2:] || CASE WHEN tail <> '' THEN ' ' || upper(tail[1]) || tail[2:] || '.' ELSE '' END AS reasoning FROM x""")
+def reasons(spark, d):
+    """The explanation of every record, by the library's own features."""
+    people = _people(spark, d)
+    found = FE.static_features(people, Policy(reference_date=REF)).withColumn("final", F.col("role_target_best") * F.col("consistency_score"))
+    rows = found.join(explain.facts(people), "candidate_id")
+    return rows.select("candidate_id", explain.reason(set(rows.columns)).alias("reasoning"))
+
+
 @query(f"""WITH {_ROLES}, wrong AS (SELECT id, count(*) FILTER (abs(lasted - months) > 9) + count(*) FILTER (id % 13 <> 0 AND months > 12 * years + 6) AS n FROM apart GROUP BY id)
 SELECT id::VARCHAR AS candidate_id, (wrong.n + (id % 13 <> 0 AND span / 12.0::DOUBLE + 0.5 < years - 2)::INT + (inflated >= 4)::INT + (id % 13 <> 0 AND coalesce(years >= 5 AND greatest(a, b) - year(first) > 4 AND greatest(a, b) >= 1999, false))::INT)::INT AS reasons FROM judged JOIN wrong USING (id)""")
 def profile_contradictions(spark, d):

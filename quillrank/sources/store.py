@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +37,6 @@ def remaining(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key), key, "left_anti")
 
 
-def fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """One row that is equal for equal sets of keys: count and sum of key hashes."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("hash"))
-
-
 def write_ranking(ranked: DataFrame, path: str, key: str = "candidate_id") -> None:
     """CSV with header: id, rank, score (six decimals), reasoning; one small file in rank order."""
     out = ranked.select(key, "rank", F.col("final").cast("decimal(20,6)").cast("string").alias("score"), "reasoning")
@@ -73,20 +71,91 @@ def write_workbook(rows: list[dict], path: str) -> bool:
     return True
 
 
-def with_defaults(config: dict) -> dict:
-    """Replace ${name} in string values by other values, until nothing changes."""
-    out = dict(config)
+_REFERENCE = re.compile(r"\$\{([^}]+)\}")
+
+
+def filled(values: dict) -> dict:
+    """A mapping with ${name} in its texts replaced by its other values, until nothing changes; unknown names stay."""
+    out = dict(values)
     while True:
-        new = {k: _fill(v, out) if isinstance(v, str) else v for k, v in out.items()}
+        new = {k: _REFERENCE.sub(lambda m: str(out.get(m[1], m[0])) if out.get(m[1]) != v else m[0], v) if isinstance(v, str) else v for k, v in out.items()}
         if new == out:
             return out
         out = new
 
 
-def _fill(text: str, values: dict) -> str:
-    for k, v in values.items():
-        if isinstance(v, str | int | float):
-            text = text.replace("${" + k + "}", str(v)) if v != text else text
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A small YAML mapping (two levels, lists, scalars) from any file system that Spark reads; `paths` is filled() and anchored.
+
+    Relative paths are anchored at the folder of the file; absolute ones and those with a
+    scheme stay. Where the yaml package is installed it reads the text.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        import yaml
+
+        config = yaml.safe_load(text) or {}
+    except ImportError:
+        config = parse_yaml(text)
+    if isinstance(config.get("paths"), dict):
+        folder = path.rsplit("/", 1)[0] if "/" in path else "."
+        config["paths"] = {k: anchored(v, folder) if isinstance(v, str) else v for k, v in filled(config["paths"]).items()}
+    return config
+
+
+def anchored(path: str, folder: str) -> str:
+    """`path` if it is absolute, else below `folder`, without . and .. steps."""
+    if path.startswith("/") or "://" in path:
+        return path
+    scheme, slashes, rest = folder.rpartition("://")
+    return scheme + slashes + posixpath.normpath(posixpath.join(rest, path))
+
+
+def parse_yaml(text: str) -> dict:
+    """Mappings of scalars, of lists of scalars and of such mappings; indentation tells levels, # begins a comment."""
+    lines = []
+    for line in text.splitlines():
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if bare.strip() and bare.strip() != "---":
+            lines.append((len(bare) - len(bare.lstrip()), bare.strip()))
+
+    def block(at: int, indent: int):
+        if lines[at][1].startswith("- "):
+            out: list | dict = []
+            while at < len(lines) and lines[at][0] == indent and lines[at][1].startswith("- "):
+                out.append(_scalar(lines[at][1][2:]))
+                at += 1
+            return out, at
+        out = {}
+        while at < len(lines) and lines[at][0] == indent:
+            key, _, value = lines[at][1].partition(":")
+            at += 1
+            if value.strip():
+                out[_scalar(key)] = _scalar(value)
+            elif at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("- ")):
+                out[_scalar(key)], at = block(at, lines[at][0])
+            else:
+                out[_scalar(key)] = None
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in "\"'" and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1]
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    if text.lower() in ("null", "~", ""):
+        return None
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
     return text
 
 

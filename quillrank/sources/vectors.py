@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fingerprint(df: DataFrame, key: str, place: str | None = None) -> Column:
-    """Number and hash of the ids; with `place`, of the ids at their places.
+def fingerprint(df: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """One row (n, hash): number and hash of the ids; with `place`, of the ids at their places.
 
     Sums of hashes of (place, id) are the same however rows are dealt over tasks and add up
     over parts; they differ as soon as two ids change places.

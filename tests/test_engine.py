@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from hashlib import md5
 
@@ -9,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillrank.functions import rewrite
 from quillrank.operators import evaluate, labeling, trees
 from quillrank.queries import MODEL
-from quillrank.sources import store
+from quillrank.sources import store, vectors
 
 TIERS = {"p": 1, "q": 3, "r": 2, "s": 0, "t": 4, "u": 3, "v": 0}
 
@@ -186,7 +188,109 @@ def test_ranking_file_and_checkpoint(spark, tmp_path):
 
 
 def test_config_interpolation():
-    assert store.with_defaults({"root": "/d", "a": "${root}/x", "b": "${a}/y"})["b"] == "/d/x/y"
+    assert store.filled({"root": "/d", "a": "${root}/x", "b": "${a}/y", "c": "${nobody}", "d": "${d}"}) == {"root": "/d", "a": "/d/x", "b": "/d/x/y", "c": "${nobody}", "d": "${d}"}
+
+
+def test_config_file(spark, tmp_path):
+    text = """# a comment
+paths:
+  root: data   # where all lies
+  store: ${root}/store
+  far: s3://bucket/x
+  fixed: /abs/y
+model: {name}
+weights:
+  - 0.5
+  - 2
+seed: 42
+deep: true
+empty:
+names: [a, "b c"]
+""".replace("{name}", "'first # one'")
+    (tmp_path / "config.yaml").write_text(text)
+    got = store.read_config(spark, f"file://{tmp_path}/config.yaml")
+    assert got["paths"] == {"root": f"file://{tmp_path}/data", "store": f"file://{tmp_path}/data/store", "far": "s3://bucket/x", "fixed": "/abs/y"}
+    assert (got["weights"], got["seed"], got["deep"], got["empty"], got["names"]) == ([0.5, 2], 42, True, None, ["a", "b c"])
+    assert store.anchored("../z", "/a/b") == "/a/z" and store.parse_yaml("") == {}
+
+
+def test_stores_are_read_as_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.0, 2.0], 3), ("b", [0.0, 1.0], 4)], "candidate_id string, embedding array<float>, tier int")
+    store.save(df, f"{tmp_path}/s")
+    store.save(df, f"{tmp_path}/s")
+    got = store.load(spark, f"{tmp_path}/s")
+    assert got.schema == df.schema and sorted(got.collect()) == sorted(df.collect())
+    store.save(df, f"{tmp_path}/s", "append")
+    assert store.load(spark, f"{tmp_path}/s").count() == 4
+
+
+def test_workbook(tmp_path):
+    pytest.importorskip("openpyxl")
+    assert store.write_workbook([{"candidate_id": "a", "rank": 1, "score": 0.5, "reasoning": "x"}], str(tmp_path / "r.xlsx"))
+
+
+def test_messages_are_capped(spark):
+    df = spark.createDataFrame([("k" * 400, [1] * 9)], "name string, list array<int>")
+    sent = json.loads(df.select(labeling.message(df, "judge", lists=5, chars=280).alias("m")).first()[0])
+    user = json.loads(sent["user"])
+    assert sent["system"] == "judge" and len(user["name"]) == 280 and user["list"] == [1] * 5
+
+
+def test_cache_of_vectors(spark):
+    rows = [(i, i, [float(i)]) for i in range(6)]
+    cache = spark.createDataFrame(rows, "id long, place long, embedding array<float>")
+    wanted = spark.createDataFrame([(i, p, f"t{i}") for p, i in enumerate((5, 4, 3, 2, 1, 0))], "id long, place long, text string")
+    how, got = vectors.filled(cache, wanted, lambda missing: pytest.fail("nothing is missing"))
+    assert how == "reordered" and {r["id"]: r["place"] for r in got.collect()} == {i: 5 - i for i in range(6)}
+    how, got = vectors.filled(cache.where("id > 1"), wanted, lambda missing: missing.select("id", F.array(F.length("text").cast("float")).alias("embedding")))
+    assert how == "refilled" and sorted((r["id"], r["embedding"][0], r["new"]) for r in got.collect()) == [(0, 2, True), (1, 2, True), *((i, i, False) for i in range(2, 6))]
+    same = vectors.fingerprint(cache, "id", "place").first()
+    assert same == vectors.fingerprint(cache.repartition(5), "id", "place").first() != vectors.fingerprint(cache.withColumn("place", 5 - F.col("place")), "id", "place").first()
+
+
+def test_attributions_in_columns(spark):
+    """Random trees with features that repeat on a path, against the plain form."""
+    rng = np.random.default_rng(6)
+    tree = {"split_feature": [0, 1, 0, 2], "threshold": [0.0, -0.5, 1.0, 0.25], "left_child": [1, -1, -3, -4], "right_child": [2, -2, 3, -5], "leaf_value": [0.3, -0.2, 0.1, 0.7, -0.4], "leaf_count": [5.0, 7, 11, 13, 4], "internal_count": [40.0, 12, 28, 17]}
+    names, model = ["a", "b", "c", "unused"], [tree, {"leaf_value": [0.5]}]
+    x = rng.normal(size=(40, 4)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "id int, a double, b double, c double, unused double")
+    got = {}
+    for r in trees.top_attributions(df, "id", names, model, k=4, labels={"a": "first"}).collect():
+        got.setdefault(r["id"], {})[r["factor"]] = r["shap_value"]
+        assert r["label"] == ("first" if r["factor"] == "a" else r["factor"])
+    for i, row in enumerate(x):
+        want = sum(trees.attributions(t, row) for t in model)
+        assert [got[i][n] for n in names] == pytest.approx(want[:-1])
+    one = trees.top_attributions(df.where("id = 3"), "id", names, model, k=1).collect()
+    assert len(one) == 1 and abs(one[0]["shap_value"]) == pytest.approx(max(abs(v) for v in got[3].values()))
+
+
+@pytest.mark.parametrize("text", ['{"b":1,"a":{"d":-2.5e3,"c":[1,{"z":"x: {5, \\"q\\"}"}]},"e":{}}', "[]", '{"k":"{\\"a\\":1}"}'])
+def test_rewriting_keeps_the_meaning(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    ways = df.select(rewrite.sorted_keys(F.col("t")), rewrite.with_unknown_fields(F.col("t")), rewrite.with_quoted_numbers(F.col("t"))).first()
+    value = json.loads(text)
+    assert json.loads(ways[0]) == value
+
+    def without(v):
+        if isinstance(v, dict):
+            assert "_unknown" in v
+            return {k: without(x) for k, x in v.items() if k != "_unknown"}
+        return [without(x) for x in v] if isinstance(v, list) else v
+
+    def plain(v):
+        if isinstance(v, dict):
+            return {k: plain(x) for k, x in v.items()}
+        return [plain(x) for x in v] if isinstance(v, list) else float(v) if not isinstance(v, str) or v.lstrip("-")[:1].isdigit() else v
+
+    def numbers(v):
+        inner = v.values() if isinstance(v, dict) else v if isinstance(v, list) else []
+        return isinstance(v, int | float) or any(map(numbers, inner))
+
+    seen = json.loads(ways[1].replace("[{},null]", "[]"))
+    assert without(seen) == value
+    assert plain(json.loads(ways[2])) == plain(value) and not numbers(json.loads(ways[2]))
 
 
 def test_results_do_not_hang_on_partitions(spark):
