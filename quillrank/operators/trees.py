@@ -1,11 +1,10 @@
-"""Tree ensembles: text model to columns, attributions, and a small LambdaMART trainer."""
+"""Tree ensembles: text models, predictions and attributions as columns. boosting.py trains them."""
 
 from __future__ import annotations
 
 from functools import reduce
 from math import factorial
 
-import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,48 +88,6 @@ def split_table(spark: SparkSession, names: list[str], trees: list[Tree]) -> Dat
     return spark.createDataFrame(rows, "feature string, gain double")
 
 
-def attributions(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """Exact Shapley values of one tree for one row, with node counts as weights; last entry is the bias.
-
-    The value of a coalition follows known features and averages over unknown ones.
-    Shapley weights are summed over the features on the tree's own paths only, which are
-    few; each subset's value is computed once.
-    """
-    feats = sorted(set(tree.get("split_feature", [])))
-    out = np.zeros(len(x) + 1)
-    if not feats:
-        out[-1] = tree["leaf_value"][0]
-        return out
-
-    def count(at: int) -> float:
-        return tree["leaf_count"][~at] if at < 0 else tree["internal_count"][at]
-
-    def leaves(at: int, share: float, conditions: dict[int, tuple[float, bool]]):
-        """(value, {feature: (share if unknown, reached if known)}) of each leaf."""
-        if at < 0:
-            yield tree["leaf_value"][~at], conditions
-            return
-        f, t = tree["split_feature"][at], tree["threshold"][at]
-        goes_left = x[f] <= t
-        for child, here in ((tree["left_child"][at], goes_left), (tree["right_child"][at], not goes_left)):
-            old, reached = conditions.get(f, (1.0, True))
-            yield from leaves(child, share, conditions | {f: (old * count(child) / count(at), reached and bool(here))})
-
-    for value, conditions in leaves(0, 1.0, {}):
-        path = list(conditions.items())
-        m = len(path)
-        out[-1] += value * float(np.prod([s for _, (s, _) in path]))
-        for f, (share, reached) in path:
-            # polynomial over the number of known features among the others
-            poly = np.ones(1)
-            for g, (s, r) in path:
-                if g != f:
-                    poly = np.convolve(poly, [s, 1.0 if r else 0.0])
-            weight = sum(c * factorial(k) * factorial(m - k - 1) / factorial(m) for k, c in enumerate(poly))
-            out[f] += value * (float(reached) - share) * weight
-    return out
-
-
 def leaf_paths(tree: Tree) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """(value, [(feature, low, high, share)]) of each leaf: low < x <= high reaches it, `share` of the rows would if the feature were unknown."""
 
@@ -190,111 +147,3 @@ def top_attributions(rows: DataFrame, id_: str, names: list[str], trees: list[Tr
         return out
     known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)) if labels else F.create_map().cast("map<string,string>")
     return out.select(id_, "factor", F.coalesce(known[F.col("factor")], F.col("factor")).alias("label"), "shap_value")
-
-
-def lambda_gradients(score: np.ndarray, tier: np.ndarray, truncate: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Pairwise gradients and curvatures of one query group, weighted by the change of NDCG."""
-    gain = 2.0**tier - 1
-    pos = np.empty(len(score))
-    pos[np.argsort(-score, kind="stable")] = np.arange(len(score))
-    discount = 1 / np.log2(pos + 2)
-    ideal = (np.sort(gain)[::-1][:truncate] / np.log2(np.arange(min(len(gain), truncate)) + 2)).sum() or 1.0
-    better = tier[:, None] > tier[None, :]
-    delta = np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal
-    rho = 1 / (1 + np.exp(np.clip(score[:, None] - score[None, :], -50, 50)))
-    push = np.where(better, rho * delta, 0.0)
-    curve = np.where(better, rho * (1 - rho) * delta, 0.0)
-    return push.sum(1) - push.sum(0), curve.sum(1) + curve.sum(0)
-
-
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: int, least: int, l2: float) -> Tree:
-    """One leaf-wise regression tree on second-order statistics."""
-    tree: Tree = {k: [] for k in ("split_feature", "threshold", "left_child", "right_child", "split_gain", "internal_count", "leaf_value", "leaf_count")}
-
-    def best(rows):
-        found = (0.0, None)
-        if len(rows) < 2 * least:
-            return found
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        for f in range(x.shape[1]):
-            order = rows[np.argsort(x[rows, f], kind="stable")]
-            v = x[order, f]
-            cg, ch = np.cumsum(g[order])[:-1], np.cumsum(h[order])[:-1]
-            n = np.arange(1, len(order))
-            ok = (v[1:] > v[:-1]) & (n >= least) & (len(order) - n >= least)
-            if ok.any():
-                gains = np.where(ok, cg**2 / (ch + l2) + (total_g - cg) ** 2 / (total_h - ch + l2) - total_g**2 / (total_h + l2), -np.inf)
-                i = int(gains.argmax())
-                if gains[i] > found[0] + 1e-12:
-                    found = (float(gains[i]), (f, float((v[i] + v[i + 1]) / 2)))
-        return found
-
-    every = np.arange(len(x))
-    open_leaves = [(every, None, best(every))]
-    while len(open_leaves) < leaves:
-        i = max(range(len(open_leaves)), key=lambda j: open_leaves[j][2][0])
-        rows, parent, (gain, split) = open_leaves[i]
-        if split is None:
-            break
-        at = len(tree["split_feature"])
-        f, t = split
-        for k, v in (("split_feature", f), ("threshold", t), ("left_child", None), ("right_child", None), ("split_gain", gain), ("internal_count", float(len(rows)))):
-            tree[k].append(v)
-        if parent:
-            tree[parent[1]][parent[0]] = at
-        left, right = rows[x[rows, f] <= t], rows[x[rows, f] > t]
-        open_leaves[i : i + 1] = [(left, (at, "left_child"), best(left)), (right, (at, "right_child"), best(right))]
-    for n, (rows, parent, _) in enumerate(open_leaves):
-        tree["leaf_value"].append(float(g[rows].sum() / (h[rows].sum() + l2)))
-        tree["leaf_count"].append(float(len(rows)))
-        if parent:
-            tree[parent[1]][parent[0]] = ~n
-    return tree
-
-
-def ndcg(score: np.ndarray, tier: np.ndarray, k: int) -> float:
-    """NDCG at k of one query group; 0 without a relevant row."""
-    discount = 1 / np.log2(np.arange(2, min(k, len(tier)) + 2))
-    gain = lambda order: float(((2.0 ** tier[order][:k] - 1) * discount).sum())
-    best = gain(np.argsort(-tier, kind="stable"))
-    return gain(np.argsort(-score, kind="stable")) / best if best else 0.0
-
-
-def train_lambdamart(
-    x: np.ndarray, tier: np.ndarray, rounds: int = 60, rate: float = 0.05, leaves: int = 31, least: int = 20, l2: float = 1.0, validation: tuple[np.ndarray, np.ndarray] | None = None, patience: int = 50
-) -> list[Tree]:
-    """Trees whose summed leaves rank one query group; labelled rows are few thousand.
-
-    With `validation` (x, tier), training stops when NDCG@10 there has not risen for
-    `patience` rounds, and the trees up to the best round are kept.
-    """
-    x = x.astype(np.float32).astype(float)
-    score, trees = np.zeros(len(x)), []
-    held = validation and (validation[0].astype(np.float32).astype(float), validation[1], np.zeros(len(validation[1])))
-    best, best_round = -1.0, 0
-    for _ in range(rounds):
-        g, h = lambda_gradients(score, tier)
-        tree = _grow(x, g, h, leaves, least, l2)
-        tree["leaf_value"] = [rate * v for v in tree["leaf_value"]]
-        if not tree["split_feature"]:
-            break
-        trees.append(tree)
-        score = score + predict(tree, x)
-        if held:
-            held = held[0], held[1], held[2] + predict(tree, held[0])
-            now = ndcg(held[2], held[1], 10)
-            if now > best:
-                best, best_round = now, len(trees)
-            elif len(trees) - best_round >= patience:
-                break
-    return trees[:best_round] if held and trees else trees
-
-
-def predict(tree: Tree, x: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    for i, row in enumerate(x):
-        at = 0 if tree.get("split_feature") else -1
-        while at >= 0:
-            at = tree["left_child"][at] if row[tree["split_feature"][at]] <= tree["threshold"][at] else tree["right_child"][at]
-        out[i] = tree["leaf_value"][~at]
-    return out

@@ -16,7 +16,7 @@ from quillrank.functions.policy import Policy
 from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
-from quillrank.operators import explain, labeling, postings, retrieval, scoring, trees
+from quillrank.operators import boosting, explain, labeling, postings, retrieval, scoring, trees
 from quillrank.sources import vectors
 from quillrank.sources.entities import raw_schema, read_accounted, typed
 from quillrank.sources.store import latest, remaining
@@ -757,6 +757,17 @@ def shap_strongest(spark, d):
     return trees.top_attributions(read(spark, d, "customer"), "c_custkey", *trees.parse_model(MODEL), k=1).select("c_custkey", "factor", F.round("shap_value", 6).alias("shap_value"))
 
 
+@query()
+def train_ranker(spark, d):
+    """Scores by trees trained on the records' own features; tests hold the training against plain gradients and splits."""
+    found = FE.static_features(_people(spark, d), Policy(reference_date=REF))
+    tier = (2 * F.col("role_target_best") + 2 * F.col("consistency_score")).cast("int")
+    rows = found.withColumn("id", F.col("candidate_id").cast("long")).withColumn("tier", tier)
+    names = sorted(FE.feature_columns(Policy()))
+    model = boosting.train(rows, names, rounds=2, rate=0.3, depth=2)
+    return rows.select("candidate_id", F.round(trees.predict_column(names, model), 6).alias("score"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_activity(spark, d):
     return live.activity(read(spark, d, "events")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
