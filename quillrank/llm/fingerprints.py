@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillrank.llm.shared import WORD, clean_text, table
+from quillrank.llm.shared import WORD, clean_text, need_numbers, table
 
 SHINGLE = 5
 FRACTION = 4
@@ -134,8 +134,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null texts are empty and have empty fingerprints; an empty table gives an empty result;
     a single document is its own next document; equal texts have equal fingerprints,
-    repeated rows follow each other. Other columns of `docs` are not read.
+    repeated rows follow each other. A text of any length is sketched whole. doc_id must be
+    a whole number (or null), else a ValueError names it. Other columns of `docs` are not read.
     """
+    need_numbers(docs, "doc_id")
     docs = docs.select("doc_id", clean_text().alias("text"))
     rows = with_next(docs, {"sketch": sketch}).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))

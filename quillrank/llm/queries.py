@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.llm import fingerprints, jaccard, language, licenses, mixing, neighbours, pieces, quality, recompression, repair, suffix_levels, trie, warc
+from quillrank.llm import bases, fingerprints, jaccard, language, licenses, mixing, neighbours, pieces, quality, recompression, repair, suffix_levels, trie, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_pieces": pieces.op8_pieces,
         "op9_recompression": recompression.op9_recompression,
         "op10_mixing": mixing.op10_mixing,
+        "base_quality": bases.base_quality,
+        "base_licenses": bases.base_licenses,
+        "edited_texts": bases.edited_texts,
         "op11_trie": trie.op11_trie,
         "op12_neighbours": neighbours.op12_neighbours,
         "op13_repair": repair.op13_repair,
@@ -33,4 +36,4 @@ def oracle_sql() -> dict[str, str]:
         "op11_trie": trie,
         "op12_neighbours": neighbours,
     }
-    return {name: module.SQL for name, module in modules.items()}
+    return {name: module.SQL for name, module in modules.items()} | bases.SQL

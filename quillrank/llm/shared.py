@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillrank.sources.tables import discard, shared_folder, stored  # noqa: F401
 
@@ -26,6 +27,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def need_numbers(df: DataFrame, column: str) -> None:
+    """Stops by name where ids are no whole numbers, before a job fails on one of them."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{column} must be a whole number; it is {kind.simpleString()}")
+
+
 def unused(name: str, taken: set[str]) -> str:
     """`name`, with underscores before it until no column of a table is called so (case aside)."""
     known = {c.lower() for c in taken}

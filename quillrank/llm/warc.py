@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.shared import shared_folder, table
+from quillrank.llm.shared import need_numbers, shared_folder, table
 
 RECORDS_PER_FILE = 30_000
 BYTES_PER_FILE = 1 << 28  # of payloads, about: an archive is read as one value
@@ -57,8 +57,11 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date:
     page_id are responses, the others revisit them; null page_ids come last. A null html
     is an empty payload. Rows that repeat a page_id stay captures of their own. Line
     breaks in a url, which would end its header line, are percent-encoded; a page of any
-    length is one record; an empty table gives archives without records.
+    length is one record; an empty table gives archives without records. page_id must be a
+    whole number (or null), else a ValueError names it. A null url is an empty one, also
+    when it is read back; encoded line breaks stay encoded.
     """
+    need_numbers(pages, "page_id")
     url = F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     mean, most = pages.agg(F.avg(F.octet_length("html")), F.max(F.octet_length("html"))).first()
     per_file = min(RECORDS_PER_FILE, 3 * max(1, int(BYTES_PER_FILE / max(1, 2 * (mean or 0), (most or 0) / 16))))

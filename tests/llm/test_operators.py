@@ -597,3 +597,81 @@ def test_order_of_places_does_not_hang_on_length(monkeypatch):
         monkeypatch.setattr(arrays, "_PLACE_BITS", bits)
         order, place_of = arrays.ordered(hashes)
         assert place_of(np.sort(order)).tolist() == [1, 2, 4, 0, 3]
+
+
+def test_queries_are_the_operators(spark, docs, tmp_path):
+    """op1, op2, op4 and op8 give for a table what their operators, tested above, give for its rows."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda df: sorted(map(str, df.collect()))
+    d = str(tmp_path)
+    assert rows(quality.op1_quality(spark, d)) == rows(quality.quality(docs.select("doc_id", "text")).drop("text"))
+    assert rows(fingerprints.op2_fingerprints(spark, d)) == rows(fingerprints.fingerprints(docs))
+    assert rows(licenses.op4_licenses(spark, d)) == rows(licenses.scan(docs.select("doc_id", "text")).drop("text"))
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r, text in zip(pieces.op8_pieces(spark, d).orderBy("doc_id").collect(), (x["text"] or "" for x in docs.orderBy("doc_id").collect()), strict=True):
+        ids = library.encode(text)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_of_long_repeated_and_no_texts(spark, empty):
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    long = "the quick brown fox " * 40_000
+    df = spark.createDataFrame([(1, "twice over"), (1, "twice over"), (2, long), (3, None)], "doc_id long, text string")
+    got = pieces.encode(df, model).select("doc_id", "ids").collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=i, ids=library.encode(t))) for i, t in ((1, "twice over"), (1, "twice over"), (2, long), (3, "")))
+    assert pieces.encode(empty, model).count() == 0
+
+
+def test_ids_that_are_no_numbers_are_named(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", "u", "h")], "doc_id string, text string, url string, html string")
+    with pytest.raises(ValueError, match="doc_id"):
+        fingerprints.fingerprints(df)
+    with pytest.raises(ValueError, match="page_id"):
+        warc.write_archives(df.withColumnRenamed("doc_id", "page_id"), f"{tmp_path}/w")
+
+
+def test_archives_of_no_pages_and_of_a_long_one(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    none.write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op7_warc(spark, str(tmp_path)).count() == 0
+    long = "<p>" + "x" * 3_000_000 + "</p>"
+    spark.createDataFrame([(1, "u", long), (2, None, long), (3, "v", None)], none.schema).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.op7_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: (len(long), "response", None), 2: (len(long), "revisit", 1), 3: (0, "response", None)}
+
+
+def test_language_scores_by_a_plain_parse(spark):
+    """lang_pred and score of texts shorter than a segment, against phrases counted one by one; long, tied and no texts."""
+    samples = {"de": b"der hund und die katze und das haus", "en": b"the dog and the cat and the house"}
+    model = language.Model(samples)
+    texts = ["the dog", "der hund", "zzz qq", "die und the and", "", None, "12 .."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "the cat and the dog " * 5000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1, 99)] == ["en", "de", "en"]
+    assert got[2]["lang_pred"] == "de"  # a tie goes to the one that sorts first
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (4, 5, 6))
+    assert all(0 < got[i]["score"] <= 1 for i in (0, 1, 2, 3, 99))
+    assert language.identify(df.limit(0), model).count() == 0
+
+
+def test_full_bit_tables_lose_nothing(docs, rows, monkeypatch):
+    """Where the tables' bound is far too small for the keys, everything passes the filters and results stay."""
+    from quillrank.llm import bits
+
+    want = [sorted(map(str, f(docs).collect())) for f in (recompression.dedup_words, lambda d: suffix_levels.dedup_bytes(d), lambda d: jaccard.deduplicated(d, jaccard.Likeness(3, 90, 100)))]
+    monkeypatch.setattr(frequency, "MOST_TABLE_LOG2", 4)
+    monkeypatch.setattr(frequency, "_SLICE_LOG2", 4)
+    monkeypatch.setattr(bits, "MOST_BITS_LOG2", 7)
+    monkeypatch.setattr(bits, "bits_for", lambda keys, per_key=16: 7)
+    monkeypatch.setattr(repeats, "bits_for", lambda keys, per_key=16: 7)
+    monkeypatch.setattr(jaccard, "bits_for", lambda keys, per_key=16: 7)
+    got = [sorted(map(str, f(docs).collect())) for f in (recompression.dedup_words, lambda d: suffix_levels.dedup_bytes(d), lambda d: jaccard.deduplicated(d, jaccard.Likeness(3, 90, 100)))]
+    assert got == want
