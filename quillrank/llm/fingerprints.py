@@ -102,9 +102,10 @@ def with_next(docs: DataFrame, made: dict[str, Callable[[Column], Column]], buck
     least = rows.groupBy("_bucket").agg(F.min(place).alias("_least"))  # a row per range, of numbers only
     heads = rows.join(F.broadcast(least.withColumnRenamed("_bucket", "_b")), (F.col("_bucket") == F.col("_b")) & (place == F.col("_least")))
     heads = heads.groupBy("_bucket").agg(F.min("text").alias("_text"))
-    ring = Window.orderBy(F.col("_bucket").desc())  # one row per range
-    first = F.first("_text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("_bucket", F.coalesce(F.lead("_text").over(ring), first).alias("_text"))
+    ring = Window.orderBy(F.col("_bucket").desc())  # one row per range, a number; texts are joined by it
+    first = F.first("_bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = least.select("_bucket", F.coalesce(F.lead("_bucket").over(ring), first).alias("_b"))
+    heads = before.join(heads.withColumnRenamed("_bucket", "_b"), "_b").select("_bucket", "_text")
     for name, body in made.items():
         heads = heads.withColumn(name, body(F.col("_text")))
     carried = ["text", *made]
