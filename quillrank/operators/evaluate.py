@@ -82,6 +82,18 @@ def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, ind
     return per.agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"), F.expr("percentile(composite, 0.025)").alias("low"), F.expr("percentile(composite, 0.975)").alias("high"))
 
 
+def bootstrap_variants(df: DataFrame, columns: dict[str, str], rounds: int = 1000, seed: int = 42, id_: str = "id") -> DataFrame:
+    """bootstrap() of several variants (variant -> score column) at once; each round draws the same rows for all of them."""
+    numbered = running(df.select(id_, "tier", *columns.values()), [], [F.col(id_)], "idx")
+    rows = stored(numbered.withColumn("idx", F.col("idx") - 1), "bootstrap")
+    drawn = resampled(df.sparkSession, rows.count(), rounds, seed).join(rows.drop(id_), "idx")
+    long = variants(drawn, columns, "draw", ["round"])
+    per = metrics(long.select(F.struct("variant", "round").alias("k"), F.col("draw").alias("id"), "score", "tier"), "k", "score")
+    spread = percentiles(per.select(F.col("k.variant").alias("variant"), "composite"), "composite", "variant", {"low": 0.025, "high": 0.975})
+    means = per.groupBy(F.col("k.variant").alias("variant")).agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"))
+    return means.join(spread, "variant").select("variant", "mean", "std", "low", "high")
+
+
 def sweep(df: DataFrame, grid: list[float], score: Column, id_: str = "id") -> DataFrame:
     """Metrics per parameter value p; `score` is a column over the row and `p`. The grid is a short list."""
     params = df.sparkSession.createDataFrame([(float(p),) for p in grid], "p double")

@@ -645,6 +645,13 @@ def bootstrap_ci(spark, d):
     return out.select(*(F.round(c, 5).alias(c) for c in ("mean", "std", "low", "high")))
 
 
+@query(_BM25 + ", " + _LABELLED + ", n AS (SELECT count(*) AS n FROM lab), rows_ AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, tier, bm25, n_chars FROM lab), drawn AS (SELECT b, i AS id, tier, bm25, n_chars FROM n, unnest(range(0, 200)) x(b), unnest(range(0, n)) y(i) JOIN rows_ ON idx = ('0x' || substr(md5(b || ':' || i || ':42'), 1, 15))::BIGINT % n), long AS (SELECT 'bm25:' || b AS k, id, tier, bm25 AS score FROM drawn UNION ALL SELECT 'length:' || b, id, tier, n_chars FROM drawn)" + _METRIC_SQL + ", c AS (SELECT split_part(k, ':', 1) AS variant, 0.5 * ndcg10 + 0.3 * ndcg50 + 0.15 * map + 0.05 * p10 AS c FROM final) SELECT variant, round(avg(c), 5) AS mean, round(stddev_pop(c), 5) AS std, round(quantile_cont(c, 0.025), 5) AS low, round(quantile_cont(c, 0.975), 5) AS high FROM c GROUP BY variant")
+def bootstrap_variants(spark, d):
+    """Intervals of two variants over the same resamples."""
+    out = E.bootstrap_variants(_labelled(spark, d), {"bm25": "bm25", "length": "n_chars"}, 200)
+    return out.select("variant", *(F.round(c, 5).alias(c) for c in ("mean", "std", "low", "high")))
+
+
 @query(_SCORED + "SELECT count(*) FILTER (gate < 1)::BIGINT AS off_target, count(*) FILTER (consistent < 1)::BIGINT AS flagged FROM (SELECT * FROM z ORDER BY round(final, 6) DESC, id::VARCHAR LIMIT 100)")
 def health_counts(spark, d):
     scored = _scored(spark, d).withColumn("final", F.round("final", 6))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import plain_trees
 from quillrank.functions import rewrite
-from quillrank.operators import evaluate, labeling, trees
+from quillrank.operators import audit, evaluate, labeling, trees
 from quillrank.queries import MODEL
 from quillrank.sources import store, vectors
 
@@ -51,6 +51,16 @@ def test_bootstrap_draws_with_replacement(spark):
     assert out["std"] > 0.01 and out["low"] < out["mean"] < out["high"]
 
 
+def test_variants_are_resampled_together(spark):
+    df = spark.createDataFrame([(i, i * 7 % 5, float(i * 11 % 17), float(-(i * 11 % 17))) for i in range(40)], "id long, tier int, up double, down double")
+    got = {r["variant"]: r for r in evaluate.bootstrap_variants(df, {"up": "up", "again": "up", "down": "down"}, 20).collect()}
+    one = evaluate.bootstrap(df, "up", 20).first()
+    assert [got["up"][c] for c in ("mean", "std", "low", "high")] == pytest.approx([one[c] for c in ("mean", "std", "low", "high")])
+    assert got["up"][1:] == got["again"][1:] != got["down"][1:]
+    table = audit.interval_table([r.asDict() for r in got.values()])
+    assert table.count("\n") == 4 and f"| up | {one['mean']:.4f} |" in table
+
+
 def test_no_relevant_row(spark):
     df = spark.createDataFrame([("k", "m", 0, 7.0), ("k", "n", 2, 5.0), ("k", "o", 0, 1.0)], "k string, id string, tier int, score double")
     m = evaluate.metrics(df, "k", "score").first()
