@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +57,12 @@ class Codec:
             if set(piece) <= self.chars and (len(piece) == 1 or piece.strip(SPACE_MARK)):
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}  # right piece -> left piece -> compatible
+        self.n_pairs = 0
         self.whole: dict[int, bool] = {}
         self.histories: dict[int, tuple[list[float], list[str], list[str]]] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.words: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
         self.held = 0
 
     def merge(self, text: str) -> list[str]:
@@ -99,10 +100,12 @@ class Codec:
         than the left side's next merge (equal ones on the left come first) and no worse
         than the right side's.
         """
-        found = self.pairs.get((a, b))
+        lefts = self.pairs.get(b)
+        found = lefts.get(a) if lefts else None
         if found is None:
-            if len(self.pairs) >= COMPATIBLE_PAIRS:
+            if self.n_pairs >= COMPATIBLE_PAIRS:
                 self.pairs.clear()
+                self.n_pairs = 0
             left, _, lasts = self.history(a)
             right, firsts, _ = self.history(b)
             i = j = 0
@@ -119,7 +122,8 @@ class Codec:
                     i += 1
                 else:
                     j += 1
-            self.pairs[a, b] = found
+            self.pairs.setdefault(b, {})[a] = found
+            self.n_pairs += 1
         return found
 
     def alone(self, a: int) -> bool:
@@ -132,13 +136,13 @@ class Codec:
         """Ids of a text of known characters without inner spaces, by the prefix table."""
         last = [-1] * (len(text) + 1)  # the last token of each prefix
         sizes = [0] * (len(text) + 1)
-        pairs, whole = self.pairs, self.whole
+        pairs, whole, nothing = self.pairs, self.whole, {}
         for end, (token, size) in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
                 start = end - size
                 if start:
-                    fits = pairs.get((last[start], token))
+                    fits = pairs.get(token, nothing).get(last[start])
                     if fits is None:
                         fits = self.compatible(last[start], token)
                 else:
@@ -199,48 +203,68 @@ class Codec:
         text = self.pieces_text(ids)
         return text[1:] if text.startswith(" ") else text
 
-    def cached(self, part: str) -> tuple[tuple[int, ...], str, str]:
-        found = self.words.get(part)
+    def cached(self, part: str) -> str | tuple[str, str]:
+        """Ids of a word joined by commas; with its decoded text where that isn't a space and the word."""
+        found = self.older.get(part)
         if found is None:
-            found = self.older.get(part)
-            if found is None:
-                ids = tuple(self.word(SPACE_MARK + part))
-                found = ids, self.joined(ids), self.pieces_text(ids)
-            size = 400 + 48 * len(found[0]) + 8 * len(part)  # of the entry, about
-            if size < CACHE_BYTES // 1000:
-                self.words[part] = found
-                self.held += size
-                if self.held > CACHE_BYTES:  # words that are not met again are forgotten with the older half
-                    self.older, self.words, self.held = self.words, {}, 0
+            text = SPACE_MARK + part
+            if self.chars.issuperset(text):  # such pieces join to the text again
+                found = self.joined(self.known(text))
+            else:
+                ids = self.word(text)
+                found, shown = self.joined(ids), self.pieces_text(ids)
+                if shown[1:] != part or shown[0] != " ":
+                    found = found, shown
+        size = 250 + len(part) + len(found if isinstance(found, str) else found[0] + found[1])  # of the entry, about
+        if size < CACHE_BYTES // 1000:
+            self.words[part] = found
+            self.held += size
+            if self.held > CACHE_BYTES:  # words that are not met again are forgotten with the older half
+                self.older, self.words, self.held = self.words, {}, 0
         return found
 
-    def encode(self, text: str) -> tuple[list[tuple[int, ...]], str, str]:
-        """(ids in runs, ids joined by commas, decoded text)."""
+    def encode(self, text: str) -> tuple[str, str]:
+        """(ids joined by commas, decoded text)."""
         if not text:
-            return [], "", ""
-        parts = text.replace(SPACE_MARK, " ").split(" ")
-        if "" in parts:
-            rows, marks = [], 0
-            for part in parts:
-                marks += 1
-                if part:
-                    found = self.cached(part)
-                    if marks > 1:  # else the cached row is right as it is
-                        ids = found[0]
-                        if self.text[ids[0]] == SPACE_MARK:
-                            ids = (*self.marks(marks), *ids[1:])
-                        else:
-                            ids = (*self.marks(marks - 1), *ids)
-                        found = ids, self.joined(ids), self.pieces_text(ids)
-                    rows.append(found)
-                    marks = 0
-            if marks:
-                ids = tuple(self.marks(marks))
-                rows.append((ids, self.joined(ids), self.pieces_text(ids)))
-        else:
-            rows = [self.cached(p) for p in parts]
-        decoded = "".join([r[2] for r in rows])
-        return [r[0] for r in rows], ",".join([r[1] for r in rows]), decoded[1:] if decoded.startswith(" ") else decoded
+            return "", ""
+        text = text.replace(SPACE_MARK, " ")
+        parts = text.split(" ")
+        if "" not in parts:
+            rows: list = list(map(self.words.get, parts))
+            if None in rows:
+                for at, part in enumerate(parts):
+                    if rows[at] is None:
+                        rows[at] = self.words.get(part) or self.cached(part)
+            try:
+                return ",".join(rows), text  # words that decode to themselves
+            except TypeError:
+                decoded = "".join([r[1] if isinstance(r, tuple) else " " + p for r, p in zip(rows, parts, strict=True)])
+                return ",".join([r[0] if isinstance(r, tuple) else r for r in rows]), decoded[1:] if decoded.startswith(" ") else decoded
+        ids: list[str] = []
+        shown: list[str] = []
+        marks = 0
+        for part in parts:
+            marks += 1
+            if part:
+                found = self.words.get(part) or self.cached(part)
+                joined, decoded = found if isinstance(found, tuple) else (found, " " + part)
+                if marks > 1:  # else the cached row is right as it is
+                    own = self.ids_of(joined)
+                    own = [*self.marks(marks), *own[1:]] if self.text[own[0]] == SPACE_MARK else [*self.marks(marks - 1), *own]
+                    joined, decoded = self.joined(own), self.pieces_text(own)
+                ids.append(joined)
+                shown.append(decoded)
+                marks = 0
+        if marks:
+            own = self.marks(marks)
+            ids.append(self.joined(own))
+            shown.append(self.pieces_text(own))
+        decoded = "".join(shown)
+        return ",".join(ids), decoded[1:] if decoded.startswith(" ") else decoded
+
+    @staticmethod
+    def ids_of(joined: str) -> list[int]:
+        return list(map(int, joined.split(","))) if joined else []
 
 
 _CODECS: dict[int, Codec] = {}
@@ -291,12 +315,12 @@ def encode(docs: DataFrame, model_path: str, ids: bool = True) -> DataFrame:
                 data = data.tobytes()
                 count, digest, back, lists, texts = [], [], [], [], []
                 for i in range(part.num_rows):
-                    runs, joined, decoded = codec.encode(data[offsets[i] : offsets[i + 1]].decode())
-                    count.append(sum(map(len, runs)))
+                    joined, decoded = codec.encode(data[offsets[i] : offsets[i + 1]].decode())
+                    count.append(joined.count(",") + 1 if joined else 0)
                     digest.append(sha256(joined.encode()).hexdigest())
                     back.append(sha256(decoded.encode()).hexdigest())
                     if ids:
-                        lists.append(list(chain.from_iterable(runs)))
+                        lists.append(np.array(joined.split(","), dtype=np.int32) if joined else np.zeros(0, np.int32))
                         texts.append(decoded)
                 made = [pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
                 if ids:

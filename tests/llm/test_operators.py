@@ -528,9 +528,9 @@ def test_pieces_are_those_of_the_library(spark, docs, rows):
     texts = [r[1] or "" for r in rows] + ["".join(rng.choice("ab  \n\t▁éßü中😀.,1x<s>́\x00") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [" " * k + "x" for k in range(40)]
     codec = pieces.Codec(pieces.vocabulary(pieces.default_model()))
     for text in texts:
-        runs, joined, decoded = codec.encode(text)
+        joined, decoded = codec.encode(text)
         want = model.encode(text)
-        assert [i for r in runs for i in r] == want and joined == ",".join(map(str, want)) and decoded == model.decode(want) == codec.decode(want)
+        assert codec.ids_of(joined) == want and joined == ",".join(map(str, want)) and decoded == model.decode(want) == codec.decode(want)
     for r in pieces.encode(docs.withColumn("ids", F.lit(1)), pieces.default_model()).collect():
         text = next(t for i, t, *_ in rows if i == r["doc_id"]) or ""
         assert r["ids"] == model.encode(text) and r["n_tokens"] == len(r["ids"])
