@@ -65,6 +65,29 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, clamp((value.cast("double") - low) / (high - low))).otherwise(F.lit(0.0))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number as text with so many digits after the point (0 to 3), rounded as its exact binary value says, ties to even.
+
+    The fraction of a double times 2^52 is a whole number, so digits, remainder and ties are
+    told in integers; text formatting by decimal digits would round 2.25 and 0.35 otherwise.
+    """
+    scale, one, half = 10**digits, 1 << 52, 1 << 51
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size)
+    shifted = (size - whole) * F.lit(float(one))
+    bits = F.floor(shifted)
+    left = (shifted - bits) * scale  # bits of small numbers beyond those
+    scaled = bits * scale + F.floor(left)
+    digit, rest = F.shiftright(scaled, 52), scaled.bitwiseAND(one - 1)
+    lower = whole * scale + digit
+    up = (rest > half) | ((rest == half) & ((left > F.floor(left)) | (lower % 2 == 1)))
+    n = lower + up.cast("long")
+    text = n.cast("string")
+    if digits:
+        text = F.concat(((n - n % scale) / scale).cast("long").cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
+
+
 def python_int(text: Column) -> Column:
     """The digits of an id as a number; none is 0."""
     return F.coalesce(F.regexp_replace(text, r"\D", "").try_cast("bigint"), F.lit(0).cast("bigint"))

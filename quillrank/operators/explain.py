@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.functions.exprs import python_int
+from quillrank.functions.exprs import fixed, python_int
 from quillrank.functions.lexicon import first_clause
 
 # fixed values: least scores of the tones, least years that are told, limits of engagement and notice
@@ -43,9 +43,9 @@ def reason(names: set[str]) -> Column:
     way = lambda *texts: F.element_at(F.array(*texts), (F.pmod("vid", F.lit(3)) + 1).cast("int"))
 
     title = F.when(F.col("title") == "", "no title").otherwise(F.col("title"))
-    years = F.format_string("%.1f", F.col("years"))
+    years = fixed(F.col("years"), 1)
     applied = g("applied_ml_years")
-    told = F.when(((g("role_target_best") >= 1) | on("relevant_history_flag")) & (applied >= TOLD_YEARS), F.concat(F.lit(", some "), F.bround(applied).cast("int").cast("string"), F.lit(" of them applied"))).otherwise("")
+    told = F.when(((g("role_target_best") >= 1) | on("relevant_history_flag")) & (applied >= TOLD_YEARS), F.concat(F.lit(", some "), fixed(applied, 0), F.lit(" of them applied"))).otherwise("")
     opener = way(F.concat(title, F.lit(" with "), years, F.lit(" yrs"), told), F.concat(years, F.lit(" yrs"), told, F.lit(", currently "), title), F.concat(title, F.lit(", "), years, F.lit(" yrs of experience"), told))
 
     quote = F.when((on("ever_built_relevant_flag") | on("production_signal")) & F.col("phrase").isNotNull(), F.concat(way(F.concat(tone(score), F.lit(" record")), F.lit("has built"), F.concat(tone(score), F.lit(" practice"))), F.lit(': "'), F.col("phrase"), F.lit('"')))
@@ -56,7 +56,7 @@ def reason(names: set[str]) -> Column:
     home = F.when(F.col("place") == "", "home country").otherwise(F.col("place"))
     place = F.when(g("location_tier_score") >= 1, F.concat(F.lit("based in "), F.col("place"), F.lit(" (preferred)"))).when(on("in_india_flag"), F.concat(home, F.coalesce(moves, F.lit("")))).otherwise(F.concat(F.col("country"), F.coalesce(moves, F.lit(" (abroad)"))))
 
-    rate, days = F.format_string("%.2f", F.col("response")), g("days_since_active").cast("int").cast("string")
+    rate, days = fixed(F.col("response"), 2), g("days_since_active").cast("int").cast("string")
     engaged = F.when((g("recency_score") >= ENGAGED[0]) & (g("response_rate_score") >= ENGAGED[1]), F.concat(F.lit("answers ("), rate, F.lit("), active of late")))
     engaged = engaged.when((g("recency_score") < AWAY[0]) | (g("response_rate_score") < AWAY[1]), F.concat(F.lit("hard to reach (answers "), rate, F.lit(", away for "), days, F.lit(" days)")))
 

@@ -18,8 +18,8 @@ from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
 from quillrank.operators import boosting, explain, labeling, postings, retrieval, scoring, trees
 from quillrank.sources import vectors
-from quillrank.sources.entities import raw_schema, read_accounted, typed
-from quillrank.sources.store import latest, remaining
+from quillrank.sources.entities import raw_schema, read_accounted, read_upload, typed
+from quillrank.sources.store import latest, load, read_ranking, remaining, save, write_ranking
 from quillrank.sources.tables import shared_folder, stored
 from quillrank.streaming import live
 
@@ -687,6 +687,122 @@ def sensitivity(spark, d):
     return E.sensitivity(model, model="model").select("parameter", F.round("p", 4).alias("p"), F.round("composite", 6).alias("composite"))
 
 
+@query("SELECT l_orderkey, l_linenumber, printf('%.0f', x) AS zero, printf('%.1f', x) AS one, printf('%.2f', x) AS two FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice / 64.0::DOUBLE ELSE l_quantity * l_discount + l_tax END AS x FROM lineitem)")
+def output_rounding(spark, d):
+    """Numbers as texts of zero, one and two digits, ties by their exact value."""
+    x = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice") / 64.0).otherwise(F.col("l_quantity") * F.col("l_discount") + F.col("l_tax"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(X.fixed(x, k).alias(name) for k, name in enumerate(("zero", "one", "two"))))
+
+
+_RANKED_100 = "SELECT id::VARCHAR AS candidate_id, row_number() OVER (ORDER BY round(final, 6) DESC, id::VARCHAR)::INT AS rank, round(final, 6) AS score FROM z ORDER BY round(final, 6) DESC, id::VARCHAR LIMIT 100"
+
+
+@query(_SCORED + f"""SELECT candidate_id, rank, score, 'rank ' || rank || ', "quoted", as written' AS reasoning FROM ({_RANKED_100})""")
+def ranking_file(spark, d):
+    """The ranking written as CSV and read back."""
+    path = work_path(spark, "ranking")
+    text = F.concat(F.lit("rank "), F.col("rank").cast("string"), F.lit(', "quoted", as written'))
+    write_ranking(rank_top100(spark, d).withColumn("reasoning", text), path)
+    return read_ranking(spark, path)
+
+
+@query("SELECT c_custkey, round(CASE WHEN c_acctbal::FLOAT::DOUBLE <= 1000 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END + 0.05::DOUBLE, 6) AS score FROM customer")
+def model_file(spark, d):
+    """A model saved and loaded again; the column that rows lack counts as 0."""
+    path = work_path(spark, "model")
+    trees.save_model(spark, path, *trees.parse_model(MODEL))
+    return read(spark, d, "customer").select("c_custkey", F.round(trees.predict_column(*trees.load_model(spark, path), missing={"c_nationkey"}), 6).alias("score"))
+
+
+@query(f"WITH {_ROLES}, u AS (SELECT id::VARCHAR AS candidate_id, years, n::INT AS n_roles FROM person) SELECT 'array' AS kind, * FROM u UNION ALL SELECT 'lines', * FROM u")
+def uploads(spark, d):
+    """Records as JSON arrays of fifty, and as lines between broken ones: what an upload holds."""
+    path = work_path(spark, "uploads")
+    records = _records(spark, d)
+    arrays = records.groupBy(F.floor(F.col("id") / 50)).agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ", "), F.lit("]")).alias("value"))  # fifty
+    arrays.select("value").repartition(arrays.count(), F.rand(1)).write.option("maxRecordsPerFile", 1).text(f"{path}/array")
+    records.select(F.explode(F.array(F.col("record"), F.lit(" "), F.lit("{broken"), F.lit("3"))).alias("value")).write.text(f"{path}/lines")
+    of = lambda kind: read_upload(spark, f"{path}/{kind}", cap=None).select(F.lit(kind).alias("kind"), "candidate_id", F.col("profile.years_of_experience").alias("years"), F.size("career_history").alias("n_roles"))
+    return of("array").unionByName(of("lines"))
+
+
+@query(f"WITH {_ROLES} SELECT id::VARCHAR AS candidate_id, CASE WHEN n_hard >= 1 THEN 0 ELSE id % 5 END::INT AS tier FROM judged")
+def training_tiers(spark, d):
+    """Labels joined with features; records that contradict themselves train as tier 0."""
+    found = FE.static_features(_people(spark, d), Policy(reference_date=REF)).select("candidate_id", "honeypot_flag")
+    labels = found.select("candidate_id", (F.col("candidate_id").cast("long") % 5).cast("int").alias("tier"))
+    return audit.tiers_for_training(labels, found).select("candidate_id", "tier")
+
+
+@query(f"""WITH {_ROLES}, t AS (SELECT id, CASE kind WHEN '1' THEN 'Flood Modeller' WHEN '2' THEN 'Clerk' ELSE 'Analyst' END AS title, {_DESCRIPTION} AS d, CASE WHEN o.services THEN 'Temp Agency Ltd' ELSE 'Acme' END AS c, k, start FROM roles o),
+c AS (SELECT id, string_agg(title || ' ' || d, ' ' ORDER BY title, d, c) AS text FROM t GROUP BY id), k AS (SELECT id, count(*) AS n, count(DISTINCT name) AS kinds FROM ski GROUP BY id)
+SELECT id::VARCHAR AS candidate_id, id AS digits, length({_TITLE} || '. ' || CASE WHEN id % 5 = 0 THEN 'early warning' ELSE 'none' END || '. ' || concat_ws(' and ', CASE WHEN id % 3 = 0 THEN 'peer review' END, CASE WHEN id % 4 = 0 THEN 'borehole' END))::INT + 2 * (length(c.text)::INT + 1) AS head_and_career, coalesce(k.kinds, 0)::INT AS skill_names FROM c LEFT JOIN k USING (id)""")
+def entity_texts(spark, d):
+    """Lengths of the encoder's texts (title, headline, summary, the career twice) without the skills, and what else is read off a record."""
+    people = _people(spark, d)
+    names = F.transform("skills", lambda x: x["name"])
+    skills = F.array_join(F.filter(names, lambda n: n != ""), " ")
+    whole = F.length(FE.entity_text()) - F.when(F.length(skills) > 0, F.length(skills) + 1).otherwise(0)
+    return people.select("candidate_id", X.python_int(F.concat(F.lit("CAND-"), F.col("candidate_id"))).alias("digits"), whole.alias("head_and_career"), F.size(X.deduped(names)).alias("skill_names"))
+
+
+@query("SELECT c_custkey, length(c_name)::INT AS name_length, least(280, length(c_name) * 40)::INT AS long_length, 5 AS items, 'be strict' AS rubric FROM customer")
+def judge_messages(spark, d):
+    """Messages to a judge: texts and lists are cut to their caps, then built as JSON."""
+    rows = read(spark, d, "customer").select("c_custkey", "c_name", F.repeat("c_name", 40).alias("long"), F.sequence(F.lit(1), F.lit(9)).alias("items"))
+    sent = rows.select("c_custkey", F.from_json(labeling.message(rows, "be strict"), "system string, user string").alias("m"))
+    user = F.from_json("m.user", "c_name string, long string, items array<int>")
+    return sent.select("c_custkey", F.length(user["c_name"]).alias("name_length"), F.length(user["long"]).alias("long_length"), F.size(user["items"]).alias("items"), F.col("m.system").alias("rubric"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'kept' WHEN c_custkey % 3 = 1 THEN 'first' ELSE 'second' END AS client, (c_custkey % 5)::INT AS tier FROM customer")
+def judged_labels(spark, d):
+    """Labels by two judges: what is stored is not asked again, what the first one can't answer goes to the second."""
+    path = work_path(spark, "labels")
+    rows = read(spark, d, "customer").select("c_custkey")
+    messages = rows.select("c_custkey", F.col("c_custkey").cast("string").alias("message"))
+    answer = lambda name: F.format_string('{"tier": %d, "reasoning": "' + name + '"}', F.col("c_custkey") % 5)
+    rows.where("c_custkey % 3 = 0").select("c_custkey", answer("kept").alias("reply")).write.json(path)
+
+    def first(text: str) -> str:
+        if int(text) % 3 == 2:
+            return "no judgment, sorry"
+        return '{"tier": %d, "reasoning": "first"}' % (int(text) % 5)
+
+    def second(text: str) -> str:
+        return '```json\n{"tier": %d, "reasoning": "second"}\n```' % (int(text) % 5)
+
+    rates = {"per_minute": 1e9, "partitions": 4, "tokens_per_minute": 1e9}
+    found = labeling.judge_all(messages, "c_custkey", [first], path, tries=1, **rates)
+    judged = found.select("c_custkey", labeling.parse_judgment(F.col("reply")).alias("j")).where("j IS NOT NULL")
+    again = labeling.judge_all(remaining(messages, judged, "c_custkey"), "c_custkey", [second], f"{path}-second", tries=1, **rates)
+    every = judged.unionByName(again.select("c_custkey", labeling.parse_judgment(F.col("reply")).alias("j")))
+    return every.select("c_custkey", F.col("j.reasoning").alias("client"), "j.tier")
+
+
+@query(_SCORED + "SELECT rb.id, round(least(1::DOUBLE, greatest(0::DOUBLE, 0.6::DOUBLE * mm + 0.4::DOUBLE * least(1::DOUBLE, rubric))), 6) AS fit FROM rb")
+def blended_score(spark, d):
+    """Rubric and a model's score, here the margin, blended after the model's scores are brought to 0 to 1."""
+    return scoring.blended(_scored(spark, d).drop("lgbm", "fit_raw"), F.col("dense_margin")).select("id", F.round("fit_raw", 6).alias("fit"))
+
+
+@query("SELECT 'features' AS store, c_custkey AS key, round(c_acctbal, 2) AS value FROM customer UNION ALL SELECT 'vectors', vec_id, round(embedding[1]::DOUBLE, 6) FROM embeddings UNION ALL SELECT 'labels', doc_id, quality::DOUBLE FROM labels UNION ALL SELECT 'labels', doc_id, toxic::DOUBLE FROM labels")
+def stores(spark, d):
+    """Features, vectors and labels as stores: written, overwritten, appended to, read."""
+    path = work_path(spark, "stores")
+    features = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.round("c_acctbal", 2).alias("value"))
+    embedded = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    labels = read(spark, d, "labels")
+    save(features.limit(3), f"{path}/features")
+    save(features, f"{path}/features")
+    save(embedded, f"{path}/vectors")
+    for name in ("quality", "toxic"):
+        save(labels.select(F.col("doc_id").alias("key"), F.col(name).cast("double").alias("value")), f"{path}/labels", "append")
+    back = lambda name: load(spark, f"{path}/{name}")
+    out = {"features": back("features"), "vectors": back("vectors").select("key", F.round(F.col("embedding")[0].cast("double"), 6).alias("value")), "labels": back("labels")}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("store"), "key", "value") for name, df in out.items()))
+
+
 @query("SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE least(4, greatest(0, conv_id % 9 - 2))::INT END AS tier FROM conversations")
 def judge_json(spark, d):
     tier = (F.col("conv_id") % 9 - 2).cast("string")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from quillrank.functions.exprs import fixed
 from quillrank.operators import audit
 from quillrank.operators.scoring import score
 
@@ -50,3 +52,13 @@ def test_contradictions_train_as_zero(spark):
     labels = spark.createDataFrame([("a", 4), ("b", 3)], "candidate_id string, tier int")
     feats = spark.createDataFrame([("a", 1.0), ("b", 0.0)], "candidate_id string, honeypot_flag double")
     assert sorted((r["candidate_id"], r["tier"]) for r in audit.tiers_for_training(labels, feats).collect()) == [("a", 0), ("b", 3)]
+
+
+def test_numbers_as_python_writes_them(spark):
+    """Every double as f"{x:.1f}" has it: ties that are exact, that only look so, and large and small ones."""
+    rng = random.Random(9)
+    values = [0.0, 0.05, 0.125, 0.25, 0.35, 0.5, 0.95, 1.5, 2.5, 2.25, 2.675, 9.995, 99.95, 7.0, 1e-9, 123456.785, -0.25, -2.5]
+    values += [rng.randint(0, 10**5) / 1000 for _ in range(400)] + [rng.randint(0, 4000) / 64 for _ in range(200)] + [rng.random() * 10 ** rng.randint(-3, 9) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    for r in df.select("x", *(fixed(F.col("x"), k).alias(f"d{k}") for k in range(4))).collect():
+        assert tuple(r)[1:] == tuple(f"{r['x']:.{k}f}" for k in range(4)), r
