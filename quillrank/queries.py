@@ -16,7 +16,7 @@ from quillrank.functions.policy import Policy
 from quillrank.operators import audit
 from quillrank.operators import evaluate as E
 from quillrank.operators import features as FE
-from quillrank.operators import boosting, explain, labeling, postings, retrieval, scoring, trees
+from quillrank.operators import adversarial, boosting, explain, labeling, postings, retrieval, scoring, trees
 from quillrank.sources import vectors
 from quillrank.sources.entities import raw_schema, read_accounted, read_upload, typed
 from quillrank.sources.store import latest, load, read_ranking, remaining, save, write_ranking
@@ -967,6 +967,12 @@ def read_accounting(spark, d):
     return read_accounted(spark, f"{path}/in", f"{path}/good", f"{path}/bad")
 
 
+@query("SELECT DISTINCT o_custkey::VARCHAR AS candidate_id, true AS stuffed_is_low, true AS impossible_is_low, true AS idle_is_lower FROM orders")
+def misleading_records(spark, d):
+    """Every record made to mislead: with all skills and nothing behind them, with an impossible career, idle."""
+    return adversarial.properties(_people(spark, d), Policy(reference_date=REF))
+
+
 @query("SELECT DISTINCT o_custkey::VARCHAR AS candidate_id, true AS key_order, true AS unknown_fields, true AS quoted_numbers FROM orders")
 def metamorphic(spark, d):
     """Features of records that are written otherwise: keys in another order, unknown fields everywhere, numbers in quotes."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.exprs import deduped
 from quillrank.functions.policy import DEFAULT
+from quillrank.operators import adversarial
 from quillrank.operators.audit import timeline_variant
 from quillrank.operators.explain import explain
 from quillrank.operators.features import enrich, feature_columns, static_features
@@ -163,3 +164,14 @@ def test_array_file_and_key_order(spark, tmp_path):
     assert got.count() == 2
     a = static_features(got).where("candidate_id = 'CAND_0000001'").first().asDict()
     assert a["core_skill_hits"] == 2 and a["applied_ml_years"] == pytest.approx(70 / 12)
+
+
+def test_misleading_records(entities):
+    stuffer = static_features(adversarial.stuffed(entities)).first()
+    assert stuffer["is_offtarget_current"] == 1 and stuffer["n_roles"] == 0 and stuffer["core_skill_hits"] == len(DEFAULT.core_skills) == stuffer["skill_claim_inflation"]
+    wrong = static_features(adversarial.impossible(entities)).first()
+    assert wrong["honeypot_flag"] == 1 and wrong["role_target_best"] == 1 and wrong["yoe"] == 3
+    away = static_features(adversarial.idle(entities)).first()
+    assert away["days_since_active"] == 360 and away["open_to_work_flag"] == 0 and away["response_rate_score"] == pytest.approx(0.1)
+    got = adversarial.properties(entities).collect()
+    assert len(got) == 5 and all(all(r[1:]) for r in got)
