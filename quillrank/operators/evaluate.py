@@ -84,7 +84,7 @@ def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, ind
 
 def bootstrap_variants(df: DataFrame, columns: dict[str, str], rounds: int = 1000, seed: int = 42, id_: str = "id") -> DataFrame:
     """bootstrap() of several variants (variant -> score column) at once; each round draws the same rows for all of them."""
-    numbered = running(df.select(id_, "tier", *columns.values()), [], [F.col(id_)], "idx")
+    numbered = running(df.select(id_, "tier", *dict.fromkeys(columns.values())), [], [F.col(id_)], "idx")
     rows = stored(numbered.withColumn("idx", F.col("idx") - 1), "bootstrap")
     drawn = resampled(df.sparkSession, rows.count(), rounds, seed).join(rows.drop(id_), "idx")
     long = variants(drawn, columns, "draw", ["round"])
@@ -113,7 +113,7 @@ def health(scored: DataFrame, flags: dict[str, Column], n: int, *order: Column)
 
 def ablation_table(df: DataFrame, columns: dict[str, str], flags: dict[str, Column], n: int, id_: str = "id") -> DataFrame:
     """Metrics per variant (variant -> score column) beside the flags among its n best rows; `df` has tier, null without a label."""
-    df = stored(df.select(id_, "tier", *columns.values(), *(F.coalesce(c, F.lit(False)).alias(f"_flag_{k}") for k, c in flags.items())), "ablation")
+    df = stored(df.select(id_, "tier", *dict.fromkeys(columns.values()), *(F.coalesce(c, F.lit(False)).alias(f"_flag_{k}") for k, c in flags.items())), "ablation")
     scores = metrics(variants(df.where("tier IS NOT NULL"), columns, id_), "variant", "score", id_)
     long = variants(df, columns, id_, [f"_flag_{k}" for k in flags])
     top = best_of(long, "variant", n, F.col("score").desc(), F.col(id_))
