@@ -6,6 +6,8 @@ tokens are rewritten, and the text is put together again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,19 @@ def sorted_keys(text: Column) -> Column:
     return F.to_json(F.parse_json(text))
 
 
+def _rewritten(text: Column, change: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with each token replaced by change(tokens, token, its place); a text is cut into tokens once, not once a token."""
+    rewritten = lambda tokens: F.array_join(F.transform(tokens, lambda t, i: change(tokens, t, i)), "")
+    return F.get(F.transform(F.array(json_tokens(text)), rewritten), F.lit(0))
+
+
 def with_unknown_fields(text: Column, name: str = "_unknown") -> Column:
     """A field that no schema knows, first in every object."""
-    tokens = json_tokens(text)
     field = f'"{name}":[{{}},null]'
-    following = lambda i: F.get(tokens, i + 1)
-    return F.array_join(F.transform(tokens, lambda t, i: F.when(t == "{", F.concat(F.lit("{" + field), F.when(following(i) == "}", "").otherwise(","))).otherwise(t)), "")
+    added = lambda follows: F.concat(F.lit("{" + field), F.when(follows == "}", "").otherwise(","))
+    return _rewritten(text, lambda tokens, t, i: F.when(t == "{", added(F.get(tokens, i + 1))).otherwise(t))
 
 
 def with_quoted_numbers(text: Column) -> Column:
     """Every number as a string."""
-    return F.array_join(F.transform(json_tokens(text), lambda t: F.when(t.rlike(NUMBER), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)), "")
+    return _rewritten(text, lambda _, t, i: F.when(t.rlike(NUMBER), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t))
