@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,33 +23,54 @@ def best_of(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("pos") <= k)
 
 
+#: Rows at the top that gains look at.
+DEPTH = 50
+
+
+def _gain(tier: Column) -> Column:
+    return F.pow(F.lit(2.0), tier.cast("double")) - 1
+
+
+def _sums() -> list[Column]:
+    """What a key's metrics need of its rows (tier, _hit) at their positions `pos`, with the hits `_seen` up to each."""
+    dcg = lambda k: F.sum(F.when(F.col("pos") <= k, _gain(F.col("tier")) / F.log2(F.col("pos") + 1.0)).otherwise(0.0))
+    precision = lambda k: F.sum(F.when(F.col("pos") <= k, F.coalesce("_hit", F.lit(0))).otherwise(0)) / float(k)
+    average = F.sum(F.when(F.col("_hit") == 1, F.col("_seen") / F.col("pos"))) / F.count_if(F.col("_hit") == 1)
+    return [dcg(10).alias("_dcg10"), dcg(DEPTH).alias("_dcg50"), precision(5).alias("p5"), precision(10).alias("p10"), average.alias("_map")]
+
+
+def _ideal(tiers: DataFrame, keys: list[str]) -> DataFrame:
+    """_ideal10 and _ideal50 of each key, from its numbers of rows by tier (tier, _n): rows of one tier gain the same."""
+    until = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("tier").desc()))
+    placed = tiers.withColumn("_until", until).withColumn("_from", F.col("_until") - F.col("_n"))
+    shares = F.array(*(F.lit(sum(1 / log2(p + 1) for p in range(1, k + 1))) for k in range(DEPTH + 1)))  # of the first k places
+    upto = lambda c, k: F.get(shares, F.least(F.col(c), F.lit(k)).cast("int"))
+    ideal = lambda k: F.sum(_gain(F.col("tier")) * (upto("_until", k) - upto("_from", k)))
+    return placed.groupBy(*(F.col(k).alias(f"_own{k}") for k in keys)).agg(ideal(10).alias("_ideal10"), ideal(DEPTH).alias("_ideal50"))
+
+
+def _measured(sums: DataFrame, ideal: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the metrics, from _sums() and _ideal()."""
+    out = sums.join(ideal, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_own{k}")) for k in keys)))
+    ndcg = lambda k: F.when(F.col(f"_ideal{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_ideal{k}")).otherwise(0.0).alias(f"ndcg{k}")
+    out = out.select(*keys, ndcg(10), ndcg(50), F.coalesce("_map", F.lit(0.0)).alias("map"), "p5", "p10")
+    return out.withColumn("composite", 0.5 * F.col("ndcg10") + 0.3 * F.col("ndcg50") + 0.15 * F.col("map") + 0.05 * F.col("p10"))
+
+
 def metrics(df: DataFrame, key: str, score: str, id_: str = "id") -> DataFrame:
     """ndcg@10, ndcg@50, map, p@5, p@10 and composite per `key`; labelled rows only (column tier).
 
-    Gains and precisions look at the 50 first rows by score and by tier. For the average
-    precision each hit needs its position and the hits before it among all rows of its key:
-    these come from ranges of (key, score), so a variant of any size is never in one task.
+    Gains and precisions look at the 50 first rows by score and by tier; the average
+    precision needs each hit's position and the hits before it among all rows of its key.
+    Positions come from ranges of (key, score), so a variant of any size is never in one
+    task; the best possible order follows from the numbers of rows by tier.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(score).alias("_score"), F.col(id_).alias("_id"), "tier", (F.col("tier") >= RELEVANT).cast("long").alias("_hit"))
     by_score = [F.col("_score").desc(), F.col("_id")]
     table = dealt(rows, "_key", *by_score)  # computed once, read three times
-    rows = table.drop("_part")
-    gain = F.pow(F.lit(2.0), F.col("tier").cast("double")) - 1
-
-    def dcg(k: int) -> Column:
-        return F.sum(F.when(F.col("pos") <= k, gain / F.log2(F.col("pos") + 1.0)).otherwise(0.0))
-
-    def precision(k: int) -> Column:
-        return F.sum(F.when(F.col("pos") <= k, F.coalesce("_hit", F.lit(0))).otherwise(0)) / float(k)
-
-    got = best_of(rows, "_key", 50, *by_score).groupBy("_key").agg(dcg(10).alias("_dcg10"), dcg(50).alias("_dcg50"), precision(5).alias("p5"), precision(10).alias("p10"))
-    ideal = best_of(rows, "_key", 50, F.col("tier").desc(), F.col("_id")).groupBy(F.col("_key").alias("_own")).agg(dcg(10).alias("_ideal10"), dcg(50).alias("_ideal50"))
-    placed = running(rows, ["_key"], by_score, "pos", {"_seen": ("sum", "_hit")}, table).where("_hit = 1")
-    average = placed.groupBy(F.col("_key").alias("_named")).agg((F.sum(F.col("_seen") / F.col("pos")) / F.count("*")).alias("_map"))
-    out = got.join(ideal, F.col("_key").eqNullSafe(F.col("_own"))).join(average, F.col("_key").eqNullSafe(F.col("_named")), "left")
-    ndcg = lambda k: F.when(F.col(f"_ideal{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_ideal{k}")).otherwise(0.0).alias(f"ndcg{k}")
-    out = out.select(F.col("_key").alias(key), ndcg(10), ndcg(50), F.coalesce("_map", F.lit(0.0)).alias("map"), "p5", "p10")
-    return out.withColumn("composite", 0.5 * F.col("ndcg10") + 0.3 * F.col("ndcg50") + 0.15 * F.col("map") + 0.05 * F.col("p10"))
+    sums = running(table.drop("_part"), ["_key"], by_score, "pos", {"_seen": ("sum", "_hit")}, table).groupBy("_key").agg(*_sums())
+    ideal = _ideal(table.groupBy("_key", "tier").agg(F.count("*").alias("_n")), ["_key"])
+    return _measured(sums, ideal, ["_key"]).withColumnRenamed("_key", key)
 
 
 def variants(df: DataFrame, columns: dict[str, str], id_: str = "id", more: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -69,6 +91,58 @@ def resampled(spark: SparkSession, n: int, rounds: int, seed: int = 42, index: C
     return draws.withColumn("idx", index(F.lit(n).cast("long"), F.col("round"), F.col("draw"), seed))
 
 
+#: Rows of a variant that one range of its order holds; the draws of a range in a round are sorted together.
+DRAWN_ROWS = 1 << 14
+
+
+def _ranked(rows: DataFrame, range_rows: int) -> DataFrame:
+    """variant, idx, tier of `rows` (and score) with _rank, the rows of a better score; _part, its range; _cut, the parts of its ties.
+
+    Rows of one score have one rank, since draws of equal score come as they are drawn. A
+    score that more than `range_rows` rows share is cut by the numbers of its draws.
+    """
+    ties = rows.groupBy("variant", "score").agg(F.count("*").alias("_ties"))
+    better = running(ties, ["variant"], [F.col("score").desc()], None, {"_until": ("sum", "_ties")})
+    better = better.select(F.col("variant").alias("_v"), F.col("score").alias("_s"), "_ties", (F.col("_until") - F.col("_ties")).alias("_rank"))
+    found = rows.join(better, F.col("variant").eqNullSafe(F.col("_v")) & F.col("score").eqNullSafe(F.col("_s")))
+    cut = F.when(F.col("_ties") > range_rows, F.ceil(F.col("_ties") / range_rows)).otherwise(0)
+    return found.select("variant", "idx", "tier", "_rank", F.floor(F.col("_rank") / range_rows).cast("int").alias("_part"), cut.cast("int").alias("_cut"))
+
+
+def resampled_metrics(df: DataFrame, columns: dict[str, str], rounds: int, seed: int, index: Callable[[Column, Column, Column, int], Column] = hashed_draw, id_: str = "id", range_rows: int = DRAWN_ROWS) -> DataFrame:
+    """variant, round and metrics of every resample; each round draws the same rows for all variants (variant -> score column).
+
+    The order by score is cut into ranges once, not once a round: a draw knows its range by
+    its row. At most 64 variants. A first pass over the draws only counts them by round, range and tier, which
+    gives what lies before each range; a second one shuffles them, sorts each range of a
+    round by itself and adds up. Draws are hashes, so they are made again and not stored.
+    """
+    names = list(columns)
+    rows = stored(df.select(id_, "tier", *dict.fromkeys(columns.values())), "bootstrap-rows")  # ranges are drawn from it, which reads it twice
+    numbered = stored(running(rows, [], [F.col(id_)], "idx").withColumn("idx", F.col("idx") - 1), "bootstrap")
+    n = numbered.count()
+    ranked = _ranked(variants(numbered, columns, "idx"), range_rows)
+    # one number for variant and range, so that draws are shuffled and sorted as two numbers and their tier
+    place = reduce(lambda a, b: a.when(F.col("variant") == names[b], b), range(1, len(names)), F.when(F.col("variant") == names[0], 0)).cast("long")
+    ranked = stored(ranked.select("idx", "tier", (F.shiftleft(place, 34) + F.shiftleft(F.col("_part").cast("long"), 14)).alias("_place"), F.least("_cut", F.lit((1 << 14) - 2)).alias("_cut"), (F.col("_rank") * F.lit(n)).alias("_order")), "bootstrap-ranks")
+    drawn = resampled(df.sparkSession, n, rounds, seed, index).join(ranked, "idx")
+    sub = F.when(F.col("_cut") > 0, 1 + F.floor(F.col("draw") * F.col("_cut") / F.lit(max(n, 1)))).otherwise(0)  # ties that are cut come last in their range
+    drawn = drawn.select((F.shiftleft("round", 40) + F.col("_place") + sub).alias("_group"), (F.col("_order") + F.col("draw")).alias("_order"), "tier")
+    hit = (F.col("tier") >= RELEVANT).cast("long")
+    key = F.shiftright("_group", 34).alias("_key")  # round and variant
+    counts = stored(drawn.groupBy("_group", "tier").agg(F.count("*").alias("_n")), "bootstrap-counts")
+    earlier = Window.partitionBy("_key").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy("_group").agg(F.sum("_n").alias("_n"), F.coalesce(F.sum(hit * F.col("_n")), F.lit(0)).alias("_h")).select("_group", key, "_n", "_h")
+    before = sizes.select("_group", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in ("_n", "_h")))
+    inside = Window.partitionBy("_group").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = drawn.withColumn("_hit", hit).select("_group", "tier", "_hit", F.row_number().over(inside).alias("_at"), F.sum("_hit").over(inside).alias("_in"))
+    placed = placed.join(before, "_group").select(key, "tier", "_hit", (F.col("_at") + F.col("_before_n")).alias("pos"), (F.coalesce("_in", F.lit(0)) + F.col("_before_h")).alias("_seen"))
+    ideal = _ideal(counts.groupBy(key, "tier").agg(F.sum("_n").alias("_n")), ["_key"])
+    found = _measured(placed.groupBy("_key").agg(*_sums()), ideal, ["_key"])
+    variant = F.element_at(F.array(*map(F.lit, names)), (F.col("_key") % 64 + 1).cast("int"))
+    return found.select(variant.alias("variant"), F.shiftright("_key", 6).alias("round"), *found.columns[1:])
+
+
 def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, index: Callable[[Column, Column, Column, int], Column] = hashed_draw, id_: str = "id") -> DataFrame:
     """Mean, population deviation and 95 % interval of the composite metric over resampled rows.
 
@@ -76,21 +150,15 @@ def bootstrap(df: DataFrame, score: str, rounds: int = 1000, seed: int = 42, ind
     of each draw; the default draws with replacement. Draws of equal score come in the
     order in which they were drawn.
     """
-    rows = running(df.select(id_, score, "tier"), [], [F.col(id_)], "idx").select((F.col("idx") - 1).alias("idx"), score, "tier")
-    drawn = resampled(df.sparkSession, rows.count(), rounds, seed, index).join(rows, "idx").withColumn("id", F.col("draw"))
-    per = metrics(drawn.select("round", "id", score, "tier"), "round", score)
+    per = resampled_metrics(df, {"": score}, rounds, seed, index, id_)
     return per.agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"), F.expr("percentile(composite, 0.025)").alias("low"), F.expr("percentile(composite, 0.975)").alias("high"))
 
 
 def bootstrap_variants(df: DataFrame, columns: dict[str, str], rounds: int = 1000, seed: int = 42, id_: str = "id") -> DataFrame:
     """bootstrap() of several variants (variant -> score column) at once; each round draws the same rows for all of them."""
-    numbered = running(df.select(id_, "tier", *dict.fromkeys(columns.values())), [], [F.col(id_)], "idx")
-    rows = stored(numbered.withColumn("idx", F.col("idx") - 1), "bootstrap")
-    drawn = resampled(df.sparkSession, rows.count(), rounds, seed).join(rows.drop(id_), "idx")
-    long = variants(drawn, columns, "draw", ["round"])
-    per = metrics(long.select(F.struct("variant", "round").alias("k"), F.col("draw").alias("id"), "score", "tier"), "k", "score")
-    spread = percentiles(per.select(F.col("k.variant").alias("variant"), "composite"), "composite", "variant", {"low": 0.025, "high": 0.975})
-    means = per.groupBy(F.col("k.variant").alias("variant")).agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"))
+    per = stored(resampled_metrics(df, columns, rounds, seed, id_=id_).select("variant", "composite"), "bootstrap-rounds")
+    spread = percentiles(per, "composite", "variant", {"low": 0.025, "high": 0.975})
+    means = per.groupBy("variant").agg(F.avg("composite").alias("mean"), F.stddev_pop("composite").alias("std"))
     return means.join(spread, "variant").select("variant", "mean", "std", "low", "high")
 
 
