@@ -56,15 +56,19 @@ def dense_features(vectors: DataFrame, column: str, positive: DataFrame, negativ
 def hashed(docs: DataFrame, key: str, text: str, size: int = 384) -> DataFrame:
     """key, vector: unit vectors of signed feature hashing, a stand-in where no encoder model is at hand.
 
-    The first eight hex digits of a token's md5 choose its place, the ninth its sign. Counts
-    per (document, place) are aggregated, so the work is linear in the tokens. A text without
-    tokens has the zero vector.
+    The first eight hex digits of a token's md5 choose its place, the ninth its sign. A text
+    is counted in its own row, linear but for the sort of its codes: nothing is exploded or
+    shuffled, and a task holds one text at a time. A text without tokens has the zero vector.
     """
-    words = docs.select(F.col(key), F.explode_outer(tokens(F.col(text))).alias("_w")).withColumn("_h", F.md5("_w"))
-    place = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % size).cast("int")
-    sign = F.when(F.substring("_h", 9, 1) < "8", 1).otherwise(-1)
-    sums = words.groupBy(key, place.alias("_place")).agg(F.sum(sign).cast("double").alias("_sum"))
-    entries = F.collect_list(F.when(F.col("_place").isNotNull(), F.struct("_place", "_sum")))  # `size` entries at most
-    rows = sums.groupBy(key).agg(F.map_from_entries(entries).alias("_m"), F.sqrt(F.sum(F.col("_sum") * F.col("_sum"))).alias("_norm"))
-    value = lambda i: F.coalesce(F.col("_m")[i] / F.when(F.col("_norm") > 0, F.col("_norm")), F.lit(0.0))
-    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), value).alias("vector"))
+    digest = lambda w: F.md5(w)
+    place = lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % size).cast("int")
+    code = lambda h: 2 * place(h) + F.when(F.substring(h, 9, 1) < "8", 0).otherwise(1)
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  computes the value once
+    # every code once more than it occurs, sorted: code c begins at the c-th start
+    codes = F.array_sort(F.concat(F.transform(F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), digest), code), F.sequence(F.lit(0), F.lit(2 * size - 1))))
+    starts = lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+    with_end = lambda c: F.concat(starts(c), F.array(F.size(c)))
+    sums = let(codes, lambda c: let(with_end(c), lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (2 * F.get(s, 2 * i + 1) - F.get(s, 2 * i) - F.get(s, 2 * i + 2)).cast("double"))))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
+    unit = lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return docs.select(key, let(sums, unit).alias("vector"))
