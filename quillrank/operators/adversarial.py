@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.policy import DEFAULT, Policy
 from quillrank.operators.features import static_features
 from quillrank.operators.scoring import score
+from quillrank.sources.tables import stored
 
 
 def _with(entities: DataFrame, column: str, values: dict[str, Column]) -> DataFrame:
@@ -56,11 +59,11 @@ def properties(entities: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     contradictions (times the best modifiers), and an idle record below an engaged one.
     """
     best = policy.availability_band[1] * policy.location_band[1]
-    final = lambda df, name: score(static_features(df, policy), policy).select("candidate_id", F.col("final").alias(name))
+    entities = stored(entities, "entities")  # built once, read for each of the four
+    final = lambda df, name: score(static_features(df, policy), policy).select("candidate_id", F.lit(name).alias("made"), "final")
     made = {"stuffed": stuffed, "impossible": impossible, "engaged": engaged, "idle": idle}
-    out = entities.select("candidate_id")
-    for name, make in made.items():
-        out = out.join(final(make(entities, policy), name), "candidate_id")
+    every = reduce(DataFrame.unionByName, (final(make(entities, policy), name) for name, make in made.items()))
+    out = every.groupBy("candidate_id").agg(*(F.max(F.when(F.col("made") == name, F.col("final"))).alias(name) for name in made))
     slack = 1e-9
     return out.select(
         "candidate_id",
